@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, language_id, packing
+from . import byte_bpe, chat, language_id, lsh, packing, topk
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_topk": topk.op2_topk,
     "op3_chat_format": chat.op3_chat_format,
+    "op6_ann": lsh.op6_ann,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
+    "op2_topk": topk.ORACLE_SQL,
     "op3_chat_format": chat.ORACLE_SQL,
 }
