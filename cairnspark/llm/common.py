@@ -189,4 +189,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = (n, total, digest)
     else:
         raise RuntimeError("components did not settle")
-    return cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    named = cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return named.union(named.select("component", "component").distinct())

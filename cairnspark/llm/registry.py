@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, language_id, lsh, packing, topk
+from . import byte_bpe, chat, jaccard, language_id, lsh, packing, topk
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_topk": topk.op2_topk,
     "op3_chat_format": chat.op3_chat_format,
     "op6_ann": lsh.op6_ann,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_packing": packing.op10_packing,
 }
