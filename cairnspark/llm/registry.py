@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, jaccard, language_id, lsh, packing, suffix, topk
+from . import byte_bpe, chat, jaccard, language_id, line_dedup, lsh, packing, suffix, topk
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_topk": topk.op2_topk,
     "op3_chat_format": chat.op3_chat_format,
     "op4_suffix_dedup": suffix.op4_suffix_dedup,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_ann": lsh.op6_ann,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
