@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, jaccard, language_id, line_dedup, lsh, packing, suffix, topk
+from . import byte_bpe, chat, jaccard, language_id, line_dedup, lm, lsh, packing, suffix, topk
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_ann": lsh.op6_ann,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op8_lm_score": lm.op8_lm_score,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_packing": packing.op10_packing,
 }
