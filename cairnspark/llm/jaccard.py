@@ -2,14 +2,15 @@
 
 A document's shingles are put in one global order (that of their 64-bit hashes) and the order is cut into fragments. If two sets are
 similar enough, they differ in fewer shingles than there are fragments, so in at least one fragment they agree altogether:
-equal signatures of fragments give the candidates, and a frequent shingle alone gives none. Candidates are then
-verified in blocks: each fragment's partial overlaps are counted apart, as a product of 0/1 matrices, and
-summed for each pair.
+equal signatures of fragments give the candidates. A candidate must also have a parity sketch near the other's: a sketch XORs
+one bit for each shingle, so two sketches differ in no more bits than the sets do in shingles, and a fragment that holds
+nothing but a frequent passage joins no strangers. Candidates are then verified in blocks: each fragment's partial
+overlaps are counted apart, as a product of 0/1 matrices, and summed for each pair.
 
 How many fragments are needed depends on the sets' size; sizes are cut into classes, and a set that can
 have a partner in the next class signs there too. Documents with equal sets are collapsed to the one with the smallest id
-before anything is joined. A candidate is linked to the first member of its bucket only, never to all of it; connected
-candidates make a cluster, and inside it every pair is compared: a cluster of more than ``BLOCK`` sets in a grid of
+before anything is joined. A bucket's members meet at its first member, where close sketches give a spanning forest, never all
+pairs; connected candidates make a cluster, and inside it every pair is compared: a cluster of more than ``BLOCK`` sets in a grid of
 block pairs, each of which returns a spanning forest of its links. So no stage emits the pairs of a
 group, and no task holds more than two blocks.
 """
@@ -80,56 +81,86 @@ class Similarity:
     def size_class(self, n: int) -> int:
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
-    def fragments(self, c: int) -> int:
-        """One more than two linked sets of which the larger is in class c can differ by."""
-        n = 2 * (int(self.bounds[c + 1]) - 1)
+    def apart(self, total):
+        """How many shingles two linked sets of ``total`` shingles together can differ by."""
         # overlap >= num (a + b) / (num + den), so the symmetric difference a + b - 2 overlap is at most (a + b)(den - num) / (den + num)
-        return n * (self.den - self.num) // (self.den + self.num) + 1
+        return total * (self.den - self.num) // (self.den + self.num)
+
+    def widest(self, c: int) -> int:
+        return self.apart(2 * (int(self.bounds[c + 1]) - 1))
 
     def classes(self, n: int) -> list[int]:
         """The classes a set of size n signs in: its own, and the next if a partner can be there."""
         c = self.size_class(n)
         return [c, c + 1] if self.num * int(self.bounds[c + 1]) <= self.den * n else [c]
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Signatures of the fragments of the sorted set s, in all its classes."""
-        out = []
-        total = np.zeros(len(s) + 1, np.uint64)
-        np.cumsum(mix64(s), out=total[1:])
-        for c in self.classes(len(s)):
-            f = self.fragments(c)
+    def signatures(self, s: np.ndarray, c: int) -> np.ndarray:
+        """Signatures in class c of the fragments of the set s.
+
+        Sets that differ by d agree in all but d of the d + 1 + spare fragments. Empty fragments sign nothing: a set with no more than
+        ``spare`` of them still agrees with its partner in one that is not empty. A set with more signs at the next level too, whose order
+        and fragments are others; so does a partner that agrees with it in empty fragments only. At the last level empty ones sign.
+        """
+        d = self.widest(c)
+        spare = d // 10 + 1
+        f, out = d + 1 + spare, []
+        for level in range(8):
+            order = s if level == 0 else np.sort(mix64(s + np.uint64(level)))
+            total = np.zeros(len(order) + 1, np.uint64)
+            np.cumsum(mix64(order), out=total[1:])
             # fragment of a hash: its high 32 bits, scaled to [0, f)
-            cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(f) >> np.uint64(32), np.arange(f + 1))
-            sums = total[cut[1:]] - total[cut[:-1]]
-            out.append(mix64(sums + mix64(np.arange(f, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(c) + np.uint64(1))))
+            cut = np.searchsorted((order >> np.uint64(32)) * np.uint64(f) >> np.uint64(32), np.arange(f + 1))
+            tag = np.arange(f, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(c * 16 + level + 1)
+            sign = mix64(total[cut[1:]] - total[cut[:-1]] + mix64(tag))
+            full = cut[1:] > cut[:-1]
+            out.append(sign if level == 7 else sign[full])
+            if f - int(full.sum()) <= spare:
+                break
         return np.concatenate(out)
 
+    def sketch(self, s: np.ndarray, c: int) -> np.ndarray:
+        """Parity sketch of class c: four bits and more for each shingle that linked sets can differ by."""
+        bits = 64 * (4 * self.widest(c) // 64 + 1)
+        odd = np.bincount((mix64(s) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32), minlength=bits) & 1
+        return np.packbits(odd.astype(np.uint8))
+
 
 def sign(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
-    """(doc_id, n, h1, h2, signatures): size, 128-bit digest and fragment signatures of each document's set."""
+    """(doc_id, n, h1, h2, signed array<struct<c, sigs, sketch>>): size, 128-bit digest, and by class the signatures and the sketch."""
     prepare(docs.sparkSession)
+    kind = pa.list_(pa.struct([("c", pa.int32()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_arrays(batch.column(1))
-            n, h, sigs = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows), np.uint64), []
             for i, j in slices(off):
                 code, at = shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                n[i:j] = np.diff(at)
-                for row, p in ((0, np.uint64(0)), (1, np.uint64(0xA5A5A5A5A5A5A5A5))):
+                digest = []
+                for p in (np.uint64(0), np.uint64(0xA5A5A5A5A5A5A5A5)):
                     t = np.zeros(len(code) + 1, np.uint64)
                     np.cumsum(mix64(code ^ p), out=t[1:])
-                    h[row, i:j] = t[at[1:]] - t[at[:-1]]
+                    digest.append(pa.array((t[at[1:]] - t[at[:-1]]).view(np.int64)))
+                classes, sigs, sketches, rows = [], [], [], [0]
                 for r in range(j - i):
-                    sigs.append(sim.signatures(code[at[r] : at[r + 1]]) if at[r + 1] > at[r] else np.zeros(0, np.uint64))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32), pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), lists], ["doc_id", "n", "h1", "h2", "signatures"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, signatures array<long>")
-
-
-def star_edges(signed: DataFrame) -> DataFrame:
-    """(a, b): each document with the first one of every bucket of equal signatures. signed: (doc_id, signatures).
+                    if at[r + 1] > at[r]:
+                        s = code[at[r] : at[r + 1]]
+                        for c in sim.classes(len(s)):
+                            classes.append(c)
+                            sigs.append(sim.signatures(s, c).view(np.int64))
+                            sketches.append(sim.sketch(s, c).tobytes())
+                    rows.append(len(classes))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
+                values = pa.StructArray.from_arrays(
+                    [pa.array(classes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))), pa.array(sketches, pa.binary())], fields=list(kind.value_type)
+                )
+                signed = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), *digest, signed], ["doc_id", "n", "h1", "h2", "signed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, signed array<struct<c: int, sigs: array<long>, sketch: binary>>")
+
+
+def meetings(signed: DataFrame) -> DataFrame:
+    """(head, c, doc_id): each document with the first one of every bucket of equal signatures. signed: (doc_id, c, sigs).
 
     Buckets are streamed in sorted order: none is held, whatever its size.
     """
@@ -137,7 +168,7 @@ def star_edges(signed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, None
         for batch in batches:
-            sig, doc = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            sig, doc, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
             if not len(sig):
                 continue
             edge = runs(sig)
@@ -148,11 +179,57 @@ def star_edges(signed: DataFrame) -> DataFrame:
             last, first = sig[-1], head[-1]
             keep = centre != doc
             if keep.any():
-                pairs = np.unique(np.stack([doc[keep], centre[keep]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                rows = np.unique(np.stack([centre[keep], c[keep].astype(np.int64), doc[keep]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2])], ["head", "c", "doc_id"])
+
+    rows = signed.select(F.explode("sigs").alias("sig"), "doc_id", "c")
+    return rows.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(run, "head long, c long, doc_id long").distinct()
+
+
+def near(groups: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b): edges that connect the documents of each group (head, c) whose sketches are close. groups: (head, c, doc_id, n, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, sizes, sketches = None, [], [], []
+
+        def close() -> list[tuple[int, int]]:
+            m = len(ids)
+            if m < 2:
+                return []
+            bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(m, -1)
+            size = np.array(sizes, np.int64)
+            i, j = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for a in range(0, m, 256):
+                for b in range(a, m, 1024):
+                    x, y = size[a : a + 256, None], size[None, b : b + 1024]
+                    p, q = np.nonzero(sim.num * np.maximum(x, y) <= sim.den * np.minimum(x, y))
+                    fit = p + a < q + b
+                    p, q = p[fit] + a, q[fit] + b
+                    if len(p):
+                        differ = np.zeros(len(p), np.int64)
+                        for w in range(0, bits.shape[1], 16):
+                            differ += np.bitwise_count(bits[p, w : w + 16] ^ bits[q, w : w + 16]).sum(axis=1, dtype=np.int64)
+                        fit = differ <= sim.apart(size[p] + size[q])
+                        # reduced tile by tile, so that no group's pairs are held
+                        kept = forest(np.concatenate([i, p[fit]]), np.concatenate([j, q[fit]]), m)
+                        i, j = np.array([k[0] for k in kept], np.int64), np.array([k[1] for k in kept], np.int64)
+            return [(ids[p], ids[q]) for p, q in zip(i.tolist(), j.tolist())]
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for head, c, doc, n, sketch in zip(*(x.to_pylist() for x in batch.columns)):
+                if (head, c) != last:
+                    out += close()
+                    last, ids, sizes, sketches = (head, c), [], [], []
+                ids.append(doc)
+                sizes.append(n)
+                sketches.append(sketch)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+        if out := close():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
-    rows = signed.select(F.explode("signatures").alias("sig"), "doc_id")
-    return rows.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(run, "a long, b long").distinct()
+    return groups.repartition("head", "c").sortWithinPartitions("head", "c").select("head", "c", "doc_id", "n", "sketch").mapInArrow(run, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], rows: slice, cols: slice) -> np.ndarray:
@@ -254,11 +331,15 @@ def jaccard_join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     if signed.count() != signed.select("doc_id").distinct().count():
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
         signed = materialise(sign(docs, k, sim))
-    # equal sets
+    # Equal sets. The joins below are merge joins at every size: their small sides grow with the corpus.
     twins = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     reps = materialise(signed.select("doc_id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    only = signed.where("n > 0").join(reps.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select("doc_id", "signatures")
-    clusters = components(star_edges(only))
+    only = signed.where("n > 0").join(reps.where("doc_id <> rep").select("doc_id").hint("merge"), "doc_id", "left_anti")
+    by_class = only.select("doc_id", "n", F.inline("signed"))
+    met = materialise(meetings(by_class.select("doc_id", "c", "sigs")))
+    groups = met.union(met.select("head", "c", F.col("head").alias("doc_id")).distinct())
+    sketches = by_class.select("doc_id", F.col("c").cast("long").alias("c"), "n", "sketch")
+    clusters = components(near(groups.hint("merge").join(sketches, ["doc_id", "c"]), sim))
     # blocks of large clusters
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     blocks = clusters.join(sizes, "component").select(
@@ -273,7 +354,7 @@ def jaccard_join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         (F.col("block") <= F.col("other")).alias("left"),
         (F.col("block") >= F.col("other")).alias("right"),
     )
-    links = materialise(verify(cells.join(docs, "doc_id"), k, sim))
+    links = materialise(verify(cells.hint("merge").join(docs, "doc_id"), k, sim))
     joined = components(links)
     out = reps.join(joined, reps["rep"] == joined["id"], "left")
     named = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
