@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import base, scoring  # noqa: F401  (queries register themselves)
+
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
 FLAGSHIP = "flagship_index"
