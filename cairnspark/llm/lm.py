@@ -33,8 +33,8 @@ from .common import LOWER, materialise, mix64, prefix_hash, prepare, runs, slice
 
 #: Weight of the bigram's relative frequency.
 LAMBDA = 0.4
-#: Text bytes of a chunk.
-CHUNK_BYTES = 16 << 20
+#: Text bytes of a chunk, and bigram shards for each shuffle partition: both bound what a task holds at a time.
+CHUNK_BYTES, SHARDS_EACH = 6 << 20, 2
 #: Hashes that stand for the end of a text, and for its beginning as a context.
 END, BEGIN = np.uint64(0xE0E0E0E0E0E0E0E1), np.uint64(0xB0B0B0B0B0B0B0B1)
 #: Steps of a log10 unit in the codes of probabilities.
@@ -252,7 +252,7 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = SHARDS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.coalesce(learned, F.lit(False)).alias("learned"), "text")
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,23 +352,22 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
         if not len(own):
             return _frame(out)
         parts = [unsqueeze(b) for b in own["blob"]]
-        context = np.concatenate([np.cumsum(p[0]) for p in parts])
-        c_context, follower, code, taught = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
-        follower = follower.astype(np.int64)
-        order = np.lexsort((follower, context))
-        x, y = context[order], follower[order]
-        new = np.ones(len(x), bool)
-        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        edge = np.concatenate([np.flatnonzero(new), [len(x)]])
+        c_context, code, taught = (np.concatenate([p[k] for p in parts]) for k in (1, 3, 4))
+        # ids are below 2^32, so a bigram is one number
+        bigram = np.concatenate([(np.cumsum(p[0]).astype(np.uint64) << np.uint64(32)) | p[2] for p in parts])
+        order = np.argsort(bigram, kind="stable")
+        edge = runs(bigram[order])
+        at = order[edge[:-1]]  # one occurrence of each different bigram
+        bigram = bigram[at]
+        x, y = (bigram >> np.uint64(32)).astype(np.int64), (bigram & np.uint64(0xFFFFFFFF)).astype(np.int64)
         n = np.add.reduceat(taught[order].astype(np.float64), edge[:-1])
         seen = n > 0
-        at = order[edge[:-1][seen]]
-        p = LAMBDA * n[seen] / np.maximum(1, c_context[at]) + (1 - LAMBDA) * 10 ** (code[at] / -STEPS)
-        trie = Trie(context[at], follower[at], np.round(-np.log10(p) * STEPS).clip(0, 65535).astype(np.uint16))
+        known = at[seen]
+        p = LAMBDA * n[seen] / np.maximum(1, c_context[known]) + (1 - LAMBDA) * 10 ** (code[known] / -STEPS)
+        trie = Trie(x[seen], y[seen], np.round(-np.log10(p) * STEPS).clip(0, 65535).astype(np.uint16))
         # look every different bigram up
-        q = edge[:-1]
-        found = trie.find(x[q], y[q])
-        log_p = np.log10(1 - LAMBDA) - code[order[q]] / STEPS
+        found = trie.find(x, y)
+        log_p = np.log10(1 - LAMBDA) - code[at] / STEPS
         hit = found >= 0
         log_p[hit] = trie.codes[found[hit]] / -STEPS
         trie.close()
