@@ -30,8 +30,6 @@ from .common import BASE_INV, mix64, powers, prefix_hash, prepare, runs, slices,
 SEED = 64
 #: Contexts in a batch of the index.
 BATCH = 16_000
-#: Bytes of contexts that a task of the index should get.
-TASK_BYTES = 48 << 20
 
 
 def seed_length(length: int) -> int:
@@ -225,10 +223,11 @@ class Family:
         self.least[x.ids], self.most[x.ids] = least, most
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, th, doc_id, text): rows are told apart by id and text, so equal rows are treated alike."""
+def keyed(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """(doc, th, doc_id, text, and the carried columns): rows are told apart by id and text, so equal rows are treated alike."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("th"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    ids = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(ids, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("th"), ids.alias("doc_id"), text.alias("text"), *carry)
 
 
 def covers(rows: DataFrame, length: int) -> DataFrame:
@@ -316,7 +315,7 @@ def covers(rows: DataFrame, length: int) -> DataFrame:
     one = rows.select("doc", "th", "text").mapInArrow(seeds, "seed long, doc long, th long, many boolean")
     again = one.repartition("seed").sortWithinPartitions("seed").mapInArrow(repeated, "seed long, doc long, th long")
     wanted = again.groupBy("doc", "th").agg(F.collect_list("seed").alias("wanted"))  # no more than a document's own anchors
-    found = rows.select("doc", "th", "text", "doc_id").join(wanted, ["doc", "th"]).select("doc", "th", "text", "wanted").mapInArrow(contexts, "seed long, lead long, text binary, docs array<long>, hashes array<long>, starts array<long>")
+    found = rows.select("doc", "th", "text", "doc_id").join(wanted.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "wanted").mapInArrow(contexts, "seed long, lead long, text binary, docs array<long>, hashes array<long>, starts array<long>")
     spans = found.repartition("seed").mapInArrow(index, "doc long, th long, s long, e long")
     return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
@@ -340,7 +339,39 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     table gives an empty one.
     """
     rows = keyed(docs)
-    return rows.select("doc", "th", "text", "doc_id").join(covers(rows, length), ["doc", "th"], "left").select("doc_id", "text", "spans")
+    return rows.select("doc", "th", "text", "doc_id").join(covers(rows, length).hint("merge"), ["doc", "th"], "left").select("doc_id", "text", "spans")
+
+
+def cut_repeats(docs: DataFrame, length: int, carry: list[str]) -> DataFrame:
+    """(doc_id, text, n_removed, and the carried columns): texts without what repeated strings cover.
+
+    Cuts are moved inwards to whole characters. n_removed: bytes cut. docs as for ``repeated_spans``.
+    """
+    prepare(docs.sparkSession)
+    rows = keyed(docs, carry)
+    fields = [f for f in rows.schema if f.name in carry]
+    names = ["doc_id", "text", "n_removed", *(f.name for f in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, removed = [], []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                data, at, kept, n = text.encode(), 0, [], 0
+                for s, e in union(spans):
+                    while s < e and data[s] & 0xC0 == 0x80:
+                        s += 1
+                    while e > s and e < len(data) and data[e] & 0xC0 == 0x80:
+                        e -= 1
+                    kept.append(data[at:s])
+                    at, n = e, n + e - s
+                kept.append(data[at:])
+                texts.append(b"".join(kept).decode())
+                removed.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), *batch.columns[3:]], names)
+
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
+    found = rows.join(covers(keyed(docs), length).hint("merge"), ["doc", "th"], "left")
+    return found.select("doc_id", "text", "spans", *(f.name for f in fields)).mapInArrow(run, f"doc_id long, text string, n_removed long{extra}")
 
 
 def digest(found: DataFrame) -> DataFrame:
