@@ -39,9 +39,9 @@ def resolve(names: DataFrame, dim: DataFrame, aliases: DataFrame | None = None,
             F.sort_array(F.collect_list(F.when(F.col("hint").isNull() | (F.col("e_grp") == F.col("hint")), F.col("e_id")))).alias("fit"),
             F.sort_array(F.collect_list("e_id")).alias("every"),
         )
-        .select("name", "hint", F.when(F.size("fit") > 0, F.col("fit")).otherwise(F.col("every")).alias("found"))
+        .select(F.col("name").alias("x_name"), F.col("hint").alias("x_hint"), F.when(F.size("fit") > 0, F.col("fit")).otherwise(F.col("every")).alias("found"))
     )
-    two = one.join(exact, (one["name"] == exact["name"]) & one["hint"].eqNullSafe(exact["hint"]), "left").select(one["name"], one["hint"], "alias_id", "found")
+    two = one.join(exact, (F.col("name") == F.col("x_name")) & F.col("hint").eqNullSafe(F.col("x_hint")), "left").drop("x_name", "x_hint")
     open_ = two.where(F.col("alias_id").isNull() & F.col("found").isNull()).select("name", "hint")
     block = F.coalesce(F.concat(F.lit("g:"), "hint"), F.concat(F.lit("l:"), F.substring("name", 1, 1)))
     blocks = dim.select("id", F.col("name").alias("d_name"), F.explode(F.array(F.concat(F.lit("g:"), "grp"), F.concat(F.lit("l:"), F.substring("name", 1, 1)))).alias("block"))
@@ -50,8 +50,8 @@ def resolve(names: DataFrame, dim: DataFrame, aliases: DataFrame | None = None,
     best = pairs.withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("name", "hint").agg(
         F.max(F.when(F.col("r") == 1, F.col("id"))).alias("f_id"), F.max("ratio").alias("top"), F.max(F.when(F.col("r") == 2, F.col("ratio"))).alias("second")
     )
-    best = best.where(F.col("top") >= threshold)
-    three = two.join(best, (two["name"] == best["name"]) & two["hint"].eqNullSafe(best["hint"]), "left").select(two["name"], two["hint"], "alias_id", "found", "f_id", "top", "second")
+    best = best.where(F.col("top") >= threshold).withColumnsRenamed({"name": "x_name", "hint": "x_hint"})
+    three = two.join(best, (F.col("name") == F.col("x_name")) & F.col("hint").eqNullSafe(F.col("x_hint")), "left").drop("x_name", "x_hint")
     clear = F.col("second").isNull() | (F.col("top") - F.col("second") >= margin)
     method = (
         F.when(F.col("alias_id").isNotNull(), "alias").when(F.size("found") == 1, "exact").when(F.size("found") > 1, "ambiguous")

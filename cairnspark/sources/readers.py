@@ -149,7 +149,11 @@ def header_map(cells: DataFrame, order: list[str], wanted: dict[str, str]) -> Da
     from ..operators.sequence import fill_down
 
     c = F.transform(F.col("cells"), lambda x: F.lower(x))
-    at = F.struct(*[F.array_position(F.transform(c, lambda x, r=r: x.rlike(r)), True).cast("int").alias(k) for k, r in wanted.items()])
+
+    def place(pattern: str) -> Column:
+        return F.array_position(F.transform(c, lambda x: x.rlike(pattern)), True).cast("int")
+
+    at = F.struct(*[place(r).alias(k) for k, r in wanted.items()])
     x = cells.withColumn("at_", at)
     full = None
     for k in wanted:

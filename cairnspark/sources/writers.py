@@ -18,10 +18,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
 
 def write_json_row(df: DataFrame, path: str) -> None:
     """A one-row frame as a JSON document."""
-    row = df.limit(2).toJSON().collect()
-    if len(row) != 1:
-        raise ValueError(f"{len(row)} rows; a metadata document has one")
-    df.sparkSession.createDataFrame([(json.dumps(json.loads(row[0]), indent=2, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    rows = df.select(F.to_json(F.struct("*")).alias("json")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{len(rows)} rows; a metadata document has one")
+    df.sparkSession.createDataFrame([(json.dumps(json.loads(rows[0].json), indent=2, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def wide(cells: DataFrame, indicators: list[str], key: list[str] = ("id",), with_status: bool = True) -> DataFrame:
