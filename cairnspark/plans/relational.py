@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import order, quality, resolve, sequence
+from ..operators import order, quality, resolve, sequence, tables
 from ..sources.readers import table
 from .base import SQL, indicators, normalised, query
 
@@ -337,3 +337,45 @@ def rates_and_ratios(spark, folder):
     )
 
 
+
+
+@query("SELECT id, indicator, value FROM (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) UNPIVOT INCLUDE NULLS (value FOR indicator IN (p_size, p_retailprice))")
+def unpivot_records(spark, folder):
+    return tables.unpivot(table(spark, folder, "part").withColumnRenamed("p_partkey", "id"), ["id"], ["p_size", "p_retailprice", "absent"])
+
+
+@query("WITH x AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS v FROM part) SELECT id, coalesce(v, (SELECT quantile_cont(v, 0.5) FROM x), 0) AS v FROM x")
+def coerce_median(spark, folder):
+    v = F.when(F.col("p_partkey") % 9 == 0, "n/a").otherwise(F.col("p_size").cast("string"))
+    return tables.coerce_numeric(table(spark, folder, "part").select(F.col("p_partkey").alias("id"), v.alias("v")), ["v"]).select("id", "v")
+
+
+@query("WITH a AS (SELECT s_suppkey AS a_id, row_number() OVER (ORDER BY s_suppkey) AS position FROM supplier), b AS (SELECT c_custkey AS b_id, row_number() OVER (ORDER BY c_custkey) AS position FROM customer) SELECT position, a_id, b_id FROM a FULL JOIN b USING (position)")
+def positional_join(spark, folder):
+    a = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("a_id"))
+    b = table(spark, folder, "customer").select(F.col("c_custkey").alias("b_id"))
+    return tables.positional_join(a, "a_id", b, "b_id")
+
+
+@query("SELECT p_partkey AS id, CAST(contains(lower(p_name), 'red') OR contains(lower(p_name), 'gear') AS INTEGER) AS listed FROM part")
+def listed_flag(spark, folder):
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("id"), tables.listed(F.col("p_name"), ["Red", "gear"]).alias("listed"))
+
+
+@query("WITH x AS (SELECT 'balance' AS indicator, c_custkey AS id, c_acctbal AS v, rank() OVER (ORDER BY c_acctbal) AS ra FROM customer), y AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rp, ra + (SELECT count(*) - 1 FROM customer WHERE c_acctbal = v) / 2.0 AS rr FROM x WHERE id % 3 = 0) SELECT indicator, count(*) AS n, round(corr(rr, rp), 8) AS spearman FROM y GROUP BY 1")
+def subsample_correlation(spark, folder):
+    c = table(spark, folder, "customer").select(F.lit("balance").alias("indicator"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    return tables.subsample_correlation(c, F.col("id") % 3 == 0).withColumn("spearman", F.round("spearman", 8))
+
+
+@query("SELECT source, count(*) AS n_rows, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars > 5000) AS long FROM documents GROUP BY 1")
+def file_profile(spark, folder):
+    return tables.file_profile(table(spark, folder, "documents").select("source", "lang", "n_chars"), {"english": F.col("lang") == "en", "long": F.col("n_chars") > 5000})
+
+
+@query("SELECT c_custkey AS id, round(n / c_acctbal * 100000, 4) AS density, round(ln(1 + n), 8) AS size_index, round(ln(1 + n / c_acctbal * 100000), 8) AS intensity_index, round(ln(1 + n) * ln(1 + n / c_acctbal * 100000), 7) AS interaction FROM (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1) JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
+def size_and_intensity(spark, folder):
+    n = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("double").alias("n"))
+    x = table(spark, folder, "customer").where("c_acctbal > 0").select("c_custkey", "c_acctbal").join(n, "c_custkey")
+    x = tables.size_and_intensity(x, "n", "c_acctbal")
+    return x.select(F.col("c_custkey").alias("id"), *[F.round(c, k).alias(c) for c, k in (("density", 4), ("size_index", 8), ("intensity_index", 8), ("interaction", 7))])

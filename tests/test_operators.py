@@ -192,3 +192,29 @@ def test_small_functions(spark):
         numeric.missing_to_null(F.lit(float("nan"))).alias("g"), text.both_ways(F.lit("ab"), F.lit("xabx")).alias("h"),
     ).first()
     assert tuple(row) == (3.0, None, 2.0, True, 12.5, "abc", None, True)
+
+
+def test_index_from_end_to_end(spark):
+    from cairnspark.plans.index import build
+    from cairnspark.sources.config import IndexConfig
+
+    config = IndexConfig([("a", "A", "POSITIVE"), ("b", "B", "NEGATIVE"), ("c", "P5", "SATURATION_DAMPENER")], {"A": 2.0, "B": 1.0}, draws=20)
+    rows = [(i, i % 2, k, float((i * m) % 13), float(i)) for i in range(12) for k, m in (("a", 3), ("b", 5), ("c", 7))]
+    rows = [(i, g, k, None if (i, k) in {(3, "a"), (4, "b")} else v, c) for i, g, k, v, c in rows]
+    f = spark.createDataFrame(rows, "id long, grp long, indicator string, value double, covariate double")
+    got = build(f, config, spark.createDataFrame([(3, 5)], "child long, parent long"))
+    assert got.scores.count() == 12 and got.stability.count() == 12
+    status = {(r.id, r.indicator): r.status for r in got.cells.collect()}
+    assert status[3, "a"] == "INHERITED_FROM_5" and status[4, "b"] == "IMPUTED_GROUP_MEAN" and status[0, "a"] == "OBSERVED"
+    assert all(r.passed for r in got.gates.collect())
+    assert sorted(r["rank"] for r in got.scores.collect())[0] == 1
+
+
+def test_config(spark, tmp_path):
+    from cairnspark.sources import config
+
+    (tmp_path / "c.json").write_text('{"indicators": [{"id": "a", "pillar": "A"}], "weights": {"A": 1}, "cuts": [0.9, 0.5, 0.1]}')
+    c = config.load(spark, str(tmp_path / "c.json"))
+    assert c.indicators == [("a", "A", "POSITIVE")] and c.cuts == (0.9, 0.5, 0.1)
+    with pytest.raises(ValueError, match="without weight"):
+        config.IndexConfig([("a", "A", "POSITIVE")], {"B": 1.0})
