@@ -38,14 +38,54 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: list[str] = []
+
+
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends there and survives lost executors."""
+    """df written as Parquet to the shared folder and read back: lineage ends there and survives lost executors.
+
+    The shuffle files of the write go when it is done.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Deletes, at its end, the tables that were materialised inside it and are not kept. Only what a plan still to run does not read may go."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> Scratch:
+        self.start = len(_made)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, whose files stay."""
+        self.kept |= {f.rpartition("/")[0].rpartition("/t-")[2] for f in df.inputFiles()}
+        return df
+
+    def __exit__(self, *error) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        stay = []
+        for path in _made[self.start :]:
+            if path.rpartition("/t-")[2] in self.kept:
+                stay.append(path)
+            else:
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(conf).delete(p, True)
+        _made[self.start :] = stay
+
+
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes as uint8, offsets as int64) of a string or binary column; a null counts as empty.
 
@@ -165,29 +205,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    cur = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        # large star: every larger neighbour of a goes to the least of a and its neighbours
-        both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: all smaller neighbours of a, and a itself, go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        nxt = materialise(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(least.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-        )
-        # a star forest is the fixpoint: nobody is both a leaf and a centre, and each leaf has one centre
-        n, total, digest = nxt.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        cur = nxt
-        if (n, total, digest) == before:
-            break
-        before = (n, total, digest)
-    else:
-        raise RuntimeError("components did not settle")
+    with Scratch(edges.sparkSession) as scratch:
+        cur = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        before = None
+        for _ in range(max_rounds):
+            # large star: every larger neighbour of a goes to the least of a and its neighbours
+            both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            # small star: all smaller neighbours of a, and a itself, go to the least of them
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            cur = materialise(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+            # a star forest is the fixpoint: the edges stay as they are
+            state = tuple(cur.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("a", "b"))).first())
+            if state == before:
+                break
+            before = state
+        else:
+            raise RuntimeError("components did not settle")
+        scratch.keep(cur)
     named = cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return named.union(named.select("component", "component").distinct())

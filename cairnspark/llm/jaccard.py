@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, materialise, mix64, powers, prefix_hash, prepare, runs, slices, span_hash, table, text_arrays, words
+from .common import LOWER, Scratch, components, materialise, mix64, powers, prefix_hash, prepare, runs, slices, span_hash, table, text_arrays, words
 
 #: Sets that a block of a cluster may hold.
 BLOCK = 512
@@ -125,10 +125,10 @@ class Similarity:
         return np.packbits(odd.astype(np.uint8))
 
 
-def sign(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
-    """(doc_id, n, h1, h2, signed array<struct<c, sigs, sketch>>): size, 128-bit digest, and by class the signatures and the sketch."""
+def sketch(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
+    """(doc_id, n, h1, h2, sketches array<struct<c, sketch>>): size, 128-bit digest, and the sketch in each class."""
     prepare(docs.sparkSession)
-    kind = pa.list_(pa.struct([("c", pa.int32()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())]))
+    kind = pa.list_(pa.struct([("c", pa.int64()), ("sketch", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,27 +140,40 @@ def sign(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
                     t = np.zeros(len(code) + 1, np.uint64)
                     np.cumsum(mix64(code ^ p), out=t[1:])
                     digest.append(pa.array((t[at[1:]] - t[at[:-1]]).view(np.int64)))
-                classes, sigs, sketches, rows = [], [], [], [0]
+                sets = [code[at[r] : at[r + 1]] for r in range(j - i)]
+                sketches = pa.array([[{"c": c, "sketch": sim.sketch(s, c).tobytes()} for c in sim.classes(len(s))] if len(s) else [] for s in sets], kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), *digest, sketches], ["doc_id", "n", "h1", "h2", "sketches"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketches array<struct<c: long, sketch: binary>>")
+
+
+def sign(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
+    """(sig, doc_id, c): a row for each fragment signature of each document's set, in each of its classes."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column(0).to_numpy()
+            raw, off = text_arrays(batch.column(1))
+            for i, j in slices(off):
+                code, at = shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                sigs, docs_, classes = [], [], []
                 for r in range(j - i):
                     if at[r + 1] > at[r]:
                         s = code[at[r] : at[r + 1]]
                         for c in sim.classes(len(s)):
-                            classes.append(c)
-                            sigs.append(sim.signatures(s, c).view(np.int64))
-                            sketches.append(sim.sketch(s, c).tobytes())
-                    rows.append(len(classes))
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-                values = pa.StructArray.from_arrays(
-                    [pa.array(classes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))), pa.array(sketches, pa.binary())], fields=list(kind.value_type)
-                )
-                signed = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), *digest, signed], ["doc_id", "n", "h1", "h2", "signed"])
+                            g = sim.signatures(s, c).view(np.int64)
+                            sigs.append(g)
+                            docs_.append(np.full(len(g), doc[i + r]))
+                            classes.append(np.full(len(g), c, np.int16))
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, docs_, classes)], ["sig", "doc_id", "c"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, signed array<struct<c: int, sigs: array<long>, sketch: binary>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long, c short")
 
 
 def meetings(signed: DataFrame) -> DataFrame:
-    """(head, c, doc_id): each document with the first one of every bucket of equal signatures. signed: (doc_id, c, sigs).
+    """(head, c, doc_id): each document with the first one of every bucket of equal signatures. signed: (sig, doc_id, c).
 
     Buckets are streamed in sorted order: none is held, whatever its size.
     """
@@ -182,8 +195,7 @@ def meetings(signed: DataFrame) -> DataFrame:
                 rows = np.unique(np.stack([centre[keep], c[keep].astype(np.int64), doc[keep]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2])], ["head", "c", "doc_id"])
 
-    rows = signed.select(F.explode("sigs").alias("sig"), "doc_id", "c")
-    return rows.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(run, "head long, c long, doc_id long").distinct()
+    return signed.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(run, "head long, c long, doc_id long").distinct()
 
 
 def near(groups: DataFrame, sim: Similarity) -> DataFrame:
@@ -327,38 +339,34 @@ def jaccard_join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """
     sim = Similarity(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    signed = materialise(sign(docs, k, sim))
-    if signed.count() != signed.select("doc_id").distinct().count():
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-        signed = materialise(sign(docs, k, sim))
-    # Equal sets. The joins below are merge joins at every size: their small sides grow with the corpus.
-    twins = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(signed.select("doc_id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    only = signed.where("n > 0").join(reps.where("doc_id <> rep").select("doc_id").hint("merge"), "doc_id", "left_anti")
-    by_class = only.select("doc_id", "n", F.inline("signed"))
-    met = materialise(meetings(by_class.select("doc_id", "c", "sigs")))
-    groups = met.union(met.select("head", "c", F.col("head").alias("doc_id")).distinct())
-    sketches = by_class.select("doc_id", F.col("c").cast("long").alias("c"), "n", "sketch")
-    clusters = components(near(groups.hint("merge").join(sketches, ["doc_id", "c"]), sim))
-    # blocks of large clusters
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = clusters.join(sizes, "component").select(
-        F.col("id").alias("doc_id"), "component", F.ceil(F.col("size") / BLOCK).alias("blocks"),
-    ).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    cells = blocks.select(
-        "doc_id", "component", "block",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"),
-    ).select(
-        "doc_id",
-        F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-        (F.col("block") <= F.col("other")).alias("left"),
-        (F.col("block") >= F.col("other")).alias("right"),
-    )
-    links = materialise(verify(cells.hint("merge").join(docs, "doc_id"), k, sim))
-    joined = components(links)
+    with Scratch(docs.sparkSession) as scratch:
+        sets = materialise(sketch(docs, k, sim))
+        if sets.count() != sets.select("doc_id").distinct().count():
+            docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+            sets = materialise(sketch(docs, k, sim))
+        # Equal sets. The joins below are merge joins at every size: their small sides grow with the corpus.
+        twins = sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
+        reps = materialise(sets.select("doc_id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+        only = docs.join(reps.where("doc_id <> rep").select("doc_id").hint("merge"), "doc_id", "left_anti")
+        met = materialise(meetings(sign(only, k, sim)))
+        groups = met.union(met.select("head", "c", F.col("head").alias("doc_id")).distinct())
+        sketches = sets.select("doc_id", "n", F.inline("sketches"))
+        clusters = components(near(groups.hint("merge").join(sketches, ["doc_id", "c"]), sim))
+        # blocks of large clusters
+        sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
+        blocks = clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+        cells = blocks.select("doc_id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
+            "doc_id",
+            F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
+            (F.col("block") <= F.col("other")).alias("left"),
+            (F.col("block") >= F.col("other")).alias("right"),
+        )
+        joined = components(verify(cells.hint("merge").join(docs, "doc_id"), k, sim))
+        scratch.keep(reps)
+        scratch.keep(joined)
     out = reps.join(joined, reps["rep"] == joined["id"], "left")
-    named = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    return named
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
