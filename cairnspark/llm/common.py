@@ -6,6 +6,7 @@ folder named in ``spark.checkpoint.dir``, and works on Arrow batches in slices o
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,21 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def trimmed(run):
+    """run, after which the Python worker gives free memory back: idle workers stay alive beside those of the next stage."""
+
+    def mapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return mapped
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where the session names none (local tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
