@@ -45,7 +45,10 @@ def resolve(names: DataFrame, dim: DataFrame, aliases: DataFrame | None = None,
     open_ = two.where(F.col("alias_id").isNull() & F.col("found").isNull()).select("name", "hint")
     block = F.coalesce(F.concat(F.lit("g:"), "hint"), F.concat(F.lit("l:"), F.substring("name", 1, 1)))
     blocks = dim.select("id", F.col("name").alias("d_name"), F.explode(F.array(F.concat(F.lit("g:"), "grp"), F.concat(F.lit("l:"), F.substring("name", 1, 1)))).alias("block"))
-    pairs = open_.withColumn("block", block).join(blocks, "block").withColumn("ratio", similarity(F.col("name"), F.col("d_name"))).where(F.col("ratio") >= threshold - margin)
+    # no similarity of names exceeds twice the shorter length over both: most pairs of a block never reach the similarity itself
+    short, long = F.least(F.length("name"), F.length("d_name")), F.greatest(F.length("name"), F.length("d_name"))
+    met = open_.withColumn("block", block).join(blocks, "block").where(2 * short >= (threshold - margin) * (short + long))
+    pairs = met.withColumn("ratio", similarity(F.col("name"), F.col("d_name"))).where(F.col("ratio") >= threshold - margin)
     w = Window.partitionBy("name", "hint").orderBy(F.desc("ratio"), "id")
     best = pairs.withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("name", "hint").agg(
         F.max(F.when(F.col("r") == 1, F.col("id"))).alias("f_id"), F.max("ratio").alias("top"), F.max(F.when(F.col("r") == 2, F.col("ratio"))).alias("second")

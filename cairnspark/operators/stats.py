@@ -76,6 +76,27 @@ def ols(df: DataFrame, y: str, x: str, by: list[str] = ()) -> DataFrame:
     return m.withColumn("ci_lo", F.col("slope") - 1.96 * F.col("slope_se")).withColumn("ci_hi", F.col("slope") + 1.96 * F.col("slope_se")).drop("sxx", "syy")
 
 
+def ols_many(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """One row (n, intercept, coefficients array, r2) of a least-squares fit on several regressors.
+
+    The moments are one aggregation of (regressors + 1)^2 sums; the driver solves that system. Collinear regressors share their effect.
+    """
+    cols = [*xs, y]
+    whole = df
+    for c in cols:
+        whole = whole.where(F.col(c).isNotNull())
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+    row = whole.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)], *[F.covar_pop(cols[i], cols[j]).alias(f"c_{i}_{j}") for i, j in pairs]).first()
+    k = len(xs)
+    s = np.zeros((k + 1, k + 1))
+    for i, j in pairs:
+        s[i, j] = s[j, i] = row[f"c_{i}_{j}"] or 0.0
+    b = np.linalg.lstsq(s[:k, :k], s[:k, k], rcond=None)[0] if row["n"] else np.zeros(k)
+    intercept = (row[f"m_{k}"] or 0.0) - sum(float(b[i]) * (row[f"m_{i}"] or 0.0) for i in range(k))
+    r2 = float(b @ s[:k, k] / s[k, k]) if s[k, k] else None
+    return df.sparkSession.createDataFrame([(row["n"], float(intercept), [float(x) for x in b], r2)], "n long, intercept double, coefficients array<double>, r2 double")
+
+
 def held_out_fit(df: DataFrame, y: str, x: str, fold: str) -> DataFrame:
     """(fold, n, slope, intercept, r2, rmse, mae, small_n): each fold predicted by the fit on all others.
 
@@ -128,3 +149,11 @@ def winsor_share(df: DataFrame, value: str, p: float) -> DataFrame:
     """One row (share): what part of the total the values at or above a quantile hold."""
     q = quantiles(df, value, {"cut": p})
     return df.crossJoin(F.broadcast(q)).agg((F.sum(F.when(F.col(value) >= F.col("cut"), F.col(value))) / F.sum(value)).alias("share"))
+
+
+def equal_multisets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (only_a, only_b, equal): rows, counted with repeats, that one frame has beyond the other."""
+    keys = a.columns
+    n = a.withColumn("d_", F.lit(1)).unionByName(b.select(*keys).withColumn("d_", F.lit(-1))).groupBy(*keys).agg(F.sum("d_").alias("d_"))
+    out = n.agg(F.coalesce(F.sum(F.greatest("d_", F.lit(0))), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("d_"), F.lit(0))), F.lit(0)).alias("only_b"))
+    return out.withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))

@@ -292,7 +292,7 @@ def unit_value(spark, folder):
 
 def _resolve_inputs(spark, folder):
     p = table(spark, folder, "part")
-    dim = p.where("p_partkey < 40").select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))).alias("name"), F.col("p_brand").alias("grp"))
+    dim = p.select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))).alias("name"), F.col("p_brand").alias("grp"))
     k = F.col("id")
     asked = dim.select(
         F.when(k % 4 == 0, F.col("name")).when(k % 4 == 1, F.concat("name", F.lit("x"))).when(k % 4 == 2, F.concat(F.lit("old "), "name")).otherwise(F.concat(F.lit("zz"), F.reverse("name"))).alias("name"),
@@ -302,7 +302,7 @@ def _resolve_inputs(spark, folder):
     return asked, dim, aliases
 
 
-_RESOLVE = """WITH dim AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_partkey) AS name, p_brand AS grp FROM part WHERE p_partkey < 40),
+_RESOLVE = """WITH dim AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_partkey) AS name, p_brand AS grp FROM part),
 ask AS (SELECT DISTINCT CASE id % 4 WHEN 0 THEN name WHEN 1 THEN name || 'x' WHEN 2 THEN 'old ' || name ELSE 'zz' || reverse(name) END AS name, grp AS hint FROM dim),
 al AS (SELECT 'old ' || name AS alias, id FROM dim WHERE id % 4 = 2),
 z AS (SELECT ask.name, hint, dim.id, 1.0 - levenshtein(ask.name, dim.name)::DOUBLE / greatest(length(ask.name), length(dim.name)) AS ratio,
@@ -362,10 +362,10 @@ def listed_flag(spark, folder):
     return table(spark, folder, "part").select(F.col("p_partkey").alias("id"), tables.listed(F.col("p_name"), ["Red", "gear"]).alias("listed"))
 
 
-@query("WITH x AS (SELECT 'balance' AS indicator, c_custkey AS id, c_acctbal AS v, rank() OVER (ORDER BY c_acctbal) AS ra FROM customer), y AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rp, ra + (SELECT count(*) - 1 FROM customer WHERE c_acctbal = v) / 2.0 AS rr FROM x WHERE id % 3 = 0) SELECT indicator, count(*) AS n, round(corr(rr, rp), 8) AS spearman FROM y GROUP BY 1")
+@query("WITH x AS (SELECT 'balance' AS indicator, c_custkey AS id, c_acctbal AS v, rank() OVER (ORDER BY c_acctbal) AS ra, c_mktsegment AS seg FROM customer), y AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rp, ra + (SELECT count(*) - 1 FROM customer WHERE c_acctbal = v) / 2.0 AS rr FROM x WHERE seg = 'BUILDING') SELECT indicator, count(*) AS n, round(corr(rr, rp), 8) AS spearman FROM y GROUP BY 1")
 def subsample_correlation(spark, folder):
-    c = table(spark, folder, "customer").select(F.lit("balance").alias("indicator"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
-    return tables.subsample_correlation(c, F.col("id") % 3 == 0).withColumn("spearman", F.round("spearman", 8))
+    c = table(spark, folder, "customer").select(F.lit("balance").alias("indicator"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"), "c_mktsegment")
+    return tables.subsample_correlation(c, F.col("c_mktsegment") == "BUILDING").withColumn("spearman", F.round("spearman", 8))
 
 
 @query("SELECT source, count(*) AS n_rows, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars > 5000) AS long FROM documents GROUP BY 1")

@@ -36,16 +36,15 @@ def _covered(spark, folder):
     return facts(spark, folder).join(c, "id")
 
 
-@query(SQL + ", fc AS (SELECT f.*, c_acctbal AS covariate FROM f JOIN customer ON c_custkey = id WHERE indicator = 'n_orders'), t AS (SELECT * FROM fc WHERE value IS NULL), d AS (SELECT * FROM fc WHERE value IS NOT NULL), k AS (" + _KNN.format(t="t", d="d") + ") SELECT id, indicator, round(avg(value), 6) AS knn FROM k WHERE r <= 5 GROUP BY 1, 2")
+@query(SQL + ", fc AS (SELECT f.*, c_acctbal AS covariate FROM f JOIN customer ON c_custkey = id), t AS (SELECT * FROM fc WHERE value IS NULL), d AS (SELECT * FROM fc WHERE value IS NOT NULL), k AS (" + _KNN.format(t="t", d="d") + ") SELECT id, indicator, round(avg(value), 6) AS knn FROM k WHERE r <= 5 GROUP BY 1, 2")
 def knn_impute(spark, folder):
-    x = _covered(spark, folder).where("indicator = 'n_orders'")
-    return impute.nearest(x, 5).select("id", "indicator", F.round("knn", 6).alias("knn"))
+    return impute.nearest(_covered(spark, folder), 5).select("id", "indicator", F.round("knn", 6).alias("knn"))
 
 
 def _cascade_sql(donors: str) -> str:
     return (
         FILLED
-        + f", mc AS (SELECT m.*, c_acctbal AS covariate FROM m JOIN customer ON c_custkey = id WHERE indicator IN ('urgent_pct', 'n_orders')), t AS (SELECT * FROM mc WHERE value IS NULL), d AS (SELECT * FROM mc WHERE value IS NOT NULL AND {donors}), k AS ("
+        + f", mc AS (SELECT m.*, c_acctbal AS covariate FROM m JOIN customer ON c_custkey = id), t AS (SELECT * FROM mc WHERE value IS NULL), d AS (SELECT * FROM mc WHERE value IS NOT NULL AND {donors}), k AS ("
         + _KNN.format(t="t", d="d")
         + "), a AS (SELECT id, indicator, avg(value) AS knn FROM k WHERE r <= 5 GROUP BY 1, 2) SELECT mc.id, mc.indicator, round(coalesce(value, knn), 6) AS value, CASE WHEN value IS NULL AND knn IS NOT NULL THEN 'IMPUTED_KNN' ELSE status END AS status FROM mc LEFT JOIN a ON a.id = mc.id AND a.indicator = mc.indicator"
     )
@@ -54,15 +53,13 @@ def _cascade_sql(donors: str) -> str:
 @query(_cascade_sql("had"))
 def cascade_snapshot(spark, folder):
     """Donors are observed cells only."""
-    x = _covered(spark, folder).where("indicator in ('urgent_pct', 'n_orders')")
-    return impute.cascade(x, 5, "observed").select("id", "indicator", F.round("value", 6).alias("value"), "status")
+    return impute.cascade(_covered(spark, folder), 5, "observed").select("id", "indicator", F.round("value", 6).alias("value"), "status")
 
 
 @query(_cascade_sql("true"))
 def cascade_pool(spark, folder):
     """Donors include what the group means filled."""
-    x = _covered(spark, folder).where("indicator in ('urgent_pct', 'n_orders')")
-    return impute.cascade(x, 5, "filled").select("id", "indicator", F.round("value", 6).alias("value"), "status")
+    return impute.cascade(_covered(spark, folder), 5, "filled").select("id", "indicator", F.round("value", 6).alias("value"), "status")
 
 
 @query("""WITH RECURSIVE v AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS value, CASE WHEN c_custkey > 0 THEN c_custkey // 2 END AS parent FROM customer),

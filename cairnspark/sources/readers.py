@@ -74,6 +74,23 @@ def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", ext.alias("extension"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.substring(F.sha2("content", 256), 1, 16).alias("sha16"), category.alias("category"))
 
 
+def presence(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
+    """(source, path, n_files, bytes, status) for each named path or pattern, found or not."""
+    rows = []
+    conf = spark._jsc.hadoopConfiguration()
+    for name, pattern in sources.items():
+        p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = p.getFileSystem(conf).globStatus(p)
+        files = [f for f in found or [] if f.isFile()]
+        rows.append((name, pattern, len(files), sum(f.getLen() for f in files), "PRESENT" if found else "ABSENT"))
+    return spark.createDataFrame(rows, "source string, path string, n_files int, bytes long, status string")
+
+
+def first_present(spark: SparkSession, patterns: list[str]) -> str | None:
+    """The first pattern that finds anything."""
+    return next((r.path for r in presence(spark, {str(i): p for i, p in enumerate(patterns)}).collect() if r.status == "PRESENT"), None)
+
+
 def text_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, line): non-blank trimmed lines, numbered from 1 among all lines."""
     x = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("p", "line"))

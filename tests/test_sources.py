@@ -102,3 +102,11 @@ def test_stream_without_repeats(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 2
+
+
+def test_presence(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    got = {r.source: (r.n_files, r.status) for r in readers.presence(spark, {"a": str(tmp_path / "*.csv"), "b": str(tmp_path / "*.pdf")}).collect()}
+    assert got == {"a": (1, "PRESENT"), "b": (0, "ABSENT")}
+    assert readers.first_present(spark, [str(tmp_path / "*.pdf"), str(tmp_path / "*.csv")]).endswith("*.csv")
+    assert readers.first_present(spark, [str(tmp_path / "*.pdf")]) is None
