@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import prepare, slices, table, text_arrays
+from .common import prepare, slices, table, text_arrays, trimmed
 
 # Symbols of the automaton
 LETTER, NUMBER, OTHER, CUT1, CUT2, SPACE_THEN, BLANK_THEN, BLANK, RESET = range(9)
@@ -290,7 +290,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
                 kinds = (pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def default_path() -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, table, trimmed
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 _GUARD = re.compile(r"<(\\*)\|")
@@ -103,7 +103,7 @@ def expand(turns: DataFrame) -> DataFrame:
     # the order's key: no more than a hash of long texts would not be an order, so texts themselves break ties
     kept = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     ordered = kept.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, schema)
+    return ordered.select("conv_id", "role", "text").mapInArrow(trimmed(run), schema)
 
 
 def digest(examples: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def digest(examples: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*[close()]), kinds)], names)
 
-    return examples.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+    return examples.mapInArrow(trimmed(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, components, materialise, mix64, powers, prefix_hash, prepare, runs, slices, span_hash, table, text_arrays, words
+from .common import LOWER, Scratch, components, materialise, mix64, powers, prefix_hash, prepare, runs, slices, span_hash, table, text_arrays, trimmed, words
 
 #: Sets that a block of a cluster may hold.
 BLOCK = 512
@@ -144,7 +144,7 @@ def sketch(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
                 sketches = pa.array([[{"c": c, "sketch": sim.sketch(s, c).tobytes()} for c in sim.classes(len(s))] if len(s) else [] for s in sets], kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), *digest, sketches], ["doc_id", "n", "h1", "h2", "sketches"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketches array<struct<c: long, sketch: binary>>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n long, h1 long, h2 long, sketches array<struct<c: long, sketch: binary>>")
 
 
 def sign(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
@@ -169,7 +169,7 @@ def sign(docs: DataFrame, k: int, sim: Similarity) -> DataFrame:
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, docs_, classes)], ["sig", "doc_id", "c"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long, c short")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "sig long, doc_id long, c short")
 
 
 def meetings(signed: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def meetings(signed: DataFrame) -> DataFrame:
                 rows = np.unique(np.stack([centre[keep], c[keep].astype(np.int64), doc[keep]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2])], ["head", "c", "doc_id"])
 
-    return signed.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(run, "head long, c long, doc_id long").distinct()
+    return signed.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(trimmed(run), "head long, c long, doc_id long").distinct()
 
 
 def near(groups: DataFrame, sim: Similarity) -> DataFrame:
@@ -241,7 +241,7 @@ def near(groups: DataFrame, sim: Similarity) -> DataFrame:
         if out := close():
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
-    return groups.repartition("head", "c").sortWithinPartitions("head", "c").select("head", "c", "doc_id", "n", "sketch").mapInArrow(run, "a long, b long")
+    return groups.repartition("head", "c").sortWithinPartitions("head", "c").select("head", "c", "doc_id", "n", "sketch").mapInArrow(trimmed(run), "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], rows: slice, cols: slice) -> np.ndarray:
@@ -327,7 +327,7 @@ def verify(members: DataFrame, k: int, sim: Similarity) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    return members.repartition("cell").sortWithinPartitions("cell").select("cell", "left", "right", "doc_id", "text").mapInArrow(run, "a long, b long")
+    return members.repartition("cell").sortWithinPartitions("cell").select("cell", "left", "right", "doc_id", "text").mapInArrow(trimmed(run), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:

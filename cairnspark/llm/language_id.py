@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, table, text_arrays
+from .common import prepare, slices, table, text_arrays, trimmed
 
 #: Hash buckets of byte trigrams (a power of two).
 BUCKETS = 1 << 15
@@ -95,7 +95,7 @@ def count(rows: DataFrame) -> DataFrame:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(v[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(trimmed(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model | None, *carry: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *cols], [*carry, "lang_pred", "score", "ambiguous"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select("text", has_letter.alias("has_letter"), *carry).mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return docs.select("text", has_letter.alias("has_letter"), *carry).mapInArrow(trimmed(run), f"{fields}, lang_pred string, score double, ambiguous boolean")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, mix64, prefix_hash, prepare, runs, slices, span_hash, table, text_arrays, words
+from .common import LOWER, materialise, mix64, prefix_hash, prepare, runs, slices, span_hash, table, text_arrays, trimmed, words
 
 #: Weight of the bigram's relative frequency.
 LAMBDA = 0.4
@@ -273,7 +273,7 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
         out = [(k, shard, WORDS, squeeze(inverse[a:b].astype(np.uint32), n[inverse[a:b]])) for k, a, b in zip(pdf["chunk"], at[:-1], at[1:])]
         return _frame([*out, (b"", shard, TOTALS, struct.pack("<qqq", int(n.sum()), int((n > 0).sum()), len(word)))])
 
-    counted = materialise(src.mapInArrow(vocabulary, BLOBS).groupBy("shard").applyInPandas(count, BLOBS))
+    counted = materialise(src.mapInArrow(trimmed(vocabulary), BLOBS).groupBy("shard").applyInPandas(count, BLOBS))
     # one row for each shard
     totals = [(r["shard"], *struct.unpack("<qqq", bytes(r["blob"]))) for r in counted.where(F.col("kind") == TOTALS).select("shard", "blob").collect()]
     n_all, v_all = sum(t[1] for t in totals), sum(t[2] for t in totals)
@@ -389,7 +389,7 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
         doc_id = pd.Series(ids).astype("Int64").mask(valid == 0)
         return pd.DataFrame({"doc_id": doc_id, "held_out": held_ == 1, "n_tokens": n, "n_known": known, "train_tokens": n_all, "base_score": base, "score": total})
 
-    sent = src.mapInArrow(texts, BLOBS).unionByName(counted.where(F.col("kind") == WORDS))
+    sent = src.mapInArrow(trimmed(texts), BLOBS).unionByName(counted.where(F.col("kind") == WORDS))
     scored = sent.groupBy("chunk").applyInPandas(pairs, BLOBS).groupBy("shard").applyInPandas(look, BLOBS)
     return scored.groupBy("chunk").applyInPandas(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, powers, table
+from .common import materialise, mix64, powers, table, trimmed
 from .vectors import pack, unpack, valid_vectors
 
 #: Tables; width of a cell in units of the vectors' mean length; buckets visited in each table for each projection in its key.
@@ -182,7 +182,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, probes: int = PROBES) -
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*out)))))
 
     schema = "cell long, dim int, query boolean, ids binary, data binary, keys binary, rows binary"
-    both = pack(vectors).mapInArrow(index, schema).unionByName(pack(vectors, is_query).mapInArrow(ask, schema))
+    both = pack(vectors).mapInArrow(trimmed(index), schema).unionByName(pack(vectors, is_query).mapInArrow(trimmed(ask), schema))
     near = both.groupBy("cell", "dim").applyInPandas(look, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = near.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

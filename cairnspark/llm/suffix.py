@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE_INV, mix64, powers, prefix_hash, prepare, runs, slices, table, text_arrays
+from .common import BASE_INV, mix64, powers, prefix_hash, prepare, runs, slices, table, text_arrays, trimmed
 
 #: Bytes that an anchor's seed covers.
 SEED = 64
@@ -312,11 +312,11 @@ def covers(rows: DataFrame, length: int) -> DataFrame:
         if spans:
             yield rows_of(spans)
 
-    one = rows.select("doc", "th", "text").mapInArrow(seeds, "seed long, doc long, th long, many boolean")
-    again = one.repartition("seed").sortWithinPartitions("seed").mapInArrow(repeated, "seed long, doc long, th long")
+    one = rows.select("doc", "th", "text").mapInArrow(trimmed(seeds), "seed long, doc long, th long, many boolean")
+    again = one.repartition("seed").sortWithinPartitions("seed").mapInArrow(trimmed(repeated), "seed long, doc long, th long")
     wanted = again.groupBy("doc", "th").agg(F.collect_list("seed").alias("wanted"))  # no more than a document's own anchors
-    found = rows.select("doc", "th", "text", "doc_id").join(wanted.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "wanted").mapInArrow(contexts, "seed long, lead long, text binary, docs array<long>, hashes array<long>, starts array<long>")
-    spans = found.repartition("seed").mapInArrow(index, "doc long, th long, s long, e long")
+    found = rows.select("doc", "th", "text", "doc_id").join(wanted.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "wanted").mapInArrow(trimmed(contexts), "seed long, lead long, text binary, docs array<long>, hashes array<long>, starts array<long>")
+    spans = found.repartition("seed").mapInArrow(trimmed(index), "doc long, th long, s long, e long")
     return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
@@ -371,7 +371,7 @@ def cut_repeats(docs: DataFrame, length: int, carry: list[str]) -> DataFrame:
 
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
     found = rows.join(covers(keyed(docs), length).hint("merge"), ["doc", "th"], "left")
-    return found.select("doc_id", "text", "spans", *(f.name for f in fields)).mapInArrow(run, f"doc_id long, text string, n_removed long{extra}")
+    return found.select("doc_id", "text", "spans", *(f.name for f in fields)).mapInArrow(trimmed(run), f"doc_id long, text string, n_removed long{extra}")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -389,7 +389,7 @@ def digest(found: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, trimmed
 
 BLOCK_SCHEMA = "dim int, first_id long, n int, ids binary, data binary"
 
@@ -50,7 +50,7 @@ def pack(vectors: DataFrame, keep: Column | None = None) -> DataFrame:
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["dim", "first_id", "n", "ids", "data"])
 
-    return src.select("id", "vector").mapInArrow(run, BLOCK_SCHEMA)
+    return src.select("id", "vector").mapInArrow(trimmed(run), BLOCK_SCHEMA)
 
 
 def unpack(ids, data, dim: int) -> tuple[np.ndarray, np.ndarray]:
