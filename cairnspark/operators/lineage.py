@@ -1,7 +1,7 @@
 """Inheritance along parent-child edges of any depth, by pointer doubling.
 
 Each round, an entity without value takes its pointer's value or, if that has none, its pointer's pointer: after r rounds it has seen 2^r
-ancestors, so ``max_depth`` generations need log2(max_depth) joins and no driver loop waits for a result. Entities on a cycle
+ancestors, so ``max_depth`` generations need log2(max_depth) joins, each written once to the shared folder. Entities on a cycle
 without value stay without.
 """
 
@@ -12,6 +12,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stable import stable
+
 
 def inherit(values: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
     """(id, indicator, value, status): values as observed, or inherited from the nearest ancestor that has one.
@@ -29,10 +31,11 @@ def inherit(values: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFra
     for _ in range(max(1, math.ceil(math.log2(max_depth + 1)))):
         at = cur.select(F.col("id").alias("up"), "indicator", F.col("found").alias("up_found"), F.col("up").alias("up_up"))
         open_ = F.col("found").isNull()
-        cur = cur.join(at, ["up", "indicator"], "left").select(
+        nxt = cur.join(at, ["up", "indicator"], "left").select(
             "id", "indicator", "value", "parent", "own",
             F.coalesce("found", "up_found").alias("found"),
             F.when(open_ & F.col("up_found").isNull(), F.col("up_up")).otherwise(F.col("up")).alias("up"),
         )
+        cur = stable(nxt)  # two readers of each round would double the plan with every round
     status = F.when(F.col("value").isNotNull(), "OBSERVED").when(F.col("found").isNotNull(), F.concat(F.lit("INHERITED_FROM_"), F.col("parent").cast("string"))).otherwise("MISSING")
     return cur.where("own").select("id", "indicator", F.col("found").alias("value"), status.alias("status"))

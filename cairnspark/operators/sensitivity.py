@@ -45,11 +45,23 @@ def draws_frame(spark: SparkSession, draws: list[tuple[int, str, float]]) -> Dat
 
 
 def draw_scores(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str) -> DataFrame:
-    """(draw, id, score) of every draw; an entity without any driver pillar has none."""
-    damp = pillars.where(F.col("pillar") == dampener).groupBy("id").agg(F.max("score").alias("damp"))
-    s = pillars.where((F.col("pillar") != dampener) & F.col("score").isNotNull()).join(F.broadcast(draws), "pillar")
-    v = s.groupBy("draw", "id").agg(F.sum(F.col("weight") * F.col("score")).alias("driver"))
-    return v.join(damp, "id", "left").select("draw", "id", (F.col("driver") - lam * F.coalesce("damp", F.lit(0.0))).alias("score"))
+    """(draw, id, score) of every draw; an entity without any driver pillar has none.
+
+    Pillar scores are laid side by side once; each draw is then an expression over one row, so nothing is summed across rows.
+    draws: (draw, pillar, weight), the driver's own small table.
+    """
+    weight: dict[int, dict[str, float]] = {}
+    for d, p, w in draws.collect():
+        weight.setdefault(d, {})[p] = w
+    names = sorted({p for w in weight.values() for p in w} - {dampener})
+    table = pillars.sparkSession.createDataFrame([(d, [w.get(p, 0.0) for p in names]) for d, w in weight.items()], "draw int, w array<double>")
+    wide = pillars.groupBy("id").pivot("pillar", [*names, dampener]).agg(F.first("score"))
+    present = F.lit(False)
+    for p in names:
+        present = present | F.col(f"`{p}`").isNotNull()
+    score = sum((F.coalesce(F.col(f"`{p}`") * F.col("w")[k], F.lit(0.0)) for k, p in enumerate(names)), F.lit(0.0))
+    x = wide.where(present).crossJoin(F.broadcast(table))
+    return x.select("draw", "id", (score - lam * F.coalesce(F.col(f"`{dampener}`"), F.lit(0.0))).alias("score"))
 
 
 def draw_ranks(scores: DataFrame, digits: int = 9) -> DataFrame:
