@@ -9,6 +9,10 @@ distances rank it.
 Every vector is indexed in every table. Index rows are sharded by bucket, and every bucket is dealt over ``splits`` parts
 (more, the larger the table), so a bucket that holds a third of all vectors is split. A query
 for which the buckets hold fewer than k vectors is searched again exactly.
+
+More projections in a key cost recall unless the table's neighbours are close, so their number is not told by the table's size alone:
+a sample of the queries is searched exactly, and the longest key is taken whose visited buckets hold the sample's true
+neighbours often enough. If no key does, all queries are searched exactly.
 """
 
 from __future__ import annotations
@@ -27,12 +31,14 @@ from .vectors import pack, unpack, valid_vectors
 
 #: Tables; width of a cell in units of the vectors' mean length; buckets visited in each table for each projection in its key.
 TABLES, WIDTH, PROBES = 12, 2.0, 100
+#: Recall that the sample must show, queries in it, and standard errors it must show it by.
+RECALL, SAMPLE, ERRORS = 0.9, 128, 3
 #: Vectors of one bucket that a task may hold for each split.
 SPLIT_ROWS = 100_000
 
 
 def projections(n: int) -> int:
-    """How many projections make a bucket: enough that one holds about 16 of n evenly spread vectors."""
+    """The most projections that make a bucket: enough that one holds about 16 of n evenly spread vectors."""
     return max(2, int(np.ceil(np.log2(max(2.0, n / 16)))))
 
 
@@ -90,6 +96,36 @@ def probe_keys(h: Hasher, x: np.ndarray, count: int) -> np.ndarray:
     return mix64(out)
 
 
+def sampled_recall(pairs: pd.DataFrame, m: int, spread: float, count: int) -> np.ndarray:
+    """Share of each query's neighbours that stand in a bucket it visits. pairs: (query_id, q, x), vectors of a query and of one true neighbour."""
+    hit = np.zeros(len(pairs))
+    for dim, at in pairs.groupby(pairs["q"].str.len()).indices.items():
+        h = Hasher(int(dim), m, spread)
+        ids, first, of = np.unique(pairs["query_id"].to_numpy()[at], return_index=True, return_inverse=True)
+        asked = np.sort(probe_keys(h, np.stack(pairs["q"].to_numpy()[at[first]]), count), axis=2)
+        held = h.key(np.floor(h.project(np.stack(pairs["x"].to_numpy()[at]))))
+        for n, (i, row) in enumerate(zip(at, of)):
+            spot = [min(int(np.searchsorted(asked[row, t], held[n, t])), asked.shape[2] - 1) for t in range(TABLES)]
+            hit[i] = (asked[row, np.arange(TABLES), spot] == held[n]).any()
+    return pd.Series(hit).groupby(pairs["query_id"].to_numpy()).mean().to_numpy()
+
+
+def calibrated(vectors: DataFrame, is_query: Column, k: int, n: int, nq: int, spread: float, probes: int) -> int:
+    """The most projections, up to projections(n), with which a sample of the queries shows RECALL; 0 if none does."""
+    sample = materialise(vectors.where(is_query).orderBy(F.xxhash64("id"), "id").limit(SAMPLE))
+    near = materialise(exact_nearest(vectors, sample, k, n).select("query_id", F.col("vec_id").alias("id")))
+    found = vectors.join(F.broadcast(near), "id").select("query_id", F.col("vector").alias("x"))
+    pairs = found.join(F.broadcast(sample.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))), "query_id").toPandas()
+    if not len(pairs):
+        return 0
+    for m in range(projections(n), 0, -1):
+        share = sampled_recall(pairs, m, spread, probes * m)
+        # a sample of all queries has no error
+        if share.mean() - ERRORS * share.std() * np.sqrt((1 - min(1.0, len(share) / nq)) / len(share)) >= RECALL:
+            return m
+    return 0
+
+
 def search(vectors: DataFrame, is_query: Column, k: int, probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by Euclidean distance, ties to the smaller id.
 
@@ -101,9 +137,11 @@ def search(vectors: DataFrame, is_query: Column, k: int, probes: int = PROBES) -
     n, nq, spread = vectors.agg(F.count("*"), F.count_if(is_query), F.avg(norm)).first()
     if not nq:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    m, splits = projections(n), max(1, -(-n // SPLIT_ROWS))
-    shards, visits = 2 * TABLES, probes * m
     spread = float(spread or 1.0) or 1.0
+    m, splits = calibrated(vectors, is_query, k, n, nq, spread, probes), max(1, -(-n // SPLIT_ROWS))
+    if not m:
+        return exact_nearest(vectors, vectors.where(is_query), k, n)
+    shards, visits = 2 * TABLES, probes * m
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +165,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, probes: int = PROBES) -
                 all_ids, all_x = unpack([ids], [data], dim)
                 h = Hasher(dim, m, spread)
                 for a in range(0, len(all_ids), 100):
-                    vid, x = all_ids[a : a + 200], all_x[a : a + 200]
+                    vid, x = all_ids[a : a + 100], all_x[a : a + 100]
                     keys = probe_keys(h, x, visits) ^ h.salt[None, :, None]
                     shard = (keys % np.uint64(shards)).astype(np.int64)
                     out = []

@@ -211,6 +211,18 @@ def test_exact_way_for_queries_with_too_few_candidates(spark):
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [i for _, i in want]
 
 
+def test_recall_where_the_longest_key_loses_neighbours(spark):
+    """Too few probes for the longest key: the sample tells, and a shorter one is taken."""
+    x = np.random.default_rng(4).normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>")
+    got = {}
+    for r in lsh.search(v, F.col("id") % 30 == 0, 10, probes=4).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = [len(got[q] & set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist())) / 10 for q in range(0, 6000, 30)]
+    assert np.mean(recall) >= 0.9
+
+
 # --- op7 ---
 
 
