@@ -19,6 +19,14 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
 
 
+def _different(docs: DataFrame) -> DataFrame:
+    """One of all rows with equal doc_id and text. The rows are shuffled only if there are equal ones."""
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    if keyed.groupBy("doc_id", "_h").count().where("count > 1").isEmpty():
+        return docs
+    return keyed.dropDuplicates(["doc_id", "_h"]).drop("_h")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told: `und` texts go (null, or without a letter), and lang becomes the predicted language.
 
@@ -40,16 +48,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of documents linked by five-word shingles, similarity 0.8 or more."""
-    docs = _columns(docs)
+    """Keeps the document with the smallest id of each group of documents linked by five-word shingles, similarity 0.8 or more, and one of equal rows."""
+    docs = _different(_columns(docs))
     groups = jaccard.jaccard_join(docs, 5, 80, 100)
     gone = groups.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts what strings of PASSAGE_BYTES bytes that occur elsewhere cover; a document that loses all its words goes."""
-    cut = suffix.cut_repeats(_columns(docs), PASSAGE_BYTES, ["lang", "source", "n_chars"])
+    """Cuts what strings of PASSAGE_BYTES bytes that occur elsewhere cover, after equal rows are made one; a document that loses all its words goes."""
+    cut = suffix.cut_repeats(_different(_columns(docs)), PASSAGE_BYTES, ["lang", "source", "n_chars"])
     changed = F.col("n_removed") > 0
     left = ~changed | F.col("text").rlike(r"\S")
     return cut.where(left).select("doc_id", "text", "lang", "source", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))

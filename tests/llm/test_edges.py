@@ -111,3 +111,8 @@ def test_vectors(spark):
 def test_large_components_are_exact(spark):
     x = spark.createDataFrame([(0, [float(1 << 27)] * 4), (1, [float((1 << 27) + 1)] * 4)], "id long, vector array<double>")
     assert topk.exact_topk(x, F.col("id") == 0, 1).first().score == 4 * (1 << 27) * ((1 << 27) + 1)
+
+
+def test_equal_rows_keep_their_lines_once(docs):
+    got = sorted(r.text for r in line_dedup.dedup_lines(docs).collect() if r.doc_id == 7)
+    assert got == ["", "same row twice in the table"]

@@ -69,3 +69,12 @@ def test_columns(spark, planted):
 def test_empty(spark, planted, tmp_path):
     spark.read.parquet(f"{planted[0]}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_of_equal_rows_stays(spark, planted):
+    rnd = random.Random(5)
+    rows = [(1, words(rnd, 60) + "\n" + words(rnd, 30)), (None, words(rnd, 80)), (3, words(rnd, 70))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows[:2] * 3 + rows[2:]], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("line_dedup", "near_duplicates", "repeated_passages"):
+        got = dict(corpus_pipeline.STAGES)[name](spark, docs, planted[0]).collect()
+        assert sorted((r.text, r.doc_id) for r in got) == sorted((t, i) for i, t in rows), name
