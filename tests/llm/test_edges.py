@@ -116,3 +116,9 @@ def test_large_components_are_exact(spark):
 def test_equal_rows_keep_their_lines_once(docs):
     got = sorted(r.text for r in line_dedup.dedup_lines(docs).collect() if r.doc_id == 7)
     assert got == ["", "same row twice in the table"]
+
+
+def test_short_lines_are_deduplicated(spark):
+    rows = [(1, "and ornd\n\n漢字漢字漢字\none\n--"), (2, "And  ornd!\n\n漢字漢字漢字\nother\nOne\n--")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "\nother\n--"}
