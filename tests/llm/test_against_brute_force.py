@@ -183,6 +183,45 @@ def test_line_dedup(spark, texts):
         assert r.text == "\n".join(want)
 
 
+def edited(rnd, line, kind):
+    """line with some edits, of which the pair keeps an edit similarity of 0.8 or more; None if it does not."""
+    w = line.split(" ")
+    if kind == "one letter":
+        i = rnd.randrange(len(line))
+        new = line[:i] + rnd.choice("bcdfgq") + line[i + 1 :]
+    else:
+        for i in rnd.sample(range(len(w)), 1 if kind == "one word" else max(1, round(len(w) * float(kind)))):
+            w[i] = "".join(rnd.choice("abcdefghijklmnop") for _ in range(max(1, len(w[i]))))
+        new = " ".join(w)
+    return new if new != line and line_dedup.similar(line, new) else None
+
+
+def line_recall(texts, kind, low, high, count=300):
+    """Share of planted pairs that are candidates, by edit similarity alone."""
+    rnd = random.Random(f"{kind}{low}")
+    lines = sorted({n for t in texts for x in t.encode().split(b"\n") if low <= len((n := line_dedup.normal(x)).split(" ")) < high})
+    pairs = [(a, b) for a in rnd.choices(lines, k=count) if (b := edited(rnd, a, kind))]
+    raw = "\n".join(x for p in pairs for x in p).encode()
+    data = np.frombuffer(raw, np.uint8)
+    start, end, line, *_ = line_dedup.line_words(data, np.array([0, len(data)]))
+    chars, kinds = line_dedup.signatures(data, start, end, common.runs(line))
+    met = np.zeros(len(pairs), bool)
+    for k, close in zip(kinds, line_dedup.CLOSE):
+        if k is None:
+            continue
+        of, keys, s1, s2 = k
+        s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
+        a = np.flatnonzero((of[1:] == of[:-1] + 1) & (of[:-1] % 2 == 0))
+        met[of[a] // 2] |= (keys[a] == keys[a + 1]).any(axis=1) & line_dedup.near(s1, s2, chars[of].astype(np.int64), a, a + 1, close)
+    return met.mean()
+
+
+@pytest.mark.parametrize("kind", ["one word", "one letter", "0.05", "0.15"])
+@pytest.mark.parametrize("low,high", [(8, 15), (15, 30), (30, 60), (120, 400)])
+def test_edited_lines_are_candidates(texts, kind, low, high):
+    assert line_recall(texts.values(), kind, low, high) >= 0.9
+
+
 # --- op6 ---
 
 
