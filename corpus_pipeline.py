@@ -67,8 +67,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(_columns(docs), packing.default_path())
 
 
-#: Bytes of a passage that counts as repeated: about 40 words of the shortest kind, so one of over 50 words is always caught.
-PASSAGE_BYTES = 200
+#: Bytes of a passage that counts as repeated: 51 words of one letter and the spaces between, so one of over 50 words is always caught.
+PASSAGE_BYTES = 101
 
 STAGES = [
     ("language_id", identify_language),

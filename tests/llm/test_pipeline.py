@@ -78,3 +78,11 @@ def test_one_of_equal_rows_stays(spark, planted):
     for name in ("line_dedup", "near_duplicates", "repeated_passages"):
         got = dict(corpus_pipeline.STAGES)[name](spark, docs, planted[0]).collect()
         assert sorted((r.text, r.doc_id) for r in got) == sorted((t, i) for i, t in rows), name
+
+
+def test_a_passage_of_short_words(spark, planted):
+    rnd = random.Random(8)
+    passage = " ".join(rnd.choice("abcdefghij") + rnd.choice(["", "k"]) for _ in range(51))
+    rows = [(i, f"{words(rnd, 40)} {passage} {words(rnd, 40)}", "en", "s", 1) for i in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(passage) < 200 and all(passage not in r.text and len(r.text) > 300 for r in stage(spark, planted, "repeated_passages", docs).values())
