@@ -160,6 +160,24 @@ def test_edit_distance():
         assert slow(a, b) == line_dedup.edit_distance(a, b)
 
 
+def test_edit_distances_side_by_side(monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG_LINE", 350)
+    monkeypatch.setattr(line_dedup, "CELLS", 5000)
+    rnd = random.Random(4)
+    a, b = [], []
+    for _ in range(1500):
+        s = "".join(rnd.choice("abc漢é") for _ in range(rnd.choice([0, 1, 7, 63, 64, 65, 200, 400])))
+        share = rnd.random() / 2
+        a.append(s)
+        b.append("".join(c if rnd.random() > share else rnd.choice(["", "x", "ab"]) for c in s) if rnd.random() < 0.7 else "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 150))))
+    for part in (2, 5, 20):
+        most = np.array([max(len(s), len(t)) // part for s, t in zip(a, b)])
+        for s, t, k, d in zip(a, b, most, line_dedup.edit_distances(a, b, most)):
+            want = line_dedup.edit_distance(s, t)
+            assert d == want or d > k and want > k
+    assert len(line_dedup.edit_distances([], [], np.zeros(0, np.int64))) == 0
+
+
 def simhash(line):
     words = line.encode().split(b" ")
     words = [w for w in words if len(w) > line_dedup.SHORT] or words
