@@ -178,6 +178,30 @@ def test_edit_distances_side_by_side(monkeypatch):
     assert len(line_dedup.edit_distances([], [], np.zeros(0, np.int64))) == 0
 
 
+def test_alignment_costs_bound_edit_distances():
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 7))) for _ in range(60)]
+    a, b = [""], ["x y"]
+    for _ in range(800):
+        w = [rnd.choice(words) for _ in range(rnd.randint(0, 40))]
+        v = [x for y in w for x in rnd.choice([[y]] * 8 + [[], [rnd.choice(words)], [y, y]])]
+        a.append(" ".join(w))
+        b.append(" ".join(v))
+    cost = line_dedup.alignment_costs(a, b)
+    exact = np.array([line_dedup.edit_distance(s, t) for s, t in zip(a, b)])
+    assert (cost >= exact).all() and np.mean(cost <= 2 * exact + 12) > 0.8
+    assert line_dedup.alignment_costs(["a b c d"], ["a x c d"]).tolist() == [3]
+
+
+def test_simhash_of_long_runs():
+    rng = np.random.default_rng(1)
+    count = np.array([1, 3, 254, 255, 256, 700])
+    first = np.concatenate([[0], np.cumsum(count)])
+    code = rng.integers(0, 1 << 63, first[-1], dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, first[-1], dtype=np.uint64)
+    for got, i, j in zip(line_dedup.simhash(code, first), first[:-1], first[1:]):
+        assert int(got) == sum(1 << k for k in range(64) if 2 * int(((code[i:j] >> np.uint64(k)) & np.uint64(1)).sum()) > j - i)
+
+
 def simhash(line):
     words = line.encode().split(b" ")
     words = [w for w in words if len(w) > line_dedup.SHORT] or words
