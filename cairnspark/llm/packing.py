@@ -17,6 +17,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, table, trimmed
+from .common import materialise, prepare, runs, table, trimmed
 
 #: Words kept in a worker's cache; a full cache is emptied. It only saves time.
 CACHE_WORDS = 1_000_000
+#: Relative gap between a cover and the dual bound at which the LP counts as solved.
+GAP = 0.02
+#: Factor of a price for the share of a demand that is covered (its logarithm), value in tokens that may be lost to break ties, share of the best pattern's value
+#: below which a pattern is not used, share of what is left that a step may cover, and steps after each pricing.
+LEARN, LATE, TIES, NEARLY, STEP, SUBSTEPS = 0.004, 0.1, 2.0, 0.004, 0.3, 4
+#: Rounds between exact dual bounds.
+BOUND_EACH = 10
 #: Rows that one salted part of a length should hold.
 PART_ROWS = 20_000
 
@@ -155,55 +163,169 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: boo
 # --- the plan, on the driver, over the histogram ---
 
 
-def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The best unbounded knapsack of ``capacity``: (value, how often each length is in it)."""
-    best = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
+def price(values: np.ndarray, shift: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: (best value of each room; last length taken for it, 0 where one unit stays free).
+
+    values[l]: of a piece of length l, -inf where there is none; index 0 is not used. Near ties are broken by ``noise``, from another
+    place of it for every room, so that the patterns of one table differ.
+    """
+    best, take = np.zeros(len(values)), np.zeros(len(values), np.int64)
+    v = values[1:]
+    for c in range(1, len(values)):
+        got = best[:c][::-1] + v[:c]
+        k = int((got + noise[shift[c] : shift[c] + c]).argmax())
         best[c] = best[c - 1]
-        if m := upto[c]:
-            v = best[c - lengths[:m]] + values[:m]
-            k = int(v.argmax())
-            if v[k] > best[c]:
-                best[c], take[c] = v[k], k
-    counts, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if (k := take[c]) < 0:
-            c -= 1
-        else:
-            counts[k] += 1
-            c -= lengths[k]
-    return float(best[capacity]), counts
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 120, eps: float = 0.1) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used in an approximate solution of the covering configuration LP; no length is covered beyond its demand.
-
-    Multiplicative weights: prices begin a little more than proportional to the lengths, so that a sequence is worth most when it is full and
-    holds the pieces that are hardest to place. Each round the dearest pattern is used as far as the demand that is left allows,
-    and the prices of what it covered fall by a factor for the share covered; a covered length is worth nothing. A pattern that comes again adds to its use.
+        if got[k] > best[c] + 1e-15:
+            best[c], take[c] = got[k], k + 1
+    return best, take
+
+
+def filled(size: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pattern, index of a length, how often), in this order: pattern i holds size[i] and the best of what fits beside it. at: index of each length."""
+    n = len(size)
+    last = np.maximum.accumulate(np.where(take > 0, np.arange(len(take)), 0))
+    room = len(take) - 1 - size
+    live = np.arange(n)
+    keys = [live * n + live]
+    while len(live):
+        room[live] = last[room[live]]
+        live = live[room[live] > 0]
+        taken = take[room[live]]
+        keys.append(live * n + at[taken])
+        room[live] -= taken
+    key, times = np.unique(np.concatenate(keys), return_counts=True)
+    return key // n, key % n, times
+
+
+def lower_bound(size: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """(bound, prices) of the best of some dual solutions of the LP: lengths above capacity - a count whole, those below a count nothing."""
+    best = (0.0, size / capacity)
+    for a in {0, *(int(capacity * k) // 64 for k in range(1, 33))}:
+        y = np.where(size > capacity - a, 1.0, np.where(size >= a, size / capacity, 0.0))
+        best = max(best, (float((y * counts).sum()), y), key=lambda x: x[0])
+    return best
+
+
+@dataclass
+class Cover:
+    """An approximate solution of the configuration LP: pattern p is used ``times[p]`` times and holds each length in index[edge[p]:edge[p + 1]] as often as ``many`` says.
+
+    left: demand that no pattern covers, for which sequences of one length are counted. primal, dual: sequences of this solution, and the bound it
+    is near to.
+    """
+
+    index: np.ndarray
+    many: np.ndarray
+    edge: np.ndarray
+    times: np.ndarray
+    left: np.ndarray
+    primal: float
+    dual: float
+
+
+def solve(size: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> Cover:
+    """The covering LP over all patterns, by multiplicative weights, until primal <= (1 + gap) dual.
+
+    size: different ascending lengths below ``capacity``. Prices begin as the best dual solution known. A phase covers the whole demand; in it a length's
+    price falls by a factor for every share of its demand that is covered, and after it the prices of those that were covered late have risen for the next one.
+    Phases end when the gap is reached, or when three in a row have bettered neither side; the least cover is returned.
     """
-    demand = counts.astype(float)
-    left = demand.copy()
-    weight = (lengths / capacity) ** 1.1
-    used: dict[bytes, float] = {}
-    for _ in range(rounds):
-        value, a = price(lengths, np.where(left > 1e-9, weight, 0.0), capacity)
-        on = a > 0
-        if value <= 0:
+    rng = np.random.default_rng(7)
+    bound, prior = lower_bound(size, counts, capacity)
+    prior = np.maximum(prior, 1e-3 * size / capacity)  # what costs nothing is placed too
+    best, worse = None, 0
+    while worse < 3:
+        cover, late = phase(size, counts.astype(float), capacity, prior, bound, gap, rng)
+        better = best is None or cover.primal < best.primal * (1 - gap / 100) or cover.dual > bound * (1 + gap / 100)
+        worse, bound = 0 if better else worse + 1, max(bound, cover.dual)
+        if best is None or cover.primal < best.primal:
+            best = cover
+        if best.primal <= (1 + gap) * bound:
             break
-        step = float((left[on] / a[on]).min())
-        used[a.tobytes()] = used.get(a.tobytes(), 0.0) + step
-        left = np.maximum(0.0, left - a * step)
-        weight *= np.exp(-eps * a * step / demand)
-    return [(np.frombuffer(k, np.int64), x) for k, x in used.items()]
+        prior = prior * np.exp(LATE * (late - np.average(late, weights=size * counts)))
+    best.dual = bound
+    return best
+
 
+def phase(size: np.ndarray, demand: np.ndarray, capacity: int, prior: np.ndarray, bound: float, gap: float, rng) -> tuple[Cover, np.ndarray]:
+    """(cover, mean share of each length's demand that was not yet covered).
 
-def plan(lengths: list[int], counts: list[int], capacity: int, rounds: int = 120) -> list[tuple[int, list[tuple[int, int]]]]:
+    Each round prices all rooms at once; of each length the best pattern that holds it is used if it is worth nearly as much as the best of all, by
+    fractional steps: no step covers more than STEP of what is left of any length, the width of the step. Ends before all is covered if the gap is reached.
+    """
+    at = np.zeros(capacity + 1, np.int64)
+    at[size] = np.arange(len(size))
+    tokens, alone = size * demand, capacity // size
+    left, used, dual, late, rounds = demand.copy(), 0.0, bound, np.zeros(len(size)), 0
+    kept: list[tuple] = []
+    while True:
+        primal = used + float((left / alone).sum())
+        if primal <= (1 + gap) * dual or float((size * left).sum()) <= gap / 4 * tokens.sum():
+            break
+        share = left / demand
+        late, rounds = late + share, rounds + 1
+        open_ = share > 1e-6
+        y = prior * np.exp(LEARN * (share - np.average(share, weights=tokens)))
+        values = np.full(capacity + 1, -np.inf)
+        values[size[open_]] = y[open_]
+        _, take = price(values, rng.integers(0, capacity, capacity + 1), rng.random(2 * capacity) * (TIES / capacity))
+        if rounds % BOUND_EACH == 1:  # ties broken by noise lose value: a bound needs the exact best
+            exact, _ = price(values, np.zeros(capacity + 1, np.int64), np.zeros(capacity))
+            dual = max(dual, float((y * demand)[open_].sum()) / exact[capacity])
+        pattern, index, many = filled(size, at, take)
+        value = np.bincount(pattern, weights=y[index] * many, minlength=len(size))
+        good = open_ & (value >= (1 - NEARLY) * value[open_].max())
+        inside = good[pattern]
+        pattern, index, many = pattern[inside], index[inside], many[inside]
+        own = np.zeros(len(size))
+        own[pattern[pattern == index]] = many[pattern == index]
+        total = np.zeros(len(size))
+        for _ in range(SUBSTEPS):
+            width = STEP * left
+            step = np.where(good, width / np.maximum(own, 1), 0.0)
+            asked = np.bincount(index, weights=many * step[pattern], minlength=len(size))
+            slow = np.minimum(1.0, width / np.maximum(asked, 1e-300))
+            rate = np.ones(len(size))
+            np.minimum.at(rate, pattern, slow[index])
+            step *= rate
+            left = np.maximum(0.0, left - np.bincount(index, weights=many * step[pattern], minlength=len(size)))
+            total += step
+        some = total[pattern] > 1e-9
+        used += float(total[total > 1e-9].sum())
+        pattern = pattern[some]
+        kept.append((index[some], many[some], np.diff(runs(pattern)), total[pattern[runs(pattern)[:-1]]]))
+    none = np.zeros(0, np.int64)
+    index, many, lens, times = (np.concatenate(c) for c in zip(*kept)) if kept else (none, none, none, np.zeros(0))
+    return Cover(index, many, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64), times, left, primal, dual), late / max(1, rounds)
+
+
+def rounded(cover: Cover, size: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], np.ndarray]:
+    """(sequences as of ``plan``, counts that are left): every pattern of the cover by its whole part, then once each, most used first, while its pieces last."""
+    left = counts.astype(np.int64)
+    edge = cover.edge
+    order = np.argsort(-cover.times, kind="stable")
+    out: list[tuple[int, list[tuple[int, int]]]] = []
+    for whole in (True, False):
+        todo = order[cover.times[order] >= 1] if whole else order
+        for a in range(0, len(todo), 4096):
+            part = todo[a : a + 4096]
+            lens = np.diff(edge)[part]
+            ends = np.cumsum(lens)
+            inside = np.repeat(edge[part] - ends + lens, lens) + np.arange(ends[-1])
+            can = np.minimum.reduceat((left[cover.index] >= cover.many)[inside], ends - lens)
+            for p in part[can].tolist():
+                i, k = cover.index[edge[p] : edge[p + 1]], cover.many[edge[p] : edge[p + 1]]
+                n = min(int(cover.times[p]) if whole else 1, int((left[i] // k).min()))
+                if n > 0:
+                    left[i] -= n * k
+                    out.append((n, list(zip(size[i].tolist(), k.tolist()))))
+    return out, left
+
+
+def plan(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """[(number of sequences, [(length, how many), ...]), ...] that together place every piece of the histogram.
 
-    Uses are rounded down, the fullest patterns first; a pattern that leaves room for the smallest piece is left to the best fit, which places what remains.
+    The LP's patterns come first, rounded; best fit places what is left.
     """
     order = np.argsort(lengths)
     size, left = np.array(lengths, np.int64)[order], np.array(counts, np.int64)[order]
@@ -214,17 +336,14 @@ def plan(lengths: list[int], counts: list[int], capacity: int, rounds: int = 120
         size, left = size[~whole], left[~whole]
     if not len(size):
         return out
-    for a, x in sorted(solve(size, left, capacity, rounds), key=lambda p: (-int((p[0] * size).sum()), -p[1])):
-        on = a > 0
-        n = min(int(x + 1e-9), int((left[on] // a[on]).min()))
-        if n > 0 and capacity - int((a * size).sum()) < min(int(size[0]), 1 + capacity // 256):
-            left -= n * a
-            out.append((n, [(int(s), int(k)) for s, k in zip(size[on], a[on])]))
-    return out + best_fit(size, left, capacity)
+    bins, left = rounded(solve(size, left, capacity), size, left, capacity)
+    return out + best_fit(size, left, capacity, bins)
 
 
-def best_fit(size: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Best fit decreasing over a histogram; equal sequences are handled together, so the work follows the histogram, not the pieces."""
+def best_fit(size: np.ndarray, left: np.ndarray, capacity: int, begun: list[tuple[int, list[tuple[int, int]]]] = ()) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Best fit decreasing over a histogram, into what room ``begun`` sequences have too; equal sequences are handled together, so the work follows the
+    histogram, not the pieces. Returns all sequences.
+    """
     # open sequences: room -> list of [how many, contents]
     rooms: dict[int, list[list]] = {}
     keys: list[int] = []
@@ -235,6 +354,8 @@ def best_fit(size: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[in
             insort(keys, room)
         rooms[room].append([n, what])
 
+    for n, what in begun:
+        add(capacity - sum(s * k for s, k in what), n, tuple(what))
     for s, n in zip(size[::-1].tolist(), left[::-1].tolist()):
         while n > 0:
             at = bisect_left(keys, s)
@@ -274,7 +395,7 @@ def slots(bins: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[np.n
     return {s: tuple(np.array(c, np.int64) for c in zip(*rows)) for s, rows in by.items()}
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, rounds: int = 120) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset), one row for each piece.
 
     docs: doc_id, text; other columns are ignored. A null or empty text is a document of one id (end_id). Repeated rows are packed
@@ -285,13 +406,13 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with
     found = cut.groupBy("length").count().collect()  # at most ``capacity`` rows
     lengths, counts = [r[0] for r in found], [r[1] for r in found]
     parts = max(1, -(-sum(counts) // PART_ROWS))
-    runs = slots(plan(lengths, counts, capacity, rounds))
+    places = slots(plan(lengths, counts, capacity))
     salted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     sizes = salted.groupBy("length", "part").count()
     before = sizes.select("length", "part", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1
     ranked = salted.withColumn("rank", rank).join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    shared = docs.sparkSession.sparkContext.broadcast(runs)  # as large as the plan, which is bounded by the histogram
+    shared = docs.sparkSession.sparkContext.broadcast(places)  # as large as the plan, which is bounded by the histogram
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

@@ -471,13 +471,30 @@ def test_plan_places_every_piece():
         assert sum(n for n, _ in bins) <= 1.005 * sum(n for n, _ in packing.best_fit(lengths, counts, 500)) + 1
 
 
-def test_configuration_lp_covers_nothing_beyond_its_demand():
-    lengths, counts = np.array([100, 200, 300]), np.array([1000, 400, 500])
-    patterns = packing.solve(lengths, counts, 500)
-    used = sum(a * x for a, x in patterns)
-    assert (used <= counts * 1.000001).all() and all((a * lengths).sum() <= 500 for a, _ in patterns)
-    # near the optimum: (100 + 200 + ...) fills sequences without waste
-    assert sum(x for _, x in patterns) <= float((lengths * counts).sum()) / 500 * 1.05
+@pytest.mark.parametrize("most", [4, 60, 3000])
+def test_configuration_lp_is_near_its_dual_bound_and_places_most_tokens(most):
+    rng = np.random.default_rng(most)
+    size = np.unique(np.minimum(1023, rng.lognormal(5, 1, 600).astype(int) + 1))
+    counts = rng.integers(1, most, len(size))
+    cover = packing.solve(size, counts, 1024)
+    used = np.bincount(cover.index, weights=cover.many * np.repeat(cover.times, np.diff(cover.edge)), minlength=len(size))
+    assert np.allclose(used + cover.left, counts) and (cover.left >= 0).all()
+    assert all((size[cover.index[a:b]] * cover.many[a:b]).sum() <= 1024 for a, b in zip(cover.edge[:-1], cover.edge[1:]))
+    assert cover.primal <= (1 + packing.GAP) * cover.dual
+    assert cover.dual <= sum(n for n, _ in packing.best_fit(size, counts, 1024))  # a bound of every packing
+    bins, left = packing.rounded(cover, size, counts, 1024)
+    assert (left >= 0).all() and sum(n * s * k for n, what in bins for s, k in what) == (size * (counts - left)).sum()
+    if most > 4:  # patterns are used in part only where pieces are few
+        assert (size * left).sum() <= 0.1 * (size * counts).sum()
+    assert sum(n for n, _ in packing.plan(size.tolist(), counts.tolist(), 1024)) <= 1.002 * cover.dual + 1
+
+
+def test_configuration_lp_without_full_patterns():
+    """Thirds and halves of a sequence leave room in every pattern; the bound is not that of the tokens."""
+    for size, counts in (([300], [500]), ([100, 300], [10, 500]), ([100, 200, 300], [1000, 400, 500]), ([7, 490], [10**6, 10**6]), ([1], [10**7])):
+        cover = packing.solve(np.array(size), np.array(counts), 500)
+        n = sum(n for n, _ in packing.plan(size, counts, 500))
+        assert cover.dual <= n * 1.0000001 and n <= 1.03 * cover.dual + 1
 
 
 # --- op3 ---
