@@ -34,6 +34,8 @@ GAP = 0.02
 #: Factor of a price for the share of a demand that is covered (its logarithm), value in tokens that may be lost to break ties, share of the best pattern's value
 #: below which a pattern is not used, share of what is left that a step may cover, and steps after each pricing.
 LEARN, LATE, TIES, NEARLY, STEP, SUBSTEPS = 0.004, 0.1, 2.0, 0.004, 0.3, 4
+#: Share of the tokens that is left to best fit.
+RESIDUE = 0.05
 #: Rounds between exact dual bounds.
 BOUND_EACH = 10
 #: Rows that one salted part of a length should hold.
@@ -322,6 +324,20 @@ def rounded(cover: Cover, size: np.ndarray, counts: np.ndarray, capacity: int) -
     return out, left
 
 
+def lp_bins(size: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], np.ndarray]:
+    """As of ``rounded``; what rounding leaves is solved again until less than RESIDUE of the tokens are left, or no less than half."""
+    bins, left, total = [], counts, float((size * counts).sum())
+    while (before := float((size * left).sum())) > RESIDUE * total:
+        on = left > 0
+        more, rest = rounded(solve(size[on], left[on], capacity), size[on], left[on], capacity)
+        left = left.copy()
+        left[on] = rest
+        bins += more
+        if float((size * left).sum()) > before / 2:
+            break
+    return bins, left
+
+
 def plan(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """[(number of sequences, [(length, how many), ...]), ...] that together place every piece of the histogram.
 
@@ -336,7 +352,7 @@ def plan(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[int
         size, left = size[~whole], left[~whole]
     if not len(size):
         return out
-    bins, left = rounded(solve(size, left, capacity), size, left, capacity)
+    bins, left = lp_bins(size, left, capacity)
     return out + best_fit(size, left, capacity, bins)
 
 

@@ -482,11 +482,10 @@ def test_configuration_lp_is_near_its_dual_bound_and_places_most_tokens(most):
     assert all((size[cover.index[a:b]] * cover.many[a:b]).sum() <= 1024 for a, b in zip(cover.edge[:-1], cover.edge[1:]))
     assert cover.primal <= (1 + packing.GAP) * cover.dual
     assert cover.dual <= sum(n for n, _ in packing.best_fit(size, counts, 1024))  # a bound of every packing
-    bins, left = packing.rounded(cover, size, counts, 1024)
+    bins, left = packing.lp_bins(size, counts, 1024)
     assert (left >= 0).all() and sum(n * s * k for n, what in bins for s, k in what) == (size * (counts - left)).sum()
-    if most > 4:  # patterns are used in part only where pieces are few
-        assert (size * left).sum() <= 0.1 * (size * counts).sum()
-    assert sum(n for n, _ in packing.plan(size.tolist(), counts.tolist(), 1024)) <= 1.002 * cover.dual + 1
+    assert (size * left).sum() <= 0.1 * (size * counts).sum()
+    assert sum(n for n, _ in packing.plan(size.tolist(), counts.tolist(), 1024)) <= (1 + packing.GAP) * cover.dual + 1
 
 
 def test_configuration_lp_without_full_patterns():
