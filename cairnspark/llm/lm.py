@@ -200,7 +200,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _chunks(batches: Iterator[pa.RecordBatch]):
     """(key, doc ids, held, learned, raw, offsets) of runs of rows with CHUNK_BYTES of text.
 
-    The key says which chunk of which partition it is, and has a digest of what is in it: both passes over a table must cut it alike.
+    The key says which chunk of which partition it is, and has a digest of what is in it.
     """
     waiting, size, number = [], 0, 0
 
@@ -225,6 +225,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]):
         yield close()
 
 
+def opened(blob: bytes) -> list[np.ndarray]:
+    """(valid, ids, held, learned, offsets, bytes) of a chunk's texts."""
+    size = struct.unpack_from("<q", blob)[0]
+    return [*unsqueeze(blob[8 : 8 + size]), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + size :]), np.uint8)]
+
+
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
@@ -255,13 +261,21 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
     shards = SHARDS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.coalesce(learned, F.lit(False)).alias("learned"), "text")
 
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(3)
+        for key, ids, held_, learned_, raw, off in _chunks(batches):
+            head = squeeze(ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy(), held_.astype(np.uint8), learned_.astype(np.uint8), off)
+            yield _rows([(key, -1, TEXTS, struct.pack("<q", len(head)) + head + z.compress(raw.tobytes()))])
+
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, _, learned_, raw, off in _chunks(batches):
-            h, at = tokens(raw, off)
-            word, inverse = np.unique(h, return_inverse=True)
-            n = np.bincount(inverse, weights=np.repeat(learned_, np.diff(at)), minlength=len(word)).astype(np.uint32)
-            cut = np.searchsorted(_shard(word, shards), np.arange(shards + 1))
-            yield _rows([(key, s, WORDS, squeeze(word[a:b], n[a:b])) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a])
+        for batch in batches:
+            for key, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                _, _, _, learned_, off, raw = opened(blob)
+                h, at = tokens(raw, off)
+                word, inverse = np.unique(h, return_inverse=True)
+                n = np.bincount(inverse, weights=np.repeat(learned_, np.diff(at)), minlength=len(word)).astype(np.uint32)
+                cut = np.searchsorted(_shard(word, shards), np.arange(shards + 1))
+                yield _rows([(key, s, WORDS, squeeze(word[a:b], n[a:b])) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
@@ -273,7 +287,9 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
         out = [(k, shard, WORDS, squeeze(inverse[a:b].astype(np.uint32), n[inverse[a:b]])) for k, a, b in zip(pdf["chunk"], at[:-1], at[1:])]
         return _frame([*out, (b"", shard, TOTALS, struct.pack("<qqq", int(n.sum()), int((n > 0).sum()), len(word)))])
 
-    counted = materialise(src.mapInArrow(trimmed(vocabulary), BLOBS).groupBy("shard").applyInPandas(count, BLOBS))
+    # chunks are cut once: a partition that is read again may have its rows in another order
+    chunks = materialise(src.mapInArrow(trimmed(texts), BLOBS))
+    counted = materialise(chunks.mapInArrow(trimmed(vocabulary), BLOBS).groupBy("shard").applyInPandas(count, BLOBS))
     # one row for each shard
     totals = [(r["shard"], *struct.unpack("<qqq", bytes(r["blob"]))) for r in counted.where(F.col("kind") == TOTALS).select("shard", "blob").collect()]
     n_all, v_all = sum(t[1] for t in totals), sum(t[2] for t in totals)
@@ -282,31 +298,20 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
         first_id[s + 1] = n
     first_id = np.cumsum(first_id)
     begin_id = int(first_id[-1])
+    if begin_id >= 1 << 32 or n_all >= 1 << 53:
+        raise OverflowError("more different words or more tokens than the model's numbers hold")
     floor = n_all + 0.1 * (v_all + 1)
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(3)
-        for key, ids, held_, learned_, raw, off in _chunks(batches):
-            head = squeeze(ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy(), held_.astype(np.uint8), learned_.astype(np.uint8), off)
-            yield _rows([(key, -1, TEXTS, struct.pack("<q", len(head)) + head + z.compress(raw.tobytes()))])
-
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         key = pdf["chunk"].iloc[0]
         text = pdf[pdf["kind"] == TEXTS]
-        if not len(text):
-            raise RuntimeError("a chunk was cut differently when its words were counted")
         back = pdf[pdf["kind"] == WORDS].sort_values("shard")
         got = [unsqueeze(b) for b in back["blob"]]
         word_id = np.concatenate([g[0] + first_id[s] for g, s in zip(got, back["shard"])]) if got else np.zeros(0, np.int64)
         c = np.concatenate([g[1] for g in got]).astype(np.float64)
-        blob = text["blob"].iloc[0]
-        size = struct.unpack_from("<q", blob)[0]
-        valid, ids, held_, learned_, off = unsqueeze(blob[8 : 8 + size])
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + size :]), np.uint8)
+        valid, ids, held_, learned_, off, raw = opened(text["blob"].iloc[0])
         h, at = tokens(raw, off)
         word, inverse = np.unique(h, return_inverse=True)
-        if len(word) != len(c):
-            raise RuntimeError("a chunk was cut differently when its words were counted")
         log_p = np.log10((c + 0.1) / floor)
         doc = np.repeat(np.arange(len(off) - 1), np.diff(at))
         base = np.bincount(doc, weights=log_p[inverse], minlength=len(off) - 1)
@@ -340,7 +345,7 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
             if b > a:
                 x, y = p_context[a:b], p_follower[a:b]
                 columns = (
-                    np.diff(wid[x], prepend=0), cc[x].astype(np.float32), wid[y].astype(np.uint32), code[y], taught[a:b].astype(np.uint32),
+                    np.diff(wid[x], prepend=0), cc[x], wid[y].astype(np.uint32), code[y], taught[a:b].astype(np.uint32),
                     per[a:b].astype(np.uint32), doc[entry[e:f]].astype(np.uint32), times[e:f].astype(np.uint32), np.array([len(off) - 1], np.int64),
                 )
                 out.append((key, s, PAIRS, squeeze(*columns)))
@@ -367,7 +372,8 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
         trie = Trie(x[seen], y[seen], np.round(-np.log10(p) * STEPS).clip(0, 65535).astype(np.uint16))
         # look every different bigram up
         found = trie.find(x, y)
-        log_p = np.log10(1 - LAMBDA) - code[at] / STEPS
+        # a context that was never seen leaves all weight to the unigram
+        log_p = np.where(c_context[at] > 0, np.log10(1 - LAMBDA), 0.0) - code[at] / STEPS
         hit = found >= 0
         log_p[hit] = trie.codes[found[hit]] / -STEPS
         trie.close()
@@ -389,7 +395,7 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
         doc_id = pd.Series(ids).astype("Int64").mask(valid == 0)
         return pd.DataFrame({"doc_id": doc_id, "held_out": held_ == 1, "n_tokens": n, "n_known": known, "train_tokens": n_all, "base_score": base, "score": total})
 
-    sent = src.mapInArrow(trimmed(texts), BLOBS).unionByName(counted.where(F.col("kind") == WORDS))
+    sent = chunks.unionByName(counted.where(F.col("kind") == WORDS))
     scored = sent.groupBy("chunk").applyInPandas(pairs, BLOBS).groupBy("shard").applyInPandas(look, BLOBS)
     return scored.groupBy("chunk").applyInPandas(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -382,18 +382,34 @@ def test_lm_score(spark, texts):
     n, v = sum(uni.values()), len(uni)
     of = {**uni, b"<s>": len(train)}
     p = lambda w: (uni.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))
+    given = lambda w, a: lm.LAMBDA * bi.get((a, w), 0) / of[a] + (1 - lm.LAMBDA) * p(w) if of.get(a) else p(w)
+    for context in (b"<s>", next(iter(uni)), b"never seen"):  # one unknown word beside the known ones
+        assert math.isclose(sum(given(w, context) for w in [*uni, b"unknown"]), 1.0, rel_tol=1e-9)
     held = []
     for r in run(spark, "op8_lm_score"):
         ws = toks[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(w in uni for w in ws), n, r.doc_id not in train)
         assert math.isclose(r.base_score, sum(math.log10(p(w)) for w in ws), rel_tol=1e-9)
-        want = sum(math.log10(lm.LAMBDA * bi.get((a, w), 0) / max(1, of.get(a, 0)) + (1 - lm.LAMBDA) * p(w)) for a, w in zip([b"<s>", *ws], ws))
+        want = sum(math.log10(given(w, a)) for a, w in zip([b"<s>", *ws], ws))
         assert abs(r.score - want) <= 3e-4 * len(ws)
         if r.held_out:
             held.append((r.score, r.base_score))
     assert sum(a for a, _ in held) > sum(b for _, b in held)
 
 
+def test_lm_score_of_an_unseen_context_and_of_rows_in_any_order(spark):
+    rows = [(1, "a b", True), (2, "a b", True), (3, "zzz a", False)]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), ~F.col("train"), F.col("train")).collect()}
+    p = lambda c: (c + 0.1) / (6 + 0.1 * 4)
+    mix = lambda c, of, w: lm.LAMBDA * c / of + (1 - lm.LAMBDA) * w
+    want = math.log10(mix(0, 2, p(0))) + math.log10(p(2)) + math.log10(mix(0, 2, p(2)))  # zzz at the beginning; a after zzz; the end after a
+    assert abs(got[3].score - want) < 1e-3
+    docs = common.table(spark, FOLDER, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 10
+    key = lambda df: {(r.doc_id, r.n_tokens, r.n_known, round(r.score, 2)) for r in df.collect()}
+    assert key(lm.score(docs, fold == 0, fold != 0)) == key(lm.score(docs.repartition(5, F.rand(3)), fold == 0, fold != 0))
+
+
 # --- op9 ---
 
 
