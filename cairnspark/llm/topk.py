@@ -1,10 +1,10 @@
 """Exact top-k inner products without random access.
 
 Every dimension of a slab of candidates is a sorted list, read from its high end by queries with a positive weight and from its
-low end by those with a negative one. After a depth is read, a candidate's score lies between a lower bound (what
-was read, and the far end of each list for the rest) and an upper bound (what was read, and the list's frontier for the
-rest). Candidates whose upper bound is below the k-th best lower bound are outsiders; reading goes deeper while many others are
-left, and these get their final scores. The bounds of a block of queries against a block of candidates are two matrix products.
+low end by those with a negative one, step by step in depth. A candidate's score lies between a lower bound (the sum of its entries
+that were read, and the far end of each list for the rest) and an upper bound (that sum, and the list's frontier for the
+rest). Candidates whose upper bound is below the k-th best lower bound are outsiders. A query stops reading when few others are left; these
+get their final scores. A step adds what it reads to the sums of all its queries and candidates at once, as matrix products.
 
 Queries and candidates meet in a grid of (query block x candidate slab) tasks of bounded size; each returns its k best, and the
 best of these are the answer.
@@ -22,10 +22,23 @@ from .vectors import pack, unpack, valid_vectors
 
 #: Queries in a block and candidates in a slab of the grid, and candidates whose bounds are held at a time.
 QUERY_BLOCK, SLAB, AT_A_TIME = 2000, 16_000, 2000
-#: Depths read, as shares of the lists.
+#: Depths at which reading may stop, as shares of the lists.
 DEPTHS = (0.5, 0.75, 0.9)
-#: Scaled components are kept within this bound, so that scores of up to 128 components fit a long.
-LARGEST = 1 << 28
+#: Relative error of a sum of doubles, with room to spare.
+ERROR = 2.0**-44
+
+
+def final(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of q with those of x, whole numbers held as doubles; they must fit a long."""
+    bound = (np.abs(q) * np.abs(x)).sum(axis=1).max(initial=0)
+    if bound < 2**52:
+        return np.einsum("ij,ij->i", q, x).astype(np.int64)
+    if bound < 2**62 and max(np.abs(q).max(), np.abs(x).max()) < 2**62:
+        return np.einsum("ij,ij->i", q.astype(np.int64), x.astype(np.int64))
+    out = [sum(int(a) * int(b) for a, b in zip(p, r)) for p, r in zip(q.tolist(), x.tolist())]
+    if any(abs(s) >= 1 << 63 for s in out):
+        raise OverflowError("a score does not fit a long")
+    return np.array(out, np.int64)
 
 
 def nra(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray, depths: tuple[float, ...] = DEPTHS, step: int = AT_A_TIME):
@@ -34,45 +47,52 @@ def nra(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray, depths: tuple[flo
     own[i]: row of x that is query i itself, or -1.
     """
     nq, nx = len(q), len(x)
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**53
-    lists = np.sort(x, axis=0)  # ascending; read from either end
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    signed = np.hstack([plus, minus])
-    top = np.full((nq, k), -np.inf)  # the k best lower bounds so far, ascending; all of them scores of resolved candidates
+    order = np.argsort(x, axis=0, kind="stable")  # the lists, ascending; read from either end
+    rank = np.empty(x.shape, np.int32)
+    np.put_along_axis(rank, order, np.arange(nx, dtype=np.int32)[:, None], axis=0)
+    ends = np.take_along_axis(x, order[[0, -1]], axis=0) if nx else x
+    signed = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+    slack = ERROR * (np.abs(q) @ np.abs(x).max(axis=0, initial=0))  # of a query's sums
+    top = np.full((nq, k), -np.inf)  # the k best scores so far, ascending
     found = []
     for a in range(0, nx, step):
         b = min(nx, a + step)
-        block = x[a:b]
+        block, place = x[a:b], rank[a:b]
         floor = top[:, 0].copy()
-        alive = None
+        alive = np.ones((nq, b - a), bool)
+        seen = np.zeros((nq, b - a))
+        reading, before = np.arange(nq), 0
         for share in depths:
-            t = max(1, int(nx * share))
-            hi, lo = lists[nx - t], lists[t - 1]
-            upper = signed @ np.hstack([np.maximum(block, hi), np.minimum(block, lo)]).T
-            if not np.isfinite(floor).all():
-                worst = signed @ np.hstack([np.where(block >= hi, block, lists[0]), np.where(block <= lo, block, lists[-1])]).T
-                if b - a > k + 1:  # one of the rows may be the query's own
-                    floor = np.maximum(floor, np.partition(worst, b - a - k - 1, axis=1)[:, b - a - k - 1])
-            alive = upper >= floor[:, None] - 1e-6 * (1 + np.abs(floor[:, None], where=np.isfinite(floor[:, None]), out=np.zeros((nq, 1))))
-            if alive.sum() <= 4 * k * nq:
+            depth = max(before, int(nx * share))
+            # what this step reads of each list, from the high end and from the low end
+            high = (place >= nx - depth) & (place < nx - before)
+            low = (place < depth) & (place >= before)
+            s = signed[reading]
+            seen[reading] += s @ np.hstack([np.where(high, block, 0), np.where(low, block, 0)]).T
+            shut = np.hstack([place < nx - depth, place >= depth])  # not read yet
+            frontier = np.concatenate([np.take_along_axis(x, order[[nx - max(1, depth)]], axis=0)[0], np.take_along_axis(x, order[[max(1, depth) - 1]], axis=0)[0]])
+            upper = seen[reading] + s @ np.where(shut, frontier, 0).T
+            if b - a > k + 1:  # one of the rows may be the query's own
+                worst = seen[reading] + s @ np.where(shut, np.concatenate([ends[0], ends[1]]), 0).T
+                floor[reading] = np.maximum(floor[reading], np.partition(worst, b - a - k - 1, axis=1)[:, b - a - k - 1] - slack[reading])
+            alive[reading] = upper >= (floor - slack)[reading, None]
+            reading, before = reading[alive[reading].sum(axis=1) > 4 * k], depth
+            if not len(reading):
                 break
         i, j = np.nonzero(alive)
         keep = own[i] != j + a
         i, j = i[keep], j[keep]
-        score = np.empty(len(i), np.float64 if exact else np.int64)
-        for s in range(0, len(i), 200_000):  # resolve the final scores
-            p, r = q[i[s : s + 200_000]], block[j[s : s + 200_000]]
-            score[s : s + 200_000] = np.einsum("ij,ij->i", p, r) if exact else np.einsum("ij,ij->i", p.astype(np.int64), r.astype(np.int64))
-        better = score >= top[i, 0]
+        score = np.concatenate([np.zeros(0, np.int64), *(final(q[i[n : n + 200_000]], block[j[n : n + 200_000]]) for n in range(0, len(i), 200_000))])
+        better = score >= np.nextafter(top[i, 0], -np.inf)
         i, j, score = i[better], j[better], score[better]
         found.append((i, j + a, score))
-        order = np.lexsort((score, i))
-        ends = np.searchsorted(i[order], np.arange(nq + 1))
-        for n in np.flatnonzero(np.diff(ends)):
-            new = score[order[ends[n] : ends[n + 1]]][-k:]
+        by = np.lexsort((score, i))
+        cut = np.searchsorted(i[by], np.arange(nq + 1))
+        for n in np.flatnonzero(np.diff(cut)):
+            new = score[by[cut[n] : cut[n + 1]]][-k:]
             top[n] = np.sort(np.concatenate([top[n], new.astype(np.float64)]))[-k:]
     i, j, score = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-    keep = score >= top[i, 0]
+    keep = score >= np.nextafter(top[i, 0], -np.inf)
     return i[keep], j[keep], score[keep].astype(np.int64)
 
 
@@ -115,7 +135,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = valid_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    scaled = F.transform("vector", lambda x: F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), F.floor(x * 64.0).cast("double"))))
+    # doubles from 2^53 on are whole numbers
+    scaled = F.transform("vector", lambda x: F.when(F.abs(x) < float(1 << 46), F.floor(x * 64.0).cast("double")).otherwise(x * 64.0))
     return exact_topk(rows.select("id", scaled.alias("vector")), F.col("id") % 20 == 0, 20)
 
 

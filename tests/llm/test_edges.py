@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,33 @@ def test_large_components_are_exact(spark):
     assert topk.exact_topk(x, F.col("id") == 0, 1).first().score == 4 * (1 << 27) * ((1 << 27) + 1)
 
 
+def test_components_of_any_size_are_exact(spark, tmp_path):
+    """Scores beyond what doubles and beyond what products of doubles hold, ties at the last rank, and one that fits no long."""
+    big = float(1 << 24)
+    rows = [(0, [big, 1.0, 0.0]), (1, [big, 1.0, 5.0]), (2, [big, 2.0, 5.0]), (3, [big, 1.0, 7.0]), (4, [-float(1 << 55), 0.0, 1.0]), (20, [0.0, 1.0, 0.0]), (5, [0.1, -0.1, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as query", "2 as dim").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.op2_topk(spark, str(tmp_path)).collect()
+    few = spark.createDataFrame([r for r in rows if r[0] != 4], "vec_id long, embedding array<double>")
+    few.write.parquet(f"{tmp_path}/few/embeddings.parquet")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.op2_topk(spark, f"{tmp_path}/few").collect()}
+    b = (1 << 24) * 64
+    assert [got[0, k] for k in (1, 2, 3)] == [(2, b * b + 2 * 64 * 64), (1, b * b + 64 * 64), (3, b * b + 64 * 64)]
+    assert got[0, 4] == (5, b * 6 - 7 * 64) and len(got) == 10
+
+
+def test_bounds_keep_every_one_of_the_best(spark):
+    rng = np.random.default_rng(8)
+    for n, d, k in ((700, 6, 5), (300, 33, 20), (4, 3, 5)):
+        x = rng.integers(-9, 10, (n, d)).astype(float)  # many ties
+        q, own = x[: n // 3], np.arange(n // 3)
+        i, j, s = topk.nra(q, x, k, own, depths=(0.1, 0.3, 0.6, 0.9), step=97)
+        for a in own:
+            want = sorted(((int(-(q[a] @ x[b])), b) for b in range(n) if b != a))[:k]
+            got = sorted((int(-c), int(b)) for b, c in zip(j[i == a], s[i == a]))
+            assert got[: len(want)] == want
+
+
 def test_equal_rows_keep_their_lines_once(docs):
     got = sorted(r.text for r in line_dedup.dedup_lines(docs).collect() if r.doc_id == 7)
     assert got == ["", "same row twice in the table"]
