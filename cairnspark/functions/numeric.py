@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +40,25 @@ def differs(a: Column, b: Column, absolute: float = 1.0, relative: float = 0.001
 
 def intensity(n: Column, density: Column) -> Column:
     return F.log1p(n) * (1.0 + F.log1p(density))
+
+
+def urban_share(name: Column, population: Column, cities: list[str] = ()) -> Column:
+    """A stated guess: 85 where the name says urban or is a listed city, 12 where it says rural, else 25 and 0.8 for each unit of population, 18 at least."""
+    n = F.lower(name)
+    return F.round(F.when(n.contains("urban") | n.isin([c.lower() for c in cities]), 85.0).when(n.contains("rural"), 12.0).otherwise(F.greatest(25.0 + population * 0.8, F.lit(18.0))), 2)
+
+
+def round_half_even(c: Column, digits: int) -> Column:
+    """Rounding of the exact binary value, ties to even, for results that must agree with it to the last digit; Spark's own rounds the printed value half up."""
+
+    @F.pandas_udf("double")
+    def exact(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: v if v != v else round(v, digits))
+
+    return exact(c.cast("double"))
+
+
+def rate_with_loss(n: Column, population: Column, scale: float = 100_000.0) -> Column:
+    """struct(rate, lost): null where the population is missing or not positive, and whether a count was lost by that."""
+    rate = rate_or_null(n, population, scale)
+    return F.struct(rate.alias("rate"), (n.isNotNull() & rate.isNull()).alias("lost"))

@@ -55,6 +55,39 @@ def unit_value(c: Column, unit: str = r"\(%\)|Rs\.") -> Column:
     return F.when(after != "", F.replace(after, F.lit(","), F.lit("")).try_cast("double")).otherwise(last_number(c))
 
 
+#: A printed value: a number, one in parentheses, or a mark for none.
+_VALUE = r"([0-9,]+(?:\.[0-9]+)?|\*|\([0-9.]+\)|na)"
+
+
+def unit_values(c: Column, unit: str = r"%|Rs\.|females[^\)]*") -> Column:
+    """struct(now, before): the two values after a unit in parentheses; '*' and 'na' are null, marks in values go. Without a unit: the last number, and null."""
+    pattern = rf"(?i)\(\s*(?:{unit})\s*\)\s*{_VALUE}\s*{_VALUE}?"
+    clean = lambda k: F.regexp_replace(F.regexp_extract(c, pattern, k), "[(),]", "").try_cast("double")
+    last = F.replace(F.try_element_at(F.regexp_extract_all(c, F.lit(r"([0-9][0-9,]*\.?[0-9]*)"), 1), F.lit(-1)), F.lit(","), F.lit("")).try_cast("double")
+    hit = c.rlike(pattern)
+    return F.struct(F.when(hit, clean(1)).otherwise(last).alias("now"), F.when(hit, clean(2)).alias("before"))
+
+
+def trailing_number(c: Column) -> Column:
+    """The last number of a line whose item number, as in '12.' or '12)', is no value."""
+    return last_number(F.regexp_replace(c, r"^\s*[0-9]+[.)]\s+", ""))
+
+
+def header_names(lines: Column, path: Column) -> Column:
+    """struct(name, grp) from a document's first lines, or from its file's name.
+
+    The two lines after one that says 'district fact sheet' (misprints inside the last word pass), unless the first of them is part of a title; else a file name
+    <anything>DistFact_<group>_<name>[__...].
+    """
+    head = F.slice(lines, 1, 15)
+    at = F.array_position(F.transform(head, lambda x: x.rlike(r"(?i)district\s*fact\s*she\s*et")), True).cast("int")
+    name = F.trim(F.try_element_at(lines, F.nullif(at, F.lit(0)) + 1))
+    title = F.coalesce(F.lower(name).rlike("ministry|survey|health|india|population"), F.lit(True)) | (name == "")
+    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    of = lambda k: F.coalesce(F.nullif(F.regexp_extract(stem, r"DistFact_([^_]+)_([^_]+)__", k), F.lit("")), F.nullif(F.regexp_extract(stem, r"DistFact_([^_]+)_(.+)", k), F.lit("")))
+    return F.struct(F.when(title, F.trim(of(2))).otherwise(name).alias("name"), F.when(title, F.trim(of(1))).otherwise(F.trim(F.try_element_at(lines, at + 2))).alias("grp"))
+
+
 def starts_with_any(c: Column, prefixes: list[str]) -> Column:
     return F.coalesce(c.rlike("^(" + "|".join(prefixes) + ")"), F.lit(False))
 

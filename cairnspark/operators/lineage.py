@@ -24,7 +24,8 @@ def inherit(values: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFra
     parent = edges.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent"))
     base = values.join(parent, "id", "left").select("id", "indicator", "value", F.col("parent").alias("up"), F.col("parent").alias("parent"))
     # an ancestor may have no row of its own for an indicator: it passes on its parent's
-    wanted = values.select("indicator").distinct().crossJoin(F.broadcast(parent.select("parent").distinct().select(F.col("parent").alias("id"))))
+    # (indicators are the model's own short list; parents grow with the entities)
+    wanted = parent.select(F.col("parent").alias("id")).distinct().crossJoin(F.broadcast(values.select("indicator").distinct()))
     extra = wanted.join(base.select("id", "indicator"), ["id", "indicator"], "left_anti").join(parent, "id", "left")
     cur = base.withColumn("own", F.lit(True)).unionByName(extra.select("id", "indicator", F.lit(None).cast("double").alias("value"), F.col("parent").alias("up"), "parent", F.lit(False).alias("own")))
     cur = cur.withColumn("found", F.col("value"))

@@ -1,7 +1,8 @@
 """Resolving messy names onto a dimension: alias, then exact name, then the most similar name; nothing is dropped.
 
-Different raw names are resolved once and joined back, so a name on a third of all rows costs one look-up. Similarity is
-computed inside blocks (the group, when a hint is given), never between all names and all entities of all groups.
+Different raw names are resolved once and joined back, so a name on a third of all rows costs one look-up. Similar names are found by
+the rarest of their letter pairs (two names as similar as the threshold asks share some), and entities whose group fits a hint by pieces of
+the group's name; so no name is compared with all entities.
 """
 
 from __future__ import annotations
@@ -13,66 +14,137 @@ from ..functions.text import edit_ratio
 
 #: Least similarity of a fuzzy match, and the lead over the second that makes it unambiguous.
 THRESHOLD, MARGIN = 0.84, 0.03
+#: Characters of a name by which texts that may contain it are found.
+PIECE = 4
 
 
 def last_alias(rows: DataFrame, order: Column) -> DataFrame:
-    """(alias, id): of several rows for an alias, the last in ``order``."""
-    return rows.groupBy("alias").agg(F.max_by("id", order).alias("id"))
+    """One row for each alias: of several, the last in ``order`` (of equal ones the largest id)."""
+    rest = [c for c in rows.columns if c != "alias"]
+    return rows.groupBy("alias").agg(F.max_by(F.struct(*rest), F.struct(order, "id")).alias("r")).select("alias", "r.*")
+
+
+def crosswalk(rows: DataFrame, name: Column, order: Column) -> DataFrame:
+    """(alias, id, method, confidence, parent) of raw rows (alias, id[, method, confidence, parent]), all strings.
+
+    A missing mapping type is alias, a missing confidence 1, a parent that is no number none. Rows without a whole id go; of several rows for an
+    alias the last one counts. name: the normalised alias.
+    """
+    have = set(rows.columns)
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in have else F.lit(None).cast("string")
+    x = rows.select(
+        name.alias("alias"), text("id").try_cast("long").alias("id"), F.lower(F.coalesce(text("method"), F.lit("alias"))).alias("method"),
+        F.coalesce(text("confidence").try_cast("double"), F.lit(1.0)).alias("confidence"), text("parent").try_cast("long").alias("parent"), order.alias("order_"),
+    )
+    return last_alias(x.where(F.col("id").isNotNull() & (F.col("alias") != "")), F.col("order_")).drop("order_")
+
+
+def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows of texts beside the rows of names whose name the text contains, both as they are.
+
+    Joined on the first PIECE characters of the name (all of a shorter one) against the pieces of the text. Empty names are contained in nothing.
+    """
+    size = F.least(F.length(name), F.lit(PIECE))
+    keyed = names.where(F.length(name) > 0).withColumn("piece_", F.substring(F.col(name), F.lit(1), size))
+    pieces = [F.expr(f"transform(sequence(1, greatest(1, length({text}) - {k - 1})), i -> substring({text}, i, {k}))") for k in range(1, PIECE + 1)]
+    cut = texts.withColumn("piece_", F.explode(F.array_distinct(F.concat(*pieces))))
+    return cut.join(keyed, "piece_").where(F.contains(F.col(text), F.col(name))).drop("piece_")
+
+
+def grams(rows: DataFrame, key: list[str], name: str, frequent: DataFrame | None, least: float) -> DataFrame:
+    """(key, gram): the rarest letter pairs of each name, as many as a name of similarity ``least`` cannot all lack.
+
+    Equal pairs of a name are told apart by a number. With M letters matched in at most 2 (1 - least) / least M + 1 runs, names share M less that
+    many pairs at least. frequent: (gram, f); None: all pairs.
+    """
+    pair = F.expr(f"explode(transform(sequence(1, greatest(1, length({name}) - 1)), i -> substring({name}, i, 2))) as pair_")
+    each = rows.select(*key, F.length(name).alias("size_"), pair)
+    number = F.row_number().over(Window.partitionBy(*key, "pair_").orderBy("size_"))
+    each = each.withColumn("gram", F.concat_ws("#", "pair_", number.cast("string")))
+    if frequent is None:
+        return each.select(*key, "gram")
+    rarest = F.row_number().over(Window.partitionBy(*key).orderBy(F.coalesce("f", F.lit(0)), "gram"))
+    # both names together have at least 2 / (2 - least) times the letters of the one, of which matched * least / 2 pairs are in runs
+    both = 2.0 / (2.0 - least)
+    shared = F.greatest(F.lit(1), F.ceil(F.col("size_") * (both * (1.5 * least - 1.0))).cast("int") - 1)
+    return each.join(frequent, "gram", "left").withColumn("r_", rarest).where(F.col("r_") <= F.col("size_") - shared).select(*key, "gram")
 
 
 def resolve(names: DataFrame, dim: DataFrame, aliases: DataFrame | None = None, similarity=edit_ratio, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """(name, hint, id, method, confidence, candidates) for every different (name, hint) of names.
 
-    names: normalised (name, hint), hint may be null; dim: (id, name, grp), names normalised; aliases: (alias, id). method: alias, exact, ambiguous (several
-    entities of that name, or a fuzzy lead under ``margin``), fuzzy or unmatched. If the hint leaves no entity of the exact name, all of
-    that name count. A name without hint is compared with entities that share its first letter.
+    names: normalised (name, hint), hint may be null; dim: (id, name, grp), normalised; aliases: (alias, id[, method, confidence]), one row each. A group fits a
+    hint if either contains the other; no hint fits all. An alias counts if its entity's group fits. Then entities of that very name: those that fit, or all if
+    none does; one is exact, more are ambiguous. Then the most similar fitting entity, from ``threshold`` on: ambiguous if others are
+    within ``margin`` of it. candidates: the ids of an ambiguous name. An empty name is unmatched. The threshold may not be under 0.75.
     """
-    ask = names.select("name", "hint").distinct()
+    if threshold - margin < 0.7:
+        raise ValueError("names so different need not share letter pairs")
+    ask = names.select("name", F.nullif("hint", F.lit("")).alias("hint")).distinct()
     if aliases is None:
         aliases = dim.select(F.col("name").alias("alias"), "id").limit(0)
-    by_alias = aliases.groupBy(F.col("alias").alias("name")).agg(F.min("id").alias("alias_id"))
-    one = ask.join(by_alias, "name", "left")
-    same = dim.select(F.col("name"), F.col("id").alias("e_id"), F.col("grp").alias("e_grp"))
-    exact = (
-        one.where(F.col("alias_id").isNull()).select("name", "hint").join(same, "name").groupBy("name", "hint")
-        .agg(
-            F.sort_array(F.collect_list(F.when(F.col("hint").isNull() | (F.col("e_grp") == F.col("hint")), F.col("e_id")))).alias("fit"),
-            F.sort_array(F.collect_list("e_id")).alias("every"),
-        )
-        .select(F.col("name").alias("x_name"), F.col("hint").alias("x_hint"), F.when(F.size("fit") > 0, F.col("fit")).otherwise(F.col("every")).alias("found"))
-    )
-    two = one.join(exact, (F.col("name") == F.col("x_name")) & F.col("hint").eqNullSafe(F.col("x_hint")), "left").drop("x_name", "x_hint")
-    open_ = two.where(F.col("alias_id").isNull() & F.col("found").isNull()).select("name", "hint")
-    block = F.coalesce(F.concat(F.lit("g:"), "hint"), F.concat(F.lit("l:"), F.substring("name", 1, 1)))
-    blocks = dim.select("id", F.col("name").alias("d_name"), F.explode(F.array(F.concat(F.lit("g:"), "grp"), F.concat(F.lit("l:"), F.substring("name", 1, 1)))).alias("block"))
-    # no similarity of names exceeds twice the shorter length over both: most pairs of a block never reach the similarity itself
+    for c, default in (("method", F.lit("alias")), ("confidence", F.lit(1.0))):
+        if c not in aliases.columns:
+            aliases = aliases.withColumn(c, default)
+    # groups that fit each hint
+    hints, groups = ask.select("hint").distinct().where("hint is not null"), dim.select("grp").distinct().where("grp <> ''")
+    fits = containing(hints, "hint", groups, "grp").unionByName(containing(groups, "grp", hints, "hint")).distinct()
+    fitting = fits.select(F.col("hint").alias("h_"), F.col("grp").alias("g_"), F.lit(True).alias("fit_"))
+
+    def with_fit(rows: DataFrame) -> DataFrame:
+        """rows (hint, grp, ..) with fit_: whether the group fits."""
+        x = rows.join(fitting, (F.col("hint") == F.col("h_")) & (F.col("grp") == F.col("g_")), "left").drop("h_", "g_")
+        return x.withColumn("fit_", F.col("hint").isNull() | F.col("grp").isNull() | (F.col("grp") == "") | F.coalesce("fit_", F.lit(False)))
+
+    entity = dim.select("id", "name", "grp")
+    known = aliases.select(F.col("alias").alias("name"), "id", "method", "confidence").join(entity.select("id", "grp"), "id")
+    by_alias = with_fit(ask.join(known, "name")).where("fit_").groupBy("name", "hint").agg(F.min(F.struct("id", "method", "confidence")).alias("a"))
+    same = with_fit(ask.join(entity, "name")).groupBy("name", "hint").agg(F.sort_array(F.collect_list(F.when(F.col("fit_"), F.col("id")))).alias("fit"), F.sort_array(F.collect_list("id")).alias("every"))
+    same = same.select("name", "hint", F.when(F.size("fit") > 0, F.col("fit")).otherwise(F.col("every")).alias("found"))
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        r = right.withColumnsRenamed({"name": "n_", "hint": "h_"})
+        return left.join(r, (F.col("name") == F.col("n_")) & F.col("hint").eqNullSafe(F.col("h_")), "left").drop("n_", "h_")
+
+    two = beside(beside(ask, by_alias), same)
+    open_ = two.where("a is null and found is null and name <> ''").select("name", "hint")
+    least = threshold - margin
+    frequent = grams(entity, ["id", "name"], "name", None, least).groupBy("gram").agg(F.count("*").alias("f"))
+    met = grams(open_.select("name").distinct(), ["name"], "name", frequent, least).join(grams(entity.select("id", F.col("name").alias("d_name")), ["id", "d_name"], "d_name", frequent, least), "gram").select("name", "id", "d_name").distinct()
+    # no similarity of names exceeds twice the shorter length over both
     short, long = F.least(F.length("name"), F.length("d_name")), F.greatest(F.length("name"), F.length("d_name"))
-    met = open_.withColumn("block", block).join(blocks, "block").where(2 * short >= (threshold - margin) * (short + long))
-    pairs = met.withColumn("ratio", similarity(F.col("name"), F.col("d_name"))).where(F.col("ratio") >= threshold - margin)
-    w = Window.partitionBy("name", "hint").orderBy(F.desc("ratio"), "id")
-    best = pairs.withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("name", "hint").agg(
-        F.max(F.when(F.col("r") == 1, F.col("id"))).alias("f_id"), F.max("ratio").alias("top"), F.max(F.when(F.col("r") == 2, F.col("ratio"))).alias("second")
-    )
-    best = best.where(F.col("top") >= threshold).withColumnsRenamed({"name": "x_name", "hint": "x_hint"})
-    three = two.join(best, (F.col("name") == F.col("x_name")) & F.col("hint").eqNullSafe(F.col("x_hint")), "left").drop("x_name", "x_hint")
-    clear = F.col("second").isNull() | (F.col("top") - F.col("second") >= margin)
+    met = met.where(2 * short >= least * (short + long)).withColumn("ratio", similarity(F.col("name"), F.col("d_name"))).where(F.col("ratio") >= least - 1e-9)
+    scored = with_fit(open_.join(met, "name").join(entity.select("id", "grp"), "id")).where("fit_")
+    top = scored.groupBy("name", "hint").agg(F.max("ratio").alias("top")).where(F.col("top") >= threshold)
+    t = top.withColumnsRenamed({"name": "n_", "hint": "h_"})
+    close = scored.join(t, (F.col("name") == F.col("n_")) & F.col("hint").eqNullSafe(F.col("h_"))).where(F.col("top") - F.col("ratio") <= margin)
+    best = close.groupBy("name", "hint").agg(F.max("top").alias("top"), F.sort_array(F.collect_list("id")).alias("close"), F.max_by("id", "ratio").alias("f_id"))
+    done = beside(two, best)
     method = (
-        F.when(F.col("alias_id").isNotNull(), "alias").when(F.size("found") == 1, "exact").when(F.size("found") > 1, "ambiguous")
-        .when(F.col("f_id").isNotNull() & clear, "fuzzy").when(F.col("f_id").isNotNull(), "ambiguous").otherwise("unmatched")
+        F.when(F.col("a").isNotNull(), F.col("a.method")).when(F.size("found") == 1, "exact").when(F.size("found") > 1, "ambiguous")
+        .when(F.size("close") == 1, "fuzzy").when(F.size("close") > 1, "ambiguous").otherwise("unmatched")
     )
-    done = three.withColumn("method", method)
-    found = F.when(F.col("method") == "alias", F.col("alias_id")).when(F.col("method") == "exact", F.element_at("found", 1)).when(F.col("method") == "fuzzy", F.col("f_id"))
-    confidence = F.when(F.col("method").isin("alias", "exact"), 1.0).when(F.col("method") == "fuzzy", F.col("top")).otherwise(0.0)
-    return done.select("name", "hint", found.alias("id"), "method", confidence.alias("confidence"), F.when(F.col("method") == "ambiguous", F.col("found")).alias("candidates"))
+    done = done.withColumn("method", method)
+    found = F.when(F.col("a").isNotNull(), F.col("a.id")).when(F.col("method") == "exact", F.element_at("found", 1)).when(F.col("method") == "fuzzy", F.col("f_id"))
+    confidence = F.when(F.col("a").isNotNull(), F.col("a.confidence")).when(F.col("found").isNotNull(), 1.0).otherwise(F.coalesce("top", F.lit(0.0)))
+    candidates = F.when(F.col("method") == "ambiguous", F.coalesce("found", "close"))
+    return done.select("name", "hint", found.alias("id"), "method", confidence.alias("confidence"), candidates.alias("candidates"))
 
 
-def first_contained(rows: DataFrame, dim: DataFrame, text: str = "text", key: str = "row_id") -> DataFrame:
-    """(key, id): the first entity, in the dimension's order, whose name is one of the text's words or runs of up to three words.
+def listed_entities(dim: DataFrame, names: DataFrame, aliases: DataFrame | None = None, similarity=edit_ratio) -> DataFrame:
+    """(id, flag): 1 for entities that a complete list names, resolved as above; all others are known not to be listed, 0."""
+    hit = resolve(names, dim, aliases, similarity).where("id is not null").select("id").distinct().withColumn("flag", F.lit(1))
+    return dim.select("id").join(hit, "id", "left").select("id", F.coalesce("flag", F.lit(0)).alias("flag"))
 
-    Runs of words are looked up by equality, so no row is compared with every entity. dim: (id, name, pos), names of up to three words.
-    """
-    ws = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    base = rows.select(key, ws.alias("ws"))
-    runs = [F.expr(f"transform(sequence(1, greatest(1, size(ws) - {n - 1})), i -> array_join(slice(ws, i, {n}), ' '))") for n in (1, 2, 3)]
-    grams = base.select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("name"))
-    return grams.join(dim.select(F.lower("name").alias("name"), "id", "pos"), "name").groupBy(key).agg(F.min_by("id", "pos").alias("id"))
+
+def by_prefix(rows: DataFrame, code: str, prefixes: DataFrame, size: int = 3) -> DataFrame:
+    """rows with the id of the first ``size`` characters of the code; null for shorter codes and unknown prefixes. prefixes: (prefix, id), one row each."""
+    key = F.when(F.length(code) >= size, F.substring(F.col(code), 1, size))
+    return rows.withColumn("p_", key).join(prefixes.select(F.col("prefix").alias("p_"), "id"), "p_", "left").drop("p_")
+
+
+def first_contained(rows: DataFrame, dim: DataFrame, text: str = "text", key: str = "row_id") -> DataFrame:
+    """(key, id): the first entity, in the dimension's order, whose name the text contains, whatever stands around it. dim: (id, name, pos); case does not count."""
+    texts = rows.select(key, F.lower(F.col(text)).alias("text_"))
+    found = containing(texts, "text_", dim.select("id", F.lower("name").alias("name_"), "pos"), "name_")
+    return found.groupBy(key).agg(F.min_by("id", F.struct("pos", "id")).alias("id"))

@@ -137,3 +137,10 @@ def tier_shares(ranks: DataFrame, cuts: tuple[float, float, float] = (0.8, 0.5,
     s = F.col("score")
     tier = F.when(s >= F.col("a"), 1).when(s >= F.col("b"), 2).when(s >= F.col("c"), 3).otherwise(4)
     return x.withColumn("t", tier).groupBy("id").agg(*[(100.0 * F.avg((F.col("t") == k).cast("double"))).alias(f"tier{k}_pct") for k in (1, 2, 3, 4)])
+
+
+def positional_percentiles(ranks: DataFrame, draws: int) -> DataFrame:
+    """(id, mean_rank, p05, p95, top1_pct): the ranks at positions int(0.05 n) and int(0.95 n) of an entity's sorted ranks, and how often it is first."""
+    x = ranks.groupBy("id").agg(F.sort_array(F.collect_list("rank")).alias("r"), F.avg("rank").alias("mean_rank"), (100.0 * F.avg((F.col("rank") == 1).cast("double"))).alias("top1_pct"))
+    at = lambda p: F.col("r")[min(draws - 1, int(p * draws))]
+    return x.select("id", "mean_rank", at(0.05).alias("p05"), at(0.95).alias("p95"), "top1_pct")

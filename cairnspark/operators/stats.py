@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from .order import quantiles, with_rank
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; null, not an error, where a column does not vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (pearson, spearman): Spearman is Pearson of average ranks. Rows with a null in either take no part."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = with_rank(with_rank(both, x, "rx_", ties="average"), y, "ry_", ties="average")
-    return ranked.agg(F.corr(x, y).alias("pearson"), F.corr("rx_", "ry_").alias("spearman"))
+    return ranked.agg(correlation(x, y).alias("pearson"), correlation("rx_", "ry_").alias("spearman"))
 
 
 def correlation_pairs(wide: DataFrame, columns: list[str]) -> DataFrame:

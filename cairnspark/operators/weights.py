@@ -79,6 +79,21 @@ def equal(names: DataFrame, key: str = "indicator") -> DataFrame:
     return names.select(key, (F.lit(1.0) / F.count("*").over(Window.partitionBy(F.lit(1)))).alias("weight"))
 
 
+def schemes(names: DataFrame, own: DataFrame, experts: dict[str, float]) -> DataFrame:
+    """(scheme, indicator, weight) of four weightings of the same indicators, each summing to one.
+
+    names: (indicator, pillar); own: (pillar, indicator, weight), entropy weights inside pillars; experts: pillar weights, dealt evenly to a pillar's indicators. Hybrid is
+    the expert weight of the pillar times the entropy weight.
+    """
+    every, pillar = Window.partitionBy(F.lit(1)), Window.partitionBy("pillar")  # a handful of rows
+    x = names.join(own.select("indicator", F.col("weight").alias("e_")), "indicator")
+    x = x.withColumn("p_", F.try_element_at(F.create_map(*[F.lit(v) for kv in experts.items() for v in kv]), F.col("pillar")))
+    mixed = F.col("e_") * F.col("p_")
+    kinds = {"EQUAL": 1.0 / F.count("*").over(every), "ENTROPY": F.col("e_") / F.sum("e_").over(every), "EXPERT": F.col("p_") / F.count("*").over(pillar), "HYBRID": mixed / F.sum(mixed).over(every)}
+    x = x.select("indicator", *[c.alias(k) for k, c in kinds.items()])
+    return x.select("indicator", F.inline(F.array(*[F.struct(F.lit(k).alias("scheme"), F.col(k).alias("weight")) for k in kinds]))).select("scheme", "indicator", "weight")
+
+
 def first_component(wide: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
     """(id, pc1): scores on the first principal component of standardised columns, min-max to 0-100, loadings summing to a positive number.
 

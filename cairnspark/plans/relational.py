@@ -71,10 +71,10 @@ def pair_self_join(spark, folder):
     return a.join(b, "n_regionkey").where("a < b").select("a", "b")
 
 
-@query("WITH d AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part), e AS (SELECT name, row_number() OVER (ORDER BY name) AS pos FROM d), g AS (SELECT p_partkey, unnest(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> ''))) AS w FROM part) SELECT p_partkey AS row_id, arg_min(name, pos) AS id FROM g JOIN e ON lower(name) = w GROUP BY 1")
+@query("WITH d AS (SELECT DISTINCT lower(substr(p_name, 2, 3)) AS name FROM part), e AS (SELECT name, name AS pos FROM d WHERE name <> '') SELECT p_partkey AS row_id, arg_min(name, pos) AS id FROM part JOIN e ON contains(lower(p_name), name) GROUP BY 1")
 def contains_join_first(spark, folder):
     p = table(spark, folder, "part")
-    names = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).distinct()
+    names = p.select(F.lower(F.substring("p_name", 2, 3)).alias("name")).distinct().where("name <> ''")
     dim = names.withColumn("pos", F.col("name")).withColumn("id", F.col("name"))
     return resolve.first_contained(p.select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("text")), dim)
 
@@ -291,32 +291,39 @@ def unit_value(spark, folder):
 
 
 def _resolve_inputs(spark, folder):
+    """Names as they are, with an ending, with another first letter, aliased, and garbled; groups as hints in full, in part, of no entity, and none."""
     p = table(spark, folder, "part")
-    dim = p.select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))).alias("name"), F.col("p_brand").alias("grp"))
+    dim = p.select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))).alias("name"), F.lower("p_brand").alias("grp"))
     k = F.col("id")
+    garbled = F.when(k % 3 == 0, F.concat(F.lit("q"), F.substring("name", 2, 1000))).when(k % 3 == 1, F.concat("name", F.lit("x"))).otherwise(F.concat(F.lit("zz"), F.reverse("name")))
     asked = dim.select(
-        F.when(k % 4 == 0, F.col("name")).when(k % 4 == 1, F.concat("name", F.lit("x"))).when(k % 4 == 2, F.concat(F.lit("old "), "name")).otherwise(F.concat(F.lit("zz"), F.reverse("name"))).alias("name"),
-        F.col("grp").alias("hint"),
+        F.when(k % 4 == 0, F.col("name")).when(k % 4 == 2, F.concat(F.lit("old "), "name")).otherwise(garbled).alias("name"),
+        F.when(k % 8 == 5, F.lit(None)).when(k % 16 == 6, F.lit("nowhere")).when(k % 16 == 7, F.substring("grp", 1, 7)).when(k % 16 == 12, F.concat("grp", F.lit(" area"))).otherwise(F.col("grp")).alias("hint"),
     )
-    aliases = dim.where("id % 4 = 2").select(F.concat(F.lit("old "), "name").alias("alias"), "id")
+    aliases = dim.where("id % 4 = 2").select(F.concat(F.lit("old "), "name").alias("alias"), "id", F.lit("historical").alias("method"), F.lit(0.9).alias("confidence"))
     return asked, dim, aliases
 
 
-_RESOLVE = """WITH dim AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_partkey) AS name, p_brand AS grp FROM part),
-ask AS (SELECT DISTINCT CASE id % 4 WHEN 0 THEN name WHEN 1 THEN name || 'x' WHEN 2 THEN 'old ' || name ELSE 'zz' || reverse(name) END AS name, grp AS hint FROM dim),
-al AS (SELECT 'old ' || name AS alias, id FROM dim WHERE id % 4 = 2),
-z AS (SELECT ask.name, hint, dim.id, 1.0 - levenshtein(ask.name, dim.name)::DOUBLE / greatest(length(ask.name), length(dim.name)) AS ratio,
-  row_number() OVER (PARTITION BY ask.name, hint ORDER BY 1.0 - levenshtein(ask.name, dim.name)::DOUBLE / greatest(length(ask.name), length(dim.name)) DESC, dim.id) AS r
-  FROM ask JOIN dim ON dim.grp = hint),
-b AS (SELECT name, hint, max(CASE WHEN r = 1 THEN id END) AS id, max(CASE WHEN r = 1 THEN ratio END) AS top, max(CASE WHEN r = 2 THEN ratio END) AS second FROM z GROUP BY 1, 2)
-SELECT ask.name, ask.hint, CASE WHEN al.id IS NOT NULL THEN al.id WHEN ex.id IS NOT NULL THEN ex.id WHEN top >= 0.84 AND (second IS NULL OR top - second >= 0.03) THEN b.id END AS id,
- CASE WHEN al.id IS NOT NULL THEN 'alias' WHEN ex.id IS NOT NULL THEN 'exact' WHEN top >= 0.84 AND (second IS NULL OR top - second >= 0.03) THEN 'fuzzy' WHEN top >= 0.84 THEN 'ambiguous' ELSE 'unmatched' END AS method
-FROM ask LEFT JOIN al ON al.alias = ask.name LEFT JOIN dim ex ON ex.name = ask.name LEFT JOIN b ON b.name = ask.name AND b.hint = ask.hint"""
+_FITS = "(hint IS NULL OR contains(grp, hint) OR contains(hint, grp))"
+_RESOLVE = f"""WITH dim AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_partkey) AS name, lower(p_brand) AS grp FROM part),
+ask AS (SELECT DISTINCT CASE WHEN id % 4 = 0 THEN name WHEN id % 4 = 2 THEN 'old ' || name WHEN id % 3 = 0 THEN 'q' || substr(name, 2) WHEN id % 3 = 1 THEN name || 'x' ELSE 'zz' || reverse(name) END AS name,
+  CASE WHEN id % 8 = 5 THEN NULL WHEN id % 16 = 6 THEN 'nowhere' WHEN id % 16 = 7 THEN substr(grp, 1, 7) WHEN id % 16 = 12 THEN grp || ' area' ELSE grp END AS hint FROM dim),
+a AS (SELECT ask.name, hint, min(dim.id) AS id FROM ask JOIN dim ON ask.name = 'old ' || dim.name AND dim.id % 4 = 2 WHERE {_FITS} GROUP BY 1, 2),
+x AS (SELECT ask.name, hint, CASE WHEN count(*) FILTER ({_FITS}) > 0 THEN list_sort(list(id) FILTER ({_FITS})) ELSE list_sort(list(id)) END AS found FROM ask JOIN dim ON dim.name = ask.name GROUP BY 1, 2),
+z AS (SELECT ask.name, hint, id, 1.0 - levenshtein(ask.name, dim.name)::DOUBLE / greatest(length(ask.name), length(dim.name)) AS ratio FROM ask JOIN dim ON {_FITS}),
+t AS (SELECT name, hint, max(ratio) AS top FROM z GROUP BY 1, 2 HAVING max(ratio) >= 0.84),
+y AS (SELECT z.name, z.hint, max(top) AS top, list_sort(list(id)) AS close FROM z JOIN t ON z.name = t.name AND z.hint IS NOT DISTINCT FROM t.hint WHERE top - ratio <= 0.03 GROUP BY 1, 2)
+SELECT ask.name, ask.hint, CASE WHEN a.id IS NOT NULL THEN a.id WHEN len(found) = 1 THEN found[1] WHEN found IS NULL AND len(close) = 1 THEN close[1] END AS id,
+ CASE WHEN a.id IS NOT NULL THEN 'historical' WHEN len(found) = 1 THEN 'exact' WHEN found IS NOT NULL THEN 'ambiguous' WHEN len(close) = 1 THEN 'fuzzy' WHEN close IS NOT NULL THEN 'ambiguous' ELSE 'unmatched' END AS method,
+ round(CASE WHEN a.id IS NOT NULL THEN 0.9 WHEN found IS NOT NULL THEN 1.0 ELSE coalesce(top, 0) END, 6) AS confidence,
+ CASE WHEN a.id IS NULL AND (len(found) > 1 OR (found IS NULL AND len(close) > 1)) THEN array_to_string(coalesce(found, close), ',') END AS candidates
+FROM ask LEFT JOIN a ON a.name = ask.name AND a.hint IS NOT DISTINCT FROM ask.hint LEFT JOIN x ON x.name = ask.name AND x.hint IS NOT DISTINCT FROM ask.hint LEFT JOIN y ON y.name = ask.name AND y.hint IS NOT DISTINCT FROM ask.hint"""
 
 
 @query(_RESOLVE)
 def resolve_cascade(spark, folder):
-    return resolve.resolve(*_resolve_inputs(spark, folder)).select("name", "hint", "id", "method")
+    r = resolve.resolve(*_resolve_inputs(spark, folder))
+    return r.select("name", "hint", "id", "method", F.round("confidence", 6).alias("confidence"), F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))
 
 
 @query()

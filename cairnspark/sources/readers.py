@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator
 
@@ -44,13 +45,115 @@ def read_csv(spark: SparkSession, path: str, columns: dict[str, list[str]] | Non
     return raw.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(k) for k, c in picked.items()])
 
 
+def headers(spark: SparkSession, pattern: str, recursive: bool = False, sep: str = ",") -> dict[str, list[str]]:
+    """Header of each CSV file that a path or pattern finds; only first lines are read, by the driver."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = top.getFileSystem(conf)
+    waiting, out = list(fs.globStatus(top) or []), {}
+    while waiting:
+        f = waiting.pop()
+        name = f.getPath().getName()
+        if f.isDirectory():
+            inside = fs.listStatus(f.getPath())
+            waiting += [x for x in inside if recursive or x.isFile()]
+        elif not name.startswith(("_", ".")) and f.getLen():
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(f.getPath())
+            raw = fs.open(f.getPath())
+            stream = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8"))
+            line = stream.readLine() or ""
+            stream.close()
+            out[f.getPath().toString()] = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])
+    return out
+
+
 def read_family(spark: SparkSession, pattern: str, columns: dict[str, list[str]], source: str = r"([^/]+?)(?:\.[^.]+)?$", recursive: bool = False) -> DataFrame:
-    """All CSV files of a family in one scan, with ``source`` taken from the file's name."""
-    reader = spark.read.options(header=True, inferSchema=False, recursiveFileLookup=recursive)
-    raw = reader.csv(pattern)
+    """All CSV files of a family, whatever the order and spelling of their headers, with ``source`` taken from the file's name.
+
+    Files are read by header: one scan for each different one, columns by name. A column that a file lacks is null there; no file at all gives an empty frame.
+    """
+    by: dict[tuple, list[str]] = {}
+    for path, header in sorted(headers(spark, pattern, recursive).items()):
+        by.setdefault(tuple(header), []).append(path)
     name = F.regexp_extract(F.col("_metadata.file_name"), source, 1).alias("source")
+    out = spark.createDataFrame([], ", ".join(f"`{k}` string" for k in [*columns, "source"]))
+    for header, paths in by.items():
+        unique = [f"c{i}" for i in range(len(header))]
+        raw = spark.read.schema(", ".join(f"`{c}` string" for c in unique)).options(header=True, enforceSchema=True).csv(paths)
+        at = dict(zip(reversed(header), reversed(unique)))
+        picked = {k: detect_column(list(header), v) for k, v in columns.items()}
+        out = out.unionByName(raw.select(*[(F.col(at[c]) if c else F.lit(None).cast("string")).alias(k) for k, c in picked.items()], name))
+    return out
+
+
+def reshape(raw: DataFrame, columns: dict[str, list[str]], required: list[str], added: dict[str, str | None]) -> DataFrame:
+    """Rows in the canonical columns, trimmed: each from its first possible name in the frame; rows with a blank ``required`` column go; added ones are constant."""
     picked = {k: detect_column(raw.columns, v) for k, v in columns.items()}
-    return raw.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(k) for k, c in picked.items()], name)
+    x = raw.select(*[(F.trim(F.col(f"`{c}`").cast("string")) if c else F.lit(None).cast("string")).alias(k) for k, c in picked.items()])
+    for c in required:
+        x = x.where(F.coalesce(F.col(c), F.lit("")) != "")
+    return x.withColumns({k: F.lit(v).cast("string") for k, v in added.items()}) if added else x
+
+
+def numeric_defaults(raw: DataFrame, key: list[str], columns: dict[str, tuple[list[str], float]]) -> DataFrame:
+    """(key, a number for each column): key is the first possible name that is not blank. A column that the frame lacks has its default in every row; a
+    row with a blank key, or with a value that is no number, goes."""
+    names = [F.nullif(F.trim(F.col(f"`{k}`")), F.lit("")) for k in key if k in raw.columns]
+    x, good = raw.withColumn("key_", F.coalesce(*names) if names else F.lit(None).cast("string")), F.col("key_").isNotNull()
+    out = []
+    for name, (possible, default) in columns.items():
+        c = next((c for c in possible if c in raw.columns), None)
+        v = F.col(f"`{c}`").cast("string").try_cast("double") if c else F.lit(float(default))
+        good = good & v.isNotNull()
+        out.append(v.alias(name))
+    return x.where(good).select(F.col("key_").alias("key"), *out)
+
+
+def positional_rows(cells: DataFrame, order: list[str], places: dict[str, int], key: str, pin_from: str | None = None) -> DataFrame:
+    """Rows of a table without a usable header: cells by position (from 0), the first row of each key, and a postal code out of one of them.
+
+    cells: (doc, order columns, cells). Rows whose key is blank or no code (it needs a digit) go, such as headers.
+    """
+    from ..functions.text import code
+
+    x = cells.select("doc", *order, *[F.nullif(F.trim(F.try_element_at("cells", F.lit(i + 1))), F.lit("")).alias(k) for k, i in places.items()])
+    x = x.where(F.col(key).rlike("[0-9]"))
+    rest = ["doc", *[k for k in places if k != key]]
+    first = x.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("doc", *order)).alias("r")).select(key, "r.*")
+    return first.withColumn("pin", code(F.col(pin_from))) if pin_from else first
+
+
+def labelled_rows(cells: DataFrame, label: int, values: dict[str, int], labels: list[str]) -> DataFrame:
+    """(doc, value_label for each value and label): a table section with one row for each label, such as Total, Rural, Urban, in any case; its first row counts.
+
+    cells: (doc, row_no, cells).
+    """
+    from ..functions.text import digits_number
+
+    at = lambda i: F.try_element_at("cells", F.lit(i + 1))
+    x = cells.withColumn("label_", F.lower(F.trim(at(label)))).where(F.col("label_").isin([k.lower() for k in labels]))
+    agg = [F.min_by(F.when(F.col("label_") == k.lower(), digits_number(at(i))), F.when(F.col("label_") == k.lower(), F.col("row_no"))).alias(f"{v}_{k.lower()}") for v, i in values.items() for k in labels]
+    return x.groupBy("doc").agg(*agg)
+
+
+def literal_table(spark: SparkSession, values: dict, key: str, value: str) -> DataFrame:
+    """A mapping of plain values as a frame of two columns; for anchors and lists that come with a model's configuration."""
+    kind = {int: "long", float: "double", str: "string", bool: "boolean"}
+    k, v = ({type(x) for x in side if x is not None} for side in (values.keys(), values.values()))
+    types = [kind[float if ts == {int, float} else next(iter(ts), str)] for ts in (k, v)]
+    rows = [(a, float(b) if types[1] == "double" and b is not None else b) for a, b in values.items()]
+    return spark.createDataFrame(rows, f"`{key}` {types[0]}, `{value}` {types[1]}")
+
+
+def load_outputs(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """Named result files (CSV with header, or JSON) of a run as cached frames, by their stem; absent ones are left out."""
+    found = presence(spark, {n: f"{folder.rstrip('/')}/{n}" for n in names})
+    out = {}
+    for r in found.where("status = 'PRESENT'").collect():
+        stem = r.source.rpartition("/")[2].rpartition(".")[0]
+        read = spark.read.option("multiLine", True).json if r.source.endswith(".json") else spark.read.options(header=True, inferSchema=True).csv
+        out[stem] = read(r.path).cache()
+    return out
 
 
 def entity_master(rows: DataFrame) -> DataFrame:
@@ -67,11 +170,22 @@ def multi_value(c: Column, sep: str = "|") -> Column:
 
 
 def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, extension, bytes, modified, sha16, category) of a file tree; contents are hashed on the executors, never gathered."""
+    """(path, extension, bytes, modified, sha16, category, n_rows, n_columns, keys) of a file tree; contents are read on the executors, never gathered.
+
+    n_rows: lines of a CSV that are not blank, less its header; n_columns: of its header; keys: of a JSON object or, at the left margin, of a YAML file.
+    """
     files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     category = F.when(ext.isin("csv", "tsv", "parquet"), "TABLE").when(ext.isin("json", "yaml", "yml"), "CONFIG").when(ext == "pdf", "DOCUMENT").otherwise("OTHER")
-    return files.select("path", ext.alias("extension"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.substring(F.sha2("content", 256), 1, 16).alias("sha16"), category.alias("category"))
+    text = F.when(ext.isin("csv", "tsv", "json", "yaml", "yml"), F.decode("content", "UTF-8"))
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    sheet = ext.isin("csv", "tsv")
+    columns = F.size(F.split(F.try_element_at(lines, F.lit(1)), F.when(ext == "tsv", "\t").otherwise(",")))
+    keys = F.when(ext == "json", F.json_object_keys(text)).when(ext.isin("yaml", "yml"), F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"^([A-Za-z_][\w-]*)\s*:", 1)), lambda x: x != ""))
+    return files.select(
+        "path", ext.alias("extension"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.substring(F.sha2("content", 256), 1, 16).alias("sha16"), category.alias("category"),
+        F.when(sheet, F.greatest(F.size(lines) - 1, F.lit(0))).alias("n_rows"), F.when(sheet, F.greatest(columns, F.lit(0))).alias("n_columns"), keys.alias("keys"),
+    )
 
 
 def presence(spark: SparkSession, sources: dict[str, str]) -> DataFrame:

@@ -1,12 +1,13 @@
 """Operators on small fixtures with known answers."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairnspark.functions import numeric, text
-from cairnspark.operators import impute, lineage, normalise, order, quality, resolve, score, sensitivity, sequence, stats
+from cairnspark.operators import audit, impute, lineage, normalise, order, quality, resolve, score, sensitivity, sequence, stats
 from cairnspark.operators import weights as w
 
 
@@ -152,6 +153,90 @@ def test_resolution(spark):
     assert got["beta", None] == (None, "ambiguous") and got["alphaa", "g"] == (1, "fuzzy") and got["omega", "g"] == (None, "unmatched")
 
 
+def test_resolution_hints_candidates_and_edges(spark):
+    dim = spark.createDataFrame([(1, "north hill", "alpha state"), (2, "north hall", "alpha state"), (3, "river", "beta"), (4, "rivet", "gamma"), (5, "twin", "beta"), (6, "twin", "gamma")], "id long, name string, grp string")
+    ask = [("river", "beta land"), ("xiver", None), ("twin", "delta"), ("twin", "gam"), ("north hell", "alpha"), ("old", "gamma"), ("old", "bet"), ("", None), ("riverr", "gamma"), ("riverr", "beta")]
+    al = spark.createDataFrame([("old", 3, "historical", 0.9)], "alias string, id long, method string, confidence double")
+    got = {(r.name, r.hint): r for r in resolve.resolve(spark.createDataFrame(ask, "name string, hint string"), dim, al, threshold=0.78).collect()}
+    say = lambda *k: (got[k].id, got[k].method, got[k].candidates)
+    assert say("river", "beta land") == (3, "exact", None) and say("xiver", None) == (3, "fuzzy", None)  # another first letter, no hint
+    assert say("twin", "delta") == (None, "ambiguous", [5, 6]) and say("twin", "gam") == (6, "exact", None)
+    assert say("north hell", "alpha") == (None, "ambiguous", [1, 2])  # both at 0.9
+    assert say("old", "bet") == (3, "historical", None) and got["old", "bet"].confidence == 0.9
+    assert say("old", "gamma") == (None, "unmatched", None) and say("", None) == (None, "unmatched", None)
+    assert say("riverr", "beta") == (3, "fuzzy", None) and say("riverr", "gamma")[1] == "unmatched"
+
+
+def slow_resolve(name, hint, dim, ratio, threshold=0.84, margin=0.03):
+    """The cascade without aliases, entity by entity."""
+    fits = lambda g: hint is None or hint in g or g in hint
+    same = [d for d in dim if d[1] == name]
+    if same:
+        some = [d for d in same if fits(d[2])] or same
+        return (some[0][0], "exact") if len(some) == 1 else (None, "ambiguous")
+    scored = sorted(((ratio(name, d[1]), d[0]) for d in dim if fits(d[2])), reverse=True)
+    if not scored or scored[0][0] < threshold:
+        return None, "unmatched"
+    close = [i for s, i in scored if scored[0][0] - s <= margin]
+    return (close[0], "fuzzy") if len(close) == 1 else (None, "ambiguous")
+
+
+def test_resolution_by_matching_blocks_loses_nobody(spark):
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 9)))
+    dim = [(i, f"{word()} {word()}".strip(), rnd.choice(["g", "gh", "k"])) for i in range(150)]
+    ask = set()
+    for i, n, g in dim:
+        t = list(n)
+        for _ in range(rnd.randrange(3)):
+            k = rnd.randrange(len(t) + 1)
+            t[k : k + rnd.randrange(2)] = rnd.choice(["", "x", "a"])
+        ask.add(("".join(t), rnd.choice([None, g, "g", "zz"])))
+    rows = resolve.resolve(spark.createDataFrame(sorted(ask, key=str), "name string, hint string"), spark.createDataFrame(dim, "id long, name string, grp string"), similarity=text.sequence_ratio).collect()
+    assert len(rows) == len(ask)
+    for r in rows:
+        assert (r.id, r.method) == slow_resolve(r.name, r.hint, dim, lambda a, b: SequenceMatcher(None, a, b).ratio()), r
+
+
+def test_crosswalk_rows(spark):
+    raw = spark.createDataFrame([("A-b", "7", "", None, "x"), ("a b", "8", "SPLIT", "0.5", "3"), ("c", "none", None, None, None)], "source string, id string, method string, confidence string, parent string").withColumn("n", F.monotonically_increasing_id())
+    got = [tuple(r) for r in resolve.crosswalk(raw.withColumn("alias", F.col("source")), text.normalise_name(F.col("source")), F.col("n")).collect()]
+    assert got == [("a b", 8, "split", 0.5, 3)]
+
+
+def test_contained_names_wherever_they_stand(spark):
+    rows = spark.createDataFrame([(1, "xxgoaxx"), (2, "Panaji, Goa"), (3, "none"), (4, None), (5, "a")], "row_id long, text string")
+    dim = spark.createDataFrame([(10, "Goa", 2), (11, "naj", 1), (12, "a", 9), (13, "", 0), (14, "panaji, goa and more", 0)], "id long, name string, pos int")
+    assert {r.row_id: r.id for r in resolve.first_contained(rows, dim).collect()} == {1: 10, 2: 11, 5: 12}
+
+
+def test_header_names_and_values(spark):
+    rows = [(["x", "District Fact She et", "Kolar", "Karnataka"], "/a/b.pdf"), (["District Fact Sheet", "Ministry of Health", "y"], "/a/NFHS-5_DistFact_Goa_North Goa__North Goa.pdf"), (["z"], "/a/DistFact_Kerala_Idukki.pdf"), (["z"], "/a/other.pdf")]
+    h = text.header_names(F.col("lines"), F.col("path"))
+    got = [(r.h.name, r.h.grp) for r in spark.createDataFrame(rows, "lines array<string>, path string").select(h.alias("h")).collect()]
+    assert got == [("Kolar", "Karnataka"), ("North Goa", "Goa"), ("Idukki", "Kerala"), (None, None)]
+    one = spark.range(1).select(text.unit_values(F.lit("5. Women (%) (12.5) 1,004")).alias("v"), text.trailing_number(F.lit("12. none")).alias("t")).first()
+    assert (one.v.now, one.v.before, one.t) == (12.5, 1004.0, None)
+
+
+def test_rounding_of_the_exact_value(spark):
+    got = spark.createDataFrame([(2.675,), (0.5,), (1.5,), (2.5,), (None,), (1.0005,)], "x double").select(numeric.round_half_even(F.col("x"), 2).alias("a"), numeric.round_half_even(F.col("x"), 0).alias("b")).collect()
+    assert [r.a for r in got] == [2.67, 0.5, 1.5, 2.5, None, 1.0] and [r.b for r in got] == [3.0, 0.0, 2.0, 2.0, None, 1.0]
+
+
+def test_correlation_with_a_constant_is_null(spark):
+    assert stats.spearman(spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double"), "x", "y").first().pearson is None
+
+
+def test_geography_check_fails_when_numbers_differ(spark):
+    dim = spark.createDataFrame([(1, "a"), (2, "b")], "id long, grp string")
+    assert audit.geography_check(dim, 2, 2).first().passed
+    with pytest.raises(Exception, match="2 ids, 2 groups"):
+        audit.geography_check(dim, 3).collect()
+
+
 def test_draws_repeat():
     a = sensitivity.lognormal_draws({"A": 0.5, "B": 0.5}, 10)
     assert a == sensitivity.lognormal_draws({"A": 0.5, "B": 0.5}, 10)

@@ -21,6 +21,54 @@ def test_csv_family(spark, tmp_path):
     assert {(r.company, r.absent, r.source) for r in got} == {("A", None, "north"), ("A", None, "south")}
 
 
+def test_csv_family_with_other_headers(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("Company,Status\nalpha,ACTV\n")
+    (tmp_path / "two.csv").write_text("Status,Company Name\nACTV,zeta\n")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "three.csv").write_text('"Status"\ngone\n')
+    columns = {"company": ["Company", "CompanyName"], "status": ["Status"]}
+    got = {tuple(r) for r in readers.read_family(spark, str(tmp_path), columns).collect()}
+    assert got == {("alpha", "ACTV", "one"), ("zeta", "ACTV", "two")}
+    got = {tuple(r) for r in readers.read_family(spark, str(tmp_path), columns, recursive=True).collect()}
+    assert (None, "gone", "three") in got and len(got) == 3
+    assert readers.read_family(spark, str(tmp_path / "*.none"), columns).count() == 0
+
+
+def test_reshape_and_defaults(spark):
+    raw = spark.createDataFrame([(" 1 ", "a", "5"), ("", "b", "6"), ("3", "", "x")], "`District Code` string, Name string, growth string")
+    got = [tuple(r) for r in readers.reshape(raw, {"code": ["districtcode"], "name": ["Name"], "none": ["zz"]}, ["code"], {"aliases": ""}).collect()]
+    assert got == [("1", "a", None, ""), ("3", "", None, "")]
+    got = [tuple(r) for r in readers.numeric_defaults(raw, ["District", "Name"], {"growth": (["decadal", "growth"], 12.5), "literacy": (["literacy"], 78.0)}).collect()]
+    assert got == [("a", 5.0, 78.0), ("b", 6.0, 78.0)]
+
+
+def test_tables_without_headers(spark):
+    cells = [("d", 1, ["Sr", "Code", "Address"]), ("d", 2, ["1", "K1", "x 641001"]), ("d", 3, ["2", "K1", "y 500001"]), ("d", 4, ["3", "K2", "none"])]
+    df = spark.createDataFrame(cells, "doc string, row_no int, cells array<string>")
+    got = {(r.code, r.address, r.pin) for r in readers.positional_rows(df, ["row_no"], {"code": 1, "address": 2}, "code", "address").collect()}
+    assert got == {("K1", "x 641001", "641001"), ("K2", "none", None)}
+    cells = [("d", 1, ["Total", "1,200", "7"]), ("d", 2, ["RURAL", "800", "x"]), ("d", 3, ["Total", "9", "9"]), ("e", 1, ["Urban", "4", "5"])]
+    df = spark.createDataFrame(cells, "doc string, row_no int, cells array<string>")
+    got = {r.doc: r for r in readers.labelled_rows(df, 0, {"people": 1, "homes": 2}, ["Total", "Rural", "Urban"]).collect()}
+    assert (got["d"].people_total, got["d"].people_rural, got["d"].homes_rural, got["d"].people_urban, got["e"].people_urban) == (1200.0, 800.0, None, None, 4.0)
+
+
+def test_literals_and_outputs(spark, tmp_path):
+    assert {tuple(r) for r in readers.literal_table(spark, {"a": 1.5, "b": 2}, "name", "population").collect()} == {("a", 1.5), ("b", 2.0)}
+    (tmp_path / "scores.csv").write_text("id,score\n1,2.5\n")
+    (tmp_path / "meta.json").write_text('{\n"n": 3\n}')
+    got = readers.load_outputs(spark, str(tmp_path), ["scores.csv", "meta.json", "none.csv"])
+    assert set(got) == {"scores", "meta"} and got["scores"].first().score == 2.5 and got["meta"].first().n == 3
+
+
+def test_inventory_counts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n\n3,4\n")
+    (tmp_path / "b.json").write_text('{"k": 1, "l": {"m": 2}}')
+    (tmp_path / "c.yaml").write_text("top: 1\nlist:\n  - inner: 2\n")
+    got = {r.path.rpartition("/")[2]: (r.n_rows, r.n_columns, r["keys"]) for r in readers.inventory(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": (2, 2, None), "b.json": (None, None, ["k", "l"]), "c.yaml": (None, None, ["top", "list"])}
+
+
 def test_csv_with_repeated_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("State,%,n,%\nX,1,2,3\n")
     df = readers.read_csv(spark, str(tmp_path / "a.csv"))
