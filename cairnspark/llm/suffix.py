@@ -9,6 +9,9 @@ task chosen by their seed.
 There, arrivals are handled in batches. A batch gets two suffix arrays with common-prefix lengths: its contexts sorted by
 the text from the anchor on, and by the text before the anchor read backwards. It is merge-scanned against itself and every level of the
 index family, then becomes a level; levels of about equal size merge, so there are logarithmically many.
+A seed of very many documents (a short passage that stands in a third of them) would be one task's. A string of ``length`` bytes around an
+anchor has (length + seed) / 2 bytes from it on, or (length - seed) / 2 before it; so contexts of such a seed go to two groups, by a hash of the
+one and of the other, and any two that share a string meet in one of them.
 In a scan, a string that begins j bytes before its anchor is repeated if another context is in the same class of the left array
 (j common bytes) and in the same class of the right one (length - j common bytes); classes are running counts over the arrays, so no
 pairs are formed. Contexts that are equal altogether are one entry, and copies of a known one are answered at once.
@@ -24,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE_INV, mix64, powers, prefix_hash, prepare, runs, slices, table, text_arrays, trimmed
+from .common import BASE_INV, materialise, mix64, powers, prefix_hash, prepare, runs, slices, table, text_arrays, trimmed
 
 #: Bytes that an anchor's seed covers.
 SEED = 64
-#: Contexts in a batch of the index.
+#: Contexts in a batch of the index, and documents with a seed from which its contexts are told apart by more than the seed.
 BATCH = 16_000
+HOT = 2000
+#: Bytes of a group's number.
+SIGN = 8
 
 
 def seed_length(length: int) -> int:
@@ -68,7 +74,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 class Level:
-    """Contexts in both orders. right: bytes from the anchor on; left: bytes before it, backwards; both padded with zeros."""
+    """Contexts in both orders. right: bytes from the anchor on; left: the group's number, then the bytes before the anchor, backwards; both padded with zeros."""
 
     def __init__(self, ids: np.ndarray, right: np.ndarray, left: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: np.ndarray, by_right=None, by_left=None):
         self.ids, self.right, self.left, self.lo, self.hi, self.seed = ids, right, left, lo, hi, seed
@@ -131,7 +137,7 @@ class Family:
         new: list[tuple[int, int, bytes]] = []
         n = len(self.place)
         for seed, lead, text, docs, hashes, starts in contexts:
-            key = hashlib.blake2b(text, digest_size=16, salt=lead.to_bytes(8, "little")).digest()
+            key = hashlib.blake2b(text, digest_size=16, salt=lead.to_bytes(8, "little"), person=seed.to_bytes(8, "little", signed=True)).digest()
             i = self.known.get(key)
             places = list(zip(docs, hashes, starts))
             if i is None:
@@ -151,7 +157,10 @@ class Family:
             count = size - self.length + 1
             self.least = np.concatenate([self.least, np.full(len(new), 1 << 40)])
             self.most = np.concatenate([self.most, np.full(len(new), -1)])
-            level = Level(np.arange(n, len(self.place)), *self._sides([c[2] for c in new], lead, size), lead - count + 1, lead, np.array([c[0] for c in new], np.int64))
+            seed = np.array([c[0] for c in new], np.int64)
+            right, left = self._sides([c[2] for c in new], lead, size)
+            left = np.hstack([seed.astype("<i8").view(np.uint8).reshape(-1, SIGN), left])  # a context may be in two groups, where it is no copy of itself
+            level = Level(np.arange(n, len(self.place)), right, left, lead - count + 1, lead, seed)
             self._scan(level)
             for old in self.levels:
                 self._scan(old.part(np.isin(old.seed, level.seed)).merged(level.part(np.isin(level.seed, old.seed))))
@@ -210,7 +219,7 @@ class Family:
             if not part.any():
                 continue
             cr[x.by_right] = np.cumsum(right < self.length - j)
-            cl[x.by_left] = np.cumsum(left < j)
+            cl[x.by_left] = np.cumsum(left < j + SIGN)
             code = np.sort((((cl << bits) | cr) << bits | rows)[part])
             same = (code[1:] >> bits) == (code[:-1] >> bits)
             if same.any():
@@ -272,17 +281,24 @@ def covers(rows: DataFrame, length: int) -> DataFrame:
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(seed[out]), pa.array(doc[out]), pa.array(th[out])], names)
 
+    half = (length - seed_length(length)) // 2  # bytes before an anchor; with one less, length - half are from it on
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["seed", "lead", "text", "docs", "hashes", "starts"]
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+
+        def group(seed: int, side: bytes) -> int:
+            return int.from_bytes(hashlib.blake2b(side, digest_size=8, key=seed.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+
         for batch in batches:
             doc, th = (c.to_numpy() for c in batch.columns[:2])
             raw, off = text_arrays(batch.column(2))
-            wanted = batch.column(3)
+            wanted, hot = batch.column(3), batch.column(4)
             for i, j in slices(off):
                 part, base = raw[off[i] : off[j]], off[i : j + 1] - off[i]
                 row, anchor, first, last, seed = anchors(part, base, length)
                 want = wanted.slice(i, j - i).flatten().to_numpy(zero_copy_only=False)
+                many = set(hot.slice(i, j - i).flatten().to_pylist())
                 keep = np.isin(seed.view(np.int64), want)
                 data = part.tobytes()
                 found: dict[tuple[int, bytes], list] = {}
@@ -291,9 +307,16 @@ def covers(rows: DataFrame, length: int) -> DataFrame:
                     entry[1].append(int(doc[i + r]))
                     entry[2].append(int(th[i + r]))
                     entry[3].append(b - int(base[r]))
-                if found:
-                    cols = zip(*((e[0], lead, text, e[1], e[2], e[3]) for (lead, text), e in found.items()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+                out = []
+                for (lead, text), e in found.items():
+                    groups = [e[0]]
+                    if e[0] in many:
+                        groups = [group(e[0], b"<" + text[lead - half : lead])] if lead >= half else []
+                        if len(text) - lead > length - half:
+                            groups.append(group(e[0], b">" + text[lead : lead + length - half + 1]))
+                    out += [(g, lead, text, e[1], e[2], e[3]) for g in groups]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, waiting = Family(length), []
@@ -313,9 +336,11 @@ def covers(rows: DataFrame, length: int) -> DataFrame:
             yield rows_of(spans)
 
     one = rows.select("doc", "th", "text").mapInArrow(trimmed(seeds), "seed long, doc long, th long, many boolean")
-    again = one.repartition("seed").sortWithinPartitions("seed").mapInArrow(trimmed(repeated), "seed long, doc long, th long")
-    wanted = again.groupBy("doc", "th").agg(F.collect_list("seed").alias("wanted"))  # no more than a document's own anchors
-    found = rows.select("doc", "th", "text", "doc_id").join(wanted.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "wanted").mapInArrow(trimmed(contexts), "seed long, lead long, text binary, docs array<long>, hashes array<long>, starts array<long>")
+    again = materialise(one.repartition("seed").sortWithinPartitions("seed").mapInArrow(trimmed(repeated), "seed long, doc long, th long"))
+    hot = again.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("seed", F.lit(True).alias("hot"))
+    marked = again.join(hot, "seed", "left")
+    wanted = marked.groupBy("doc", "th").agg(F.collect_list("seed").alias("wanted"), F.collect_list(F.when(F.col("hot"), F.col("seed"))).alias("hot"))  # no more than a document's own anchors
+    found = rows.select("doc", "th", "text", "doc_id").join(wanted.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "wanted", "hot").mapInArrow(trimmed(contexts), "seed long, lead long, text binary, docs array<long>, hashes array<long>, starts array<long>")
     spans = found.repartition("seed").mapInArrow(trimmed(index), "doc long, th long, s long, e long")
     return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 

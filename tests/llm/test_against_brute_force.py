@@ -94,9 +94,11 @@ def test_suffix_dedup(spark, texts):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(c), c.sum(), starts, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("hot", [2000, 1])
 @pytest.mark.parametrize("seed", range(3))
-def test_suffix_dedup_of_edited_copies(spark, seed):
-    """Periodic texts, copies with edits, passages cut at any place."""
+def test_suffix_dedup_of_edited_copies(spark, seed, hot, monkeypatch):
+    """Periodic texts, copies with edits, passages cut at any place; every seed handled as a frequent one, too."""
+    monkeypatch.setattr(suffix, "HOT", hot)
     rnd = random.Random(seed)
     base = "".join(rnd.choice("abcdefgh ") for _ in range(700))
     texts = {0: base, 1: base[100:400], 2: "ab" * 200, 3: "x" + "ab" * 60}
@@ -332,6 +334,7 @@ def test_jaccard_join(spark, texts):
 def test_jaccard_join_of_near_copies(spark, k, num, monkeypatch):
     """Copies with random edits around the threshold, in clusters of more than one block, and sets of every small size."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "NEAR_BLOCK", 7)
     rnd = random.Random(k)
     base = [[f"w{rnd.randrange(400)}" for _ in range(n)] for n in (120, 60, 25)]
     texts, n = {}, 0
