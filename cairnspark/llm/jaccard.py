@@ -10,8 +10,8 @@ overlaps are counted apart, as a product of 0/1 matrices, and summed for each pa
 How many fragments are needed depends on the sets' size; sizes are cut into classes, and a set that can
 have a partner in the next class signs there too. Documents with equal sets are collapsed to the one with the smallest id
 before anything is joined. A bucket's members meet at its first member, where close sketches give a spanning forest, never all
-pairs; connected candidates make a cluster, and inside it every pair is compared: a cluster of more than ``BLOCK`` sets in a grid of
-block pairs, each of which returns a spanning forest of its links. So no stage emits the pairs of a
+pairs; connected candidates make a cluster, and inside it every pair is compared. Large buckets and clusters are compared in a grid of
+block pairs, each of which returns a spanning forest. So no stage emits the pairs of a
 group, and no task holds more than two blocks.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, components, materialise, mix64, powers, prefix_hash, prepare, runs, slices, span_hash, table, text_arrays, trimmed, words
 
-#: Sets that a block of a cluster may hold.
-BLOCK = 512
+#: Sets that a block of a cluster may hold, and sketches that a block of a bucket's members may.
+BLOCK, NEAR_BLOCK = 512, 4096
 #: Ratio of the smallest sizes of neighbouring size classes.
 CLASS_RATIO = 1.5
 #: Columns of a fragment's 0/1 matrix at a time.
@@ -198,22 +198,40 @@ def meetings(signed: DataFrame) -> DataFrame:
     return signed.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(trimmed(run), "head long, c long, doc_id long").distinct()
 
 
-def near(groups: DataFrame, sim: Similarity) -> DataFrame:
-    """(a, b): edges that connect the documents of each group (head, c) whose sketches are close. groups: (head, c, doc_id, n, sketch)."""
+def gridded(groups: DataFrame, key: list[str], member: str, block: int) -> DataFrame:
+    """groups with (cell, left, right): the members of a group of more than ``block`` are dealt to blocks, and any two blocks meet in a cell of their own.
+
+    Inside a cell, rows that are ``left`` are to be compared with rows that are ``right``. A smaller group is one cell.
+    """
+    sizes = groups.groupBy(*key).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    x = groups.join(sizes.where("blocks > 1"), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    x = x.withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = F.xxhash64(*key, F.least("block", "other"), F.greatest("block", "other")).alias("cell")
+    return x.select(*groups.columns, cell, (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
+
+
+def near(cells: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b): edges that connect the documents of each cell whose sketches are close. cells: (cell, left, right, doc_id, n, sketch), two blocks at most in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, sizes, sketches = None, [], [], []
+        last, ids, sizes, sketches, left, right = None, [], [], [], [], []
 
         def close() -> list[tuple[int, int]]:
             m = len(ids)
             if m < 2:
                 return []
-            bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(m, -1)
-            size = np.array(sizes, np.int64)
+            # left-only first, then both, then right-only, so that either side is a run
+            order = sorted(range(m), key=lambda x: (right[x], not left[x]))
+            d = [ids[x] for x in order]
+            bits = np.frombuffer(b"".join(sketches[x] for x in order), np.uint64).reshape(m, -1)
+            size = np.array(sizes, np.int64)[order]
+            n_left, first_right = sum(left), m - sum(right)
             i, j = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for a in range(0, m, 256):
-                for b in range(a, m, 1024):
-                    x, y = size[a : a + 256, None], size[None, b : b + 1024]
+            for a in range(0, n_left, 256):
+                to = min(a + 256, n_left)
+                for b in range(max(a, first_right), m, 1024):
+                    x, y = size[a:to, None], size[None, b : b + 1024]
                     p, q = np.nonzero(sim.num * np.maximum(x, y) <= sim.den * np.minimum(x, y))
                     fit = p + a < q + b
                     p, q = p[fit] + a, q[fit] + b
@@ -225,23 +243,25 @@ def near(groups: DataFrame, sim: Similarity) -> DataFrame:
                         # reduced tile by tile, so that no group's pairs are held
                         kept = forest(np.concatenate([i, p[fit]]), np.concatenate([j, q[fit]]), m)
                         i, j = np.array([k[0] for k in kept], np.int64), np.array([k[1] for k in kept], np.int64)
-            return [(ids[p], ids[q]) for p, q in zip(i.tolist(), j.tolist())]
+            return [(d[p], d[q]) for p, q in zip(i.tolist(), j.tolist())]
 
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for head, c, doc, n, sketch in zip(*(x.to_pylist() for x in batch.columns)):
-                if (head, c) != last:
+            for cell, l_, r_, doc, n, sketch in zip(*(x.to_pylist() for x in batch.columns)):
+                if cell != last:
                     out += close()
-                    last, ids, sizes, sketches = (head, c), [], [], []
+                    last, ids, sizes, sketches, left, right = cell, [], [], [], [], []
                 ids.append(doc)
                 sizes.append(n)
                 sketches.append(sketch)
+                left.append(l_)
+                right.append(r_)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
         if out := close():
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
-    return groups.repartition("head", "c").sortWithinPartitions("head", "c").select("head", "c", "doc_id", "n", "sketch").mapInArrow(trimmed(run), "a long, b long")
+    return cells.repartition("cell").sortWithinPartitions("cell").select("cell", "left", "right", "doc_id", "n", "sketch").mapInArrow(trimmed(run), "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], rows: slice, cols: slice) -> np.ndarray:
@@ -351,17 +371,8 @@ def jaccard_join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         met = materialise(meetings(sign(only, k, sim)))
         groups = met.union(met.select("head", "c", F.col("head").alias("doc_id")).distinct())
         sketches = sets.select("doc_id", "n", F.inline("sketches"))
-        clusters = components(near(groups.hint("merge").join(sketches, ["doc_id", "c"]), sim))
-        # blocks of large clusters
-        sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-        blocks = clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-        cells = blocks.select("doc_id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
-            "doc_id",
-            F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-            (F.col("block") <= F.col("other")).alias("left"),
-            (F.col("block") >= F.col("other")).alias("right"),
-        )
+        clusters = components(near(gridded(groups, ["head", "c"], "doc_id", NEAR_BLOCK).hint("merge").join(sketches, ["doc_id", "c"]), sim))
+        cells = gridded(clusters.select(F.col("id").alias("doc_id"), "component"), ["component"], "doc_id", BLOCK)
         joined = components(verify(cells.hint("merge").join(docs, "doc_id"), k, sim))
         scratch.keep(reps)
         scratch.keep(joined)
