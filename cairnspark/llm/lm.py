@@ -200,7 +200,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _chunks(batches: Iterator[pa.RecordBatch]):
     """(key, doc ids, held, learned, raw, offsets) of runs of rows with CHUNK_BYTES of text.
 
-    The key says which chunk of which partition it is, and has a digest of what is in it.
+    The key says which chunk of which partition it is, and has a digest of what is in it: both passes over a table must cut it alike.
     """
     waiting, size, number = [], 0, 0
 
@@ -260,6 +260,7 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
     prepare(spark)
     shards = SHARDS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.coalesce(learned, F.lit(False)).alias("learned"), "text")
+    src = materialise(src)  # both passes cut it into chunks: rows that come from a shuffle could be in another order the second time
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
@@ -268,14 +269,12 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
             yield _rows([(key, -1, TEXTS, struct.pack("<q", len(head)) + head + z.compress(raw.tobytes()))])
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
-                _, _, _, learned_, off, raw = opened(blob)
-                h, at = tokens(raw, off)
-                word, inverse = np.unique(h, return_inverse=True)
-                n = np.bincount(inverse, weights=np.repeat(learned_, np.diff(at)), minlength=len(word)).astype(np.uint32)
-                cut = np.searchsorted(_shard(word, shards), np.arange(shards + 1))
-                yield _rows([(key, s, WORDS, squeeze(word[a:b], n[a:b])) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a])
+        for key, _, _, learned_, raw, off in _chunks(batches):
+            h, at = tokens(raw, off)
+            word, inverse = np.unique(h, return_inverse=True)
+            n = np.bincount(inverse, weights=np.repeat(learned_, np.diff(at)), minlength=len(word)).astype(np.uint32)
+            cut = np.searchsorted(_shard(word, shards), np.arange(shards + 1))
+            yield _rows([(key, s, WORDS, squeeze(word[a:b], n[a:b])) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
@@ -287,9 +286,7 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
         out = [(k, shard, WORDS, squeeze(inverse[a:b].astype(np.uint32), n[inverse[a:b]])) for k, a, b in zip(pdf["chunk"], at[:-1], at[1:])]
         return _frame([*out, (b"", shard, TOTALS, struct.pack("<qqq", int(n.sum()), int((n > 0).sum()), len(word)))])
 
-    # chunks are cut once: a partition that is read again may have its rows in another order
-    chunks = materialise(src.mapInArrow(trimmed(texts), BLOBS))
-    counted = materialise(chunks.mapInArrow(trimmed(vocabulary), BLOBS).groupBy("shard").applyInPandas(count, BLOBS))
+    counted = materialise(src.mapInArrow(trimmed(vocabulary), BLOBS).groupBy("shard").applyInPandas(count, BLOBS))
     # one row for each shard
     totals = [(r["shard"], *struct.unpack("<qqq", bytes(r["blob"]))) for r in counted.where(F.col("kind") == TOTALS).select("shard", "blob").collect()]
     n_all, v_all = sum(t[1] for t in totals), sum(t[2] for t in totals)
@@ -305,6 +302,8 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         key = pdf["chunk"].iloc[0]
         text = pdf[pdf["kind"] == TEXTS]
+        if not len(text):
+            raise RuntimeError("a chunk was cut differently when its words were counted")
         back = pdf[pdf["kind"] == WORDS].sort_values("shard")
         got = [unsqueeze(b) for b in back["blob"]]
         word_id = np.concatenate([g[0] + first_id[s] for g, s in zip(got, back["shard"])]) if got else np.zeros(0, np.int64)
@@ -395,7 +394,7 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
         doc_id = pd.Series(ids).astype("Int64").mask(valid == 0)
         return pd.DataFrame({"doc_id": doc_id, "held_out": held_ == 1, "n_tokens": n, "n_known": known, "train_tokens": n_all, "base_score": base, "score": total})
 
-    sent = chunks.unionByName(counted.where(F.col("kind") == WORDS))
+    sent = src.mapInArrow(trimmed(texts), BLOBS).unionByName(counted.where(F.col("kind") == WORDS))
     scored = sent.groupBy("chunk").applyInPandas(pairs, BLOBS).groupBy("shard").applyInPandas(look, BLOBS)
     return scored.groupBy("chunk").applyInPandas(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
