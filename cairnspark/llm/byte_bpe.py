@@ -300,4 +300,5 @@ def default_path() -> str:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document; a null text is empty: no ids."""
     return encode_documents(table(spark, sf_dir, "documents"), default_path(), with_ids=False)

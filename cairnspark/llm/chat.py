@@ -151,6 +151,7 @@ def digest(examples: DataFrame) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the output, one row for each conversation, an odd one of control strings included; rows with null text are empty turns."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "<|im_end|><|im_start|>assistant ok"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))

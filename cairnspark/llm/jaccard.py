@@ -381,4 +381,25 @@ def jaccard_join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document: three-word shingles, similarity of 0.9 or more. Null and empty texts: 0 shingles, a component of their own."""
     return jaccard_join(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d
+), x AS (
+  SELECT doc_id, unnest(s) AS g, len(s) AS n FROM sh
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+  HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), r(id, c) AS (
+  SELECT a, b FROM links UNION SELECT r.id, links.b FROM r JOIN links ON links.a = r.c
+), least_ AS (
+  SELECT id, min(c) AS c FROM r GROUP BY 1
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id FROM sh LEFT JOIN least_ ON id = doc_id
+"""

@@ -183,6 +183,7 @@ def predict(docs: DataFrame, model: Model | None, *carry: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, ambiguous) of every document, learnt from the labelled ones that are not held out; und for null texts and those without a letter."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     model = train(docs.where(F.coalesce(fold != 2, F.lit(False))).select("lang", "text"))

@@ -400,5 +400,6 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and scores of every document under a model of those that are not held out; a null text is one end token."""
     fold = F.crc32(F.col("doc_id").cast("long").cast("string")) % 10
     return score(table(spark, sf_dir, "documents"), fold == 0, fold != 0)

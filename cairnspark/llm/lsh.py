@@ -264,5 +264,6 @@ def exact_nearest(vectors: DataFrame, queries: DataFrame, k: int, n: int, slab:
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): the 10 nearest found of every hundredth vector. Vectors that are null, zero, or not finite take no part."""
     vectors = valid_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", drop_zero=True)
     return search(vectors, F.col("id") % 100 == 0, 10)

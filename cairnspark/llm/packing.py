@@ -458,4 +458,5 @@ def default_path() -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece of every document, with its place in a sequence of 4096 ids; a null text is the end id alone."""
     return pack(table(spark, sf_dir, "documents"), default_path())

@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_topk": topk.ORACLE_SQL,
     "op3_chat_format": chat.ORACLE_SQL,
+    "op7_jaccard_join": jaccard.ORACLE_SQL,
 }

@@ -418,4 +418,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): every document without what strings of 400 bytes cover that start elsewhere too; n_bytes counts the input. A null text is empty."""
     return digest(repeated_spans(table(spark, sf_dir, "documents"), 400))

@@ -134,6 +134,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): the 20 largest integer inner products of every twentieth vector. Vectors that are null, empty, or not finite take no part."""
     rows = valid_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     # doubles from 2^53 on are whole numbers
     scaled = F.transform("vector", lambda x: F.when(F.abs(x) < float(1 << 46), F.floor(x * 64.0).cast("double")).otherwise(x * 64.0))

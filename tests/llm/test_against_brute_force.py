@@ -68,6 +68,40 @@ def test_codewords_are_far_apart():
         assert min(d) >= (m.shape[1] + 1) // 2 if n <= 7 else min(d) >= m.shape[1] // 4
 
 
+def test_language_decoding(texts, con):
+    """Trigrams counted one by one, bits voted and codewords chosen in plain Python, on the same codewords."""
+    lang = dict(con.sql("SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL").fetchall())
+
+    def grams(t):
+        m = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in t.encode()]
+        return [((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> (32 - (language_id.BUCKETS.bit_length() - 1)) for a, b, c in zip(m, m[1:], m[2:]) if (a, b, c) != (32, 32, 32)]
+
+    names = sorted(set(lang.values()))
+    own = {n: Counter(g for i, t in texts.items() if lang.get(i) == n for g in grams(t)) for n in names}
+    counts = np.array([[own[n][b] for b in range(language_id.BUCKETS)] for n in names], float)
+    model = language_id.Model(names, counts)
+    p = {n: (lambda b, n=n, total=sum(own[n].values()) + 0.5 * language_id.BUCKETS: (own[n][b] + 0.5) / total) for n in names}
+    for i in sorted(texts)[:25]:
+        gs = grams(texts[i])
+        raw = np.frombuffer(texts[i].encode(), np.uint8)
+        best, score, _ = model.predict(raw, np.array([0, len(raw)]))
+        loss = []
+        for k in range(len(names)):
+            total = 0.0
+            for b in range(model.code.shape[1]):
+                one, zero = ([x for j, x in enumerate(names) if model.code[j, b] == s] for s in (1, -1))
+                vote = sum(math.log(sum(p[n](g) for n in one) / len(one)) - math.log(sum(p[n](g) for n in zero) / len(zero)) for g in gs) / max(1, len(gs))
+                total += model.weight[b] * math.log1p(math.exp(-4 * model.code[k, b] * vote))
+            loss.append(total)
+        share = [math.exp(-8 * (x - min(loss))) for x in loss]
+        assert loss[best[0]] <= min(loss) + 1e-6 and math.isclose(score[0], max(share) / sum(share), rel_tol=1e-3)
+
+
+def test_codewords_of_many_languages():
+    m = language_id.codewords(20)
+    assert m.shape[0] == 20 and len({tuple(r) for r in m}) == 20 and min((a != b).sum() for i, a in enumerate(m) for b in m[:i]) >= 8
+
+
 # --- op4 ---
 
 
