@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,22 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def trimmed(run):
-    """run, after which the Python worker gives free memory back: idle workers stay alive beside those of the next stage."""
+#: What empties each cache that an operator keeps in a Python worker from task to task.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def trimmed(run, keeps: str = ""):
+    """run, before which the Python worker drops other operators' caches, and after which it gives free memory back: idle workers stay alive beside those of the next stage.
+
+    keeps: name of the cache that run uses.
+    """
 
     def mapped(batches):
+        from cairnspark.llm import common  # the worker's own: what is pickled with this function is a copy
+
+        for name, drop in common.CACHES.items():
+            if name != keeps:
+                drop()
         try:
             yield from run(batches)
         finally:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, runs, table, trimmed
+from .common import CACHES, materialise, prepare, runs, table, trimmed
 
 #: Words kept in a worker's cache; a full cache is emptied. It only saves time.
 CACHE_WORDS = 1_000_000
@@ -130,6 +130,7 @@ class WordTokenizer:
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
+CACHES["words"] = _tokenizers.clear
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -159,7 +160,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: boo
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(trimmed(run), schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(trimmed(run, "words"), schema)
 
 
 # --- the plan, on the driver, over the histogram ---
