@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, jaccard, language_id, line_dedup, lm, lsh, packing, suffix, topk
+from . import byte_bpe, chat, filter_audit, hard_negatives, jaccard, language_id, line_dedup, lm, lsh, packing, suffix, topk
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_lm_score": lm.op8_lm_score,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_packing": packing.op10_packing,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLE_SQL = {
     "op2_topk": topk.ORACLE_SQL,
     "op3_chat_format": chat.ORACLE_SQL,
     "op7_jaccard_join": jaccard.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
