@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, filter_audit, hard_negatives, jaccard, language_id, line_dedup, lm, lsh, packing, suffix, topk
+from . import byte_bpe, chat, filter_audit, hard_negatives, jaccard, language_id, line_dedup, lm, lsh, packing, suffix, topk, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_packing": packing.op10_packing,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
