@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,16 +48,46 @@ def urban_share(name: Column, population: Column, cities: list[str] = ()) -> Col
 
 
 def round_half_even(c: Column, digits: int) -> Column:
-    """Rounding of the exact binary value, ties to even, for results that must agree with it to the last digit; Spark's own rounds the printed value half up."""
-
-    @F.pandas_udf("double")
-    def exact(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: v if v != v else round(v, digits))
-
-    return exact(c.cast("double"))
+    """Rounding of the exact binary value, ties to even, for results that must agree with it to the last digit; Spark's own rounds the printed value half up.
+
+    The product with the power of ten is taken together with what rounding took from it (both factors are split in halves, whose products are exact); that decides ties. 0 to 22 digits.
+    """
+    if not 0 <= digits <= 22:
+        raise ValueError("0 to 22 digits")
+    split = float((1 << 27) + 1)  # halves of a double's digits
+    ten = float(10**digits)
+    ten_high = split * ten - (split * ten - ten)
+    ten_low = ten - ten_high
+
+    def product(v: Column) -> Column:
+        y, big = v * ten, v * split
+        return F.struct(v.alias("v"), y.alias("y"), (big - (big - v)).alias("h"))
+
+    def rest(s: Column) -> Column:
+        low = s["v"] - s["h"]
+        lost = ((s["h"] * ten_high - s["y"]) + s["h"] * ten_low + low * ten_high) + low * ten_low
+        whole = F.rint(s["y"])
+        return F.struct(whole.alias("r"), (s["y"] - whole).alias("a"), lost.alias("e"))
+
+    def decided(s: Column) -> Column:
+        # s.a is exact, and so is its distance to a half; what was lost is smaller than a unit of s.a's last place
+        over, under = (s["a"] - 0.5) + s["e"], (s["a"] + 0.5) + s["e"]
+        odd = s["r"] % 2.0 != 0.0
+        up, down = (over > 0.0) | ((over == 0.0) & odd), (under < 0.0) | ((under == 0.0) & odd)
+        return (s["r"] + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)) / ten
+
+    v = c.cast("double")
+    exact = F.transform(F.transform(F.transform(F.array(v), product), rest), decided)[0]
+    # beyond 2^53 units the digits end before the place that is rounded to, which also holds for what is not finite
+    return F.when(F.abs(v * ten) < float(1 << 53), exact).otherwise(v)
 
 
 def rate_with_loss(n: Column, population: Column, scale: float = 100_000.0) -> Column:
     """struct(rate, lost): null where the population is missing or not positive, and whether a count was lost by that."""
     rate = rate_or_null(n, population, scale)
     return F.struct(rate.alias("rate"), (n.isNotNull() & rate.isNull()).alias("lost"))
+
+
+def rounded(c: Column, digits: int | None) -> Column:
+    """c, or c rounded by ``round_half_even`` where digits are given."""
+    return c if digits is None else round_half_even(c, digits)

@@ -55,17 +55,30 @@ def unit_value(c: Column, unit: str = r"\(%\)|Rs\.") -> Column:
     return F.when(after != "", F.replace(after, F.lit(","), F.lit("")).try_cast("double")).otherwise(last_number(c))
 
 
-#: A printed value: a number, one in parentheses, or a mark for none.
-_VALUE = r"([0-9,]+(?:\.[0-9]+)?|\*|\([0-9.]+\)|na)"
+def _printed(token: Column, none: list[str]) -> Column:
+    """struct(said, value) of one printed token: whether it is a number (marks around and inside it do not count) or a sign for none, and its value."""
+    bare = F.translate(token, "(),", "")
+    digits = (F.translate(bare, "0123456789.", "") == "") & (F.translate(bare, ".", "") != "")
+    value = F.when(digits, bare.try_cast("double"))
+    return F.struct((value.isNotNull() | F.lower(token).isin([n.lower() for n in none])).alias("said"), value.alias("value"))
 
 
-def unit_values(c: Column, unit: str = r"%|Rs\.|females[^\)]*") -> Column:
-    """struct(now, before): the two values after a unit in parentheses; '*' and 'na' are null, marks in values go. Without a unit: the last number, and null."""
-    pattern = rf"(?i)\(\s*(?:{unit})\s*\)\s*{_VALUE}\s*{_VALUE}?"
-    clean = lambda k: F.regexp_replace(F.regexp_extract(c, pattern, k), "[(),]", "").try_cast("double")
-    last = F.replace(F.try_element_at(F.regexp_extract_all(c, F.lit(r"([0-9][0-9,]*\.?[0-9]*)"), 1), F.lit(-1)), F.lit(","), F.lit("")).try_cast("double")
-    hit = c.rlike(pattern)
-    return F.struct(F.when(hit, clean(1)).otherwise(last).alias("now"), F.when(hit, clean(2)).alias("before"))
+def unit_values(c: Column, units: list[str] = ("%", "Rs."), none: list[str] = ("*", "na")) -> Column:
+    """struct(now, before): the two values that follow a unit in parentheses.
+
+    The unit is the first parenthesis whose content begins with one of ``units``, in any case. What follows it is split on blanks: the first token is the value, the second the earlier one, if
+    they are numbers or signs for none (which are null). Without a unit, or without a value right after it: the last number of the line, and null.
+    """
+    closed = F.split(c, r"\)")  # every piece but the last ends at a closing parenthesis
+    inside = F.transform(closed, lambda p: F.lower(F.trim(F.when(F.contains(p, F.lit("(")), F.substring_index(p, "(", -1)))))
+    is_unit = lambda p: F.coalesce(F.array_contains(F.transform(F.array(*[F.lit(u.lower()) for u in units]), lambda u: F.startswith(p, u)), True), F.lit(False))
+    at = F.array_position(F.transform(F.slice(inside, F.lit(1), F.greatest(F.size(inside) - 1, F.lit(0))), is_unit), True).cast("int")
+    after = F.trim(F.array_join(F.slice(closed, at + 1, F.size(closed)), ")"))
+    tokens = F.split(after, r"\s+")
+    first, second = (_printed(F.try_element_at(tokens, F.lit(k)), list(none)) for k in (1, 2))
+    hit = (at > 0) & F.coalesce(first["said"], F.lit(False))
+    numbers = F.filter(F.transform(F.split(F.translate(c, ",", ""), r"[^0-9.]+"), lambda t: F.rtrim(t, F.lit(".")).try_cast("double")), lambda v: v.isNotNull())
+    return F.struct(F.when(hit, first["value"]).otherwise(F.try_element_at(numbers, F.lit(-1))).alias("now"), F.when(hit & second["said"], second["value"]).alias("before"))
 
 
 def trailing_number(c: Column) -> Column:
@@ -73,19 +86,24 @@ def trailing_number(c: Column) -> Column:
     return last_number(F.regexp_replace(c, r"^\s*[0-9]+[.)]\s+", ""))
 
 
-def header_names(lines: Column, path: Column) -> Column:
-    """struct(name, grp) from a document's first lines, or from its file's name.
+def header_names(lines: Column, path: Column, title: str, titles: list[str], prefix: str, depth: int = 15) -> Column:
+    """struct(name, grp) from a document's first ``depth`` lines, or from its file's name.
 
-    The two lines after one that says 'district fact sheet' (misprints inside the last word pass), unless the first of them is part of a title; else a file name
-    <anything>DistFact_<group>_<name>[__...].
+    The heading is the first line that holds ``title``, blanks and case aside (words that were torn apart pass). Below it stand the name and the group, unless the line right below is empty or has one
+    of the words ``titles``, which only other headings have. Else the file's name says them: after ``prefix``, the group up to the next underscore, then the name up to a double underscore or the end.
     """
-    head = F.slice(lines, 1, 15)
-    at = F.array_position(F.transform(head, lambda x: x.rlike(r"(?i)district\s*fact\s*she\s*et")), True).cast("int")
-    name = F.trim(F.try_element_at(lines, F.nullif(at, F.lit(0)) + 1))
-    title = F.coalesce(F.lower(name).rlike("ministry|survey|health|india|population"), F.lit(True)) | (name == "")
-    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
-    of = lambda k: F.coalesce(F.nullif(F.regexp_extract(stem, r"DistFact_([^_]+)_([^_]+)__", k), F.lit("")), F.nullif(F.regexp_extract(stem, r"DistFact_([^_]+)_(.+)", k), F.lit("")))
-    return F.struct(F.when(title, F.trim(of(2))).otherwise(name).alias("name"), F.when(title, F.trim(of(1))).otherwise(F.trim(F.try_element_at(lines, at + 2))).alias("grp"))
+    flat = lambda x: F.lower(F.translate(x, " \t\u00a0", ""))
+    at = F.array_position(F.transform(F.slice(lines, 1, depth), lambda x: F.contains(flat(x), flat(F.lit(title)))), True).cast("int")
+    below = lambda k: F.nullif(F.trim(F.try_element_at(lines, F.nullif(at, F.lit(0)) + k)), F.lit(""))
+    other = F.array_contains(F.transform(F.array(*[F.lit(w.lower()) for w in titles]), lambda w: F.contains(F.lower(below(1)), w)), True)
+    headed = below(1).isNotNull() & ~F.coalesce(other, F.lit(False))
+    file = F.substring_index(path, "/", -1)
+    stem = F.when(F.contains(file, F.lit(".")), F.substring(file, F.lit(1), F.length(file) - F.length(F.substring_index(file, ".", -1)) - 1)).otherwise(file)
+    said = F.when(F.contains(stem, F.lit(prefix)), F.substring_index(F.substring_index(stem, prefix, -1), "__", 1))
+    grp = F.substring_index(said, "_", 1)
+    of_file = F.struct(F.nullif(F.trim(F.substring(said, F.length(grp) + 2, F.length(said))), F.lit("")).alias("name"), F.nullif(F.trim(grp), F.lit("")).alias("grp"))
+    both = of_file["name"].isNotNull() & of_file["grp"].isNotNull()
+    return F.struct(F.when(headed, below(1)).when(both, of_file["name"]).alias("name"), F.when(headed, below(2)).when(both, of_file["grp"]).alias("grp"))
 
 
 def starts_with_any(c: Column, prefixes: list[str]) -> Column:

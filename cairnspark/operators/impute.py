@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .order import row_numbers
 from .stable import stable
 
-OBSERVED, GROUP_MEAN, NEIGHBOURS, MISSING = "OBSERVED", "IMPUTED_GROUP_MEAN", "IMPUTED_KNN", "MISSING"
+OBSERVED, TREND, GROUP_MEAN, NEIGHBOURS, MISSING = "OBSERVED", "IMPUTED_TREND", "IMPUTED_GROUP_MEAN", "IMPUTED_KNN", "MISSING"
 
 
 def group_mean(fact: DataFrame, fallback: float | None = None, digits: int | None = None) -> DataFrame:
@@ -92,12 +92,33 @@ def trend(series: DataFrame, targets: DataFrame, floor: float | None = None, cei
     line = a["value"] + (b["value"] - a["value"]) * (F.col("year") - a["year"]) / F.nullif(b["year"] - a["year"], F.lit(0))
     value = F.when(F.size("p") >= 2, line)
     if floor is not None:
-        value = F.greatest(value, F.lit(floor))
+        value = F.when(value.isNotNull(), F.greatest(value, F.lit(floor)))
     if ceiling is not None:
-        value = F.least(value, F.lit(ceiling))
+        value = F.when(value.isNotNull(), F.least(value, F.lit(ceiling)))
     return x.select(*keys, "year", value.alias("value"))
 
 
+def cascade_by_evidence(fact: DataFrame, series: DataFrame, year: int, k: int = 5, floor: float | None = None, ceiling: float | None = None) -> DataFrame:
+    """fact (id, grp, indicator, value, covariate) filled by trends, then by group means, then by nearest neighbours, with a ``status``.
+
+    series: (id, indicator, year, value), from which a cell without value takes the trend at ``year`` (see ``trend``). The snapshot of evidence is what is observed or comes from a trend: both later
+    stages read their donors from it alone, so no filled value justifies another. Neighbours are the ``k`` nearest by covariate. A cell that no stage reaches stays null and MISSING, among them all
+    without a covariate whose group has no evidence; a missing covariate is not guessed. Values are not rounded. A null group is a group without evidence.
+    """
+    gaps = fact.where("value is null").select("id", "indicator", F.lit(year).alias("year"))
+    lines = trend(series, gaps, floor, ceiling).select("id", "indicator", F.col("value").alias("trend_"))
+    first = fact.join(lines, ["id", "indicator"], "left")
+    status = F.when(F.col("value").isNotNull(), OBSERVED).when(F.col("trend_").isNotNull(), TREND)
+    first = stable(first.withColumn("status", status).withColumn("value", F.coalesce("value", "trend_")).drop("trend_"))
+    means = first.groupBy("grp", "indicator").agg(F.avg("value").alias("mean_"))  # of the snapshot: nothing else has a value yet
+    second = first.join(means, ["grp", "indicator"], "left").withColumn("status", F.coalesce("status", F.when(F.col("mean_").isNotNull(), GROUP_MEAN)))
+    second = stable(second.withColumn("value", F.coalesce("value", "mean_")).drop("mean_"))
+    near = nearest(second, k, F.col("status").isin(OBSERVED, TREND))
+    last = second.join(near, ["id", "indicator"], "left")
+    status = F.coalesce("status", F.when(F.col("knn").isNotNull(), NEIGHBOURS), F.lit(MISSING))
+    return last.withColumn("status", status).withColumn("value", F.coalesce("value", "knn")).select(*fact.columns, "status")
+
+
 def merge_status(inherited: Column, imputed: Column) -> Column:
     """Inheritance wins over imputation."""
     return F.coalesce(F.when(inherited.startswith("INHERITED"), inherited), imputed, inherited)

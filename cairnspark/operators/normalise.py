@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import rounded
 from .order import quantiles, with_rank
 
 NEGATIVE = "NEGATIVE"
@@ -17,11 +18,11 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
 
-def minmax(fact: DataFrame, directions: DataFrame, missing: str = "neutral", value: str = "value", name: str = "norm", epsilon: float = 0.0) -> DataFrame:
+def minmax(fact: DataFrame, directions: DataFrame, missing: str = "neutral", value: str = "value", name: str = "norm", epsilon: float = 0.0, digits: int | None = None) -> DataFrame:
     """fact with ``name``: 0-100 by the indicator's range, inverted for NEGATIVE ones.
 
     directions: (indicator, direction). missing: 'neutral' gives 50 to a null, 'propagate' keeps it. A zero range gives 50. With
-    ``epsilon`` the range is widened by it and never counts as zero.
+    ``epsilon`` the range is widened by it and never counts as zero. digits: decimals that the result is rounded to, exactly and half to even (none: unrounded).
     """
     stats = fact.groupBy("indicator").agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"))
     both = fact.join(F.broadcast(stats.join(directions.select("indicator", "direction"), "indicator", "left")), "indicator")
@@ -30,7 +31,7 @@ def minmax(fact: DataFrame, directions: DataFrame, missing: str = "neutral", val
     down = F.when((hi == lo) & F.lit(not epsilon), F.lit(50.0)).otherwise(100.0 - up)
     scaled = F.when(F.col("direction") == NEGATIVE, down).otherwise(up)
     out = F.when(v.isNull(), F.lit(50.0) if missing == "neutral" else F.lit(None).cast("double")).otherwise(scaled)
-    return both.withColumn(name, out).drop("lo_", "hi_", "direction")
+    return both.withColumn(name, rounded(out, digits)).drop("lo_", "hi_", "direction")
 
 
 def robust_iqr(fact: DataFrame, directions: DataFrame, value: str = "value", name: str = "norm") -> DataFrame:

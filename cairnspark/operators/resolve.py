@@ -1,8 +1,8 @@
 """Resolving messy names onto a dimension: alias, then exact name, then the most similar name; nothing is dropped.
 
 Different raw names are resolved once and joined back, so a name on a third of all rows costs one look-up. Similar names are found by
-the rarest of their letter pairs (two names as similar as the threshold asks share some), and entities whose group fits a hint by pieces of
-the group's name; so no name is compared with all entities.
+the indexes of ``similar``, first for one edit and then, for names that this leaves open, by segments inside the groups that fit the hint; entities whose group fits a hint, by
+pieces of the group's name. So no name is compared with all entities.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import edit_ratio
+from . import similar
+from .stable import stable
 
 #: Least similarity of a fuzzy match, and the lead over the second that makes it unambiguous.
 THRESHOLD, MARGIN = 0.84, 0.03
@@ -51,23 +53,30 @@ def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> Data
     return cut.join(keyed, "piece_").where(F.contains(F.col(text), F.col(name))).drop("piece_")
 
 
-def grams(rows: DataFrame, key: list[str], name: str, frequent: DataFrame | None, least: float) -> DataFrame:
-    """(key, gram): the rarest letter pairs of each name, as many as a name of similarity ``least`` cannot all lack.
+def similar_entities(asked: DataFrame, entity: DataFrame, fitting: DataFrame, similarity, threshold: float, margin: float) -> DataFrame:
+    """(name, hint, id, grp, ratio): entities at least threshold - margin alike, among them all that can be the best one of an asked (name, hint) or within the margin of it.
 
-    Equal pairs of a name are told apart by a number. With M letters matched in at most 2 (1 - least) / least M + 1 runs, names share M less that
-    many pairs at least. frequent: (gram, f); None: all pairs.
+    entity: (id, name, grp); fitting: (h_, g_), the groups that fit each hint. A name whose best fitting entity by one edit is so alike that nothing else can come within the margin with more is
+    settled; the others are looked up in the segments of their groups.
     """
-    pair = F.expr(f"explode(transform(sequence(1, greatest(1, length({name}) - 1)), i -> substring({name}, i, 2))) as pair_")
-    each = rows.select(*key, F.length(name).alias("size_"), pair)
-    number = F.row_number().over(Window.partitionBy(*key, "pair_").orderBy("size_"))
-    each = each.withColumn("gram", F.concat_ws("#", "pair_", number.cast("string")))
-    if frequent is None:
-        return each.select(*key, "gram")
-    rarest = F.row_number().over(Window.partitionBy(*key).orderBy(F.coalesce("f", F.lit(0)), "gram"))
-    # both names together have at least 2 / (2 - least) times the letters of the one, of which matched * least / 2 pairs are in runs
-    both = 2.0 / (2.0 - least)
-    shared = F.greatest(F.lit(1), F.ceil(F.col("size_") * (both * (1.5 * least - 1.0))).cast("int") - 1)
-    return each.join(frequent, "gram", "left").withColumn("r_", rarest).where(F.col("r_") <= F.col("size_") - shared).select(*key, "gram")
+    least, bound = threshold - margin, similar.Bound(similarity)
+    named = entity.where("name <> ''").select("id", F.col("name").alias("d_name"), F.coalesce("grp", F.lit("")).alias("grp"))
+    decided = lambda pairs: pairs.withColumn("ratio", similarity(F.col("name"), F.col("d_name"))).where(F.col("ratio") >= least - 1e-9)
+    in_group = F.col("hint").isNull() | (F.col("grp") == "") | F.col("g_").isNotNull()
+    beside = lambda pairs, ask: ask.join(pairs, "name").join(named, "d_name").join(fitting.select("h_", "g_"), (F.col("hint") == F.col("h_")) & (F.col("grp") == F.col("g_")), "left").where(in_group).select("name", "hint", "id", "grp", "ratio")
+    near = stable(beside(decided(similar.one_edit(asked.select("name").distinct(), named.select("d_name").distinct())), asked))
+    top = near.groupBy("name", "hint").agg(F.max("ratio").alias("top")).where(F.col("top") >= threshold)
+    settled = top.where(bound.most_edits(F.length("name"), F.col("top") - margin) <= 1).select(F.col("name").alias("n_"), F.col("hint").alias("h_"))
+    same = (F.col("name") == F.col("n_")) & F.col("hint").eqNullSafe(F.col("h_"))
+    rest = stable(asked.join(settled, same, "left_anti"))
+    # the groups a name is sought in: those that fit the hint and none, or everywhere; an entity is found in its own and everywhere
+    fits = rest.join(fitting.select("h_", "g_"), F.col("hint") == F.col("h_")).select("name", F.concat(F.lit("g"), "g_").alias("group"))
+    some = rest.where("hint is not null").select("name", F.lit("g").alias("group"))
+    every = rest.where("hint is null").select("name", F.lit(similar.EVERYWHERE).alias("group"))
+    sought = fits.unionByName(some).unionByName(every).distinct()
+    found = named.select("d_name", F.explode(F.array(F.concat(F.lit("g"), "grp"), F.lit(similar.EVERYWHERE))).alias("group")).distinct()
+    more = beside(decided(similar.few_edits(sought, found, bound, least)), rest)
+    return near.join(settled, same, "left_semi").unionByName(more)
 
 
 def resolve(names: DataFrame, dim: DataFrame, aliases: DataFrame | None = None, similarity=edit_ratio, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
@@ -76,10 +85,11 @@ def resolve(names: DataFrame, dim: DataFrame, aliases: DataFrame | None = None,
     names: normalised (name, hint), hint may be null; dim: (id, name, grp), normalised; aliases: (alias, id[, method, confidence]), one row each. A group fits a
     hint if either contains the other; no hint fits all. An alias counts if its entity's group fits. Then entities of that very name: those that fit, or all if
     none does; one is exact, more are ambiguous. Then the most similar fitting entity, from ``threshold`` on: ambiguous if others are
-    within ``margin`` of it. candidates: the ids of an ambiguous name. An empty name is unmatched. The threshold may not be under 0.75.
+    within ``margin`` of it. candidates: the ids of an ambiguous name. An empty name is unmatched. similarity: the edit ratio, or one of the form 2 M / (a + b) of letters
+    matched in order. The threshold less the margin may not be under 0.7.
     """
     if threshold - margin < 0.7:
-        raise ValueError("names so different need not share letter pairs")
+        raise ValueError("names so different need not share a segment")
     ask = names.select("name", F.nullif("hint", F.lit("")).alias("hint")).distinct()
     if aliases is None:
         aliases = dim.select(F.col("name").alias("alias"), "id").limit(0)
@@ -108,13 +118,7 @@ def resolve(names: DataFrame, dim: DataFrame, aliases: DataFrame | None = None,
 
     two = beside(beside(ask, by_alias), same)
     open_ = two.where("a is null and found is null and name <> ''").select("name", "hint")
-    least = threshold - margin
-    frequent = grams(entity, ["id", "name"], "name", None, least).groupBy("gram").agg(F.count("*").alias("f"))
-    met = grams(open_.select("name").distinct(), ["name"], "name", frequent, least).join(grams(entity.select("id", F.col("name").alias("d_name")), ["id", "d_name"], "d_name", frequent, least), "gram").select("name", "id", "d_name").distinct()
-    # no similarity of names exceeds twice the shorter length over both
-    short, long = F.least(F.length("name"), F.length("d_name")), F.greatest(F.length("name"), F.length("d_name"))
-    met = met.where(2 * short >= least * (short + long)).withColumn("ratio", similarity(F.col("name"), F.col("d_name"))).where(F.col("ratio") >= least - 1e-9)
-    scored = with_fit(open_.join(met, "name").join(entity.select("id", "grp"), "id")).where("fit_")
+    scored = stable(similar_entities(stable(open_), entity, fitting, similarity, threshold, margin))
     top = scored.groupBy("name", "hint").agg(F.max("ratio").alias("top")).where(F.col("top") >= threshold)
     t = top.withColumnsRenamed({"name": "n_", "hint": "h_"})
     close = scored.join(t, (F.col("name") == F.col("n_")) & F.col("hint").eqNullSafe(F.col("h_"))).where(F.col("top") - F.col("ratio") <= margin)

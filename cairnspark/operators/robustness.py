@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import normalise, score, stats
+from . import concordance, normalise, score, stats
 from . import weights as w
 from .order import with_rank
 from .stable import stable
@@ -98,7 +98,7 @@ def agreement(ranks: DataFrame, base: str, tops: tuple[int, ...] = (10, 20), tau
     x = with_rank(with_rank(both, "score", "ra_", ["variant"], ties="average"), "b_", "rb_", ["variant"], ties="average")
     m = x.groupBy("variant").agg(F.corr("ra_", "rb_").alias("spearman"), *[F.count_if((F.col("rank") <= n) & (F.col("br_") <= n)).alias(f"top{n}_overlap") for n in tops])
     m = m.withColumn("disruption", 1.0 - F.col("spearman"))
-    return m.join(stats.kendall(both, "score", "b_", ["variant"]).select("variant", "tau"), "variant") if tau else m
+    return m.join(concordance.kendall(both, "score", "b_", ["variant"]).select("variant", "tau"), "variant") if tau else m
 
 
 def without_each_indicator(norm: DataFrame, names: DataFrame, weights: dict[str, float], lam: float, dampener: str, digits: int = 6) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import rounded
 from .order import quantiles, with_rank
 
 
-def pillar_scores(norm: DataFrame, weights: DataFrame, renormalise: bool = False, value: str = "norm") -> DataFrame:
-    """(id, pillar, score): weighted sum of normalised indicators; ``renormalise`` divides by the weight of those present (none present: null).
+def pillar_scores(norm: DataFrame, weights: DataFrame, renormalise: bool = False, value: str = "norm", digits: int | None = None) -> DataFrame:
+    """(id, pillar, score): weighted sum of normalised indicators; ``renormalise`` divides by the weight of those present (none present: null). digits: see ``rounded``.
 
     weights: (pillar, indicator, weight); broadcast, one row for each indicator.
     """
@@ -17,7 +18,7 @@ def pillar_scores(norm: DataFrame, weights: DataFrame, renormalise: bool = False
     w = F.when(F.col("x").isNotNull(), F.col("weight"))
     total = F.sum(F.col("weight") * F.col("x"))
     score = total / F.nullif(F.sum(w), F.lit(0.0)) if renormalise else total
-    return x.groupBy("id", "pillar").agg(score.alias("score"))
+    return x.groupBy("id", "pillar").agg(score.alias("score")).withColumn("score", rounded(F.col("score"), digits))
 
 
 def equal_pillar_scores(norm: DataFrame, pillars: DataFrame, value: str = "norm") -> DataFrame:
@@ -25,11 +26,12 @@ def equal_pillar_scores(norm: DataFrame, pillars: DataFrame, value: str = "norm"
     return x.groupBy("id", "pillar").agg(F.avg(value).alias("score"))
 
 
-def composite(pillars: DataFrame, weights: DataFrame, lam: float, dampener: str, clamp: bool = False, renormalise: bool = False) -> DataFrame:
+def composite(pillars: DataFrame, weights: DataFrame, lam: float, dampener: str, clamp: bool = False, renormalise: bool = False, digits: int | None = None) -> DataFrame:
     """(id, driver, penalty, score, geometric, coverage): drivers' weighted sum minus lam times the dampener's score.
 
     weights: (pillar, weight) of the drivers. geometric: product of (score + 1)^weight, times max(1 - lam * dampener / 100, 0). coverage:
-    share of driver pillars present, in percent. ``renormalise`` spreads the weight of absent pillars over the rest.
+    share of driver pillars present, in percent. ``renormalise`` spreads the weight of absent pillars over the rest. digits: decimals that driver, penalty, score and geometric are rounded
+    to, the score from the rounded driver and penalty (see ``rounded``).
     """
     x = pillars.join(F.broadcast(weights.select("pillar", "weight")), "pillar", "left")
     s, w = F.col("score"), F.when(F.col("score").isNotNull(), F.col("weight"))
@@ -41,8 +43,10 @@ def composite(pillars: DataFrame, weights: DataFrame, lam: float, dampener: str,
         (F.exp(F.sum(F.col("weight") * F.ln(s + 1.0)) / F.nullif(share, F.lit(0.0))) * F.greatest(1.0 - F.lit(lam) * damp / 100.0, F.lit(0.0))).alias("geometric"),
         (100.0 * F.count(w) / F.nullif(F.count("weight"), F.lit(0))).alias("coverage"),
     )
+    for c in ("driver", "penalty", "geometric"):
+        agg = agg.withColumn(c, rounded(F.col(c), digits))
     raw: Column = F.col("driver") - F.col("penalty")
-    return agg.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)) if clamp else raw)
+    return agg.withColumn("score", rounded(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)) if clamp else raw, digits))
 
 
 def ranks_and_tiers(scores: DataFrame, group: str | None = "grp", cuts: tuple[float, float, float] = (0.8, 0.5, 0.2), value: str = "score") -> DataFrame:

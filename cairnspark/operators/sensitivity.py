@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .concordance import kendall
 from .order import quantiles
 
 
@@ -84,14 +85,15 @@ def stability(ranks: DataFrame, top: tuple[int, int] = (10, 20)) -> DataFrame:
     return agg.withColumn("label", label)
 
 
-def draw_agreement(ranks: DataFrame, base: DataFrame, top: int = 20) -> DataFrame:
-    """(draw, spearman, top_overlap): each draw's ranking against the base's. base: (id, score)."""
+def draw_agreement(ranks: DataFrame, base: DataFrame, top: int = 20, tau: bool = False) -> DataFrame:
+    """(draw, spearman, top_overlap[, tau]): each draw's ranking against the base's; with ``tau``, Kendall's of the scores too. base: (id, score)."""
     b = base.where(F.col("score").isNotNull()).select("id", F.col("score").alias("b_"))
-    x = ranks.join(b, "id")
+    both = x = ranks.join(b, "id")
     average = lambda c: F.rank().over(Window.partitionBy("draw").orderBy(F.desc(c))) + (F.count("*").over(Window.partitionBy("draw", c)) - 1) / 2.0
     x = x.select("draw", "rank", average("score").alias("ra"), average("b_").alias("rb"), F.rank().over(Window.partitionBy("draw").orderBy(F.desc("b_"))).alias("br"))
-    both = F.count_if((F.col("rank") <= top) & (F.col("br") <= top))
-    return x.groupBy("draw").agg(F.corr("ra", "rb").alias("spearman"), (100.0 * both / F.nullif(F.count_if(F.col("br") <= top), F.lit(0))).alias("top_overlap"))
+    in_both = F.count_if((F.col("rank") <= top) & (F.col("br") <= top))
+    out = x.groupBy("draw").agg(F.corr("ra", "rb").alias("spearman"), (100.0 * in_both / F.nullif(F.count_if(F.col("br") <= top), F.lit(0))).alias("top_overlap"))
+    return out.join(kendall(both, "score", "b_", ["draw"]).select("draw", "tau"), "draw", "left") if tau else out
 
 
 def rank_spread(ranks: DataFrame, by: str = "id") -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import t_two_sided
 from .order import quantiles, with_rank
 
 
@@ -35,40 +34,8 @@ def band(r: Column) -> Column:
     return F.when(r.isNull(), "UNDEFINED").when(a >= 0.9, "VERY HIGH").when(a >= 0.7, "HIGH").when(a >= 0.4, "MODERATE").otherwise("LOW")
 
 
-def _discordant(y: np.ndarray) -> int:
-    """Pairs i < j with y[i] > y[j], by merging."""
-    n, width, total = len(y), 1, 0
-    y = y.copy()
-    while width < n:
-        for a in range(0, n, 2 * width):
-            left, right = y[a : a + width], y[a + width : a + 2 * width]
-            if len(right):
-                total += int((len(left) - np.searchsorted(left, right, "right")).sum())
-                y[a : a + 2 * width] = np.sort(y[a : a + 2 * width], kind="stable")
-        width *= 2
-    return total
-
-
-def kendall(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by, tau, n): Kendall's tau-b in each group, n log n; a group (one pair of rankings of the entity dimension) is one task's."""
-
-    def tau(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[[x, y]].dropna().to_numpy(float)
-        n = len(p)
-        p = p[np.lexsort((p[:, 1], p[:, 0]))]
-        pairs = n * (n - 1) // 2
-        ties = lambda *c: sum(k * (k - 1) // 2 for k in np.unique(np.stack(c, 1), axis=0, return_counts=True)[1].tolist())
-        tx, ty, txy = (ties(p[:, 0]), ties(p[:, 1]), ties(p[:, 0], p[:, 1])) if n else (0, 0, 0)
-        con_minus_dis = pairs - tx - ty + txy - 2 * _discordant(p[:, 1])
-        den = ((pairs - tx) * (pairs - ty)) ** 0.5
-        return pd.DataFrame([[*[pdf[b].iloc[0] for b in by], con_minus_dis / den if den else None, n]], columns=[*by, "tau", "n"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
-    return df.select(*by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).groupBy(*by).applyInPandas(tau, f"{fields}, tau double, n long")
-
-
 def ols(df: DataFrame, y: str, x: str, by: list[str] = ()) -> DataFrame:
-    """(by, n, slope, intercept, r2, adj_r2, slope_se, t, ci_lo, ci_hi) of a one-variable least-squares fit, from moments."""
+    """(by, n, slope, intercept, r2, adj_r2, slope_se, t, p, ci_lo, ci_hi) of a one-variable least-squares fit, from moments; p is two-sided."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     m = both.groupBy(*by).agg(
         F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
@@ -78,30 +45,10 @@ def ols(df: DataFrame, y: str, x: str, by: list[str] = ()) -> DataFrame:
     se = F.sqrt((1.0 - F.col("r2")) * F.col("syy") / dof / F.nullif(F.col("sxx"), F.lit(0.0)))
     m = m.withColumn("adj_r2", 1.0 - (1.0 - F.col("r2")) * (F.col("n") - 1) / dof).withColumn("slope_se", se)
     m = m.withColumn("t", F.col("slope") / F.nullif(F.col("slope_se"), F.lit(0.0)))
+    m = m.withColumn("p", t_two_sided(F.col("t"), F.col("n") - 2))
     return m.withColumn("ci_lo", F.col("slope") - 1.96 * F.col("slope_se")).withColumn("ci_hi", F.col("slope") + 1.96 * F.col("slope_se")).drop("sxx", "syy")
 
 
-def ols_many(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """One row (n, intercept, coefficients array, r2) of a least-squares fit on several regressors.
-
-    The moments are one aggregation of (regressors + 1)^2 sums; the driver solves that system. Collinear regressors share their effect.
-    """
-    cols = [*xs, y]
-    whole = df
-    for c in cols:
-        whole = whole.where(F.col(c).isNotNull())
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
-    row = whole.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)], *[F.covar_pop(cols[i], cols[j]).alias(f"c_{i}_{j}") for i, j in pairs]).first()
-    k = len(xs)
-    s = np.zeros((k + 1, k + 1))
-    for i, j in pairs:
-        s[i, j] = s[j, i] = row[f"c_{i}_{j}"] or 0.0
-    b = np.linalg.lstsq(s[:k, :k], s[:k, k], rcond=None)[0] if row["n"] else np.zeros(k)
-    intercept = (row[f"m_{k}"] or 0.0) - sum(float(b[i]) * (row[f"m_{i}"] or 0.0) for i in range(k))
-    r2 = float(b @ s[:k, k] / s[k, k]) if s[k, k] else None
-    return df.sparkSession.createDataFrame([(row["n"], float(intercept), [float(x) for x in b], r2)], "n long, intercept double, coefficients array<double>, r2 double")
-
-
 def held_out_fit(df: DataFrame, y: str, x: str, fold: str) -> DataFrame:
     """(fold, n, slope, intercept, r2, rmse, mae, small_n): each fold predicted by the fit on all others.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import order, quality, sensitivity, stats
+from ..operators import concordance, order, quality, regression, sensitivity, stats
 from ..operators.stable import stable
 from ..sources import readers
 from ..sources.readers import table
@@ -36,7 +36,7 @@ SELECT 'supplier' AS pair, round(sum(u * v) / sqrt(sum(abs(u))::DOUBLE * sum(abs
 def kendall_tau(spark, folder):
     t = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.sum("l_quantity").alias("y"))
     s = table(spark, folder, "supplier").join(t, "s_suppkey").select(F.lit("supplier").alias("pair"), F.col("s_acctbal").alias("x"), "y")
-    return stats.kendall(s, "x", "y", ["pair"]).withColumn("tau", F.round("tau", 9))
+    return concordance.kendall(s, "x", "y", ["pair"]).withColumn("tau", F.round("tau", 9))
 
 
 _M = "count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy"
@@ -179,8 +179,8 @@ def mc_agreement(spark, folder):
 @query(_XY.replace("n_orders AS x FROM w", "n_orders AS x, acctbal AS z FROM w") + ", m AS (SELECT count(*) AS n, covar_pop(x, x) AS xx, covar_pop(z, z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, covar_pop(y, y) AS yy FROM xy), b AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS b2 FROM m) SELECT n, round(b1, 3) AS b1, round(b2, 5) AS b2, round((b1 * xy + b2 * zy) / yy, 8) AS r2 FROM b")
 def ols_many(spark, folder):
     x = wide_facts(spark, folder).select(F.col("sum_price").alias("y"), F.col("n_orders").alias("x"), F.col("acctbal").alias("z"))
-    c = F.col("coefficients")
-    return stats.ols_many(x, "y", ["x", "z"]).select("n", F.round(c[0], 3).alias("b1"), F.round(c[1], 5).alias("b2"), F.round("r2", 8).alias("r2"))
+    at = lambda t: F.max(F.when(F.col("term") == t, F.col("coefficient")))
+    return regression.fit(x, "y", ["x", "z"]).groupBy("n").agg(F.round(at("x"), 3).alias("b1"), F.round(at("z"), 5).alias("b2"), F.round(F.max("r2"), 8).alias("r2"))
 
 
 @query("WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), x AS (SELECT CAST(sum(greatest(1 - n, 0)) AS BIGINT) AS only_a, CAST(sum(greatest(n - 1, 0)) AS BIGINT) AS only_b FROM o) SELECT only_a, only_b, only_a = 0 AND only_b = 0 AS equal FROM x")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audits, base, relational, scoring, statistics  # noqa: F401  (queries register themselves)
+from .plans import audits, base, inference, relational, scoring, statistics  # noqa: F401  (queries register themselves)
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL

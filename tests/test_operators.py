@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnspark.functions import numeric, text
-from cairnspark.operators import audit, impute, lineage, normalise, order, quality, resolve, score, sensitivity, sequence, stats
+from cairnspark.operators import audit, concordance, impute, lineage, normalise, order, quality, resolve, score, sensitivity, sequence, stats
 from cairnspark.operators import weights as w
 
 
@@ -135,7 +135,7 @@ def test_spearman(spark):
 
 def test_kendall_with_ties(spark):
     df = spark.createDataFrame([("a", float(x), float(y)) for x, y in [(1, 1), (2, 1), (2, 3), (3, 2), (4, 4)]], "g string, x double, y double")
-    assert math.isclose(stats.kendall(df, "x", "y", ["g"]).first().tau, 6 / 9)
+    assert math.isclose(concordance.kendall(df, "x", "y", ["g"]).first().tau, 6 / 9)
 
 
 
@@ -214,7 +214,7 @@ def test_contained_names_wherever_they_stand(spark):
 
 def test_header_names_and_values(spark):
     rows = [(["x", "District Fact She et", "Kolar", "Karnataka"], "/a/b.pdf"), (["District Fact Sheet", "Ministry of Health", "y"], "/a/NFHS-5_DistFact_Goa_North Goa__North Goa.pdf"), (["z"], "/a/DistFact_Kerala_Idukki.pdf"), (["z"], "/a/other.pdf")]
-    h = text.header_names(F.col("lines"), F.col("path"))
+    h = text.header_names(F.col("lines"), F.col("path"), "District Fact Sheet", ["ministry", "survey"], "DistFact_")
     got = [(r.h.name, r.h.grp) for r in spark.createDataFrame(rows, "lines array<string>, path string").select(h.alias("h")).collect()]
     assert got == [("Kolar", "Karnataka"), ("North Goa", "Goa"), ("Idukki", "Kerala"), (None, None)]
     one = spark.range(1).select(text.unit_values(F.lit("5. Women (%) (12.5) 1,004")).alias("v"), text.trailing_number(F.lit("12. none")).alias("t")).first()
