@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keyed
 from ..functions.keyed import PRIME, constants
-from ..operators import allocate, concordance, folds, impute, regression, sensitivity, stats
+from ..operators import allocate, concordance, folds, impute, rank_histograms, regression, sensitivity, stats
 from ..operators.stable import stable
 from ..sources.readers import table
-from .base import DAMPENER, LAMBDA, query, wide_facts
+from .base import DAMPENER, LAMBDA, WEIGHTS, query, wide_facts
 from .statistics import _AVG_RANK, _DRAWS, _DSQL, _XY, _drivers, _pillars, _rounded_cv
 
 _XZ = _XY.replace("n_orders AS x FROM w", "n_orders AS x, acctbal AS z FROM w")
@@ -155,3 +156,34 @@ def cascade_evidence(spark, folder):
     fact = c.join(own, "id", "left").withColumn("indicator", F.lit("price")).select("id", "grp", "indicator", "value", "covariate")
     out = impute.cascade_by_evidence(fact, y.where("year <> 1998"), 1998, k=3, floor=0.0)
     return out.select("id", "indicator", F.round("value", 5).alias("value"), "status")
+
+
+_SIGMA, _SEED, _MANY = 0.2, 7, 5000
+
+
+def _keyed_draws(spark, n: int) -> DataFrame:
+    """(draw, pillar, weight): log-normal factors that the number of draw and pillar decide, weights made to sum to one."""
+    names = sorted(WEIGHTS)
+    x = spark.range(n).select(F.col("id").alias("draw"), F.posexplode(F.array(*[F.lit(WEIGHTS[p]) for p in names])))
+    x = x.withColumn("w", F.col("col") * F.exp(_SIGMA * keyed.normal(F.col("draw") * len(names) + F.col("pos"), _SEED))).withColumn("pillar", F.array(*[F.lit(p) for p in names])[F.col("pos")])
+    total = x.groupBy("draw").agg(F.sum("w").alias("t"))
+    return x.join(total, "draw").select(F.col("draw").cast("int").alias("draw"), "pillar", (F.col("w") / F.col("t")).alias("weight"))
+
+
+_MANY_SQL = (
+    _DSQL.split(", dw(draw")[0]
+    + ", nm AS (SELECT CAST(d AS BIGINT) AS draw, CAST(k AS BIGINT) AS k, pillar, w * exp(0.2::DOUBLE * "
+    + _normal_sql(f"(CAST(d AS BIGINT) * {len(WEIGHTS)} + k)", _SEED)
+    + f") AS w FROM range({_MANY}) r(d), (VALUES "
+    + ", ".join(f"({k}, '{p}', {WEIGHTS[p]!r}::DOUBLE)" for k, p in enumerate(sorted(WEIGHTS)))
+    + ") v(k, pillar, w)), dw AS (SELECT draw, pillar, w / sum(w) OVER (PARTITION BY draw) AS weight FROM nm), v AS (SELECT dw.draw, ps.id, round(sum(dw.weight * ps.score) - 0.15 * max(damp), 6) AS score FROM ps JOIN dw ON dw.pillar = ps.pillar JOIN dr ON dr.id = ps.id GROUP BY 1, 2), vr AS (SELECT *, rank() OVER (PARTITION BY draw ORDER BY score DESC) AS rank FROM v), q AS (SELECT draw, quantile_cont(score, 0.8) AS a, quantile_cont(score, 0.5) AS b, quantile_cont(score, 0.2) AS c FROM v GROUP BY 1)"
+)
+
+
+@query(_MANY_SQL + " SELECT id, round(avg(rank), 4) AS mean_rank, " + ", ".join(f"round(quantile_cont(rank, {p}), 4) AS {n}" for n, p in (("median_rank", 0.5), ("p025", 0.025), ("p05", 0.05), ("p95", 0.95), ("p975", 0.975))) + ", round(stddev_pop(rank), 4) AS std_rank, min(rank) AS best, max(rank) AS worst, round(100.0 * count(*) FILTER (rank <= 10) / count(*), 4) AS top10_pct, round(100.0 * count(*) FILTER (rank <= 20) / count(*), 4) AS top20_pct, " + ", ".join(f"round(100.0 * count(*) FILTER (t = {k}) / count(*), 4) AS tier{k}_pct" for k in (1, 2, 3, 4)) + ", CASE WHEN stddev_pop(rank) <= 2 THEN 'VERY STABLE' WHEN stddev_pop(rank) <= 5 THEN 'STABLE' WHEN stddev_pop(rank) <= 10 THEN 'MODERATE' ELSE 'VOLATILE' END AS label FROM (SELECT vr.*, CASE WHEN score >= a THEN 1 WHEN score >= b THEN 2 WHEN score >= c THEN 3 ELSE 4 END AS t FROM vr JOIN q USING (draw)) GROUP BY 1")
+def mc_histograms(spark, folder):
+    """Five thousand draws: intervals of 90 and 95 percent, top and tier shares, from histograms of ranks."""
+    h = rank_histograms.rank_histograms(_pillars(spark, folder), _keyed_draws(spark, _MANY), LAMBDA, DAMPENER, 6)
+    s = rank_histograms.stability(h)
+    rounded = [c for c in s.columns if c not in ("id", "best", "worst", "label")]
+    return s.select("id", *[F.round(c, 4).alias(c) for c in rounded], "best", "worst", "label")
