@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
 from .order import quantiles, with_rank
+from .stable import stable
 
 
 def pillar_scores(norm: DataFrame, weights: DataFrame, renormalise: bool = False, value: str = "norm", digits: int | None = None) -> DataFrame:
@@ -67,3 +68,32 @@ def quartile_tiers(scores: DataFrame, value: str = "score") -> DataFrame:
     share = (F.col("rank_") - 1) / F.col("n_")
     tier = F.when(share < 0.25, "Q1").when(share < 0.5, "Q2").when(share < 0.75, "Q3").when(share.isNotNull(), "Q4")
     return ranked.crossJoin(F.broadcast(n)).withColumn("tier", tier).drop("rank_", "n_")
+
+
+def coverage_report(pillars: DataFrame, weights: DataFrame, lam: float, dampener: str, tiers: tuple[str, ...] = ("TIER 1", "TIER 2", "TIER 3", "TIER 4"), unscored: str = "UNSCORED") -> DataFrame:
+    """(id, score, coverage_pct, global_coverage_pct, dampener_applied, pillar_weights, tier) of every entity, by the drivers it has.
+
+    pillars: (id, pillar, score), absent scores null; weights: (pillar, weight) of all pillars, the dampener's included. The weights of the drivers an entity has are made to sum to one; ``pillar_weights`` holds them, and the
+    dampener's as -lam where it takes part. The score, less lam times the dampener's, is clamped to 0-100. coverage_pct: the weight of the drivers it has; global_coverage_pct: of the pillars that
+    any entity has, the dampener included. Tiers are quarters of the ranking, equal scores together. An entity without a driver has no score.
+    """
+    drivers = weights.where(F.col("pillar") != dampener).select("pillar", "weight")
+    x = pillars.join(F.broadcast(drivers), "pillar", "left")
+    has, w = F.col("score").isNotNull(), F.when(F.col("score").isNotNull(), F.col("weight"))
+    damp = F.max(F.when((F.col("pillar") == dampener) & has, F.col("score")))
+    each = x.groupBy("id").agg(
+        F.sum(w).alias("own_"), F.sum(w * F.col("score")).alias("sum_"), damp.alias("damp_"),
+        F.sort_array(F.collect_list(F.when(w.isNotNull(), F.struct("pillar", "weight")))).alias("parts_"),  # at most as many as there are pillars
+    )
+    scored = F.col("own_") > 0
+    raw = F.col("sum_") / F.nullif(F.col("own_"), F.lit(0.0)) - lam * F.coalesce("damp_", F.lit(0.0))
+    parts = F.transform("parts_", lambda p: F.struct(p["pillar"].alias("key"), (p["weight"] / F.col("own_")).alias("value")))
+    dampened = F.array(F.struct(F.lit(dampener).alias("key"), F.lit(-float(lam)).alias("value")))
+    every = F.map_from_entries(F.when(F.col("damp_").isNotNull(), F.concat(parts, dampened)).otherwise(parts))
+    known = pillars.where("score is not null").select("pillar").distinct().join(F.broadcast(weights), "pillar").agg((100.0 * F.sum("weight")).alias("global_coverage_pct"))
+    out = each.crossJoin(F.broadcast(known)).select(
+        "id", F.when(scored, F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))).alias("score"), (100.0 * F.coalesce("own_", F.lit(0.0))).alias("coverage_pct"), "global_coverage_pct",
+        (lam * F.col("damp_")).alias("dampener_applied"), F.when(scored, every).alias("pillar_weights"),
+    )
+    named = F.create_map(*[F.lit(v) for kv in zip(("Q1", "Q2", "Q3", "Q4"), tiers) for v in kv])
+    return quartile_tiers(stable(out)).withColumn("tier", F.coalesce(F.try_element_at(named, F.col("tier")), F.lit(unscored)))

@@ -12,8 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.keyed import normal
 from .concordance import kendall
-from .order import quantiles
+from .order import quantiles, with_rank
+from .stable import stable
 
 
 def lognormal_draws(weights: dict[str, float], n: int, sigma: float = 0.2, seed: int = 42) -> list[tuple[int, str, float]]:
@@ -66,9 +68,8 @@ def draw_scores(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str)
 
 
 def draw_ranks(scores: DataFrame, digits: int = 9) -> DataFrame:
-    """(draw, id, score, rank): a window for each draw."""
-    rounded = scores.withColumn("score", F.round("score", digits))
-    return rounded.withColumn("rank", F.rank().over(Window.partitionBy("draw").orderBy(F.desc("score"))).cast("long"))
+    """(draw, id, score, rank), ranked draw by draw in buckets of scores, so that no draw's entities are one task's. For many draws see ``rank_histograms``, which makes no row for each draw and entity."""
+    return with_rank(stable(scores.withColumn("score", F.round("score", digits))), "score", by=["draw"])
 
 
 def stability(ranks: DataFrame, top: tuple[int, int] = (10, 20)) -> DataFrame:
@@ -89,8 +90,8 @@ def draw_agreement(ranks: DataFrame, base: DataFrame, top: int = 20, tau: bool =
     """(draw, spearman, top_overlap[, tau]): each draw's ranking against the base's; with ``tau``, Kendall's of the scores too. base: (id, score)."""
     b = base.where(F.col("score").isNotNull()).select("id", F.col("score").alias("b_"))
     both = x = ranks.join(b, "id")
-    average = lambda c: F.rank().over(Window.partitionBy("draw").orderBy(F.desc(c))) + (F.count("*").over(Window.partitionBy("draw", c)) - 1) / 2.0
-    x = x.select("draw", "rank", average("score").alias("ra"), average("b_").alias("rb"), F.rank().over(Window.partitionBy("draw").orderBy(F.desc("b_"))).alias("br"))
+    x = with_rank(with_rank(stable(x), "score", "ra", ["draw"], ties="average"), "b_", "rb", ["draw"], ties="average")
+    x = with_rank(stable(x), "b_", "br", ["draw"])
     in_both = F.count_if((F.col("rank") <= top) & (F.col("br") <= top))
     out = x.groupBy("draw").agg(F.corr("ra", "rb").alias("spearman"), (100.0 * in_both / F.nullif(F.count_if(F.col("br") <= top), F.lit(0))).alias("top_overlap"))
     return out.join(kendall(both, "score", "b_", ["draw"]).select("draw", "tau"), "draw", "left") if tau else out
@@ -115,20 +116,20 @@ def without_each(pillars: DataFrame, weights: DataFrame, lam: float, dampener: s
     return s.join(damp, "id", "left").select(F.col("out_").alias("variant"), "id", (F.col("driver") - lam * F.coalesce("damp", F.lit(0.0))).alias("score"))
 
 
-def imputation_noise(fact: DataFrame, draws: int, sigma: dict[str, float], seed: int = 42, digits: int = 6) -> DataFrame:
+def imputation_noise(fact: DataFrame, draws: int, sigma: dict[str, float], indicators: list[str], seed: int = 42, digits: int = 6) -> DataFrame:
     """(draw, id, grp, indicator, norm): normalised cells with noise by status, clipped to 0-100.
 
-    fact: (id, grp, indicator, norm, status). The noise is a function of (seed, draw, id, indicator): two hashes make a normal deviate.
+    fact: (id, grp, indicator, norm, status), whole-number ids. The noise of a cell is a normal deviate that its draw, id and place in ``indicators`` decide, together with the seed.
     """
     spark = fact.sparkSession
     d = spark.range(draws).select(F.col("id").cast("int").alias("draw"))
+    place = F.array_position(F.array(*[F.lit(i) for i in indicators]), F.col("indicator")) - 1
     x = fact.crossJoin(F.broadcast(d))
-    u = [(F.pmod(F.xxhash64(F.lit(seed + k), "draw", "id", "indicator"), F.lit(1 << 52)) + 0.5) / float(1 << 52) for k in (0, 1)]
-    normal = F.sqrt(-2.0 * F.ln(u[0])) * F.cos(2.0 * np.pi * u[1])
+    key = (F.col("id").cast("long") * len(indicators) + place) * draws + F.col("draw")
     s = F.lit(0.0)
     for status, value in sigma.items():
         s = F.when(F.col("status").startswith(status), F.lit(value)).otherwise(s)
-    noisy = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("norm") + normal * s))
+    noisy = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("norm") + F.when(s > 0, normal(key, seed) * s).otherwise(0.0)))
     return x.select("draw", "id", "grp", "indicator", F.round(noisy, digits).alias("norm"))
 
 

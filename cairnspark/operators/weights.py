@@ -57,6 +57,24 @@ def pairwise_frame(spark: SparkSession, names: list[str], matrix: list[list[floa
     return spark.createDataFrame(list(zip(names, map(float, w))), "pillar string, weight double")
 
 
+def pairwise_table(cells: DataFrame) -> DataFrame:
+    """(item, weight, eigenvalue, ci, cr, consistent) from the upper half of a reciprocal matrix in long form (i, j, value), i < j; see ``pairwise``.
+
+    The matrix has a row for each item that is compared, a bounded number; a pair that is not there counts as equal.
+    """
+    spark, found = cells.sparkSession, [(r.i, r.j, float(r.value)) for r in cells.select("i", "j", "value").collect()]
+    items = sorted({x for i, j, _ in found for x in (i, j)})
+    at = {x: k for k, x in enumerate(items)}
+    m = np.ones((len(items), len(items)))
+    for i, j, v in found:
+        m[at[i], at[j]], m[at[j], at[i]] = v, 1.0 / v
+    schema = f"item {cells.schema['i'].dataType.simpleString()}, weight double, eigenvalue double, ci double, cr double, consistent boolean"
+    if not items:
+        return spark.createDataFrame([], schema)
+    p = pairwise(m.tolist())
+    return spark.createDataFrame([(x, float(p["weights"][k]), p["eigenvalue"], p["ci"], p["cr"], bool(p["consistent"])) for x, k in at.items()], schema)
+
+
 def geometric_mean_matrix(cells: DataFrame) -> DataFrame:
     """(i, j, value): element-wise geometric mean of several judges' matrices in long form (judge, i, j, value)."""
     return cells.groupBy("i", "j").agg(F.exp(F.avg(F.ln("value"))).alias("value"))

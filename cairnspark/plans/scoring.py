@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import impute, lineage, normalise, score
 from ..operators import weights as w
+from ..operators.stable import stable
 
 from ..sources.readers import table
-from .base import DAMPENER, FILLED, LAMBDA, SCORED, SQL, composite_frame, facts, indicators, normalised, pillar_frame, query, weights
+from .base import DAMPENER, FILLED, LAMBDA, SCORED, SQL, WEIGHTS, composite_frame, facts, indicators, normalised, pillar_frame, query, weights
 
 TIERS = "CASE WHEN {v} >= {p}80 THEN 'TIER 1' WHEN {v} >= {p}50 THEN 'TIER 2' WHEN {v} >= {p}20 THEN 'TIER 3' ELSE 'TIER 4' END"
 _Q = ", q AS (SELECT quantile_cont(score, 0.8) AS q80, quantile_cont(score, 0.5) AS q50, quantile_cont(score, 0.2) AS q20 FROM c)"
@@ -133,15 +134,22 @@ def entropy_weights_present(spark, folder):
     return w.entropy_present(_norm_with_pillar(spark, folder)).select("pillar", "indicator", F.round("weight", 6).alias("weight"))
 
 
-#: A reciprocal comparison of three pillars (fixed values of this query).
-COMPARISON = [[1.0, 2.0, 3.0], [0.5, 1.0, 2.0], [1 / 3, 0.5, 1.0]]
-
-
-@query("""WITH RECURSIVE p AS (SELECT 0 AS k, 1/3::DOUBLE AS a, 1/3::DOUBLE AS b, 1/3::DOUBLE AS c UNION ALL
-SELECT k + 1, (a + 2*b + 3*c) / t, (a/2 + b + 2*c) / t, (a/3 + b/2 + c) / t FROM (SELECT *, (a + 2*b + 3*c) + (a/2 + b + 2*c) + (a/3 + b/2 + c) AS t FROM p WHERE k < 60)),
-l AS (SELECT * FROM p WHERE k = 60) SELECT 'P1' AS pillar, round(a, 6) AS weight FROM l UNION ALL SELECT 'P2', round(b, 6) FROM l UNION ALL SELECT 'P3', round(c, 6) FROM l""")
+@query("""WITH RECURSIVE t AS (SELECT c_mktsegment AS judge, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS i, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+g AS (SELECT x.i, y.i AS j, exp(avg(ln(greatest(1.0, least(9.0, round(4 * x.v / y.v)))))) AS v FROM t x JOIN t y ON x.judge = y.judge AND x.i < y.i GROUP BY 1, 2),
+m AS (SELECT i, j, v FROM g UNION ALL SELECT j, i, 1 / v FROM g UNION ALL SELECT DISTINCT i, i, 1.0::DOUBLE FROM t),
+r AS (SELECT i, list(v ORDER BY j) AS row FROM m GROUP BY 1), a AS (SELECT list(row ORDER BY i) AS a, count(*) AS n FROM r),
+p AS (SELECT 0 AS k, list_transform(range(n), lambda z: 1.0::DOUBLE / n) AS w, 0.0::DOUBLE AS top FROM a UNION ALL
+SELECT k + 1, list_transform(u, lambda z: z / list_sum(u)), list_sum(u) FROM (SELECT k, list_transform(a, lambda row: list_dot_product(row, w)) AS u FROM p, a WHERE k < 80)),
+l AS (SELECT w, top FROM p WHERE k = 80)
+SELECT 'priority ' || u.i AS item, round(w[u.i], 6) AS weight, round(top, 6) AS eigenvalue, round((top - n) / (n - 1), 6) AS ci, round((top - n) / (n - 1) / 1.12, 6) AS cr FROM l, a, (SELECT unnest(range(1, 6)) AS i) u""")
 def ahp_weights(spark, folder):
-    return w.pairwise_frame(spark, ["P1", "P2", "P3"], COMPARISON).select("pillar", F.round("weight", 6).alias("weight"))
+    """Priorities compared two by two: each market segment judges how much more one brings in than another, on a scale of whole numbers; the judges' geometric mean is the matrix."""
+    o = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    t = o.groupBy(F.col("c_mktsegment").alias("judge"), F.substring("o_orderpriority", 1, 1).cast("int").alias("i")).agg(F.sum("o_totalprice").alias("v"))
+    pair = t.join(t.select("judge", F.col("i").alias("j"), F.col("v").alias("v2")), "judge").where("i < j")
+    said = pair.select("judge", "i", "j", F.greatest(F.lit(1.0), F.least(F.lit(9.0), F.round(4 * F.col("v") / F.col("v2")))).alias("value"))
+    named = [c.alias(k) for c, k in ((F.concat(F.lit("priority "), F.col("item").cast("string")), "item"), *((F.round(k, 6), k) for k in ("weight", "eigenvalue", "ci", "cr")))]
+    return w.pairwise_table(w.geometric_mean_matrix(said)).select(*named)
 
 
 @query(SCORED + ", g AS (SELECT pillar, sum(weight * ent) AS g FROM e GROUP BY 1) SELECT pillar, round(g * weight / sum(g * weight) OVER (), 6) AS weight FROM g JOIN wt USING (pillar)")
@@ -180,6 +188,21 @@ def pillar_renorm_missing(spark, folder):
     return score.composite(p, weights(spark), LAMBDA, DAMPENER, clamp=True, renormalise=True).select("id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
+_FULL = {**WEIGHTS, DAMPENER: LAMBDA}
+
+
+@query(_OWN + ", aw(pillar, weight) AS (VALUES " + ", ".join(f"('{p}', {x!r}::DOUBLE)" for p, x in _FULL.items()) + "), o AS (SELECT id, sum(CASE WHEN s.pillar <> 'P5' AND score IS NOT NULL THEN weight END) AS own, sum(CASE WHEN s.pillar <> 'P5' THEN weight * score END) AS total, max(CASE WHEN s.pillar = 'P5' THEN score END) AS damp, " + ", ".join(f"max(CASE WHEN s.pillar = '{p}' AND score IS NOT NULL THEN weight END) AS {p.lower()}" for p in WEIGHTS) + " FROM s JOIN aw USING (pillar) GROUP BY 1), y AS (SELECT *, CASE WHEN own > 0 THEN greatest(0, least(100, total / own - 0.15 * coalesce(damp, 0))) END AS score FROM o), z AS (SELECT *, rank() OVER (ORDER BY score DESC NULLS LAST) AS rk, count(score) OVER () AS n FROM y) SELECT id, round(score, 4) AS score, round(100 * coalesce(own, 0), 1) AS coverage_pct, (SELECT round(100 * sum(weight), 1) FROM aw WHERE pillar IN (SELECT pillar FROM s WHERE score IS NOT NULL)) AS global_coverage_pct, round(0.15 * damp, 4) AS dampener_applied, CASE WHEN score IS NULL THEN 'UNSCORED' WHEN (rk - 1)::DOUBLE / n < 0.25 THEN 'TIER 1' WHEN (rk - 1)::DOUBLE / n < 0.5 THEN 'TIER 2' WHEN (rk - 1)::DOUBLE / n < 0.75 THEN 'TIER 3' ELSE 'TIER 4' END AS tier, " + ", ".join(f"round({p.lower()} / own, 6) AS w_{p.lower()}" for p in WEIGHTS) + ", CASE WHEN own > 0 AND damp IS NOT NULL THEN -0.15::DOUBLE END AS w_p5 FROM z")
+def coverage_report(spark, folder):
+    """By the drivers each entity has, with a report of coverage and of the dampener."""
+    n = normalise.minmax(facts(spark, folder), indicators(spark), missing="propagate")
+    own = indicators(spark).select("pillar", "indicator", F.lit(1.0).alias("weight"))
+    p = stable(score.pillar_scores(n, own, renormalise=True))
+    r = score.coverage_report(p, spark.createDataFrame(list(_FULL.items()), "pillar string, weight double"), LAMBDA, DAMPENER)
+    of = lambda k: F.try_element_at(F.col("pillar_weights"), F.lit(k))
+    rounded = [F.round(c, d).alias(c) for c, d in (("score", 4), ("coverage_pct", 1), ("global_coverage_pct", 1), ("dampener_applied", 4))]
+    return r.select("id", *rounded, "tier", *[F.round(of(k), 6).alias(f"w_{k.lower()}") for k in WEIGHTS], of(DAMPENER).alias("w_p5"))
+
+
 @query(SCORED + " SELECT id, driver, penalty, score FROM c")
 def composite(spark, folder):
     return composite_frame(spark, folder).select("id", "driver", "penalty", "score")
@@ -210,7 +233,6 @@ def quadrants(spark, folder):
 @query(SCORED + ", p AS (SELECT id, round(max(CASE WHEN pillar = 'P1' THEN score END), 6) AS size, round(max(CASE WHEN pillar = 'P2' THEN score END), 6) AS price FROM s GROUP BY 1), md AS (SELECT quantile_cont(size, 0.5) AS ms, quantile_cont(price, 0.5) AS mp FROM p) SELECT id, CASE WHEN size >= ms AND price >= mp THEN 'LEADER' WHEN size >= ms THEN 'VOLUME' WHEN price >= mp THEN 'VALUE' ELSE 'NICHE' END AS archetype FROM p, md")
 def archetypes(spark, folder):
     from ..operators.order import quantiles
-    from ..operators.stable import stable
 
     at = lambda k: F.round(F.max(F.when(F.col("pillar") == k, F.col("score"))), 6)
     p = stable(pillar_frame(spark, folder).groupBy("id").agg(at("P1").alias("size"), at("P2").alias("price")))
@@ -229,12 +251,14 @@ def topdown_allocation(spark, folder):
     return s.join(F.broadcast(both), "s_nationkey").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("grp"), F.round(F.col("total") * F.col("x") / F.nullif(F.col("xs"), F.lit(0.0)), 4).alias("share"))
 
 
-@query()
+_PCA = ["n_orders", "sum_price", "avg_price", "acctbal"]
+
+
+@query(FILLED.replace("WITH w AS", "WITH RECURSIVE w AS", 1) + ", x AS (SELECT id, " + ", ".join(f"max(CASE WHEN indicator = '{c}' THEN norm END) AS c{k}" for k, c in enumerate(_PCA, 1)) + " FROM n GROUP BY 1), st AS (SELECT " + ", ".join(f"avg(c{k}) AS m{k}, stddev_pop(c{k}) AS s{k}" for k in (1, 2, 3, 4)) + ", " + ", ".join(f"[{', '.join('1.0::DOUBLE' if a == b else f'corr(c{a}, c{b})' for b in (1, 2, 3, 4))}] AS r{a}" for a in (1, 2, 3, 4)) + " FROM x), pw AS (SELECT 0 AS k, [0.5::DOUBLE, 0.41, 0.33, 0.27] AS v UNION ALL SELECT k + 1, list_transform(u, lambda z: z / sqrt(list_dot_product(u, u))) FROM (SELECT k, [" + ", ".join(f"list_dot_product(r{a}, v)" for a in (1, 2, 3, 4)) + "] AS u FROM pw, st WHERE k < 4000)), l AS (SELECT list_transform(v, lambda z: z * CASE WHEN list_sum(v) >= 0 THEN 1 ELSE -1 END) AS v FROM pw WHERE k = 4000), raw AS (SELECT id, " + " + ".join(f"(c{k} - m{k}) / s{k} * v[{k}]" for k in (1, 2, 3, 4)) + " AS raw FROM x, st, l) SELECT id, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()) * 100, 3) AS pc1 FROM raw")
 def pca_weights(spark, folder):
     """Scores on the first principal component of the filled indicators."""
     n = normalised(spark, folder)
-    names = [i for i, _, _ in [("n_orders", 0, 0), ("sum_price", 0, 0), ("avg_price", 0, 0), ("acctbal", 0, 0)]]
-    wide = n.where(F.col("indicator").isin(names)).groupBy("id").pivot("indicator", names).agg(F.first("norm"))
-    return w.first_component(wide, names).withColumn("pc1", F.round("pc1", 4))
+    wide = n.where(F.col("indicator").isin(_PCA)).groupBy("id").pivot("indicator", _PCA).agg(F.first("norm"))
+    return w.first_component(wide, _PCA).withColumn("pc1", F.round("pc1", 3))
 
 

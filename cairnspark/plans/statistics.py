@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import concordance, order, quality, regression, sensitivity, stats
+from ..operators import concordance, order, quality, rank_histograms, regression, sensitivity, stats
 from ..operators.stable import stable
 from ..sources import readers
 from ..sources.readers import table
@@ -195,11 +195,26 @@ def json_and_dates(spark, folder):
     return x.agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"), F.min(F.year("ts")).alias("first_year"), F.max(F.month("ts")).alias("last_month"))
 
 
-@query()
+def _with_draws(draws: list[tuple[int, str, float]]) -> str:
+    """_DSQL with other draws, and scores of nine decimals."""
+    return _DSQL.replace(_DSQL.split("(VALUES ")[-1].split("), v AS")[0], ", ".join(f"({d}, '{p}', {x!r}::DOUBLE)" for d, p, x in draws)).replace("max(damp), 6) AS score", "max(damp), 9) AS score")
+
+
+_STABILITY = "id, round(avg(rank), 4) AS mean_rank, round(quantile_cont(rank, 0.5), 4) AS median_rank, round(stddev_pop(rank), 4) AS std_rank, round(quantile_cont(rank, 0.05), 4) AS p05, round(quantile_cont(rank, 0.95), 4) AS p95, min(rank) AS best, max(rank) AS worst, round(100.0 * count(*) FILTER (rank <= 10) / count(*), 4) AS top10_pct, round(100.0 * count(*) FILTER (rank <= 20) / count(*), 4) AS top20_pct, CASE WHEN stddev_pop(rank) <= 2 THEN 'VERY STABLE' WHEN stddev_pop(rank) <= 5 THEN 'STABLE' WHEN stddev_pop(rank) <= 10 THEN 'MODERATE' ELSE 'VOLATILE' END AS label"
+
+
+def _rounded_stability(s: DataFrame) -> DataFrame:
+    return s.withColumns({c: F.round(c, 4) for c in ("mean_rank", "median_rank", "std_rank", "p05", "p95", "top10_pct", "top20_pct")})
+
+
+_THOUSAND = sensitivity.lognormal_draws(WEIGHTS, 1000)
+
+
+@query(_with_draws(_THOUSAND) + f" SELECT {_STABILITY} FROM vr GROUP BY 1")
 def mc_full(spark, folder):
     """A thousand draws with stability labels."""
-    draws = sensitivity.draws_frame(spark, sensitivity.lognormal_draws(WEIGHTS, 1000))
-    return sensitivity.stability(sensitivity.draw_ranks(sensitivity.draw_scores(_pillars(spark, folder), draws, LAMBDA, DAMPENER)))
+    h = rank_histograms.rank_histograms(_pillars(spark, folder), sensitivity.draws_frame(spark, _THOUSAND), LAMBDA, DAMPENER)
+    return _rounded_stability(rank_histograms.stability(h)).drop("p025", "p975", "tier1_pct", "tier2_pct", "tier3_pct", "tier4_pct")
 
 
 @query(_DSQL + ", q AS (SELECT draw, quantile_cont(score, 0.8) AS a, quantile_cont(score, 0.5) AS b, quantile_cont(score, 0.2) AS c FROM v GROUP BY 1) SELECT id, " + ", ".join(f"round(100.0 * avg(CASE WHEN t = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS tier{k}_pct" for k in (1, 2, 3, 4)) + " FROM (SELECT v.id, CASE WHEN score >= a THEN 1 WHEN score >= b THEN 2 WHEN score >= c THEN 3 ELSE 4 END AS t FROM v JOIN q USING (draw)) GROUP BY 1")
@@ -210,25 +225,19 @@ def tier_probabilities(spark, folder):
     return t.select("id", *[F.round(f"tier{k}_pct", 4).alias(f"tier{k}_pct") for k in (1, 2, 3, 4)])
 
 
-@query()
+_SHARES = (0.1, 0.2, 0.3)
+_MOVED = [(500 * k + d, p, x) for k, share in enumerate(_SHARES) for d, p, x in sensitivity.uniform_draws(WEIGHTS, 500, share)]
+
+
+@query(_with_draws(_MOVED).replace("vr AS (SELECT *, rank()", "vr AS (SELECT *, (draw // 500 + 1) / 10.0::DOUBLE AS share, rank()") + f" SELECT share, {_STABILITY} FROM vr GROUP BY 1, 2")
 def uniform_perturbation(spark, folder):
     """Rank stability under weights moved by up to 10, 20 and 30 percent, 500 draws each."""
     p, out = _pillars(spark, folder), None
-    for share in (0.1, 0.2, 0.3):
+    for share in _SHARES:
         d = sensitivity.draws_frame(spark, sensitivity.uniform_draws(WEIGHTS, 500, share))
-        s = sensitivity.stability(sensitivity.draw_ranks(sensitivity.draw_scores(p, d, LAMBDA, DAMPENER))).withColumn("share", F.lit(share))
+        s = rank_histograms.stability(rank_histograms.rank_histograms(p, d, LAMBDA, DAMPENER)).withColumn("share", F.lit(share))
         out = s if out is None else out.unionByName(s)
-    return out
-
-
-@query()
-def imputation_uncertainty(spark, folder):
-    """Rank intervals when imputed cells are noisy; 100 draws of hashed noise."""
-    n = sensitivity.imputation_noise(normalised(spark, folder).select("id", "grp", "indicator", "norm", "status"), 100, {"INHERITED": 2.5, "IMPUTED": 5.0, "MISSING": 5.0})
-    x = n.join(F.broadcast(indicators(spark).select("indicator", "pillar")), "indicator").groupBy("draw", "id", "pillar").agg(F.avg("norm").alias("score"))
-    x = x.join(F.broadcast(weights(spark)), "pillar", "left").groupBy("draw", "id").agg((F.sum(F.col("weight") * F.col("score")) - LAMBDA * F.max(F.when(F.col("pillar") == DAMPENER, F.col("score")))).alias("score"))
-    r = sensitivity.draw_ranks(x)
-    return r.groupBy("id").agg(F.percentile("rank", 0.05).alias("p05"), F.percentile("rank", 0.95).alias("p95"), F.avg("rank").alias("mean_rank"))
+    return _rounded_stability(out).drop("p025", "p975", "tier1_pct", "tier2_pct", "tier3_pct", "tier4_pct")
 
 
 @query(FILLED + ", z AS (SELECT id, indicator, norm, (SELECT count(*) FROM n) AS total FROM n), e AS (SELECT id, avg(norm) AS plain FROM n GROUP BY 1), r AS (SELECT m.id, avg(CASE WHEN r.k IS NULL THEN 50.0 ELSE r.k END) AS ranked FROM m LEFT JOIN (SELECT id, indicator, CASE WHEN direction = 'NEGATIVE' THEN (rank() OVER (PARTITION BY indicator ORDER BY v DESC) + (count(*) OVER (PARTITION BY indicator, v) - 1) / 2.0) ELSE (rank() OVER (PARTITION BY indicator ORDER BY v) + (count(*) OVER (PARTITION BY indicator, v) - 1) / 2.0) END / count(*) OVER (PARTITION BY indicator) * 100.0 AS k FROM (SELECT id, indicator, round(value, 6) AS v, direction FROM m JOIN i USING (indicator) WHERE value IS NOT NULL)) r ON r.id = m.id AND r.indicator = m.indicator GROUP BY 1) SELECT e.id, round(plain, 6) AS plain, round(ranked, 6) AS ranked FROM e JOIN r USING (id)")

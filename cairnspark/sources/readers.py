@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import re
 from collections.abc import Iterator
 
@@ -45,45 +44,50 @@ def read_csv(spark: SparkSession, path: str, columns: dict[str, list[str]] | Non
     return raw.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(k) for k, c in picked.items()])
 
 
-def headers(spark: SparkSession, pattern: str, recursive: bool = False, sep: str = ",") -> dict[str, list[str]]:
-    """Header of each CSV file that a path or pattern finds; only first lines are read, by the driver."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = top.getFileSystem(conf)
-    waiting, out = list(fs.globStatus(top) or []), {}
-    while waiting:
-        f = waiting.pop()
-        name = f.getPath().getName()
-        if f.isDirectory():
-            inside = fs.listStatus(f.getPath())
-            waiting += [x for x in inside if recursive or x.isFile()]
-        elif not name.startswith(("_", ".")) and f.getLen():
-            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(f.getPath())
-            raw = fs.open(f.getPath())
-            stream = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8"))
-            line = stream.readLine() or ""
-            stream.close()
-            out[f.getPath().toString()] = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])
-    return out
+def family_lines(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
+    """(path, file, first, line): the non-blank lines of all files that a path or pattern finds, and whether a line is its file's first; read by tasks, however many files there are. None found: no rows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where):
+        return spark.createDataFrame([], "path string, file string, first boolean, line string")
+    text = spark.read.option("recursiveFileLookup", recursive).text(pattern)
+    lines = text.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("n"), F.translate("value", "\ufeff", "").alias("line"),
+    ).where(F.trim("line") != "")
+    # inside a file's first block the numbers rise line by line
+    heads = lines.where("start = 0").groupBy("path").agg(F.min_by("line", "n").alias("head_"))
+    return lines.join(heads, "path").select("path", "file", (F.col("line") == F.col("head_")).alias("first"), "line")
+
 
+def _place(header: Column, candidates: list[str]) -> Column:
+    """The place (from 1) of the first candidate that a header has by its exact name, else by letters and digits alone; null if it has none."""
+    flat = F.transform(header, lambda h: F.regexp_replace(F.lower(h), "[^a-z0-9]", ""))
+    exact = [F.array_position(header, c) for c in candidates]
+    loose = [F.array_position(flat, re.sub("[^a-z0-9]", "", c.lower())) for c in candidates]
+    return F.coalesce(*[F.nullif(x, F.lit(0).cast("long")) for x in exact + loose]).cast("int")
 
-def read_family(spark: SparkSession, pattern: str, columns: dict[str, list[str]], source: str = r"([^/]+?)(?:\.[^.]+)?$", recursive: bool = False) -> DataFrame:
+
+def read_family(spark: SparkSession, pattern: str, columns: dict[str, list[str]], source: str = r"([^/]+?)(?:\.[^.]+)?$", recursive: bool = False, sep: str = ",") -> DataFrame:
     """All CSV files of a family, whatever the order and spelling of their headers, with ``source`` taken from the file's name.
 
-    Files are read by header: one scan for each different one, columns by name. A column that a file lacks is null there; no file at all gives an empty frame.
+    All files are one scan: tasks find each file's header and where it has the columns, a table of a row for each different header, and cells are taken by place. A column that a file lacks is null there, as is an
+    empty cell; a line equal to its file's header is none; no file at all gives an empty frame. Quoted cells stay on one line.
     """
-    by: dict[tuple, list[str]] = {}
-    for path, header in sorted(headers(spark, pattern, recursive).items()):
-        by.setdefault(tuple(header), []).append(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), source, 1).alias("source")
-    out = spark.createDataFrame([], ", ".join(f"`{k}` string" for k in [*columns, "source"]))
-    for header, paths in by.items():
-        unique = [f"c{i}" for i in range(len(header))]
-        raw = spark.read.schema(", ".join(f"`{c}` string" for c in unique)).options(header=True, enforceSchema=True).csv(paths)
-        at = dict(zip(reversed(header), reversed(unique)))
-        picked = {k: detect_column(list(header), v) for k, v in columns.items()}
-        out = out.unionByName(raw.select(*[(F.col(at[c]) if c else F.lit(None).cast("string")).alias(k) for k, c in picked.items()], name))
-    return out
+    lines = family_lines(spark, pattern, recursive)
+    heads = lines.where("first").select("line").distinct()
+    width = heads.agg(F.max(F.size(F.split("line", re.escape(sep))))).first()[0] or 1
+    names = [f"c{i}" for i in range(width)]
+
+    def cells(line: Column) -> Column:
+        parsed = F.from_csv(line, ", ".join(f"{c} string" for c in names), {"sep": sep})
+        return F.array(*[parsed[c] for c in names])
+
+    places = heads.select(F.col("line").alias("head_"), cells(F.col("line")).alias("header_"))
+    places = places.select("head_", *[_place(F.col("header_"), v).alias(f"at_{i}") for i, v in enumerate(columns.values())])
+    of_file = lines.where("first").select("path", F.col("line").alias("head_")).distinct().join(places, "head_").drop("head_")
+    rows = lines.where("not first").join(of_file, "path").withColumn("cells_", cells(F.col("line")))
+    name = F.regexp_extract("file", source, 1).alias("source")
+    return rows.select(*[F.when(F.col(f"at_{i}").isNotNull(), F.try_element_at("cells_", F.col(f"at_{i}"))).alias(k) for i, k in enumerate(columns)], name)
 
 
 def reshape(raw: DataFrame, columns: dict[str, list[str]], required: list[str], added: dict[str, str | None]) -> DataFrame:

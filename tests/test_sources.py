@@ -34,6 +34,28 @@ def test_csv_family_with_other_headers(spark, tmp_path):
     assert readers.read_family(spark, str(tmp_path / "*.none"), columns).count() == 0
 
 
+def test_csv_family_of_odd_files(spark, tmp_path):
+    """A mark before the header, quotes, separators inside them, short rows, blank lines, repeated headers, no rows, an empty file."""
+    (tmp_path / "a.csv").write_text('\ufeff"Company Name",Paid,Paid\n"x, y",1,2\n\nshort\n"Company Name",Paid,Paid\nz,,3\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("paid;other\n")
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "_hidden.csv").write_text("Paid\n9\n")
+    got = sorted(readers.read_family(spark, str(tmp_path), {"company": ["companyname"], "paid": ["Paid"]}).collect(), key=str)
+    assert {tuple(r) for r in got} == {("x, y", "1", "a"), ("short", None, "a"), ("z", None, "a")}
+
+
+def test_ten_thousand_files_are_one_scan(spark, tmp_path):
+    """Headers are found by tasks: no file is opened by the driver, and the number of jobs does not depend on the number of files."""
+    for i in range(10_000):
+        head, row = ("Status,Company", f"s{i % 7},n{i}") if i % 3 else ("Company Name,City,Status", f"n{i},c,s{i % 7}")
+        (tmp_path / f"f{i}.csv").write_text(f"{head}\n{row}\n")
+    spark.sparkContext.setJobGroup("family", "family")
+    df = readers.read_family(spark, str(tmp_path), {"company": ["Company", "CompanyName"], "status": ["Status"]})
+    r = df.agg(F.count("*").alias("n"), F.countDistinct("company").alias("names"), F.countDistinct("source").alias("files"), F.count_if(F.concat(F.lit("s"), (F.substring("company", 2, 9).cast("int") % 7).cast("string")) == F.col("status")).alias("right")).first()
+    assert (r.n, r.names, r.files, r.right) == (10_000,) * 4
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("family")) < 40
+
+
 def test_reshape_and_defaults(spark):
     raw = spark.createDataFrame([(" 1 ", "a", "5"), ("", "b", "6"), ("3", "", "x")], "`District Code` string, Name string, growth string")
     got = [tuple(r) for r in readers.reshape(raw, {"code": ["districtcode"], "name": ["Name"], "none": ["zz"]}, ["code"], {"aliases": ""}).collect()]
