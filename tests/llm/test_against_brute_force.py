@@ -326,18 +326,31 @@ def test_template_lines_keep_their_links(spark, n, shared, own):
 
 
 def test_connected_is_exact():
-    """Whatever order pairs come in, the forest connects what the links do, and links are asked for only where they matter."""
+    """Whatever order pairs come in, the forests connect what the links do, and links are asked for only where they matter."""
     rng = np.random.default_rng(3)
-    for n, share in ((2, 1.0), (40, 0.02), (200, 0.01), (300, 0.2)):
+    parts, links = [], []
+    for n, share in ((2, 1.0), (40, 0.02), (200, 0.01), (300, 0.2), (5, 0.0), (1, 0.0)):
         i, j = np.triu_indices(n, 1)
         order = rng.permutation(len(i))
-        i, j = i[order], j[order]
-        link = rng.random((n, n)) < share
-        asked = []
-        got = line_dedup.connected(i, j, n, lambda p, q: asked.append(len(p)) or link[p, q])
+        parts.append((i[order], j[order], n))
+        links.append(rng.random((n, n)) < share)
+    asked = []
+    got = line_dedup.connected(parts, lambda some: asked.append(sum(len(p) for _, p, _ in some)) or np.concatenate([links[k][p, q] for k, p, q in some]))
+    for (i, j, n), link, forest in zip(parts, links, got):
         want = roots(range(n), [(int(p), int(q)) for p, q in zip(i, j) if link[p, q]])
-        assert roots(range(n), got) == want and all(link[p, q] for p, q in got) and len(got) == n - len(set(want.values()))
-        assert sum(asked) <= len(i)
+        assert roots(range(n), forest) == want and all(link[p, q] for p, q in forest) and len(forest) == n - len(set(want.values()))
+    assert sum(asked) <= sum(len(i) for i, _, _ in parts)
+
+
+def test_bigram_bound_leaves_out_no_link():
+    rnd = random.Random(6)
+    lines = template_lines(60, 4, 2, 1) + ["漢字漢字漢字漢字", "漢字漢字漢字漢子", "a", "ab", "", "aaaaaaaaaaaa", "aaaaaaaaaab"]
+    lines += [e for x in lines for k in ("one word", "one letter", "0.15") if x and (e := edited(rnd, x, k))]
+    grams = line_dedup.bigrams(lines).astype(int)
+    for i in range(len(lines)):
+        for j in range(i):
+            if line_dedup.similar(lines[i], lines[j]):
+                assert np.abs(grams[i] - grams[j]).sum() <= 4 * (max(len(lines[i]), len(lines[j])) // 5)
 
 
 # --- op6 ---

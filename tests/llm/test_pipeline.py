@@ -86,3 +86,13 @@ def test_a_passage_of_short_words(spark, planted):
     rows = [(i, f"{words(rnd, 40)} {passage} {words(rnd, 40)}", "en", "s", 1) for i in (1, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert len(passage) < 200 and all(passage not in r.text and len(r.text) > 300 for r in stage(spark, planted, "repeated_passages", docs).values())
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark, planted):
+    """A copy that shares its id with another text does not take that text with it; rows without an id are compared too."""
+    rnd = random.Random(21)
+    a, b, c = words(rnd, 80), words(rnd, 80), words(rnd, 80)
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, b), (9, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, planted[0]).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (5, b), (9, c)])
