@@ -48,11 +48,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of documents linked by five-word shingles, similarity 0.8 or more, and one of equal rows."""
-    docs = _different(_columns(docs))
-    groups = jaccard.jaccard_join(docs, 5, 80, 100)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps, of each group of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id (an id before none), and one of equal rows.
+
+    Rows are compared by themselves: rows of one id with different texts, and rows without an id, are documents like any other.
+    """
+    docs = _different(_columns(docs)).withColumn("key_", F.xxhash64("doc_id", "text"))
+    groups = jaccard.jaccard_join(docs.select(F.col("key_").alias("doc_id"), "text"), 5, 80, 100).select(F.col("doc_id").alias("key_"), "component_id")
+    members = groups.join(docs.select("key_", "doc_id"), "key_")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key_")).alias("first_")).select("first_.key_")
+    return docs.join(first.hint("merge"), "key_", "left_semi").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
