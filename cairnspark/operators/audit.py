@@ -128,9 +128,11 @@ def scope_audit(rows: DataFrame, resolved: DataFrame, scope: DataFrame) -> DataF
     return x.select(*rows.columns, F.when(inside, F.col("id")).alias("id"), mapping.alias("mapping"), reason.alias("reason"))
 
 
-def mode_audit(dim: DataFrame, present: bool) -> DataFrame:
-    """dim with how a pillar that depends on one bulk source was made: observed, or a calibrated proxy."""
-    return dim.withColumn("bulk_source", F.lit(present)).withColumn("mode", F.lit("DIRECT_OBSERVED" if present else "CALIBRATED_PROXY"))
+def mode_audit(dim: DataFrame, bulk: DataFrame) -> DataFrame:
+    """dim with how a pillar that depends on a bulk source was made for each entity: observed where the source has it (bulk: (id)), else a calibrated proxy."""
+    seen = bulk.select("id").distinct().withColumn("bulk_source", F.lit(True))
+    x = dim.join(seen, "id", "left").withColumn("bulk_source", F.coalesce("bulk_source", F.lit(False)))
+    return x.withColumn("mode", F.when(F.col("bulk_source"), "DIRECT_OBSERVED").otherwise("CALIBRATED_PROXY"))
 
 
 def cell_audit(cells: DataFrame) -> DataFrame:
@@ -150,9 +152,11 @@ def geography_check(dim: DataFrame, n_ids: int | None = None, n_groups: int | No
     return x.withColumn("passed", F.when(ok, F.lit(True)).otherwise(F.raise_error(F.format_string("%d ids, %d groups, %d repeated", "n_ids", "n_groups", "repeated")).cast("boolean")))
 
 
-def outcome_skeleton(dim: DataFrame, year: int, measures: dict[str, float]) -> DataFrame:
-    """One row for each entity for outcomes that are not there yet: measures at their initial value, and flags that say so."""
-    return dim.select("id", "name", "grp", F.lit(year).alias("year"), *[F.lit(float(v)).alias(k) for k, v in measures.items()], F.lit("PENDING").alias("source_flag"), F.lit("STRUCTURE_ONLY").alias("provenance"))
+def outcome_skeleton(dim: DataFrame, years: DataFrame, measures: dict[str, float]) -> DataFrame:
+    """One row for each entity for outcomes that are not there yet: the year they are due (years: (id, year); an entity without one has no history), measures at their initial value, and flags that say so."""
+    x = dim.join(years.select("id", "year"), "id", "left")
+    flag = F.when(F.col("year").isNull(), "NO_HISTORY").otherwise("PENDING")
+    return x.select("id", "name", "grp", "year", *[F.lit(float(v)).alias(k) for k, v in measures.items()], flag.alias("source_flag"), F.lit("STRUCTURE_ONLY").alias("provenance"))
 
 
 def reconcile(ours: DataFrame, theirs: DataFrame, tolerance: float = 1e-6) -> DataFrame:

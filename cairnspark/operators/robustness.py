@@ -179,3 +179,26 @@ def truncated_and_rounded(df: DataFrame, value: str, by: list[str], p: float) ->
     """(by, exact, truncated, rounded): a percentile (of six decimals, which hides errors of interpolation) as a whole number, cut towards zero and rounded half to even."""
     q = df.groupBy(*by).agg(F.round(F.percentile(value, p), 6).alias("exact"))
     return q.select(*by, "exact", F.col("exact").cast("long").alias("truncated"), F.bround("exact", 0).cast("long").alias("rounded"))
+
+
+#: Scalings whose effect is taken apart from that of the weights they lead to; the first is the base.
+SCALINGS = {"MINMAX": normalise.minmax, "ROBUST_IQR": normalise.robust_iqr, "PERCENTILE_RANK": normalise.percentile_rank, "WINSORISED": normalise.winsorised}
+
+
+def scaling_effects(filled: DataFrame, names: DataFrame, weights: DataFrame, lam: float, dampener: str, digits: int = 6) -> DataFrame:
+    """(variant, id, score, rank): composites under each scaling, with the base's entropy weights (<scaling>_FIXED) and with those that the scaling itself leads to (<scaling>_RECOMPUTED).
+
+    filled: (id, indicator, value) after imputation, a null value counts as 50 on every scale; names: (indicator, pillar, direction); weights: (pillar, weight). Against the base (MINMAX_FIXED, see ``agreement``) the first kind
+    shows what the scale does, the second what the scale and its weights do.
+    """
+    own = F.broadcast(names.select("indicator", "pillar"))
+    out, base = None, None
+    for name, scale in SCALINGS.items():
+        norm = scale(filled.select("id", "indicator", "value"), names).withColumn("norm", F.coalesce("norm", F.lit(50.0)))
+        norm = stable(norm.select("id", "indicator", "norm"))
+        mine = stable(w.entropy(norm.join(own, "indicator")))
+        base = mine if base is None else base
+        for kind, given in (("FIXED", base), ("RECOMPUTED", mine)):
+            s = score.composite(stable(score.pillar_scores(norm, given)), weights, lam, dampener).select(F.lit(f"{name}_{kind}").alias("variant"), "id", F.round("score", digits).alias("score"))
+            out = s if out is None else out.unionByName(s)
+    return with_rank(stable(out), "score", by=["variant"])

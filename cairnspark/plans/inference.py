@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed
 from ..functions.keyed import PRIME, constants
-from ..operators import allocate, concordance, folds, impute, order, rank_histograms, regression, sensitivity, stats
+from ..operators import allocate, concordance, folds, impute, order, rank_histograms, regression, robustness, sensitivity, stats
 from ..operators.stable import stable
 from ..sources.readers import table
 from .base import DAMPENER, FILLED, INDICATORS, LAMBDA, WEIGHTS, indicators, normalised, query, weights, wide_facts
@@ -201,3 +201,35 @@ def imputation_uncertainty(spark, folder):
     x = x.join(F.broadcast(weights(spark)), "pillar", "left").groupBy("draw", "id").agg((F.sum(F.col("weight") * F.col("score")) - LAMBDA * F.max(F.when(F.col("pillar") == DAMPENER, F.col("score")))).alias("score"))
     r = order.with_rank(stable(x.withColumn("score", F.round("score", 9))), "score", by=["draw"])
     return r.groupBy("id").agg(F.round(F.percentile("rank", 0.05), 4).alias("p05"), F.round(F.percentile("rank", 0.95), 4).alias("p95"), F.round(F.avg("rank"), 4).alias("mean_rank"))
+
+
+_UP = "CASE WHEN hi = lo THEN 50.0 WHEN direction = 'NEGATIVE' THEN 100.0 - (v - lo) / (hi - lo) * 100.0 ELSE (v - lo) / (hi - lo) * 100.0 END"
+_SCALED = f"""mv AS (SELECT m.id, m.indicator, pillar, direction, value FROM m JOIN i USING (indicator)),
+qs AS (SELECT indicator, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.95) AS q95, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM mv GROUP BY 1),
+vv AS (
+  SELECT 'MINMAX' AS scale, id, indicator, pillar, direction, value AS v FROM mv
+  UNION ALL SELECT 'ROBUST_IQR', id, indicator, pillar, direction, (value - q2) / CASE WHEN q3 - q1 <= 0 THEN 1.0 ELSE q3 - q1 END FROM mv JOIN qs USING (indicator)
+  UNION ALL SELECT 'WINSORISED', id, indicator, pillar, direction, CASE WHEN value IS NOT NULL THEN greatest(q05, least(q95, value)) END FROM mv JOIN qs USING (indicator)
+),
+mm AS (SELECT scale, indicator, min(v) AS lo, max(v) AS hi FROM vv GROUP BY 1, 2),
+pr AS (SELECT id, indicator, (rank() OVER (PARTITION BY indicator ORDER BY CASE WHEN direction = 'NEGATIVE' THEN -value ELSE value END) + (count(*) OVER (PARTITION BY indicator, value) - 1) / 2.0) / count(*) OVER (PARTITION BY indicator) * 100.0 AS norm FROM mv WHERE value IS NOT NULL),
+ns AS (
+  SELECT vv.scale, id, vv.indicator, pillar, coalesce({_UP}, 50.0) AS norm FROM vv JOIN mm ON mm.scale = vv.scale AND mm.indicator = vv.indicator
+  UNION ALL SELECT 'PERCENTILE_RANK', mv.id, mv.indicator, pillar, coalesce(norm, 50.0) FROM mv LEFT JOIN pr ON pr.id = mv.id AND pr.indicator = mv.indicator
+),
+es AS (SELECT scale, pillar, indicator, count(*) AS k, sum(norm + 1e-6) AS t, sum((norm + 1e-6) * ln(norm + 1e-6)) AS xl FROM ns GROUP BY 1, 2, 3),
+ed AS (SELECT scale, pillar, indicator, greatest(1.0 - CASE WHEN k <= 1 THEN 1.0 ELSE (ln(t) - xl / t) / ln(k) END, 1e-6) AS d FROM es),
+ew AS (SELECT scale, pillar, indicator, d / sum(d) OVER (PARTITION BY scale, pillar) AS weight FROM ed),
+pl AS (
+  SELECT ns.scale || '_FIXED' AS variant, id, ns.pillar, sum(weight * norm) AS score FROM ns JOIN ew ON ew.scale = 'MINMAX' AND ew.indicator = ns.indicator GROUP BY 1, 2, 3
+  UNION ALL SELECT ns.scale || '_RECOMPUTED', id, ns.pillar, sum(weight * norm) FROM ns JOIN ew ON ew.scale = ns.scale AND ew.indicator = ns.indicator GROUP BY 1, 2, 3
+),
+v AS (SELECT variant, id, round(sum(weight * score) - 0.15 * coalesce(max(CASE WHEN pillar = 'P5' THEN score END), 0), 6) AS score FROM pl LEFT JOIN wt USING (pillar) GROUP BY 1, 2),
+vr AS (SELECT *, rank() OVER (PARTITION BY variant ORDER BY score DESC) AS rank FROM v)"""
+
+
+@query(FILLED + ", " + _SCALED + ", va AS (SELECT *, " + _AVG_RANK.format(w="PARTITION BY variant", v="score", p="variant, ") + " AS ar FROM vr), j AS (SELECT x.variant, x.rank, x.ar, y.rank AS br, y.ar AS bar FROM va x JOIN va y ON y.id = x.id AND y.variant = 'MINMAX_FIXED' WHERE x.variant <> 'MINMAX_FIXED') SELECT variant, round(corr(ar, bar), 6) AS spearman, round(1 - corr(ar, bar), 6) AS disruption FROM j GROUP BY 1")
+def scaling_effects(spark, folder):
+    """What a scale does to the ranking, and what the weights that it leads to add."""
+    v = robustness.scaling_effects(normalised(spark, folder), indicators(spark), weights(spark), LAMBDA, DAMPENER)
+    return robustness.agreement(v, "MINMAX_FIXED", tau=False).select("variant", F.round("spearman", 6).alias("spearman"), F.round("disruption", 6).alias("disruption"))
