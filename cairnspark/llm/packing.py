@@ -36,6 +36,10 @@ GAP = 0.02
 LEARN, LATE, TIES, NEARLY, STEP, SUBSTEPS = 0.004, 0.1, 2.0, 0.004, 0.3, 4
 #: Share of the tokens that is left to best fit.
 RESIDUE = 0.05
+#: Rounds of pricing that all solutions of a plan may take together; what is not covered then is left to best fit.
+MOST_ROUNDS = 300
+#: Shares of the sequences, worst filled first, that are dissolved and dealt again by best fit, each kept only where it saves sequences. The last one is best fit alone.
+AGAIN = (0.02, 0.1, 0.3, 0.6, 1.0)
 #: Rounds between exact dual bounds.
 BOUND_EACH = 10
 #: Rows that one salted part of a length should hold.
@@ -226,19 +230,20 @@ class Cover:
     dual: float
 
 
-def solve(size: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> Cover:
+def solve(size: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP, rounds: list[int] | None = None) -> Cover:
     """The covering LP over all patterns, by multiplicative weights, until primal <= (1 + gap) dual.
 
     size: different ascending lengths below ``capacity``. Prices begin as the best dual solution known. A phase covers the whole demand; in it a length's
     price falls by a factor for every share of its demand that is covered, and after it the prices of those that were covered late have risen for the next one.
-    Phases end when the gap is reached, or when three in a row have bettered neither side; the least cover is returned.
+    Phases end when the gap is reached, when three in a row have bettered neither side, or when no rounds are left; the least cover is returned. rounds: how many are left, counted down.
     """
+    rounds = [MOST_ROUNDS] if rounds is None else rounds
     rng = np.random.default_rng(7)
     bound, prior = lower_bound(size, counts, capacity)
     prior = np.maximum(prior, 1e-3 * size / capacity)  # what costs nothing is placed too
     best, worse = None, 0
-    while worse < 3:
-        cover, late = phase(size, counts.astype(float), capacity, prior, bound, gap, rng)
+    while worse < 3 and (best is None or rounds[0] > 0):
+        cover, late = phase(size, counts.astype(float), capacity, prior, bound, gap, rng, rounds)
         better = best is None or cover.primal < best.primal * (1 - gap / 100) or cover.dual > bound * (1 + gap / 100)
         worse, bound = 0 if better else worse + 1, max(bound, cover.dual)
         if best is None or cover.primal < best.primal:
@@ -250,7 +255,7 @@ def solve(size: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP)
     return best
 
 
-def phase(size: np.ndarray, demand: np.ndarray, capacity: int, prior: np.ndarray, bound: float, gap: float, rng) -> tuple[Cover, np.ndarray]:
+def phase(size: np.ndarray, demand: np.ndarray, capacity: int, prior: np.ndarray, bound: float, gap: float, rng, most: list[int]) -> tuple[Cover, np.ndarray]:
     """(cover, mean share of each length's demand that was not yet covered).
 
     Each round prices all rooms at once; of each length the best pattern that holds it is used if it is worth nearly as much as the best of all, by
@@ -263,8 +268,9 @@ def phase(size: np.ndarray, demand: np.ndarray, capacity: int, prior: np.ndarray
     kept: list[tuple] = []
     while True:
         primal = used + float((left / alone).sum())
-        if primal <= (1 + gap) * dual or float((size * left).sum()) <= gap / 4 * tokens.sum():
+        if primal <= (1 + gap) * dual or float((size * left).sum()) <= gap / 4 * tokens.sum() or most[0] <= 0:
             break
+        most[0] -= 1
         share = left / demand
         late, rounds = late + share, rounds + 1
         open_ = share > 1e-6
@@ -327,10 +333,10 @@ def rounded(cover: Cover, size: np.ndarray, counts: np.ndarray, capacity: int) -
 
 def lp_bins(size: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], np.ndarray]:
     """As of ``rounded``; what rounding leaves is solved again until less than RESIDUE of the tokens are left, or no less than half."""
-    bins, left, total = [], counts, float((size * counts).sum())
-    while (before := float((size * left).sum())) > RESIDUE * total:
+    bins, left, total, rounds = [], counts, float((size * counts).sum()), [MOST_ROUNDS]
+    while (before := float((size * left).sum())) > RESIDUE * total and rounds[0] > 0:
         on = left > 0
-        more, rest = rounded(solve(size[on], left[on], capacity), size[on], left[on], capacity)
+        more, rest = rounded(solve(size[on], left[on], capacity, rounds=rounds), size[on], left[on], capacity)
         left = left.copy()
         left[on] = rest
         bins += more
@@ -342,7 +348,8 @@ def lp_bins(size: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[t
 def plan(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """[(number of sequences, [(length, how many), ...]), ...] that together place every piece of the histogram.
 
-    The LP's patterns come first, rounded; best fit places what is left.
+    The LP's patterns come first, rounded; best fit places what is left. Then the worst filled sequences are dissolved and dealt again, as long as that saves any, so there are never more
+    sequences than best fit alone would make.
     """
     order = np.argsort(lengths)
     size, left = np.array(lengths, np.int64)[order], np.array(counts, np.int64)[order]
@@ -353,8 +360,28 @@ def plan(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[int
         size, left = size[~whole], left[~whole]
     if not len(size):
         return out
-    bins, left = lp_bins(size, left, capacity)
-    return out + best_fit(size, left, capacity, bins)
+    bins, rest = lp_bins(size, left, capacity)
+    packed = best_fit(size, rest, capacity, bins)
+    for share in AGAIN:
+        again = dealt_again(packed, size, capacity, share)
+        if sum(n for n, _ in again) < sum(n for n, _ in packed):
+            packed = again
+    return out + packed
+
+
+def dealt_again(bins: list[tuple[int, list[tuple[int, int]]]], size: np.ndarray, capacity: int, share: float) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The sequences, but for a share of the worst filled ones, whose pieces best fit deals to all."""
+    todo = int(np.ceil(share * sum(n for n, _ in bins)))
+    left = np.zeros(len(size), np.int64)
+    kept = []
+    for n, what in sorted(bins, key=lambda b: sum(s * k for s, k in b[1])):
+        gone = min(n, todo)
+        todo -= gone
+        for s, k in what:
+            left[np.searchsorted(size, s)] += gone * k
+        if n > gone:
+            kept.append((n - gone, list(what)))
+    return best_fit(size, left, capacity, kept)
 
 
 def best_fit(size: np.ndarray, left: np.ndarray, capacity: int, begun: list[tuple[int, list[tuple[int, int]]]] = ()) -> list[tuple[int, list[tuple[int, int]]]]:

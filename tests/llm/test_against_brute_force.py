@@ -623,3 +623,25 @@ def test_components(spark):
     got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: c for i, c in want.items() if sum(x != y and i in (x, y) for x, y in edges)}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["corpus", "even", "thirds", "halves"])
+def test_plans_need_no_more_sequences_than_best_fit(con, kind):
+    rng, capacity = np.random.default_rng(3), 1024
+    if kind == "corpus":  # fifty times the lengths of the table
+        n = np.array([c for (c,) in con.sql("SELECT n_chars FROM documents WHERE n_chars > 0").fetchall()]) // 3 + 1
+        size, count = np.unique(n % capacity, return_counts=True)
+        size, count = size[size > 0], 50 * count[size > 0]
+    else:
+        x = {"even": rng.integers(1, capacity, 9000), "thirds": rng.normal(capacity / 3, 45, 9000).astype(int), "halves": rng.normal(capacity / 2, 60, 9000).astype(int)}[kind]
+        size, count = np.unique(np.clip(x, 1, capacity - 1), return_counts=True)
+    bins = packing.plan(size.tolist(), count.tolist(), capacity)
+    placed = Counter()
+    for n, what in bins:
+        assert sum(s * k for s, k in what) <= capacity
+        for s, k in what:
+            placed[s] += n * k
+    assert placed == dict(zip(size.tolist(), count.tolist()))
+    ours, plain = sum(n for n, _ in bins), sum(n for n, _ in packing.best_fit(size, count.copy(), capacity))
+    print(kind, ours, plain, -(-int((size * count).sum()) // capacity))
+    assert ours <= plain
