@@ -7,6 +7,7 @@ folder named in ``spark.checkpoint.dir``, and works on Arrow batches in slices o
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,9 +59,11 @@ def trimmed(run, keeps: str = ""):
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (local tests)."""
+    """The cluster's shared folder; a temporary one only on one machine whose session names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="cairnspark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -33,8 +33,8 @@ from .common import LOWER, materialise, mix64, prefix_hash, prepare, runs, slice
 
 #: Weight of the bigram's relative frequency.
 LAMBDA = 0.4
-#: Text bytes of a chunk, and bigram shards for each shuffle partition: both bound what a task holds at a time.
-CHUNK_BYTES, SHARDS_EACH = 6 << 20, 2
+#: Text bytes of a chunk, and of a shard of the bigrams: both bound what a task holds at a time.
+CHUNK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
 #: Hashes that stand for the end of a text, and for its beginning as a context.
 END, BEGIN = np.uint64(0xE0E0E0E0E0E0E0E1), np.uint64(0xB0B0B0B0B0B0B0B1)
 #: Steps of a log10 unit in the codes of probabilities.
@@ -258,9 +258,10 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    shards = SHARDS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.coalesce(learned, F.lit(False)).alias("learned"), "text")
     src = materialise(src)  # both passes cut it into chunks: rows that come from a shuffle could be in another order the second time
+    # a shard is a partition of its own, whatever the number of partitions is set to
+    shards = max(1, -(-(src.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
@@ -286,7 +287,7 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
         out = [(k, shard, WORDS, squeeze(inverse[a:b].astype(np.uint32), n[inverse[a:b]])) for k, a, b in zip(pdf["chunk"], at[:-1], at[1:])]
         return _frame([*out, (b"", shard, TOTALS, struct.pack("<qqq", int(n.sum()), int((n > 0).sum()), len(word)))])
 
-    counted = materialise(src.mapInArrow(trimmed(vocabulary), BLOBS).groupBy("shard").applyInPandas(count, BLOBS))
+    counted = materialise(src.mapInArrow(trimmed(vocabulary), BLOBS).repartition(shards, "shard").groupBy("shard").applyInPandas(count, BLOBS))
     # one row for each shard
     totals = [(r["shard"], *struct.unpack("<qqq", bytes(r["blob"]))) for r in counted.where(F.col("kind") == TOTALS).select("shard", "blob").collect()]
     n_all, v_all = sum(t[1] for t in totals), sum(t[2] for t in totals)
@@ -395,7 +396,7 @@ def score(docs: DataFrame, held: Column, learned: Column) -> DataFrame:
         return pd.DataFrame({"doc_id": doc_id, "held_out": held_ == 1, "n_tokens": n, "n_known": known, "train_tokens": n_all, "base_score": base, "score": total})
 
     sent = src.mapInArrow(trimmed(texts), BLOBS).unionByName(counted.where(F.col("kind") == WORDS))
-    scored = sent.groupBy("chunk").applyInPandas(pairs, BLOBS).groupBy("shard").applyInPandas(look, BLOBS)
+    scored = sent.groupBy("chunk").applyInPandas(pairs, BLOBS).repartition(shards, "shard").groupBy("shard").applyInPandas(look, BLOBS)
     return scored.groupBy("chunk").applyInPandas(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
