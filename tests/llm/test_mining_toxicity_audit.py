@@ -68,9 +68,9 @@ def test_hard_negatives_on_odd_rows(spark, tmp_path):
     whole = lambda v: [math.floor(256 * float(np.float32(c))) for c in v]
     ok = {i: ((lab + 1) % 10 if i % 7 == 0 else lab, whole(v)) for i, v, lab in rows if i is not None and v and lab is not None and all(c is not None and math.isfinite(c) for c in v)}
     assert got == slow_mine(ok, [i for i in ok if i % 50 == 0], 5, 3)
-    for bad in ("vec_id < 0", "vec_id = 4"):
-        t.where(bad).write.parquet(f"{tmp_path}/{len(bad)}/embeddings.parquet")
-        assert hard_negatives.op11_hard_negatives(spark, f"{tmp_path}/{len(bad)}").count() == 0
+    for k, few in enumerate(("vec_id < 0", "vec_id = 4")):
+        t.where(few).write.parquet(f"{tmp_path}/{k}/embeddings.parquet")
+        assert hard_negatives.op11_hard_negatives(spark, f"{tmp_path}/{k}").count() == 0
 
 
 # --- toxicity ---
