@@ -235,9 +235,9 @@ def solve(size: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP,
 
     size: different ascending lengths below ``capacity``. Prices begin as the best dual solution known. A phase covers the whole demand; in it a length's
     price falls by a factor for every share of its demand that is covered, and after it the prices of those that were covered late have risen for the next one.
-    Phases end when the gap is reached, when three in a row have bettered neither side, or when no rounds are left; the least cover is returned. rounds: how many are left, counted down.
+    Phases end when the gap is reached, when three in a row have bettered neither side, or when no rounds are left; the least cover is returned. rounds: how many are left, counted down (none given: no bound).
     """
-    rounds = [MOST_ROUNDS] if rounds is None else rounds
+    rounds = [1 << 60] if rounds is None else rounds
     rng = np.random.default_rng(7)
     bound, prior = lower_bound(size, counts, capacity)
     prior = np.maximum(prior, 1e-3 * size / capacity)  # what costs nothing is placed too
