@@ -42,7 +42,7 @@ def intensity(n: Column, density: Column) -> Column:
 
 
 def urban_share(name: Column, population: Column, cities: list[str] = ()) -> Column:
-    """A stated guess: 85 where the name says urban or is a listed city, 12 where it says rural, else 25 and 0.8 for each unit of population, 18 at least."""
+    """A stated guess, its numbers fixed values: 85 where the name says urban or is a listed city, 12 where it says rural, else 25 and 0.8 for each unit of population, 18 at least."""
     n = F.lower(name)
     return F.round(F.when(n.contains("urban") | n.isin([c.lower() for c in cities]), 85.0).when(n.contains("rural"), 12.0).otherwise(F.greatest(25.0 + population * 0.8, F.lit(18.0))), 2)
 

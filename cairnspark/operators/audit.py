@@ -60,6 +60,7 @@ def fifteen_gates(
     leaked = sorted(set(inputs) & set(targets))
     g = F.col
     all_ = g("c_observed") + g("c_inherited") + g("c_imputed")
+    # fixed values: the gates' numbers, names and severities
     rows = [
         ("canonical entities", (g("s_unknown") == 0) & (g("s_missing") == 0) & (g("s_ids") == g("d_ids")), "CRITICAL", g("s_ids")),
         ("no placeholder ids", g("s_placeholder") == 0, "CRITICAL", g("s_placeholder")),

@@ -10,9 +10,9 @@ from . import weights as w
 from .order import with_rank
 from .stable import stable
 
-#: Shares of inclusion (percent) from which a member of a top list is invariant, highly or moderately robust, or sensitive; below, volatile.
+#: Shares of inclusion (percent) from which a member of a top list is invariant, highly or moderately robust, or sensitive; below, volatile.
 BANDS = (("INVARIANT", 100.0), ("HIGH", 90.0), ("MODERATE", 70.0), ("SENSITIVE", 40.0))
-#: Standard deviations of ranks up to which others are highly and moderately robust.
+#: Standard deviations of ranks up to which others are highly and moderately robust.
 SPREADS = (("HIGH_MEMBER", 4.5), ("MODERATE_MEMBER", 8.0))
 
 
