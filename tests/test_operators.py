@@ -213,7 +213,7 @@ def test_contained_names_wherever_they_stand(spark):
 
 
 def test_header_names_and_values(spark):
-    rows = [(["x", "District Fact She et", "Kolar", "Karnataka"], "/a/b.pdf"), (["District Fact Sheet", "Ministry of Health", "y"], "/a/NFHS-5_DistFact_Goa_North Goa__North Goa.pdf"), (["z"], "/a/DistFact_Kerala_Idukki.pdf"), (["z"], "/a/other.pdf")]
+    rows = [(["x", "District Fact She et", "Kolar", "Karnataka"], "/a/b.pdf"), (["District Fact Sheet", "Ministry of Health", "y"], "/a/S5_DistFact_Goa_North Goa__North Goa.pdf"), (["z"], "/a/DistFact_Kerala_Idukki.pdf"), (["z"], "/a/other.pdf")]
     h = text.header_names(F.col("lines"), F.col("path"), "District Fact Sheet", ["ministry", "survey"], "DistFact_")
     got = [(r.h.name, r.h.grp) for r in spark.createDataFrame(rows, "lines array<string>, path string").select(h.alias("h")).collect()]
     assert got == [("Kolar", "Karnataka"), ("North Goa", "Goa"), ("Idukki", "Kerala"), (None, None)]
