@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import edit_ratio
 from . import similar
+from .similar import large
 from .stable import stable
 
 #: Least similarity of a fuzzy match, and the lead over the second that makes it unambiguous.
@@ -50,7 +51,7 @@ def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> Data
     keyed = names.where(F.length(name) > 0).withColumn("piece_", F.substring(F.col(name), F.lit(1), size))
     pieces = [F.expr(f"transform(sequence(1, greatest(1, length({text}) - {k - 1})), i -> substring({text}, i, {k}))") for k in range(1, PIECE + 1)]
     cut = texts.withColumn("piece_", F.explode(F.array_distinct(F.concat(*pieces))))
-    return cut.join(keyed, "piece_").where(F.contains(F.col(text), F.col(name))).drop("piece_")
+    return large(cut).join(large(keyed), "piece_").where(F.contains(F.col(text), F.col(name))).drop("piece_")
 
 
 def similar_entities(asked: DataFrame, entity: DataFrame, fitting: DataFrame, similarity, threshold: float, margin: float) -> DataFrame:
@@ -150,5 +151,7 @@ def by_prefix(rows: DataFrame, code: str, prefixes: DataFrame, size: int = 3) ->
 def first_contained(rows: DataFrame, dim: DataFrame, text: str = "text", key: str = "row_id") -> DataFrame:
     """(key, id): the first entity, in the dimension's order, whose name the text contains, whatever stands around it. dim: (id, name, pos); case does not count."""
     texts = rows.select(key, F.lower(F.col(text)).alias("text_"))
-    found = containing(texts, "text_", dim.select("id", F.lower("name").alias("name_"), "pos"), "name_")
-    return found.groupBy(key).agg(F.min_by("id", F.struct("pos", "id")).alias("id"))
+    # a text on many rows is looked up once
+    found = containing(texts.select("text_").distinct(), "text_", dim.select("id", F.lower("name").alias("name_"), "pos"), "name_")
+    first = found.groupBy("text_").agg(F.min(F.struct("pos", "id")).alias("f_"))
+    return texts.join(large(first), "text_").groupBy(key).agg(F.min("f_").alias("f_")).select(key, "f_.id")

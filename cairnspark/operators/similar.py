@@ -25,6 +25,11 @@ PIECES = 8
 EVERYWHERE = "*"
 
 
+def large(df: DataFrame) -> DataFrame:
+    """df, never broadcast in a join: Spark's estimate of a small compressed file knows nothing of the rows that ``explode`` makes of it."""
+    return df.hint("merge")
+
+
 class Bound:
     """How many edits, and which lengths, a similarity of at least r leaves to names of given lengths.
 
@@ -62,7 +67,7 @@ def one_edit(asked: DataFrame, known: DataFrame) -> DataFrame:
     probe = asked.withColumn("own_", F.length("name")).select("name", "own_", F.expr("explode(filter(sequence(own_ - 1, own_ + 1), x -> x > 0)) as size_")).select("name", "own_", "size_", F.expr(cut))
     probe = probe.where("cut_.a + size_ - cut_.b <= own_")
     left = F.xxhash64("size_", "cut_.i", F.expr("substring(name, 1, cut_.a)"), F.expr("substring(name, own_ - (size_ - cut_.b) + 1, size_ - cut_.b)"))
-    return probe.select("name", left.alias("key_")).join(index, "key_").select("name", "d_name").distinct()
+    return probe.select("name", left.alias("key_")).join(large(index), "key_").select("name", "d_name").distinct()
 
 
 def few_edits(asked: DataFrame, known: DataFrame, bound: Bound, r: float) -> DataFrame:
@@ -85,4 +90,4 @@ def few_edits(asked: DataFrame, known: DataFrame, bound: Bound, r: float) -> Dat
     last = F.expr("least(own_ - (s_.b - s_.a), s_.a + s_.i, s_.a + own_ - size_ + (edits_ - s_.i))")
     probe = probe.withColumn("first_", first).withColumn("last_", last).where("first_ <= last_").withColumn("at_", F.explode(F.sequence("first_", "last_")))
     probe = probe.select("name", F.xxhash64("group", "size_", "edits_", "s_.i", F.expr("substring(name, at_ + 1, s_.b - s_.a)")).alias("key_")).distinct()
-    return probe.join(index, "key_").select("name", "d_name").distinct()
+    return probe.join(large(index), "key_").select("name", "d_name").distinct()

@@ -303,3 +303,12 @@ def test_config(spark, tmp_path):
     assert c.indicators == [("a", "A", "POSITIVE")] and c.cuts == (0.9, 0.5, 0.1)
     with pytest.raises(ValueError, match="without weight"):
         config.IndexConfig([("a", "A", "POSITIVE")], {"B": 1.0})
+
+
+def test_pieces_of_texts_are_not_broadcast(spark, capsys):
+    texts = spark.createDataFrame([(1, "Large ring"), (2, "hot bolt"), (3, "Large ring"), (4, None)], "row_id long, text string")
+    dim = spark.createDataFrame([(7, "ring", 2), (8, "LARGE", 1), (9, "lt", 3)], "id long, name string, pos int")
+    found = resolve.first_contained(texts, dim)
+    assert sorted(map(tuple, found.collect())) == [(1, 8), (2, 9), (3, 8)]
+    found.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
