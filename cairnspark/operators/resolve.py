@@ -64,12 +64,12 @@ def similar_entities(asked: DataFrame, entity: DataFrame, fitting: DataFrame, si
     named = entity.where("name <> ''").select("id", F.col("name").alias("d_name"), F.coalesce("grp", F.lit("")).alias("grp"))
     decided = lambda pairs: pairs.withColumn("ratio", similarity(F.col("name"), F.col("d_name"))).where(F.col("ratio") >= least - 1e-9)
     in_group = F.col("hint").isNull() | (F.col("grp") == "") | F.col("g_").isNotNull()
-    beside = lambda pairs, ask: ask.join(pairs, "name").join(named, "d_name").join(fitting.select("h_", "g_"), (F.col("hint") == F.col("h_")) & (F.col("grp") == F.col("g_")), "left").where(in_group).select("name", "hint", "id", "grp", "ratio")
+    beside = lambda pairs, ask: ask.join(large(pairs), "name").join(large(named), "d_name").join(fitting.select("h_", "g_"), (F.col("hint") == F.col("h_")) & (F.col("grp") == F.col("g_")), "left").where(in_group).select("name", "hint", "id", "grp", "ratio")
     near = stable(beside(decided(similar.one_edit(asked.select("name").distinct(), named.select("d_name").distinct())), asked))
     top = near.groupBy("name", "hint").agg(F.max("ratio").alias("top")).where(F.col("top") >= threshold)
     settled = top.where(bound.most_edits(F.length("name"), F.col("top") - margin) <= 1).select(F.col("name").alias("n_"), F.col("hint").alias("h_"))
     same = (F.col("name") == F.col("n_")) & F.col("hint").eqNullSafe(F.col("h_"))
-    rest = stable(asked.join(settled, same, "left_anti"))
+    rest = stable(asked.join(large(settled), same, "left_anti"))
     # the groups a name is sought in: those that fit the hint and none, or everywhere; an entity is found in its own and everywhere
     fits = rest.join(fitting.select("h_", "g_"), F.col("hint") == F.col("h_")).select("name", F.concat(F.lit("g"), "g_").alias("group"))
     some = rest.where("hint is not null").select("name", F.lit("g").alias("group"))
@@ -77,7 +77,7 @@ def similar_entities(asked: DataFrame, entity: DataFrame, fitting: DataFrame, si
     sought = fits.unionByName(some).unionByName(every).distinct()
     found = named.select("d_name", F.explode(F.array(F.concat(F.lit("g"), "grp"), F.lit(similar.EVERYWHERE))).alias("group")).distinct()
     more = beside(decided(similar.few_edits(sought, found, bound, least)), rest)
-    return near.join(settled, same, "left_semi").unionByName(more)
+    return near.join(large(settled), same, "left_semi").unionByName(more)
 
 
 def resolve(names: DataFrame, dim: DataFrame, aliases: DataFrame | None = None, similarity=edit_ratio, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
@@ -108,21 +108,21 @@ def resolve(names: DataFrame, dim: DataFrame, aliases: DataFrame | None = None,
         return x.withColumn("fit_", F.col("hint").isNull() | F.col("grp").isNull() | (F.col("grp") == "") | F.coalesce("fit_", F.lit(False)))
 
     entity = dim.select("id", "name", "grp")
-    known = aliases.select(F.col("alias").alias("name"), "id", "method", "confidence").join(entity.select("id", "grp"), "id")
-    by_alias = with_fit(ask.join(known, "name")).where("fit_").groupBy("name", "hint").agg(F.min(F.struct("id", "method", "confidence")).alias("a"))
-    same = with_fit(ask.join(entity, "name")).groupBy("name", "hint").agg(F.sort_array(F.collect_list(F.when(F.col("fit_"), F.col("id")))).alias("fit"), F.sort_array(F.collect_list("id")).alias("every"))
+    known = aliases.select(F.col("alias").alias("name"), "id", "method", "confidence").join(large(entity.select("id", "grp")), "id")
+    by_alias = with_fit(ask.join(large(known), "name")).where("fit_").groupBy("name", "hint").agg(F.min(F.struct("id", "method", "confidence")).alias("a"))
+    same = with_fit(ask.join(large(entity), "name")).groupBy("name", "hint").agg(F.sort_array(F.collect_list(F.when(F.col("fit_"), F.col("id")))).alias("fit"), F.sort_array(F.collect_list("id")).alias("every"))
     same = same.select("name", "hint", F.when(F.size("fit") > 0, F.col("fit")).otherwise(F.col("every")).alias("found"))
 
     def beside(left: DataFrame, right: DataFrame) -> DataFrame:
         r = right.withColumnsRenamed({"name": "n_", "hint": "h_"})
-        return left.join(r, (F.col("name") == F.col("n_")) & F.col("hint").eqNullSafe(F.col("h_")), "left").drop("n_", "h_")
+        return left.join(large(r), (F.col("name") == F.col("n_")) & F.col("hint").eqNullSafe(F.col("h_")), "left").drop("n_", "h_")
 
     two = beside(beside(ask, by_alias), same)
     open_ = two.where("a is null and found is null and name <> ''").select("name", "hint")
     scored = stable(similar_entities(stable(open_), entity, fitting, similarity, threshold, margin))
     top = scored.groupBy("name", "hint").agg(F.max("ratio").alias("top")).where(F.col("top") >= threshold)
     t = top.withColumnsRenamed({"name": "n_", "hint": "h_"})
-    close = scored.join(t, (F.col("name") == F.col("n_")) & F.col("hint").eqNullSafe(F.col("h_"))).where(F.col("top") - F.col("ratio") <= margin)
+    close = scored.join(large(t), (F.col("name") == F.col("n_")) & F.col("hint").eqNullSafe(F.col("h_"))).where(F.col("top") - F.col("ratio") <= margin)
     best = close.groupBy("name", "hint").agg(F.max("top").alias("top"), F.sort_array(F.collect_list("id")).alias("close"), F.max_by("id", "ratio").alias("f_id"))
     done = beside(two, best)
     method = (

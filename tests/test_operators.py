@@ -305,10 +305,26 @@ def test_config(spark, tmp_path):
         config.IndexConfig([("a", "A", "POSITIVE")], {"B": 1.0})
 
 
-def test_pieces_of_texts_are_not_broadcast(spark, capsys):
-    texts = spark.createDataFrame([(1, "Large ring"), (2, "hot bolt"), (3, "Large ring"), (4, None)], "row_id long, text string")
-    dim = spark.createDataFrame([(7, "ring", 2), (8, "LARGE", 1), (9, "lt", 3)], "id long, name string, pos int")
+def _stored(spark, folder, rows, schema):
+    """As a file, of whose rows Spark's planner has an estimate (small, so it would be broadcast)."""
+    spark.createDataFrame(rows, schema).write.parquet(str(folder))
+    return spark.read.parquet(str(folder))
+
+
+def test_pieces_of_texts_are_not_broadcast(spark, tmp_path, capsys):
+    texts = _stored(spark, tmp_path / "t", [(1, "Large ring"), (2, "hot bolt"), (3, "Large ring"), (4, None)], "row_id long, text string")
+    dim = _stored(spark, tmp_path / "d", [(7, "ring", 2), (8, "LARGE", 1), (9, "lt", 3)], "id long, name string, pos int")
     found = resolve.first_contained(texts, dim)
     assert sorted(map(tuple, found.collect())) == [(1, 8), (2, 9), (3, 8)]
     found.explain()
     assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+def test_names_and_entities_are_not_broadcast(spark, tmp_path, capsys):
+    asked = _stored(spark, tmp_path / "a", [("red ring 1", "brand#1"), ("xed bolt 22", None), ("old one", None), ("zzz", None)], "name string, hint string")
+    dim = _stored(spark, tmp_path / "d", [(1, "red ring 1", "brand#1"), (2, "red bolt 22", "brand#2"), (3, "one", "brand#1")], "id long, name string, grp string")
+    aliases = _stored(spark, tmp_path / "l", [("old one", 3)], "alias string, id long")
+    done = resolve.resolve(asked, dim, aliases)
+    assert {r.name: (r.id, r.method) for r in done.collect()} == {"red ring 1": (1, "exact"), "xed bolt 22": (2, "fuzzy"), "old one": (3, "alias"), "zzz": (None, "unmatched")}
+    done.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
