@@ -58,25 +58,27 @@ def similar_entities(asked: DataFrame, entity: DataFrame, fitting: DataFrame, si
     """(name, hint, id, grp, ratio): entities at least threshold - margin alike, among them all that can be the best one of an asked (name, hint) or within the margin of it.
 
     entity: (id, name, grp); fitting: (h_, g_), the groups that fit each hint. A name whose best fitting entity by one edit is so alike that nothing else can come within the margin with more is
-    settled; the others are looked up in the segments of their groups.
+    settled; the others are looked up in the segments of their groups, for what is as alike as that entity less the margin.
     """
     least, bound = threshold - margin, similar.Bound(similarity)
     named = entity.where("name <> ''").select("id", F.col("name").alias("d_name"), F.coalesce("grp", F.lit("")).alias("grp"))
-    decided = lambda pairs: pairs.withColumn("ratio", similarity(F.col("name"), F.col("d_name"))).where(F.col("ratio") >= least - 1e-9)
+    decided = lambda pairs: pairs.where(bound.may_reach(F.col("name"), F.col("d_name"), least)).withColumn("ratio", similarity(F.col("name"), F.col("d_name"))).where(F.col("ratio") >= least - 1e-9)
     in_group = F.col("hint").isNull() | (F.col("grp") == "") | F.col("g_").isNotNull()
     beside = lambda pairs, ask: ask.join(large(pairs), "name").join(large(named), "d_name").join(fitting.select("h_", "g_"), (F.col("hint") == F.col("h_")) & (F.col("grp") == F.col("g_")), "left").where(in_group).select("name", "hint", "id", "grp", "ratio")
     near = stable(beside(decided(similar.one_edit(asked.select("name").distinct(), named.select("d_name").distinct())), asked))
     top = near.groupBy("name", "hint").agg(F.max("ratio").alias("top")).where(F.col("top") >= threshold)
     settled = top.where(bound.most_edits(F.length("name"), F.col("top") - margin) <= 1).select(F.col("name").alias("n_"), F.col("hint").alias("h_"))
     same = (F.col("name") == F.col("n_")) & F.col("hint").eqNullSafe(F.col("h_"))
-    rest = stable(asked.join(large(settled), same, "left_anti"))
+    best = top.select(F.col("name").alias("n_"), F.col("hint").alias("h_"), "top")
+    floor = F.coalesce(F.greatest(F.col("top") - margin, F.lit(least)), F.lit(least)).alias("least_")
+    rest = stable(asked.join(large(settled), same, "left_anti").join(large(best), same, "left").select("name", "hint", floor))
     # the groups a name is sought in: those that fit the hint and none, or everywhere; an entity is found in its own and everywhere
-    fits = rest.join(fitting.select("h_", "g_"), F.col("hint") == F.col("h_")).select("name", F.concat(F.lit("g"), "g_").alias("group"))
-    some = rest.where("hint is not null").select("name", F.lit("g").alias("group"))
-    every = rest.where("hint is null").select("name", F.lit(similar.EVERYWHERE).alias("group"))
-    sought = fits.unionByName(some).unionByName(every).distinct()
+    fits = rest.join(fitting.select("h_", "g_"), F.col("hint") == F.col("h_")).select("name", "least_", F.concat(F.lit("g"), "g_").alias("group"))
+    some = rest.where("hint is not null").select("name", "least_", F.lit("g").alias("group"))
+    every = rest.where("hint is null").select("name", "least_", F.lit(similar.EVERYWHERE).alias("group"))
+    sought = fits.unionByName(some).unionByName(every).groupBy("name", "group").agg(F.min("least_").alias("least_"))
     found = named.select("d_name", F.explode(F.array(F.concat(F.lit("g"), "grp"), F.lit(similar.EVERYWHERE))).alias("group")).distinct()
-    more = beside(decided(similar.few_edits(sought, found, bound, least)), rest)
+    more = beside(decided(similar.few_edits(sought, found, bound, least)), rest.select("name", "hint"))
     return near.join(large(settled), same, "left_semi").unionByName(more)
 
 

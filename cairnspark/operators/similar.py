@@ -56,6 +56,11 @@ class Bound:
         """Edits to any name that is at least r alike."""
         return self.edits(a, self.longest(a, r), r)
 
+    def may_reach(self, a: Column, b: Column, r: float) -> Column:
+        """Whether the edit distance leaves the names a ratio of r; a cheap test ahead of a dear ratio."""
+        most = self.edits(F.length(a), F.length(b), r)
+        return F.lit(True) if self.by_longer else F.call_function("levenshtein", a, b, most) >= 0
+
 
 def one_edit(asked: DataFrame, known: DataFrame) -> DataFrame:
     """(name, d_name): pairs, among them all of at most one edit. asked: (name); known: (d_name); both without repeats and empty names."""
@@ -71,20 +76,19 @@ def one_edit(asked: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def few_edits(asked: DataFrame, known: DataFrame, bound: Bound, r: float) -> DataFrame:
-    """(name, d_name): pairs of a name and one of its group, among them all that are at least r alike.
+    """(name, d_name): pairs of a name and one of its group, among them all that are at least ``least_`` alike.
 
-    asked: (name, group), a row for each group a name is sought in; known: (d_name, group), a row for each group a name is found in.
+    asked: (name, group, least_), a row for each group a name is sought in, least_ from r on; known: (d_name, group), a row for each group a name is found in.
     """
     segment = "explode(transform(sequence(0, edits_), i -> struct(i as i, cast(floor(i * size_ / (edits_ + 1)) as int) as a, cast(floor((i + 1) * size_ / (edits_ + 1)) as int) as b))) as s_"
     index = known.withColumn("size_", F.length("d_name"))
-    # the numbers of edits that any asked name of a fitting length may have
-    other = F.sequence(bound.shortest(F.col("size_"), r), bound.longest(F.col("size_"), r))
-    index = index.withColumn("edits_", F.explode(F.array_distinct(F.transform(other, lambda n: bound.edits(F.col("size_"), n, r)))))
+    # the numbers of edits that any asked name may have
+    index = index.withColumn("edits_", F.explode(F.sequence(F.lit(0), bound.most_edits(F.col("size_"), r))))
     index = index.select("d_name", "group", "size_", "edits_", F.expr(segment))
     index = index.select("d_name", F.xxhash64("group", "size_", "edits_", "s_.i", F.expr("substring(d_name, s_.a + 1, s_.b - s_.a)")).alias("key_"))
     probe = asked.withColumn("own_", F.length("name"))
-    probe = probe.withColumn("size_", F.explode(F.sequence(bound.shortest(F.col("own_"), r), bound.longest(F.col("own_"), r))))
-    probe = probe.withColumn("edits_", bound.edits(F.col("own_"), F.col("size_"), r)).select("name", "group", "own_", "size_", "edits_", F.expr(segment))
+    probe = probe.withColumn("size_", F.explode(F.sequence(bound.shortest(F.col("own_"), F.col("least_")), bound.longest(F.col("own_"), F.col("least_")))))
+    probe = probe.withColumn("edits_", bound.edits(F.col("own_"), F.col("size_"), F.col("least_"))).select("name", "group", "own_", "size_", "edits_", F.expr(segment))
     # where the segment may stand: edits before it move it, and so do those after it, seen from the end
     first = F.expr("greatest(0, s_.a - s_.i, s_.a + own_ - size_ - (edits_ - s_.i))")
     last = F.expr("least(own_ - (s_.b - s_.a), s_.a + s_.i, s_.a + own_ - size_ + (edits_ - s_.i))")
