@@ -1,8 +1,9 @@
 """Ranks of entities over many draws of weights, without a row for each draw and entity.
 
-Entities are scored in blocks, for a block of draws at a time, as matrices. What is shuffled are packed arrays of scores, one for each block of entities, block of draws and bucket of scores; a task ranks one bucket for one block
-of draws. Buckets are cut, draw by draw, at quantiles of a bounded sample of entities, which decides only how evenly work is spread; exact counts of every bucket are the offsets, so ranks are
-exact however many entities there are. A task gives each entity a histogram of its ranks. Histograms are merged by addition, and percentiles, shares of top lists and of tiers are read from them.
+Entities are dealt to blocks and scored block by block, for a block of draws at a time, as matrices. A block's scores go, sorted and as small differences, to the task that ranks one bucket of scores for
+one block of draws; what comes back is, in the same order, how many of the bucket are not higher. No id, draw or score is sent with a cell: the block scores its entities again and knows the order. That is a few bytes
+for each draw and entity. Buckets are cut, draw by draw, at quantiles of a bounded sample of entities, which decides only how evenly work is spread; exact counts of every bucket are the offsets, so ranks are
+exact however many entities there are. A block then has all ranks of its entities side by side, and gives their histograms or statistics.
 """
 
 from __future__ import annotations
@@ -15,23 +16,39 @@ from pyspark.sql import functions as F
 
 from .stable import stable
 
-#: Draws that are ranked together, entities of a bucket, and entities of the sample that cuts buckets.
-DRAWS, BUCKET, SAMPLE = 250, 20_000, 4096
+#: Cells (draws x entities) of a block and of a bucket's task, entities that a bucket should hold, most buckets, and entities of the sample that cuts buckets.
+CELLS, BUCKET, BUCKETS, SAMPLE = 4_000_000, 20_000, 64, 4096
 
 
 def _scores(x: np.ndarray, w: np.ndarray, lam: float, digits: int) -> np.ndarray:
-    """Entities x draws. x: pillar scores, the dampener last, absent ones 0; w: draws x drivers."""
+    """Entities x draws, in units of the last digit. x: pillar scores, the dampener last, absent ones 0; w: draws x drivers."""
     out = np.zeros((len(x), len(w)))
     for k in range(w.shape[1]):
         out += x[:, k, None] * w[:, k]
-    return np.round(out - lam * x[:, -1, None], digits) + 0.0
+    return np.rint((out - lam * x[:, -1, None]) * 10.0**digits).astype(np.int64)
 
 
-def rank_histograms(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, digits: int = 9, bucket: int = BUCKET) -> DataFrame:
-    """(id, draws, entities, ranks): over all draws, an entity's ranks (1 is the highest score, ties share the smallest) as array<struct<rank long, n int>> in order of rank.
+def _packed(v: np.ndarray, counts: np.ndarray) -> tuple[bytes, int, bytes]:
+    """Ascending runs of counts[k] numbers each: (first of each run, bytes of a difference, differences)."""
+    first = (np.cumsum(counts) - counts)[counts > 0]
+    d = np.diff(v, prepend=0)
+    d[first] = 0
+    width = next(b for b in (1, 2, 4, 8) if b == 8 or not len(d) or d.max() < 1 << 8 * b)
+    return v[first].tobytes(), width, d.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(base: bytes, width: int, diffs: bytes, counts: np.ndarray) -> np.ndarray:
+    v = np.cumsum(np.frombuffer(diffs, f"<u{width}").astype(np.int64))
+    some = counts[counts > 0]
+    first = np.cumsum(some) - some
+    return v + np.repeat(np.frombuffer(base, np.int64) - v[first], some)
+
+
+def _by_block(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, digits: int, bucket: int, read, schema: str) -> DataFrame:
+    """read(ids, ranks: entities x draws, number of all entities) of each block of entities, a frame of ``schema``.
 
     pillars: (id, pillar, score); draws: (draw, pillar, weight), the driver's own small table. A draw's score is the weighted sum of the pillars that are there, less lam times the dampener, rounded to ``digits``. An
-    entity without any weighted pillar takes no part. No entities or no draws: no rows.
+    entity without any weighted pillar takes no part. Memory: a task holds CELLS cells and what belongs to them.
     """
     weight: dict[int, dict[str, float]] = {}
     for d, p, x in draws.collect():
@@ -42,74 +59,131 @@ def rank_histograms(pillars: DataFrame, draws: DataFrame, lam: float, dampener:
     there = F.coalesce(*[F.col(f"`{p}`") for p in names]).isNotNull() if names else F.lit(False)
     rows = stable(wide.where(there).select("id", F.array(*[F.coalesce(F.col(f"`{p}`"), F.lit(0.0)).cast("double") for p in [*names, dampener]]).alias("x")))
     n = rows.count()
-    n_buckets = max(1, -(-n // bucket))
+    n_buckets = min(BUCKETS, max(1, -(-n // bucket)))
     cuts = np.zeros((len(w), 0))
     if n_buckets > 1:
         sample = np.array([r.x for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()])
         cuts = np.quantile(_scores(sample, w, lam, digits), np.arange(1, n_buckets) / n_buckets, axis=0).T
-    blocks = [(a, min(a + DRAWS, len(w))) for a in range(0, len(w), DRAWS)]
+    step = max(1, min(250, CELLS // max(1, -(-n // n_buckets))))
+    blocks = [(a, min(a + step, len(w))) for a in range(0, len(w), step)]
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // max(1, CELLS // max(1, len(w))))))).cast("int"))
 
-    def bucketed(batch: pa.RecordBatch, column: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, buckets) of a batch's entities for the draws a to b."""
-        lists = batch.column(column)
-        off = lists.offsets.to_numpy()
-        x = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].reshape(batch.num_rows, -1)
-        s = _scores(x, w[a:b], lam, digits)
-        return s, np.stack([np.searchsorted(cuts[a + k], s[:, k], "left") for k in range(b - a)], 1).astype(np.int64)
+    def counts_of(s: np.ndarray, a: int) -> np.ndarray:
+        """Buckets x draws: how many of each sorted column are in each bucket."""
+        edge = np.stack([np.searchsorted(s[:, k], cuts[a + k], "right") for k in range(s.shape[1])], 1)
+        return np.diff(edge, axis=0, prepend=0, append=len(s))
 
-    above = np.zeros((len(w), n_buckets), np.int64)  # entities in higher buckets
-    if n_buckets > 1:
+    def regrouped(counts: np.ndarray) -> np.ndarray:
+        """Where each cell, bucket by bucket and in it draw by draw, stands in the columns laid end to end."""
+        of = np.repeat(np.tile(np.arange(len(counts), dtype=np.uint16), counts.shape[1]), counts.T.ravel())
+        return np.argsort(of, kind="stable")
+
+    inside = np.zeros((n_buckets, len(w)), np.int64)
 
-        def counted(batches):
-            total = np.zeros((len(w), n_buckets), np.int64)
-            for batch in batches:
-                for a, b in blocks:
-                    _, at = bucketed(batch, 0, a, b)
-                    for k in range(b - a):
-                        total[a + k] += np.bincount(at[:, k], minlength=n_buckets)
-            d, c = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(c), pa.array(total[d, c])], ["draw", "bucket", "n"])
-
-        for r in rows.select("x").mapInArrow(counted, "draw long, bucket long, n long").groupBy("draw", "bucket").agg(F.sum("n").alias("n")).collect():  # draws x buckets
-            above[r.draw, r.bucket] = r.n
-        above = above[:, ::-1].cumsum(axis=1)[:, ::-1] - above
-    shared = rows.sparkSession.sparkContext.broadcast(above)
-
-    def scored(batches):
+    def counted(batches):
+        total = np.zeros((n_buckets, len(w)), np.int64)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for number, (a, b) in enumerate(blocks):
-                s, at = bucketed(batch, 1, a, b)
-                for c in np.unique(at).tolist():
-                    i, k = np.nonzero(at == c)
-                    row = (number, c, ids[i].tobytes(), k.astype(np.int32).tobytes(), s[i, k].tobytes())
-                    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 3)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["block", "bucket", "ids", "draws", "scores"])
+            x = np.array(batch.column(0).to_pylist(), float)
+            for a, b in blocks:
+                total[:, a:b] += counts_of(np.sort(_scores(x, w[a:b], lam, digits), axis=0), a)
+        c, d = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(d), pa.array(total[c, d])], ["bucket", "draw", "n"])
+
+    for r in rows.select("x").mapInArrow(counted, "bucket long, draw long, n long").groupBy("bucket", "draw").agg(F.sum("n").alias("n")).collect():  # BUCKETS x draws at most
+        inside[r.bucket, r.draw] = r.n
+    shared = rows.sparkSession.sparkContext.broadcast(inside[::-1].cumsum(axis=0)[::-1])  # in this bucket and all higher ones
+    head = ["block", "number", "bucket", "base", "width", "diffs"]
+    kinds = "block int, number int, bucket int, base binary, width int, diffs binary"
+
+    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, out = np.array(pdf["x"].tolist(), float), []
+        for number, (a, b) in enumerate(blocks):
+            s = np.sort(_scores(x, w[a:b], lam, digits), axis=0)
+            counts = counts_of(s, a)
+            v, edge = s.T.ravel()[regrouped(counts)], np.concatenate([[0], np.cumsum(counts.sum(axis=1))])
+            for c in np.flatnonzero(np.diff(edge)).tolist():
+                out.append((int(pdf["block"].iloc[0]), number, c, *_packed(v[edge[c] : edge[c + 1]], counts[c]), counts[c].astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=[*head, "counts"])
 
     def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, c = blocks[int(pdf["block"].iloc[0])][0], int(pdf["bucket"].iloc[0])
-        ids, k, s = (np.frombuffer(b"".join(pdf[f]), t) for f, t in (("ids", np.int64), ("draws", np.int32), ("scores", np.float64)))
-        order = np.lexsort((-s, k))
-        k_, s_ = k[order], s[order]
-        place = np.arange(len(k_)) - np.searchsorted(k_, k_)
-        new = np.ones(len(k_), bool)
-        new[1:] = (k_[1:] != k_[:-1]) | (s_[1:] != s_[:-1])
-        rank = np.empty(len(k_), np.int64)
-        rank[order] = place[np.flatnonzero(new)[np.cumsum(new) - 1]] + 1 + shared.value[a + k_, c]
-        order = np.lexsort((rank, ids))
-        i, r = ids[order], rank[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (i[1:] != i[:-1]) | (r[1:] != r[:-1])
-        at = np.flatnonzero(new)
-        count, i, r = np.diff(np.append(at, len(new))), i[at], r[at]
-        edge = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-        return pd.DataFrame({"id": i[edge], "rank": np.split(r, edge[1:]), "n": np.split(count, edge[1:])})
-
-    packed = rows.mapInArrow(scored, "block int, bucket int, ids binary, draws binary, scores binary")
-    parts = packed.groupBy("block", "bucket").applyInPandas(ranked, "id long, rank array<long>, n array<int>")
+        counts = [np.frombuffer(c, "<u4").astype(np.int64) for c in pdf["counts"]]
+        keys = [_unpacked(*p, c) for *p, c in zip(pdf["base"], pdf["width"], pdf["diffs"], counts)]
+        lo = min(int(k.min()) for k in keys)
+        span = max(int(k.max()) for k in keys) - lo + 1
+        draw = np.arange(len(counts[0]))
+        keys = [k - lo + span * np.repeat(draw, c) for k, c in zip(keys, counts)]
+        order = np.sort(np.concatenate(keys))
+        begin = np.searchsorted(order, span * draw)
+        back = [_packed(np.searchsorted(order, k, "right") - np.repeat(begin, c), c) for k, c in zip(keys, counts)]
+        return pd.DataFrame([(*h, *p) for h, p in zip(zip(pdf["block"], pdf["number"], pdf["bucket"]), back)], columns=head)
+
+    def finished(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(own["x"].tolist(), float)
+        ranks = np.empty((len(x), len(w)), np.int32)
+        piece = {(m, c): p for m, c, *p in zip(back["number"], back["bucket"], back["base"], back["width"], back["diffs"])}
+        for number, (a, b) in enumerate(blocks):
+            s = _scores(x, w[a:b], lam, digits)
+            order = np.argsort(s, axis=0)
+            counts = counts_of(np.take_along_axis(s, order, axis=0), a)
+            found = [shared.value[c, a:b].repeat(counts[c]) - _unpacked(*piece[number, c], counts[c]) + 1 for c in range(n_buckets) if counts[c].any()]
+            flat = np.empty(len(x) * (b - a), np.int32)
+            flat[regrouped(counts)] = np.concatenate(found)
+            part = np.empty((len(x), b - a), np.int32)
+            np.put_along_axis(part, order, flat.reshape(b - a, len(x)).T, axis=0)
+            ranks[:, a:b] = part
+        return read(own["id"].to_numpy(), ranks, n)
+
+    packed = rows.groupBy("block").applyInPandas(scored, kinds + ", counts binary")
+    returned = packed.groupBy("number", "bucket").applyInPandas(ranked, kinds)
+    return rows.groupBy("block").cogroup(returned.groupBy("block")).applyInPandas(finished, schema)
+
+
+def rank_histograms(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, digits: int = 9, bucket: int = BUCKET) -> DataFrame:
+    """(id, draws, entities, ranks): over all draws, an entity's ranks (1 is the highest score, ties share the smallest) as array<struct<rank long, n int>> in order of rank.
+
+    Arguments as of ``_by_block``. No entities or no draws: no rows.
+    """
+
+    def read(ids: np.ndarray, ranks: np.ndarray, n: int) -> pd.DataFrame:
+        rows = []
+        for i, r in zip(ids.tolist(), ranks):
+            v, k = np.unique(r, return_counts=True)
+            rows.append((i, ranks.shape[1], n, v.astype(np.int64), k.astype(np.int32)))
+        return pd.DataFrame(rows, columns=["id", "draws", "entities", "rank", "n"])
+
+    h = _by_block(pillars, draws, lam, dampener, digits, bucket, read, "id long, draws int, entities long, rank array<long>, n array<int>")
     zipped = F.transform(F.arrays_zip("rank", "n"), lambda z: F.struct(z["rank"].alias("rank"), z["n"].alias("n")))
-    whole = parts.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(zipped))).alias("ranks"))
-    return whole.select("id", F.lit(len(w)).alias("draws"), F.lit(n).cast("long").alias("entities"), "ranks")
+    return h.where("draws > 0").select("id", "draws", "entities", zipped.alias("ranks"))
+
+
+def rank_statistics(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, digits: int = 9, top: tuple[int, ...] = (10, 20), percentiles: dict[str, float] | None = None, positions: tuple[float, ...] = (), bucket: int = BUCKET) -> DataFrame:
+    """The columns of ``stability``, without a histogram in between; for each of ``positions`` also pos<k>, the rank at int(p * draws) of the sorted ones; percentiles: others than those, by name."""
+    shares = {"median_rank": 0.5, "p025": 0.025, "p05": 0.05, "p95": 0.95, "p975": 0.975, **(percentiles or {})}
+    cuts = (0.8, 0.5, 0.2)
+
+    def read(ids: np.ndarray, ranks: np.ndarray, n: int) -> pd.DataFrame:
+        r, m = np.sort(ranks, axis=1), ranks.shape[1]
+        out = {"id": ids, "mean_rank": r.mean(axis=1), "std_rank": r.std(axis=1), "best": r[:, 0].astype(np.int64), "worst": r[:, -1].astype(np.int64)}
+        for name, p in shares.items():
+            h = p * (m - 1)
+            lo, hi = r[:, int(np.floor(h))].astype(float), r[:, int(np.ceil(h))].astype(float)
+            out[name] = lo + (hi - lo) * (h - np.floor(h))
+        for k, p in enumerate(positions):
+            out[f"pos{k}"] = r[:, min(m - 1, int(p * m))].astype(np.int64)
+        share = lambda most: 100.0 * (r <= most).sum(axis=1) / m
+        out |= {f"top{t}_pct": share(t) for t in top}
+        within = [share(n - np.ceil(c * (n - 1))) for c in cuts]
+        for k, s in enumerate((within[0], within[1] - within[0], within[2] - within[1], 100.0 - within[2]), 1):
+            out[f"tier{k}_pct"] = s
+        return pd.DataFrame(out)
+
+    doubles = [*shares, *[f"top{t}_pct" for t in top], *[f"tier{k}_pct" for k in (1, 2, 3, 4)]]
+    schema = "id long, mean_rank double, std_rank double, best long, worst long, " + "".join(f"pos{k} long, " for k in range(len(positions))) + ", ".join(f"{c} double" for c in doubles)
+    return _by_block(pillars, draws, lam, dampener, digits, bucket, read, schema).withColumn("label", _label())
+
+
+def _label() -> Column:
+    return F.when(F.col("std_rank") <= 2, "VERY STABLE").when(F.col("std_rank") <= 5, "STABLE").when(F.col("std_rank") <= 10, "MODERATE").otherwise("VOLATILE")
 
 
 def _total(f) -> Column:
@@ -144,5 +218,4 @@ def stability(histograms: DataFrame, top: tuple[int, ...] = (10, 20), cuts: tupl
         "id", "mean_rank", percentile(0.5).alias("median_rank"), std.alias("std_rank"), *[percentile(p).alias(k) for k, p in (("p025", 0.025), ("p05", 0.05), ("p95", 0.95), ("p975", 0.975))],
         F.col("ranks")[0]["rank"].alias("best"), F.element_at("ranks", -1)["rank"].alias("worst"), *[share(t).alias(f"top{t}_pct") for t in top], *[t.alias(f"tier{k}_pct") for k, t in enumerate(tiers, 1)],
     )
-    label = F.when(F.col("std_rank") <= 2, "VERY STABLE").when(F.col("std_rank") <= 5, "STABLE").when(F.col("std_rank") <= 10, "MODERATE").otherwise("VOLATILE")
-    return out.withColumn("label", label)
+    return out.withColumn("label", _label())

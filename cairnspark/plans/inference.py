@@ -183,8 +183,7 @@ _MANY_SQL = (
 @query(_MANY_SQL + " SELECT id, round(avg(rank), 4) AS mean_rank, " + ", ".join(f"round(quantile_cont(rank, {p}), 4) AS {n}" for n, p in (("median_rank", 0.5), ("p025", 0.025), ("p05", 0.05), ("p95", 0.95), ("p975", 0.975))) + ", round(stddev_pop(rank), 4) AS std_rank, min(rank) AS best, max(rank) AS worst, round(100.0 * count(*) FILTER (rank <= 10) / count(*), 4) AS top10_pct, round(100.0 * count(*) FILTER (rank <= 20) / count(*), 4) AS top20_pct, " + ", ".join(f"round(100.0 * count(*) FILTER (t = {k}) / count(*), 4) AS tier{k}_pct" for k in (1, 2, 3, 4)) + ", CASE WHEN stddev_pop(rank) <= 2 THEN 'VERY STABLE' WHEN stddev_pop(rank) <= 5 THEN 'STABLE' WHEN stddev_pop(rank) <= 10 THEN 'MODERATE' ELSE 'VOLATILE' END AS label FROM (SELECT vr.*, CASE WHEN score >= a THEN 1 WHEN score >= b THEN 2 WHEN score >= c THEN 3 ELSE 4 END AS t FROM vr JOIN q USING (draw)) GROUP BY 1")
 def mc_histograms(spark, folder):
     """Five thousand draws: intervals of 90 and 95 percent, top and tier shares, from histograms of ranks."""
-    h = rank_histograms.rank_histograms(_pillars(spark, folder), _keyed_draws(spark, _MANY), LAMBDA, DAMPENER, 6)
-    s = rank_histograms.stability(h)
+    s = rank_histograms.rank_statistics(_pillars(spark, folder), _keyed_draws(spark, _MANY), LAMBDA, DAMPENER, 6)
     rounded = [c for c in s.columns if c not in ("id", "best", "worst", "label")]
     return s.select("id", *[F.round(c, 4).alias(c) for c in rounded], "best", "worst", "label")
 

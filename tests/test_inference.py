@@ -288,3 +288,25 @@ def test_names_of_one_vocabulary_meet_few_others(spark):
     then = similar.few_edits(with_hint, known, similar.Bound(text.edit_ratio), 0.81).count()
     assert n > 1000 and first <= 20 * n and then <= 20 * with_hint.count(), (n, first, then)
     assert resolve.THRESHOLD - resolve.MARGIN == pytest.approx(0.81)
+
+
+def test_statistics_of_ranks_in_many_buckets(spark):
+    """As from histograms, with ties, an absent pillar, and more buckets and blocks than one."""
+    from unittest import mock
+
+    rows = [(k, p, float((k * m) % 17)) for k in range(300) for p, m in (("A", 3), ("B", 7), ("D", 5)) if k % 11 or p != "B"]
+    draws = [(d, p, x) for d in range(12) for p, x in (("A", 0.3 + d / 40), ("B", 0.7 - d / 40))]
+    pillars, drawn = spark.createDataFrame(rows, "id long, pillar string, score double"), spark.createDataFrame(draws, "draw int, pillar string, weight double")
+    score = {k: {p: s for i, p, s in rows if i == k} for k in range(300)}
+    weight = {d: {p: x for e, p, x in draws if e == d} for d in range(12)}
+    want = {k: [] for k in range(300)}
+    for d in range(12):
+        s = {k: round(sum(weight[d][p] * v.get(p, 0.0) for p in "AB") - 0.15 * v["D"], 6) for k, v in score.items()}
+        for k in s:
+            want[k].append(1 + sum(x > s[k] for x in s.values()))
+    with mock.patch.object(rank_histograms, "CELLS", 600):
+        got = rank_histograms.rank_statistics(pillars, drawn, 0.15, "D", 6, positions=(0.25,), bucket=20).collect()
+    assert len(got) == 300
+    for r in got:
+        w = sorted(want[r.id])
+        assert (r.best, r.worst, r.pos0) == (w[0], w[-1], w[3]) and math.isclose(r.mean_rank, sum(w) / 12) and math.isclose(r.median_rank, (w[5] + w[6]) / 2)
