@@ -162,8 +162,7 @@ _DSQL = _PS + ", dw(draw, pillar, weight) AS (VALUES " + ", ".join(f"({d}, '{p}'
 def monte_carlo(spark, folder):
     """Forty draws, which the SQL twin has as a table."""
     draws = sensitivity.draws_frame(spark, _DRAWS)
-    r = sensitivity.draw_ranks(sensitivity.draw_scores(_pillars(spark, folder), draws, LAMBDA, DAMPENER), 6)
-    s = sensitivity.stability(r)
+    s = rank_histograms.rank_statistics(_pillars(spark, folder), draws, LAMBDA, DAMPENER, 6)
     cols = ("mean_rank", "median_rank", "std_rank", "p05", "p95")
     return s.select("id", *[F.round(c, 4).alias(c) for c in cols], "best", "worst", *[F.round(c, 4).alias(c) for c in ("top10_pct", "top20_pct")])
 
@@ -213,15 +212,14 @@ _THOUSAND = sensitivity.lognormal_draws(WEIGHTS, 1000)
 @query(_with_draws(_THOUSAND) + f" SELECT {_STABILITY} FROM vr GROUP BY 1")
 def mc_full(spark, folder):
     """A thousand draws with stability labels."""
-    h = rank_histograms.rank_histograms(_pillars(spark, folder), sensitivity.draws_frame(spark, _THOUSAND), LAMBDA, DAMPENER)
-    return _rounded_stability(rank_histograms.stability(h)).drop("p025", "p975", "tier1_pct", "tier2_pct", "tier3_pct", "tier4_pct")
+    s = rank_histograms.rank_statistics(_pillars(spark, folder), sensitivity.draws_frame(spark, _THOUSAND), LAMBDA, DAMPENER)
+    return _rounded_stability(s).drop("p025", "p975", "tier1_pct", "tier2_pct", "tier3_pct", "tier4_pct")
 
 
 @query(_DSQL + ", q AS (SELECT draw, quantile_cont(score, 0.8) AS a, quantile_cont(score, 0.5) AS b, quantile_cont(score, 0.2) AS c FROM v GROUP BY 1) SELECT id, " + ", ".join(f"round(100.0 * avg(CASE WHEN t = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS tier{k}_pct" for k in (1, 2, 3, 4)) + " FROM (SELECT v.id, CASE WHEN score >= a THEN 1 WHEN score >= b THEN 2 WHEN score >= c THEN 3 ELSE 4 END AS t FROM v JOIN q USING (draw)) GROUP BY 1")
 def tier_probabilities(spark, folder):
     draws = sensitivity.draws_frame(spark, _DRAWS)
-    v = sensitivity.draw_scores(_pillars(spark, folder), draws, LAMBDA, DAMPENER).withColumn("score", F.round("score", 6))
-    t = sensitivity.tier_shares(stable(v))
+    t = rank_histograms.rank_statistics(_pillars(spark, folder), draws, LAMBDA, DAMPENER, 6)
     return t.select("id", *[F.round(f"tier{k}_pct", 4).alias(f"tier{k}_pct") for k in (1, 2, 3, 4)])
 
 
@@ -235,7 +233,7 @@ def uniform_perturbation(spark, folder):
     p, out = _pillars(spark, folder), None
     for share in _SHARES:
         d = sensitivity.draws_frame(spark, sensitivity.uniform_draws(WEIGHTS, 500, share))
-        s = rank_histograms.stability(rank_histograms.rank_histograms(p, d, LAMBDA, DAMPENER)).withColumn("share", F.lit(share))
+        s = rank_histograms.rank_statistics(p, d, LAMBDA, DAMPENER).withColumn("share", F.lit(share))
         out = s if out is None else out.unionByName(s)
     return _rounded_stability(out).drop("p025", "p975", "tier1_pct", "tier2_pct", "tier3_pct", "tier4_pct")
 
