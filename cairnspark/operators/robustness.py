@@ -129,8 +129,13 @@ def rank_intervals(ranks: DataFrame, digits: int = 0) -> DataFrame:
     """(id, mean_rank, std_rank, interval_95, interval_90) over draws: percentiles of ranks, rounded and printed as [#a, #b]."""
     q = F.percentile("rank", F.array(*[F.lit(x) for x in (0.025, 0.05, 0.95, 0.975)]))
     x = ranks.groupBy("id").agg(F.avg("rank").alias("mean_rank"), F.stddev_pop("rank").alias("std_rank"), q.alias("q"))
-    say = lambda a, b: F.format_string("[#%d, #%d]", F.round(F.round(F.col("q")[a], 6), digits).cast("long"), F.round(F.round(F.col("q")[b], 6), digits).cast("long"))
-    return x.select("id", "mean_rank", "std_rank", say(0, 3).alias("interval_95"), say(1, 2).alias("interval_90"))
+    return printed_intervals(x.select("id", "mean_rank", "std_rank", *[F.col("q")[k].alias(c) for k, c in enumerate(("p025", "p05", "p95", "p975"))]), digits)
+
+
+def printed_intervals(x: DataFrame, digits: int = 0) -> DataFrame:
+    """As ``rank_intervals``, of rows with mean_rank, std_rank, p025, p05, p95 and p975."""
+    say = lambda a, b: F.format_string("[#%d, #%d]", F.round(F.round(a, 6), digits).cast("long"), F.round(F.round(b, 6), digits).cast("long"))
+    return x.select("id", "mean_rank", "std_rank", say("p025", "p975").alias("interval_95"), say("p05", "p95").alias("interval_90"))
 
 
 def scenario_agreement(wide: DataFrame, base: str, others: list[str], least: float = 0.95) -> DataFrame:
@@ -178,6 +183,11 @@ def master(base: DataFrame, parts: list[DataFrame]) -> DataFrame:
 def truncated_and_rounded(df: DataFrame, value: str, by: list[str], p: float) -> DataFrame:
     """(by, exact, truncated, rounded): a percentile (of six decimals, which hides errors of interpolation) as a whole number, cut towards zero and rounded half to even."""
     q = df.groupBy(*by).agg(F.round(F.percentile(value, p), 6).alias("exact"))
+    return cut_and_rounded(q, by)
+
+
+def cut_and_rounded(q: DataFrame, by: list[str]) -> DataFrame:
+    """q (by, exact) with exact cut towards zero and rounded half to even."""
     return q.select(*by, "exact", F.col("exact").cast("long").alias("truncated"), F.bround("exact", 0).cast("long").alias("rounded"))
 
 
