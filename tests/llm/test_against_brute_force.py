@@ -214,6 +214,26 @@ def test_edit_distances_side_by_side(monkeypatch):
     assert len(line_dedup.edit_distances([], [], np.zeros(0, np.int64))) == 0
 
 
+def test_alignment_of_runs_of_words_counts_gaps_letter_by_letter():
+    """Words that stand once are rare in a long line of few words, and a changed letter costs one, not its word."""
+    rng = np.random.RandomState(5)
+    names = ["on", "er", "the", "tion", "and", "re", "ing", "th"]
+    a = [" ".join(rng.choice(names, 300)) for _ in range(20)] + ["x", "a b", ""]
+    b = []
+    for line in a[:20]:
+        w = line.split()
+        for k in range(7, 300, 12):
+            w[k] = w[k][:-1] + "q"
+        b.append(" ".join(w))
+    b += ["y", "a c", ""]
+    exact = np.array([line_dedup.edit_distance(s, t) for s, t in zip(a, b)])
+    plain, fine = line_dedup.alignment_costs(a, b), line_dedup.alignment_costs(a, b, 3, True)
+    assert (plain >= exact).all() and (fine >= exact).all()
+    assert (5 * plain[:20] > [len(s) for s in a[:20]]).all() and (fine[:20] == exact[:20]).all()
+    assert line_dedup.edit_distance(a[0], b[0], int(exact[0])) == exact[0] and line_dedup.edit_distance(a[0], a[1], 20) > 20
+    assert line_dedup.linked(a, b).tolist() == [line_dedup.similar(s, t) for s, t in zip(a, b)]
+
+
 def test_alignment_costs_bound_edit_distances():
     rnd = random.Random(5)
     words = ["".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 7))) for _ in range(60)]
