@@ -16,12 +16,29 @@ BANDS = (("INVARIANT", 100.0), ("HIGH", 90.0), ("MODERATE", 70.0), ("SENSITIVE",
 SPREADS = (("HIGH_MEMBER", 4.5), ("MODERATE_MEMBER", 8.0))
 
 
-def _score(p: DataFrame, weights: dict[str, float], lam: float, dampener: str) -> DataFrame:
-    """(id, score) of pillar scores laid in long form; weights of the drivers."""
-    col = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    driver = F.sum(F.when(F.col("pillar").isin(*weights), F.try_element_at(col, F.col("pillar")) * F.col("score")))
-    damp = F.max(F.when(F.col("pillar") == dampener, F.col("score")))
-    return p.groupBy("id").agg((driver - lam * F.coalesce(damp, F.lit(0.0))).alias("score"))
+def _sums(kind: str, weights: dict[str, float], lam: float, dampener: str, geometric: bool = False) -> Column:
+    """An entity's score over the rows (kind, pillar, score) of one kind, to be aggregated; weights of the drivers. An entity without rows of the kind has none: null, in place of a struct with the score."""
+    own = F.col("kind") == kind
+    at = F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("pillar"))
+    drives = own & F.col("pillar").isin(*weights)
+    damp = F.coalesce(F.max(F.when(own & (F.col("pillar") == dampener), F.col("score"))), F.lit(0.0))
+    if geometric:
+        score = F.exp(F.sum(F.when(drives, at * F.ln(F.col("score") + 1.0)))) * F.greatest(1.0 - F.lit(lam) * damp / 100.0, F.lit(0.0))
+    else:
+        score = F.sum(F.when(drives, at * F.col("score"))) - F.lit(lam) * damp
+    return F.when(F.count_if(own) > 0, F.struct(score.alias("score")))
+
+
+def _laid_out(frames: dict[str, DataFrame], variants: dict[str, Column], digits: int) -> DataFrame:
+    """(variant, id, score) of all variants from one aggregation over frames (id, pillar, score) of each kind. A union of one aggregation for each variant would
+    leave all variants of the same ids to one task."""
+    rows = None
+    for kind, f in frames.items():
+        x = f.select(F.lit(kind).alias("kind"), "id", "pillar", "score")
+        rows = x if rows is None else rows.unionByName(x)
+    each = rows.groupBy("id").agg(*[c.alias(f"v{k}_") for k, c in enumerate(variants.values())])
+    cells = F.array(*[F.when(F.col(f"v{k}_").isNotNull(), F.struct(F.lit(name).alias("variant"), F.round(F.col(f"v{k}_.score"), digits).alias("score"))) for k, name in enumerate(variants)])
+    return each.select("id", F.inline(F.filter(cells, lambda c: c.isNotNull()))).select("variant", "id", "score")
 
 
 def scaled(weights: dict[str, float], without: str | None = None) -> dict[str, float]:
@@ -46,18 +63,13 @@ def specifications(norm: DataFrame, names: DataFrame, weights: dict[str, float],
     robust = pillars(normalise.robust_iqr(norm.select("id", "grp", "indicator", "value"), names.select("indicator", "direction")))
     fewer = pillars(norm.where(~F.col("indicator").isin(*left_out)))
     even = {k: 1.0 / len(weights) for k in weights}
-    total = score.composite(base, base.sparkSession.createDataFrame(list(weights.items()), "pillar string, weight double"), lam, dampener)
-    frames = {
-        "V01_BASE": _score(base, weights, lam, dampener), "V02_EQUAL_PILLARS": _score(base, even, lam, dampener), "V03_EQUAL_INDICATORS": _score(equal, weights, lam, dampener),
-        "V04_ROBUST_SCALING": _score(robust, weights, lam, dampener), "V05_NO_DAMPENER": _score(base, weights, 0.0, dampener), "V06_LOW_DAMPENER": _score(base, weights, 0.10, dampener),
-        "V07_HIGH_DAMPENER": _score(base, weights, 0.20, dampener), "V08_GEOMETRIC": total.select("id", F.col("geometric").alias("score")), "V09_FEWER_INDICATORS": _score(fewer, weights, lam, dampener),
-        "V10_NEUTRAL_PILLAR": _score(base, scaled(weights, neutral), lam, dampener),
+    of = lambda kind, w, l=lam, **more: _sums(kind, w, l, dampener, **more)
+    variants = {
+        "V01_BASE": of("base", weights), "V02_EQUAL_PILLARS": of("base", even), "V03_EQUAL_INDICATORS": of("equal", weights), "V04_ROBUST_SCALING": of("robust", weights),
+        "V05_NO_DAMPENER": of("base", weights, 0.0), "V06_LOW_DAMPENER": of("base", weights, 0.10), "V07_HIGH_DAMPENER": of("base", weights, 0.20), "V08_GEOMETRIC": of("base", weights, geometric=True),
+        "V09_FEWER_INDICATORS": of("fewer", weights), "V10_NEUTRAL_PILLAR": of("base", scaled(weights, neutral)),
     }
-    out = None
-    for name, f in frames.items():
-        x = f.select(F.lit(name).alias("variant"), "id", F.round("score", digits).alias("score"))
-        out = x if out is None else out.unionByName(x)
-    return stable(out)
+    return stable(_laid_out({"base": base, "equal": equal, "robust": robust, "fewer": fewer}, variants, digits))
 
 
 def inclusion(ranks: DataFrame, base: str, tops: tuple[int, ...] = (5, 10, 20, 30)) -> DataFrame:
@@ -202,13 +214,16 @@ def scaling_effects(filled: DataFrame, names: DataFrame, weights: DataFrame, lam
     shows what the scale does, the second what the scale and its weights do.
     """
     own = F.broadcast(names.select("indicator", "pillar"))
-    out, base = None, None
+    frames, base = {}, None
     for name, scale in SCALINGS.items():
         norm = scale(filled.select("id", "indicator", "value"), names).withColumn("norm", F.coalesce("norm", F.lit(50.0)))
         norm = stable(norm.select("id", "indicator", "norm"))
         mine = stable(w.entropy(norm.join(own, "indicator")))
         base = mine if base is None else base
-        for kind, given in (("FIXED", base), ("RECOMPUTED", mine)):
-            s = score.composite(stable(score.pillar_scores(norm, given)), weights, lam, dampener).select(F.lit(f"{name}_{kind}").alias("variant"), "id", F.round("score", digits).alias("score"))
-            out = s if out is None else out.unionByName(s)
-    return with_rank(stable(out), "score", by=["variant"])
+        both = base.select("pillar", "indicator", F.lit("FIXED").alias("kind"), "weight").unionByName(mine.select("pillar", "indicator", F.lit("RECOMPUTED").alias("kind"), "weight"))
+        x = norm.join(F.broadcast(both), "indicator").groupBy("id", "pillar", "kind").agg(F.sum(F.col("weight") * F.col("norm")).alias("score"))
+        x = stable(x)
+        frames |= {f"{name}_{kind}": x.where(F.col("kind") == kind) for kind in ("FIXED", "RECOMPUTED")}
+    given = {r.pillar: r.weight for r in weights.collect()}
+    variants = {name: _sums(name, given, lam, dampener) for name in frames}
+    return with_rank(stable(_laid_out(frames, variants, digits)), "score", by=["variant"])
