@@ -44,11 +44,11 @@ def _unpacked(base: bytes, width: int, diffs: bytes, counts: np.ndarray) -> np.n
     return v + np.repeat(np.frombuffer(base, np.int64) - v[first], some)
 
 
-def _by_block(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, digits: int, bucket: int, read, schema: str) -> DataFrame:
+def _by_block(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, digits: int, bucket: int, read, schema: str, mirrored: bool = False) -> DataFrame:
     """read(ids, ranks: entities x draws, number of all entities) of each block of entities, a frame of ``schema``.
 
     pillars: (id, pillar, score); draws: (draw, pillar, weight), the driver's own small table. A draw's score is the weighted sum of the pillars that are there, less lam times the dampener, rounded to ``digits``. An
-    entity without any weighted pillar takes no part. Memory: a task holds CELLS cells and what belongs to them.
+    entity without any weighted pillar takes no part. mirrored: behind the draws come the same ones again, ranked from the lowest score on. Memory: a task holds CELLS cells and what belongs to them.
     """
     weight: dict[int, dict[str, float]] = {}
     for d, p, x in draws.collect():
@@ -58,15 +58,22 @@ def _by_block(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, d
     wide = pillars.groupBy("id").pivot("pillar", [*names, dampener]).agg(F.first("score"))
     there = F.coalesce(*[F.col(f"`{p}`") for p in names]).isNotNull() if names else F.lit(False)
     rows = stable(wide.where(there).select("id", F.array(*[F.coalesce(F.col(f"`{p}`"), F.lit(0.0)).cast("double") for p in [*names, dampener]]).alias("x")))
+    sign = np.concatenate([np.ones(len(w), np.int64), np.full(len(w), -1)])
+    both = np.concatenate([w, w]) if mirrored else w
+    return _ranked(rows, lambda x, p, q: _scores(x, both[p:q], lam, digits) * sign[p:q], len(both), bucket, read, schema)
+
+
+def _ranked(rows: DataFrame, score, draws: int, bucket: int, read, schema: str) -> DataFrame:
+    """As ``_by_block``, of evaluated rows (id, x: array<double>): score(x: entities x numbers, p, q) are the whole-number scores, entities x draws, of draws p to q."""
     n = rows.count()
     n_buckets = min(BUCKETS, max(1, -(-n // bucket)))
-    cuts = np.zeros((len(w), 0))
+    cuts = np.zeros((draws, 0))
     if n_buckets > 1:
         sample = np.array([r.x for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()])
-        cuts = np.quantile(_scores(sample, w, lam, digits), np.arange(1, n_buckets) / n_buckets, axis=0).T
+        cuts = np.quantile(score(sample, 0, draws), np.arange(1, n_buckets) / n_buckets, axis=0).T
     step = max(1, min(250, CELLS // max(1, -(-n // n_buckets))))
-    blocks = [(a, min(a + step, len(w))) for a in range(0, len(w), step)]
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // max(1, CELLS // max(1, len(w))))))).cast("int"))
+    blocks = [(a, min(a + step, draws)) for a in range(0, draws, step)]
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // max(1, CELLS // max(1, draws)))))).cast("int"))
 
     def counts_of(s: np.ndarray, a: int) -> np.ndarray:
         """Buckets x draws: how many of each sorted column are in each bucket."""
@@ -78,14 +85,14 @@ def _by_block(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, d
         of = np.repeat(np.tile(np.arange(len(counts), dtype=np.uint16), counts.shape[1]), counts.T.ravel())
         return np.argsort(of, kind="stable")
 
-    inside = np.zeros((n_buckets, len(w)), np.int64)
+    inside = np.zeros((n_buckets, draws), np.int64)
 
     def counted(batches):
-        total = np.zeros((n_buckets, len(w)), np.int64)
+        total = np.zeros((n_buckets, draws), np.int64)
         for batch in batches:
             x = np.array(batch.column(0).to_pylist(), float)
             for a, b in blocks:
-                total[:, a:b] += counts_of(np.sort(_scores(x, w[a:b], lam, digits), axis=0), a)
+                total[:, a:b] += counts_of(np.sort(score(x, a, b), axis=0), a)
         c, d = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(d), pa.array(total[c, d])], ["bucket", "draw", "n"])
 
@@ -98,7 +105,7 @@ def _by_block(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, d
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
         x, out = np.array(pdf["x"].tolist(), float), []
         for number, (a, b) in enumerate(blocks):
-            s = np.sort(_scores(x, w[a:b], lam, digits), axis=0)
+            s = np.sort(score(x, a, b), axis=0)
             counts = counts_of(s, a)
             v, edge = s.T.ravel()[regrouped(counts)], np.concatenate([[0], np.cumsum(counts.sum(axis=1))])
             for c in np.flatnonzero(np.diff(edge)).tolist():
@@ -119,10 +126,10 @@ def _by_block(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, d
 
     def finished(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         x = np.array(own["x"].tolist(), float)
-        ranks = np.empty((len(x), len(w)), np.int32)
+        ranks = np.empty((len(x), draws), np.int32)
         piece = {(m, c): p for m, c, *p in zip(back["number"], back["bucket"], back["base"], back["width"], back["diffs"])}
         for number, (a, b) in enumerate(blocks):
-            s = _scores(x, w[a:b], lam, digits)
+            s = score(x, a, b)
             order = np.argsort(s, axis=0)
             counts = counts_of(np.take_along_axis(s, order, axis=0), a)
             found = [shared.value[c, a:b].repeat(counts[c]) - _unpacked(*piece[number, c], counts[c]) + 1 for c in range(n_buckets) if counts[c].any()]
@@ -158,6 +165,42 @@ def rank_histograms(pillars: DataFrame, draws: DataFrame, lam: float, dampener:
 
 def rank_statistics(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, digits: int = 9, top: tuple[int, ...] = (10, 20), percentiles: dict[str, float] | None = None, positions: tuple[float, ...] = (), bucket: int = BUCKET) -> DataFrame:
     """The columns of ``stability``, without a histogram in between; for each of ``positions`` also pos<k>, the rank at int(p * draws) of the sorted ones; percentiles: others than those, by name."""
+    read, schema = _statistics(top, percentiles, positions)
+    return _by_block(pillars, draws, lam, dampener, digits, bucket, read, schema).withColumn("label", _label())
+
+
+def score_statistics(scores: DataFrame, draws: int, digits: int = 9, bucket: int = BUCKET) -> DataFrame:
+    """The columns of ``rank_statistics``, of scores that come with the entities. scores: (id, x: array<double> of an entity's scores in the draws, of ``digits`` decimals)."""
+    read, schema = _statistics((10, 20), None, ())
+    whole = lambda x, p, q: np.rint(x[:, p:q] * 10.0**digits).astype(np.int64)
+    return _ranked(stable(scores.select("id", "x")), whole, draws, bucket, read, schema).withColumn("label", _label())
+
+
+def agreement(pillars: DataFrame, draws: DataFrame, base: dict[str, float], lam: float, dampener: str, digits: int = 9, top: int = 20, bucket: int = BUCKET) -> DataFrame:
+    """(draw, spearman, top_overlap): each draw's ranking against that of the weights ``base``, ties sharing their average rank; top_overlap: how many of the base's first ``top`` are among the draw's, in percent.
+
+    A block gives its sums for each draw; arguments as of ``_by_block``.
+    """
+    spark, names = pillars.sparkSession, sorted(r.draw for r in draws.select("draw").distinct().collect())
+    own = max(names, default=-1) + 1
+    every = draws.select("draw", "pillar", "weight").unionByName(spark.createDataFrame([(own, p, x) for p, x in base.items()], "draw int, pillar string, weight double"))
+    sums = ["xx", "yy", "xy", "both", "top"]
+
+    def read(ids: np.ndarray, ranks: np.ndarray, n: int) -> pd.DataFrame:
+        down, up = ranks[:, : len(names) + 1].astype(np.int64), ranks[:, len(names) + 1 :]
+        mid = (down - up) / 2.0  # the average rank less the mean of all
+        x, y, first = mid[:, :-1], mid[:, -1:], down[:, -1:] <= top
+        out = (x * x).sum(axis=0), np.repeat((y * y).sum(), x.shape[1]), (x * y).sum(axis=0), ((down[:, :-1] <= top) & first).sum(axis=0), np.repeat(first.sum(), x.shape[1])
+        return pd.DataFrame({"draw": names, **dict(zip(sums, (c.astype(float) for c in out)))})
+
+    parts = _by_block(pillars, every, lam, dampener, digits, bucket, read, "draw int, " + ", ".join(f"{c} double" for c in sums), mirrored=True)
+    t = parts.groupBy("draw").agg(*[F.sum(c).alias(c) for c in sums])
+    spearman = F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))
+    return t.select("draw", spearman.alias("spearman"), (100.0 * F.col("both") / F.nullif(F.col("top"), F.lit(0.0))).alias("top_overlap"))
+
+
+def _statistics(top: tuple[int, ...], percentiles: dict[str, float] | None, positions: tuple[float, ...]) -> tuple:
+    """(read, schema) of ``rank_statistics``."""
     shares = {"median_rank": 0.5, "p025": 0.025, "p05": 0.05, "p95": 0.95, "p975": 0.975, **(percentiles or {})}
     cuts = (0.8, 0.5, 0.2)
 
@@ -179,7 +222,7 @@ def rank_statistics(pillars: DataFrame, draws: DataFrame, lam: float, dampener:
 
     doubles = [*shares, *[f"top{t}_pct" for t in top], *[f"tier{k}_pct" for k in (1, 2, 3, 4)]]
     schema = "id long, mean_rank double, std_rank double, best long, worst long, " + "".join(f"pos{k} long, " for k in range(len(positions))) + ", ".join(f"{c} double" for c in doubles)
-    return _by_block(pillars, draws, lam, dampener, digits, bucket, read, schema).withColumn("label", _label())
+    return read, schema
 
 
 def _label() -> Column:

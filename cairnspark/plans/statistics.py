@@ -169,10 +169,8 @@ def monte_carlo(spark, folder):
 
 @query(_DSQL + ", b AS (SELECT id, round(driver - 0.15 * damp, 6) AS bs FROM dr), j AS (SELECT draw, rank, " + _AVG_RANK.format(w="PARTITION BY draw", v="score", p="draw, ") + " AS ra, rank() OVER (PARTITION BY draw ORDER BY bs DESC) AS br, rank() OVER (PARTITION BY draw ORDER BY bs) + (count(*) OVER (PARTITION BY draw, bs) - 1) / 2.0 AS rb FROM vr JOIN b USING (id)) SELECT draw, round(corr(ra, rb), 8) AS spearman, round(100.0 * count(*) FILTER (rank <= 20 AND br <= 20) / count(*) FILTER (br <= 20), 4) AS top_overlap FROM j GROUP BY 1")
 def mc_agreement(spark, folder):
-    p = _pillars(spark, folder)
-    r = stable(sensitivity.draw_ranks(sensitivity.draw_scores(p, sensitivity.draws_frame(spark, _DRAWS), LAMBDA, DAMPENER), 6))
-    base = stable(_drivers(p, spark).select("id", F.round(F.col("driver") - LAMBDA * F.col("damp"), 6).alias("score")))
-    return sensitivity.draw_agreement(r, base).select("draw", F.round("spearman", 8).alias("spearman"), F.round("top_overlap", 4).alias("top_overlap"))
+    a = rank_histograms.agreement(_pillars(spark, folder), sensitivity.draws_frame(spark, _DRAWS), WEIGHTS, LAMBDA, DAMPENER, 6)
+    return a.select("draw", F.round("spearman", 8).alias("spearman"), F.round("top_overlap", 4).alias("top_overlap"))
 
 
 @query(_XY.replace("n_orders AS x FROM w", "n_orders AS x, acctbal AS z FROM w") + ", m AS (SELECT count(*) AS n, covar_pop(x, x) AS xx, covar_pop(z, z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, covar_pop(y, y) AS yy FROM xy), b AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS b2 FROM m) SELECT n, round(b1, 3) AS b1, round(b2, 5) AS b2, round((b1 * xy + b2 * zy) / yy, 8) AS r2 FROM b")
