@@ -58,7 +58,7 @@ def _bucket(value: Column, cuts: Column) -> Column:
 def kendall(df: DataFrame, x: str, y: str, by: list[str], per: int = PER) -> DataFrame:
     """(by, tau, n): Kendall's tau-b in each group, exact. Rows with a null or NaN in either column take no part; a column without two values gives a null.
 
-    by: any number of groups, each of any size.
+    by: any number of groups, each of any size; what is broadcast is 8 KB for each group of more than ``per`` rows.
     """
     by = list(by)
     both = df.select(*by, F.nanvl(F.col(x).cast("double"), F.lit(None)).alias("x_"), F.nanvl(F.col(y).cast("double"), F.lit(None)).alias("y_")).where("x_ is not null and y_ is not null")
@@ -69,10 +69,10 @@ def kendall(df: DataFrame, x: str, y: str, by: list[str], per: int = PER) -> Dat
     buckets = F.least(F.lit(MOST), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / float(per)))).cast("int"))
     large = sizes.where(F.col("n") > per).withColumn("stride", (F.lit(MOST) / buckets).cast("int")).drop("n")
     at = F.array(*[F.lit(i / MOST) for i in range(1, MOST)])
-    cut = rows.join(large, by).groupBy(*by).agg(F.max("stride").alias("stride"), *[F.percentile_approx(c, at, F.lit(4 * MOST)).alias(c) for c in ("x_", "y_")])
+    cut = rows.join(F.broadcast(large), by).groupBy(*by).agg(F.max("stride").alias("stride"), *[F.percentile_approx(c, at, F.lit(4 * MOST)).alias(c) for c in ("x_", "y_")])
     thin = lambda c: F.array_distinct(F.filter(F.col(c), lambda v, i: (i + 1) % F.col("stride") == 0))
     cut = cut.select(*by, thin("x_").alias("cx"), thin("y_").alias("cy"))
-    dealt = rows.join(cut, by, "left")
+    dealt = rows.join(F.broadcast(cut), by, "left")
     bucket = lambda c, cuts: F.coalesce(_bucket(F.col(c), F.col(cuts)), F.lit(0))
     dealt = stable(dealt.select(*by, "x_", "y_", bucket("x_", "cx").alias("bx"), bucket("y_", "cy").alias("by_"), F.col("cx").isNotNull().alias("cut_")))
 

@@ -63,9 +63,10 @@ def ols_by_group(spark, folder):
 def draw_tau(spark, folder):
     """Kendall's tau of each draw's scores against the base's."""
     p = _pillars(spark, folder)
-    r = stable(sensitivity.draw_ranks(sensitivity.draw_scores(p, sensitivity.draws_frame(spark, _DRAWS), LAMBDA, DAMPENER), 6))
-    base = stable(_drivers(p, spark).select("id", F.round(F.col("driver") - LAMBDA * F.col("damp"), 6).alias("score")))
-    return sensitivity.draw_agreement(r, base, tau=True).select("draw", F.round("tau", 8).alias("tau"))
+    draws = sensitivity.draw_scores(p, sensitivity.draws_frame(spark, _DRAWS), LAMBDA, DAMPENER).select("draw", "id", F.round("score", 6).alias("score"))
+    base = stable(_drivers(p, spark).select("id", F.round(F.col("driver") - LAMBDA * F.col("damp"), 6).alias("b_")))
+    t = concordance.kendall(draws.join(base, "id"), "score", "b_", ["draw"])
+    return t.select("draw", F.round("tau", 8).alias("tau"))
 
 
 @query("""WITH s AS (SELECT c_custkey AS id, round(c_acctbal / 50) AS x, count(o_orderkey) AS y FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
