@@ -133,6 +133,29 @@ def imputation_noise(fact: DataFrame, draws: int, sigma: dict[str, float], indic
     return x.select("draw", "id", "grp", "indicator", F.round(noisy, digits).alias("norm"))
 
 
+def noisy_scores(fact: DataFrame, pillars: dict[str, str], draws: int, sigma: dict[str, float], indicators: list[str], weights: dict[str, float], lam: float, dampener: str, seed: int = 42, digits: int = 9) -> DataFrame:
+    """(id, x): an entity's composites in all draws, in their order, under the noise of ``imputation_noise``: equal weights in a pillar, ``weights`` of the drivers, less lam times the dampener's mean.
+
+    fact: as of ``imputation_noise``; pillars: of each indicator. An entity's cells are laid side by side once, and nothing of a draw is shuffled. An entity without a score has no row.
+    """
+    wide = fact.groupBy("id").pivot("indicator", indicators).agg(F.first("norm").alias("norm"), F.first("status").alias("status"))
+    dampened = F.coalesce(*[F.col(f"`{i}_norm`") for i in indicators if pillars[i] == dampener]).isNotNull()
+    x = wide.where(dampened).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    cells: dict[str, list] = {}
+    for place, name in enumerate(indicators):
+        s = F.lit(0.0)
+        for status, value in sigma.items():
+            s = F.when(F.col(f"`{name}_status`").startswith(status), F.lit(value)).otherwise(s)
+        key = (F.col("id").cast("long") * len(indicators) + place) * draws + F.col("draw")
+        norm = F.col(f"`{name}_norm`")
+        noisy = F.greatest(F.lit(0.0), F.least(F.lit(100.0), norm + F.when(s > 0, normal(key, seed) * s).otherwise(0.0)))
+        cells.setdefault(pillars[name], []).append((norm.isNotNull(), F.round(noisy, 6)))
+    mean = {p: sum((F.when(there, c).otherwise(0.0) for there, c in cs), F.lit(0.0)) / F.nullif(sum((there.cast("int") for there, _ in cs), F.lit(0)), F.lit(0)) for p, cs in cells.items()}
+    driver = sum((F.coalesce(w * mean[p], F.lit(0.0)) for p, w in weights.items() if p in mean), F.lit(0.0))
+    x = x.select("id", "draw", F.round(driver - lam * mean[dampener], digits).alias("score"))
+    return x.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "score"))), lambda c: c["score"]).alias("x"))
+
+
 def tier_shares(ranks: DataFrame, cuts: tuple[float, float, float] = (0.8, 0.5, 0.2)) -> DataFrame:
     """(id, tier1_pct .. tier4_pct): how often each draw's quantile tiers hold an entity. ranks: (draw, id, score)."""
     q = quantiles(ranks, "score", {"a": cuts[0], "b": cuts[1], "c": cuts[2]}, ["draw"])

@@ -196,11 +196,10 @@ _ORDER = [i for i, _, _ in INDICATORS]
 @query(FILLED + ", nz AS (SELECT n.id, n.pillar, d, round(greatest(0.0, least(100.0, norm + CASE WHEN status = 'OBSERVED' THEN 0.0 ELSE 5.0::DOUBLE * " + _normal_sql(f"((id * {len(_ORDER)} + list_position([{', '.join(repr(i) for i in _ORDER)}], indicator) - 1) * 100 + d)", 42) + " END)), 6) AS norm FROM n, range(100) r(d)), ps AS (SELECT d, id, pillar, avg(norm) AS score FROM nz GROUP BY 1, 2, 3), sc AS (SELECT d, id, round(sum(weight * score) - 0.15 * max(CASE WHEN pillar = 'P5' THEN score END), 9) AS score FROM ps LEFT JOIN wt USING (pillar) GROUP BY 1, 2), vr AS (SELECT id, rank() OVER (PARTITION BY d ORDER BY score DESC) AS rank FROM sc) SELECT id, round(quantile_cont(rank, 0.05), 4) AS p05, round(quantile_cont(rank, 0.95), 4) AS p95, round(avg(rank), 4) AS mean_rank FROM vr GROUP BY 1")
 def imputation_uncertainty(spark, folder):
     """Rank intervals when imputed cells are noisy; 100 draws of keyed noise."""
-    n = sensitivity.imputation_noise(normalised(spark, folder).select("id", "grp", "indicator", "norm", "status"), 100, _NOISE, _ORDER)
-    x = n.join(F.broadcast(indicators(spark).select("indicator", "pillar")), "indicator").groupBy("draw", "id", "pillar").agg(F.avg("norm").alias("score"))
-    x = x.join(F.broadcast(weights(spark)), "pillar", "left").groupBy("draw", "id").agg((F.sum(F.col("weight") * F.col("score")) - LAMBDA * F.max(F.when(F.col("pillar") == DAMPENER, F.col("score")))).alias("score"))
-    r = order.with_rank(stable(x.withColumn("score", F.round("score", 9))), "score", by=["draw"])
-    return r.groupBy("id").agg(F.round(F.percentile("rank", 0.05), 4).alias("p05"), F.round(F.percentile("rank", 0.95), 4).alias("p95"), F.round(F.avg("rank"), 4).alias("mean_rank"))
+    own = {i: p for i, p, _ in INDICATORS}
+    x = sensitivity.noisy_scores(normalised(spark, folder), own, 100, _NOISE, _ORDER, WEIGHTS, LAMBDA, DAMPENER)
+    s = rank_histograms.score_statistics(x, 100)
+    return s.select("id", *[F.round(c, 4).alias(c) for c in ("p05", "p95", "mean_rank")])
 
 
 _UP = "CASE WHEN hi = lo THEN 50.0 WHEN direction = 'NEGATIVE' THEN 100.0 - (v - lo) / (hi - lo) * 100.0 ELSE (v - lo) / (hi - lo) * 100.0 END"
