@@ -362,6 +362,33 @@ def test_connected_is_exact():
     assert sum(asked) <= sum(len(i) for i, _, _ in parts)
 
 
+def test_lines_without_links_are_asked_for_at_once():
+    """Once a round finds hardly a link, all pairs that are left are decided together, not a few at a time."""
+    asked = []
+    i, j = np.triu_indices(60, 1)
+    line_dedup.connected([(i, j, 60)], lambda some: asked.append(len(some[0][1])) or np.zeros(len(some[0][1]), bool))
+    assert len(asked) == 2 and sum(asked) == len(i)
+
+
+def test_far_pairs_are_given_up(monkeypatch):
+    """Lines of one passage with different ends: pairs beyond the bound leave the table early, those within it keep their distances."""
+    rng = np.random.default_rng(11)
+    text = lambda n: "".join(rng.choice(list("abcdefgh \u00e9\u4e2d"), n))
+    passage, a, b = text(200), [], []
+    for k in range(400):
+        a.append(text(int(rng.integers(1, 300))) + passage + text(int(rng.integers(1, 200))))
+        b.append(a[-1][: int(rng.integers(0, 60))] + text(20) + a[-1][60:] if k % 4 == 0 else text(int(rng.integers(1, 300))) + passage + text(int(rng.integers(1, 200))))
+    longer = np.array([max(len(s), len(t)) for s, t in zip(a, b)])
+    exact = np.array([line_dedup.edit_distance(s, t) for s, t in zip(a, b)])
+    for give_up, share in ((32, 5), (1, 5), (7, 3), (32, 2)):
+        monkeypatch.setattr(line_dedup, "GIVE_UP", give_up)
+        most = longer // share
+        got = line_dedup.edit_distances(a, b, most)
+        assert (np.where(exact <= most, got == exact, got > most)).all() and 0 < (exact <= most).sum() < len(a)
+    for likely in (True, False):
+        assert line_dedup.linked(a, b, likely).tolist() == (5 * exact <= longer).tolist()
+
+
 def test_bigram_bound_leaves_out_no_link():
     rnd = random.Random(6)
     lines = template_lines(60, 4, 2, 1) + ["漢字漢字漢字漢字", "漢字漢字漢字漢子", "a", "ab", "", "aaaaaaaaaaaa", "aaaaaaaaaab"]
