@@ -370,6 +370,49 @@ def test_lines_without_links_are_asked_for_at_once():
     assert len(asked) == 2 and sum(asked) == len(i)
 
 
+@pytest.mark.parametrize("held, row, each", [(1 << 19, 1024, 8), (40, 7, 1)])
+def test_cells_tell_all_buckets(spark, monkeypatch, held, row, each):
+    """Small buckets give their near pairs and large ones their lines, however the cells of keys are cut and held; the shuffle has few rows."""
+    for name, value in (("HELD", held), ("ROW", row), ("CELLS_EACH", each)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = np.random.default_rng(8)
+    n, bands = 300, line_dedup.BANDS
+    keys = rng.integers(-(1 << 31), 1 << 31, (n, bands))
+    keys[:, 0] = rng.choice(rng.integers(-(1 << 31), 1 << 31, 30), n)
+    keys[:90, 1] = 77
+    s1 = rng.integers(0, 1 << 62, 4)[rng.integers(0, 4, n)]
+    rows = [(k, 100, None, np.array([s1[k], s1[k]], "<i8").tobytes() + keys[k].astype("<i4").tobytes()) for k in range(n)]
+    different = spark.createDataFrame(rows, "h1 long, chars int, grams binary, words binary")
+    pairs, crowds = Counter(), Counter()
+    for b in range(bands):
+        for key in set(keys[:, b].tolist()):
+            some = np.flatnonzero(keys[:, b] == key).tolist()
+            if len(some) > line_dedup.SMALL:
+                crowds.update((k, key * 2 + 1) for k in some)
+            else:
+                pairs.update((i, j, some[0], 0) for i in some for j in some if i < j and s1[i] == s1[j])
+    got = line_dedup.candidates(different).collect()
+    assert Counter((min(r.a, r.b), max(r.a, r.b), r.crowd, r.bits) for r in got if r.b is not None) == pairs and len(pairs) > 50
+    assert Counter((r.a, r.key) for r in got if r.b is None) == crowds and len(crowds) == 90
+
+
+def test_crowds_are_connected_without_deciding_all_pairs(spark, monkeypatch):
+    """Copies of a line are joined by as few links as join them, whatever is decided together; short lines and lines that are no links keep apart."""
+    rnd = random.Random(4)
+    base = [" ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(10**5)}" for _ in range(30)) for _ in range(3)]
+    lines = [e for x in base for e in sorted({x, *(edited(rnd, x, "one word") or x for _ in range(12))})] + ["short line of six words here", "short line of six words hers", "quite another one of them"]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines))]
+    want = roots(range(len(lines)), [p for p in pairs if line_dedup.similar(lines[p[0]], lines[p[1]])])
+    texts = spark.createDataFrame(list(enumerate(lines)), "h1 long, text string")
+    for size in (16 << 20, 1):
+        monkeypatch.setattr(line_dedup, "CROWDS_BYTES", size)
+        edges = spark.createDataFrame([(i, j, i // 20, (i + j) % 50) for i, j in pairs], "a long, b long, crowd long, bits int")
+        got = [(r.a, r.b) for r in line_dedup.linked_in_crowds(edges, texts).collect()]
+        assert roots(range(len(lines)), got) == want and all(line_dedup.similar(lines[i], lines[j]) for i, j in got)
+    one = [(r.a, r.b) for r in line_dedup.linked_in_crowds(edges.withColumn("crowd", F.lit(0).cast("long")), texts).collect()]
+    assert len(one) == len(lines) - len(set(want.values()))
+
+
 def test_far_pairs_are_given_up(monkeypatch):
     """Lines of one passage with different ends: pairs beyond the bound leave the table early, those within it keep their distances."""
     rng = np.random.default_rng(11)
