@@ -1,11 +1,11 @@
 """Names that are similar, without comparing every name with every other.
 
-How alike two names may be bounds the edits between them. Two indexes turn that bound into equi-joins, from which no pair within the bound is missing:
+How alike two names may be bounds the edits between them. Two indexes are built on that bound, from which no pair within it is missing:
 
 * At most one edit: a name cut into ``PIECES`` pieces agrees with the other in all but one of them, so both are joined by what is left of them without a piece. Names of
   one vocabulary seldom agree in so much.
-* At most t edits: of t + 1 segments of the one name, some whole segment stands in the other, near its own place. Joined by length, number of edits, segment, its text, and the group that a
-  name is sought in.
+* At most t edits: names of a group are kept as trees of their prefixes, in blocks, and a name is sought in the blocks that hold prefixes it can still come near to. Names of one vocabulary share long
+  prefixes, so that few are looked at for each name; whole segments that two names share, on which they could be joined, would be the same in most of them.
 
 Callers look for one edit first, and for more only where that leaves the question open.
 """
@@ -14,15 +14,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import edit_ratio
+from .prefix_tree import PrefixTree
 
 #: Pieces of a name in the index for one edit.
 PIECES = 8
 #: The group key of names that are sought in all groups.
 EVERYWHERE = "*"
+#: First letters that names are dealt to blocks by, the most such beginnings, and names of a block (more where they begin alike).
+LETTERS, PREFIXES, BLOCK = (1, 2, 3, 4, 6, 8, 10, 12, 16, 24, 32), 20_000, 10_000
 
 
 def large(df: DataFrame) -> DataFrame:
@@ -63,7 +68,7 @@ class Bound:
 
 
 def one_edit(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """(name, d_name): pairs, among them all of at most one edit. asked: (name); known: (d_name); both without repeats and empty names."""
+    """(name, d_name): all pairs of at most one edit. asked: (name); known: (d_name); both without repeats and empty names."""
     piece = f"struct(i as i, cast(floor(i * size_ / {PIECES}) as int) as a, cast(floor((i + 1) * size_ / {PIECES}) as int) as b)"
     cut = f"explode(filter(transform(sequence(0, {PIECES - 1}), i -> {piece}), p -> p.a < p.b)) as cut_"
     index = known.withColumn("size_", F.length("d_name")).select("d_name", "size_", F.expr(cut))
@@ -72,26 +77,54 @@ def one_edit(asked: DataFrame, known: DataFrame) -> DataFrame:
     probe = asked.withColumn("own_", F.length("name")).select("name", "own_", F.expr("explode(filter(sequence(own_ - 1, own_ + 1), x -> x > 0)) as size_")).select("name", "own_", "size_", F.expr(cut))
     probe = probe.where("cut_.a + size_ - cut_.b <= own_")
     left = F.xxhash64("size_", "cut_.i", F.expr("substring(name, 1, cut_.a)"), F.expr("substring(name, own_ - (size_ - cut_.b) + 1, size_ - cut_.b)"))
-    return probe.select("name", left.alias("key_")).join(large(index), "key_").select("name", "d_name").distinct()
+    return probe.select("name", left.alias("key_")).join(large(index), "key_").where(F.call_function("levenshtein", F.col("name"), F.col("d_name"), F.lit(1)) >= 0).select("name", "d_name").distinct()
 
 
 def few_edits(asked: DataFrame, known: DataFrame, bound: Bound, r: float) -> DataFrame:
-    """(name, d_name): pairs of a name and one of its group, among them all that are at least ``least_`` alike.
+    """(name, d_name): pairs of a name and one of its group that are at least ``least_`` alike by the bound of their edits.
 
-    asked: (name, group, least_), a row for each group a name is sought in, least_ from r on; known: (d_name, group), a row for each group a name is found in.
+    asked: (name, group[, least_]), a row for each group a name is sought in, least_ from r on (r itself if there is none); known: (d_name, group), a row for each group a name is found in.
+    A group's names are dealt to blocks by their first letters, whose table (``PREFIXES`` rows at most) tells in which blocks an asked name may find one; there it is sought in the tree of prefixes.
     """
-    segment = "explode(transform(sequence(0, edits_), i -> struct(i as i, cast(floor(i * size_ / (edits_ + 1)) as int) as a, cast(floor((i + 1) * size_ / (edits_ + 1)) as int) as b))) as s_"
-    index = known.withColumn("size_", F.length("d_name"))
-    # the numbers of edits that any asked name may have
-    index = index.withColumn("edits_", F.explode(F.sequence(F.lit(0), bound.most_edits(F.col("size_"), r))))
-    index = index.select("d_name", "group", "size_", "edits_", F.expr(segment))
-    index = index.select("d_name", F.xxhash64("group", "size_", "edits_", "s_.i", F.expr("substring(d_name, s_.a + 1, s_.b - s_.a)")).alias("key_"))
-    probe = asked.withColumn("own_", F.length("name"))
-    probe = probe.withColumn("size_", F.explode(F.sequence(bound.shortest(F.col("own_"), F.col("least_")), bound.longest(F.col("own_"), F.col("least_")))))
-    probe = probe.withColumn("edits_", bound.edits(F.col("own_"), F.col("size_"), F.col("least_"))).select("name", "group", "own_", "size_", "edits_", F.expr(segment))
-    # where the segment may stand: edits before it move it, and so do those after it, seen from the end
-    first = F.expr("greatest(0, s_.a - s_.i, s_.a + own_ - size_ - (edits_ - s_.i))")
-    last = F.expr("least(own_ - (s_.b - s_.a), s_.a + s_.i, s_.a + own_ - size_ + (edits_ - s_.i))")
-    probe = probe.withColumn("first_", first).withColumn("last_", last).where("first_ <= last_").withColumn("at_", F.explode(F.sequence("first_", "last_")))
-    probe = probe.select("name", F.xxhash64("group", "size_", "edits_", "s_.i", F.expr("substring(name, at_ + 1, s_.b - s_.a)")).alias("key_")).distinct()
-    return probe.join(large(index), "key_").select("name", "d_name").distinct()
+    if "least_" not in asked.columns:
+        asked = asked.withColumn("least_", F.lit(r))
+    known = known.select("d_name", "group").distinct()
+    ends = known.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.struct("group", F.substring("d_name", 1, k))).alias(f"k{k}") for k in LETTERS]).first()
+    # the longest beginnings of which there are few; none where groups alone are many
+    letters = max((k for k in LETTERS if ends[f"k{k}"] <= min(PREFIXES, ends.n // 10)), default=0)
+    begin = F.substring("d_name", 1, letters)
+    counted = known.groupBy("group", begin.alias("begin_")).agg(F.count("*").alias("n"), F.max(F.length("d_name")).cast("int").alias("longest"))
+    by_longer, spark = bound.by_longer, known.sparkSession
+    if not letters:
+        routed, dealt = asked.select("name", "group", "least_", F.lit(0).alias("block_")), known.withColumn("block_", F.lit(0))
+    else:
+        begins: dict[str, list] = {}
+        for x in sorted(counted.collect()):
+            begins.setdefault(x.group, []).append((x.begin_, x.longest, x.n))
+        block = {g: ((np.cumsum([n for *_, n in rows]) - 1) // BLOCK).tolist() for g, rows in begins.items()}
+        table = spark.createDataFrame([(g, b, k) for g, rows in begins.items() for (b, *_), k in zip(rows, block[g])], "group string, begin_ string, block_ int")
+        dealt = known.withColumn("begin_", begin).join(F.broadcast(table), ["group", "begin_"])
+
+        def route(batches):
+            trees: dict[str, PrefixTree] = {}
+            for pdf in batches:
+                for group, own in pdf.groupby("group"):
+                    if group not in begins:
+                        continue
+                    if group not in trees:
+                        trees[group] = PrefixTree([b for b, *_ in begins[group]], np.array([m for _, m, _ in begins[group]]))
+                    of = np.array(block[group])
+                    for q, b in trees[group].near(own["name"].tolist(), own["least_"].to_numpy(), by_longer, begins=True):
+                        q, k = np.unique(np.stack([q, of[b]]), axis=1)
+                        yield own.iloc[q].assign(block_=k)
+
+        routed = asked.select("name", "group", "least_").mapInPandas(route, "name string, group string, least_ double, block_ int").distinct()
+
+    def sought(asks: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs, out = asks["name"].tolist(), sorted(names["d_name"].tolist()), []
+        if mine and theirs:
+            out = [(mine[i], theirs[j]) for q, n in PrefixTree(theirs).near(mine, asks["least_"].to_numpy(), by_longer) for i, j in zip(q.tolist(), n.tolist())]
+        return pd.DataFrame(out, columns=["name", "d_name"])
+
+    pairs = routed.groupBy("group", "block_").cogroup(dealt.select("d_name", "group", "block_").groupBy("group", "block_"))
+    return pairs.applyInPandas(sought, "name string, d_name string").distinct()

@@ -52,3 +52,31 @@ def test_variants_come_from_one_aggregation(spark, monkeypatch):
     out = robustness.specifications(norm, names, {"P1": 0.6, "P2": 0.4}, 0.15, "P5", ["c"], "P2")
     assert out.groupBy("variant").count().where("count = 40").count() == 10
     assert plans[-1].count("Aggregate [") == 1
+
+
+def test_few_edits_gives_only_pairs_within_the_bound(spark):
+    """By trees in many blocks: all pairs of brute force and no others, where most names share long segments."""
+    from unittest import mock
+
+    from cairnspark.functions import text
+    from cairnspark.operators import similar
+
+    names = sorted({f"{c} {n} {k * 37 % 1009}" for k in range(400) for c, n in ((("red", "ring"), ("old", "gear"))[k % 2],)} | {"r", "red", "zzé"})
+    asked = sorted({"q" + n[1:] for n in names[::9]} | {n + "x" for n in names[::7]} | {"zz" + n[::-1] for n in names[::11]} | {"s"})
+    known = spark.createDataFrame([(n, g) for k, n in enumerate(names) for g in ("*", f"g{k % 3}")], "d_name string, group string")
+    ask = spark.createDataFrame([(n, ("*", "g1", "none")[k % 3], 0.81 + 0.02 * (k % 4)) for k, n in enumerate(asked)], "name string, group string, least_ double")
+    groups = {"*": names, "g1": names[1::3], "none": []}
+
+    def edits(a, b, replaced):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + replaced * (x != y))
+        return row[-1]
+
+    for measure, replaced, size in ((text.edit_ratio, 1, lambda a, b: max(len(a), len(b))), (text.sequence_ratio, 2, lambda a, b: len(a) + len(b))):
+        want = {(a.name, b) for a in ask.collect() for b in groups[a.group] if edits(a.name, b, replaced) <= (1 - a.least_) * size(a.name, b) + 1e-6}
+        with mock.patch.multiple(similar, PREFIXES=60, BLOCK=20):
+            got = [tuple(r) for r in similar.few_edits(ask, known, similar.Bound(measure), 0.81).collect()]
+        assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
