@@ -1,13 +1,16 @@
 """Ranks of entities over many draws of weights, without a row for each draw and entity.
 
-Entities are dealt to blocks and scored block by block, for a block of draws at a time, as matrices. A block's scores go, sorted and as small differences, to the task that ranks one bucket of scores for
-one block of draws; what comes back is, in the same order, how many of the bucket are not higher. No id, draw or score is sent with a cell: the block scores its entities again and knows the order. That is a few bytes
+Entities are dealt to blocks and scored block by block, for a block of draws at a time, as matrices. The task that ranks one bucket of scores for one block of draws gets the pillar scores of the entities that
+may be in it, once for all these draws (which lie near each other), and scores them again; where scores come with the entities, it gets those, sorted and as small differences. What comes back is, in the order of
+scores, how many of the bucket are not higher, as packed differences: no id, draw or score is sent with a cell, since the block scores its entities again and knows the order. That is about a byte
 for each draw and entity. Buckets are cut, draw by draw, at quantiles of a bounded sample of entities, which decides only how evenly work is spread; exact counts of every bucket are the offsets, so ranks are
 exact however many entities there are. A block then has all ranks of its entities side by side, and gives their histograms or statistics.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,29 +19,37 @@ from pyspark.sql import functions as F
 
 from .stable import stable
 
-#: Cells (draws x entities) of a block and of a bucket's task, entities that a bucket should hold, most buckets, and entities of the sample that cuts buckets.
+#: Cells (draws x entities) that are worked on at a time and that a bucket's task has, entities that a bucket should hold, most buckets, and entities of the sample that cuts buckets.
 CELLS, BUCKET, BUCKETS, SAMPLE = 4_000_000, 20_000, 64, 4096
+#: Ranks that a block may hold, and blocks there should be at least. The more entities in a block, the less its ranks differ from one to the next.
+HELD, BLOCKS = 72_000_000, 64
 
 
 def _scores(x: np.ndarray, w: np.ndarray, lam: float, digits: int) -> np.ndarray:
     """Entities x draws, in units of the last digit. x: pillar scores, the dampener last, absent ones 0; w: draws x drivers."""
-    out = np.zeros((len(x), len(w)))
-    for k in range(w.shape[1]):
-        out += x[:, k, None] * w[:, k]
-    return np.rint((out - lam * x[:, -1, None]) * 10.0**digits).astype(np.int64)
+    out = np.empty((len(x), len(w)), np.int64)
+    some = max(1, 32_768 // max(1, len(w)))  # rows that stay in the processor's cache
+    for a in range(0, len(x), some):
+        y, s = x[a : a + some], np.zeros((len(x[a : a + some]), len(w)))
+        for k in range(w.shape[1]):
+            s += y[:, k, None] * w[:, k]
+        out[a : a + some] = np.rint((s - lam * y[:, -1, None]) * 10.0**digits)
+    return out
 
 
 def _packed(v: np.ndarray, counts: np.ndarray) -> tuple[bytes, int, bytes]:
-    """Ascending runs of counts[k] numbers each: (first of each run, bytes of a difference, differences)."""
+    """Ascending runs of counts[k] numbers each: (first of each run, bytes of a difference, differences: all first bytes, all second ones, .., as Huffman codes)."""
     first = (np.cumsum(counts) - counts)[counts > 0]
     d = np.diff(v, prepend=0)
     d[first] = 0
     width = next(b for b in (1, 2, 4, 8) if b == 8 or not len(d) or d.max() < 1 << 8 * b)
-    return v[first].tobytes(), width, d.astype(f"<u{width}").tobytes()
+    code = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_RLE)
+    return v[first].tobytes(), width, code.compress(d.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()) + code.flush()
 
 
 def _unpacked(base: bytes, width: int, diffs: bytes, counts: np.ndarray) -> np.ndarray:
-    v = np.cumsum(np.frombuffer(diffs, f"<u{width}").astype(np.int64))
+    d = np.frombuffer(zlib.decompress(diffs, -15), np.uint8).reshape(width, -1)
+    v = np.cumsum(np.ascontiguousarray(d.T).view(f"<u{width}").ravel().astype(np.int64))
     some = counts[counts > 0]
     first = np.cumsum(some) - some
     return v + np.repeat(np.frombuffer(base, np.int64) - v[first], some)
@@ -55,25 +66,33 @@ def _by_block(pillars: DataFrame, draws: DataFrame, lam: float, dampener: str, d
         weight.setdefault(d, {})[p] = x
     names = sorted({p for w in weight.values() for p in w} - {dampener})
     w = np.array([[weight[d].get(p, 0.0) for p in names] for d in sorted(weight)]).reshape(len(weight), len(names))
+    if not mirrored and len(names) > 1:  # draws of like weights side by side, in strips; what is read does not depend on their order
+        strips = max(1, int(np.sqrt(len(w) / 200)))
+        w = w[np.lexsort((w[:, 1], np.argsort(np.argsort(w[:, 0])) * strips // max(1, len(w))))]
     wide = pillars.groupBy("id").pivot("pillar", [*names, dampener]).agg(F.first("score"))
     there = F.coalesce(*[F.col(f"`{p}`") for p in names]).isNotNull() if names else F.lit(False)
     rows = stable(wide.where(there).select("id", F.array(*[F.coalesce(F.col(f"`{p}`"), F.lit(0.0)).cast("double") for p in [*names, dampener]]).alias("x")))
     sign = np.concatenate([np.ones(len(w), np.int64), np.full(len(w), -1)])
     both = np.concatenate([w, w]) if mirrored else w
-    return _ranked(rows, lambda x, p, q: _scores(x, both[p:q], lam, digits) * sign[p:q], len(both), bucket, read, schema)
+    return _ranked(rows, lambda x, p, q: _scores(x, both[p:q], lam, digits) * sign[p:q], len(both), bucket, read, schema, True)
+
 
+def _ranked(rows: DataFrame, score, draws: int, bucket: int, read, schema: str, again: bool = False) -> DataFrame:
+    """As ``_by_block``, of evaluated rows (id, x: array<double>): score(x: entities x numbers, p, q) are the whole-number scores, entities x draws, of draws p to q.
 
-def _ranked(rows: DataFrame, score, draws: int, bucket: int, read, schema: str) -> DataFrame:
-    """As ``_by_block``, of evaluated rows (id, x: array<double>): score(x: entities x numbers, p, q) are the whole-number scores, entities x draws, of draws p to q."""
+    again: x is short, and buckets get it in place of scores.
+    """
     n = rows.count()
     n_buckets = min(BUCKETS, max(1, -(-n // bucket)))
-    cuts = np.zeros((draws, 0))
+    cuts = np.zeros((draws, 0), np.int64)
     if n_buckets > 1:
         sample = np.array([r.x for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()])
-        cuts = np.quantile(score(sample, 0, draws), np.arange(1, n_buckets) / n_buckets, axis=0).T
+        cuts = np.floor(np.quantile(score(sample, 0, draws), np.arange(1, n_buckets) / n_buckets, axis=0)).astype(np.int64).T.copy()
     step = max(1, min(250, CELLS // max(1, -(-n // n_buckets))))
     blocks = [(a, min(a + step, draws)) for a in range(0, draws, step)]
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // max(1, CELLS // max(1, draws)))))).cast("int"))
+    part = max(1, CELLS // max(1, draws))
+    size = max(1, min(HELD // max(1, draws), max(part, n // BLOCKS)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // size)))).cast("int"))
 
     def counts_of(s: np.ndarray, a: int) -> np.ndarray:
         """Buckets x draws: how many of each sorted column are in each bucket."""
@@ -85,6 +104,9 @@ def _ranked(rows: DataFrame, score, draws: int, bucket: int, read, schema: str)
         of = np.repeat(np.tile(np.arange(len(counts), dtype=np.uint16), counts.shape[1]), counts.T.ravel())
         return np.argsort(of, kind="stable")
 
+    def bucket_of(s: np.ndarray, a: int) -> np.ndarray:
+        return np.stack([np.searchsorted(cuts[a + k], v).astype(np.uint8) for k, v in enumerate(np.ascontiguousarray(s.T))], 1)
+
     inside = np.zeros((n_buckets, draws), np.int64)
 
     def counted(batches):
@@ -92,12 +114,14 @@ def _ranked(rows: DataFrame, score, draws: int, bucket: int, read, schema: str)
         for batch in batches:
             x = np.array(batch.column(0).to_pylist(), float)
             for a, b in blocks:
-                total[:, a:b] += counts_of(np.sort(score(x, a, b), axis=0), a)
+                of = bucket_of(score(x, a, b), a) + np.arange(b - a, dtype=np.int64) * n_buckets
+                total[:, a:b] += np.bincount(of.ravel(), minlength=n_buckets * (b - a)).reshape(b - a, n_buckets).T
         c, d = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(d), pa.array(total[c, d])], ["bucket", "draw", "n"])
 
     for r in rows.select("x").mapInArrow(counted, "bucket long, draw long, n long").groupBy("bucket", "draw").agg(F.sum("n").alias("n")).collect():  # BUCKETS x draws at most
         inside[r.bucket, r.draw] = r.n
+    width = len(rows.select("x").first().x) if again and n else 0
     shared = rows.sparkSession.sparkContext.broadcast(inside[::-1].cumsum(axis=0)[::-1])  # in this bucket and all higher ones
     head = ["block", "number", "bucket", "base", "width", "diffs"]
     kinds = "block int, number int, bucket int, base binary, width int, diffs binary"
@@ -105,6 +129,14 @@ def _ranked(rows: DataFrame, score, draws: int, bucket: int, read, schema: str)
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
         x, out = np.array(pdf["x"].tolist(), float), []
         for number, (a, b) in enumerate(blocks):
+            if again:
+                ends = [(of.min(axis=1), of.max(axis=1)) for of in (bucket_of(score(x[p : p + 2 * part], a, b), a) for p in range(0, len(x), 2 * part))]
+                lo, hi = (np.concatenate(e) for e in zip(*ends))
+                for c in range(n_buckets):
+                    inside_ = (lo <= c) & (c <= hi)
+                    if inside_.any():
+                        out.append((int(pdf["block"].iloc[0]), number, c, b"", 0, x[inside_].tobytes(), b""))
+                continue
             s = np.sort(score(x, a, b), axis=0)
             counts = counts_of(s, a)
             v, edge = s.T.ravel()[regrouped(counts)], np.concatenate([[0], np.cumsum(counts.sum(axis=1))])
@@ -112,13 +144,30 @@ def _ranked(rows: DataFrame, score, draws: int, bucket: int, read, schema: str)
                 out.append((int(pdf["block"].iloc[0]), number, c, *_packed(v[edge[c] : edge[c + 1]], counts[c]), counts[c].astype("<u4").tobytes()))
         return pd.DataFrame(out, columns=[*head, "counts"])
 
+    def rescored(x: bytes, number: int, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """(scores in bucket c, draw by draw, how many of each draw)."""
+        a, b = blocks[number]
+        s = np.ascontiguousarray(score(np.frombuffer(x).reshape(-1, width), a, b).T)
+        own = np.ones(s.shape, bool)
+        if c > 0:
+            own &= s > cuts[a:b, c - 1 : c]
+        if c < n_buckets - 1:
+            own &= s <= cuts[a:b, c : c + 1]
+        return s[own], own.sum(axis=1)
+
     def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = [np.frombuffer(c, "<u4").astype(np.int64) for c in pdf["counts"]]
-        keys = [_unpacked(*p, c) for *p, c in zip(pdf["base"], pdf["width"], pdf["diffs"], counts)]
+        if again:
+            got = [rescored(x, int(m), int(c)) for x, m, c in zip(pdf["diffs"], pdf["number"], pdf["bucket"])]
+            pdf, keys, counts = pdf[[len(k) > 0 for k, _ in got]], [k for k, _ in got if len(k)], [c for k, c in got if len(k)]
+            if not keys:
+                return pd.DataFrame(columns=head)
+        else:
+            counts = [np.frombuffer(c, "<u4").astype(np.int64) for c in pdf["counts"]]
+            keys = [_unpacked(*p, c) for *p, c in zip(pdf["base"], pdf["width"], pdf["diffs"], counts)]
         lo = min(int(k.min()) for k in keys)
         span = max(int(k.max()) for k in keys) - lo + 1
         draw = np.arange(len(counts[0]))
-        keys = [k - lo + span * np.repeat(draw, c) for k, c in zip(keys, counts)]
+        keys = [np.sort(k - lo + span * np.repeat(draw, c)) for k, c in zip(keys, counts)]
         order = np.sort(np.concatenate(keys))
         begin = np.searchsorted(order, span * draw)
         back = [_packed(np.searchsorted(order, k, "right") - np.repeat(begin, c), c) for k, c in zip(keys, counts)]
@@ -129,16 +178,16 @@ def _ranked(rows: DataFrame, score, draws: int, bucket: int, read, schema: str)
         ranks = np.empty((len(x), draws), np.int32)
         piece = {(m, c): p for m, c, *p in zip(back["number"], back["bucket"], back["base"], back["width"], back["diffs"])}
         for number, (a, b) in enumerate(blocks):
-            s = score(x, a, b)
-            order = np.argsort(s, axis=0)
-            counts = counts_of(np.take_along_axis(s, order, axis=0), a)
+            s = np.ascontiguousarray(score(x, a, b).T)
+            order = np.argsort(s, axis=1)
+            counts = counts_of(np.take_along_axis(s, order, axis=1).T, a)
             found = [shared.value[c, a:b].repeat(counts[c]) - _unpacked(*piece[number, c], counts[c]) + 1 for c in range(n_buckets) if counts[c].any()]
             flat = np.empty(len(x) * (b - a), np.int32)
             flat[regrouped(counts)] = np.concatenate(found)
-            part = np.empty((len(x), b - a), np.int32)
-            np.put_along_axis(part, order, flat.reshape(b - a, len(x)).T, axis=0)
-            ranks[:, a:b] = part
-        return read(own["id"].to_numpy(), ranks, n)
+            np.put_along_axis(s, order, flat.reshape(b - a, len(x)), axis=1)
+            ranks[:, a:b] = s.T
+        ids = own["id"].to_numpy()
+        return pd.concat([read(ids[p : p + part], ranks[p : p + part], n) for p in range(0, len(x), part)], ignore_index=True)
 
     packed = rows.groupBy("block").applyInPandas(scored, kinds + ", counts binary")
     returned = packed.groupBy("number", "bucket").applyInPandas(ranked, kinds)

@@ -80,3 +80,37 @@ def test_few_edits_gives_only_pairs_within_the_bound(spark):
         with mock.patch.multiple(similar, PREFIXES=60, BLOCK=20):
             got = [tuple(r) for r in similar.few_edits(ask, known, similar.Bound(measure), 0.81).collect()]
         assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_ranks_are_sent_in_a_byte_each():
+    """Packed ranks of a block in one bucket, at a 60th of its entities: about the bits that their differences have, and the same when read."""
+    import numpy as np
+
+    from cairnspark.operators import rank_histograms
+
+    counts = np.full(20, 300)
+    ranks = np.concatenate([np.sort(np.random.default_rng(k).integers(0, 300 * 60, 300)) for k in range(20)])
+    base, width, packed = rank_histograms._packed(ranks, counts)
+    assert len(base) + len(packed) <= 1.25 * len(ranks)
+    assert (rank_histograms._unpacked(base, width, packed, counts) == ranks).all()
+
+
+def test_buckets_get_entities_once_for_many_draws(spark):
+    """What a bucket is sent: pillar scores of an entity, not a score for each draw; the ranks are those of plain sorting, with draws in any order."""
+    from unittest import mock
+
+    import numpy as np
+
+    from cairnspark.operators import rank_histograms
+
+    r = np.random.default_rng(7)
+    x = np.round(r.random((400, 3)) * 20, 1)
+    w = r.dirichlet([5, 3], 500)
+    pillars = spark.createDataFrame([(k, p, float(x[k, c])) for k in range(400) for c, p in enumerate("ABD")], "id long, pillar string, score double")
+    draws = spark.createDataFrame([(d, p, float(w[d, c])) for d in range(500) for c, p in enumerate("AB")], "draw int, pillar string, weight double")
+    with mock.patch.multiple(rank_histograms, CELLS=20_000, HELD=60_000):
+        df = rank_histograms.rank_statistics(pillars, draws, 0.15, "D", 6, bucket=60)
+        got = {k.id: k for k in df.collect()}
+    s = np.rint((x[:, :1] * w[:, 0] + x[:, 1:2] * w[:, 1] - 0.15 * x[:, 2:]) * 1e6)
+    ranks = np.array([1 + (s > row).sum(axis=0) for row in s])
+    assert len(got) == 400 and all(abs(got[k].mean_rank - ranks[k].mean()) < 1e-9 and (got[k].best, got[k].worst) == (ranks[k].min(), ranks[k].max()) for k in range(400))
